@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from voxtab.llm.chat_format import ORACLE_OP1, op1_chat_format
 from voxtab.llm.mixing import op4_mixing
+from voxtab.llm.simhash import op8_simhash
 from voxtab.llm.winnowing import op7_fingerprint
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op4_mixing": op4_mixing,
     "op7_fingerprint": op7_fingerprint,
+    "op8_simhash": op8_simhash,
 }
 ORACLE = {"op1_chat_format": ORACLE_OP1}
