@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from voxtab.llm.chat_format import ORACLE_OP1, op1_chat_format
+from voxtab.llm.decontaminate import op9_decontaminate
+from voxtab.llm.language_id import op5_language_id
 from voxtab.llm.mixing import op4_mixing
+from voxtab.llm.quality_cnn import op10_quality
 from voxtab.llm.simhash import op8_simhash
+from voxtab.llm.token_shards import op3_token_shards
 from voxtab.llm.winnowing import op7_fingerprint
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op3_token_shards": op3_token_shards,
     "op4_mixing": op4_mixing,
+    "op5_language_id": op5_language_id,
     "op7_fingerprint": op7_fingerprint,
     "op8_simhash": op8_simhash,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_quality": op10_quality,
 }
 ORACLE = {"op1_chat_format": ORACLE_OP1}
