@@ -59,20 +59,21 @@ def run_direction(w: np.ndarray, u: np.ndarray, x: np.ndarray, real: np.ndarray,
 
 def back_direction(w: np.ndarray, u: np.ndarray, x: np.ndarray, real: np.ndarray, keep: list, dout: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of w and u from those of the states, through time."""
-    dw, du = np.zeros_like(w), np.zeros_like(u)
-    dh = np.zeros_like(dout[0])
+    du, dh = np.zeros_like(u), np.zeros_like(dout[0])
+    dx = np.empty((*x.shape, 3 * HIDDEN), dtype=np.float32)
     for t in reversed(range(len(x))):
         h, z, r, n, hn = keep[t]
         d = (dh + dout[t]) * real[t][:, None]
         dn = d * (1 - z) * (1 - n * n)
         dz = d * (h - n) * z * (1 - z)
         dr = dn * hn * r * (1 - r)
-        dgx = np.concatenate([dz, dr, dn], axis=1)
+        dx[t] = np.concatenate([dz, dr, dn], axis=1)
         dgh = np.concatenate([dz, dr, dn * r], axis=1)
-        np.add.at(dw, x[t], dgx)
         du += h.T @ dgh
         dh = d * z + dgh @ u.T
-    return dw, du
+    flat, rows = x.reshape(-1), dx.reshape(-1, 3 * HIDDEN)
+    dw = np.stack([np.bincount(flat, rows[:, i], minlength=256) for i in range(3 * HIDDEN)], axis=1)
+    return dw.astype(np.float32), du
 
 
 def forward(p: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray, keep: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
