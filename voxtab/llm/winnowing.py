@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxtab.llm.common import SPACE, table
+from voxtab.llm.common import SPACE, table, written
 
 K = 5
 W = 8
@@ -22,6 +22,8 @@ LAST = 2**31 - 1
 #: Neighbouring ids that are sorted together (2**6), and neighbouring buckets at each level above (2**12).
 NEAR_BITS = 6
 FAN_BITS = 12
+#: Buckets (24 bytes each) that are broadcast at most; with more of them the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def _word_hashes(text: Column) -> Column:
@@ -101,7 +103,9 @@ def with_next(df: DataFrame, key: str, tie: str, carry: list[str]) -> DataFrame:
     after = _next_key(buckets.select(F.col("__b").alias("key")), 2)
     start = buckets.agg(F.min("__b")).first()[0]
     before = after.select(F.col("key").alias("__before"), F.coalesce("after", F.lit(start)).alias("__b"))
-    links = before.join(buckets, "__b")
+    links = written(before.join(buckets, "__b"), "next-links")
+    if links.count() <= BROADCAST_ROWS:
+        links = F.broadcast(links)
     rows = df.join(links, "__b", "left")
     seats = F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("g")), F.struct(F.col("__before").alias("b"), F.lit(1).alias("g")))
     seats = F.when(F.col("__id") == F.col("__first"), seats).otherwise(F.slice(seats, 1, 1))
