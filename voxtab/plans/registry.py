@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from voxtab.operators import catalog, pet, pixels, tag_edits
+from voxtab.plans.statement import DUCKDB, REGISTRY, over_tables, statement
+from voxtab.sources import archives, views
+from voxtab.streaming import log
+
+MODULES = (catalog, pet, pixels, tag_edits, archives, views, log)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: over_tables(op) for n, op in REGISTRY.items() if not op.view}
+ORACLE: dict[str, str] = {n: statement(op, DUCKDB)[0] for n, op in REGISTRY.items() if not op.view}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Image series with their number of compatibility issues."""
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    issues = catalog.compatibility_audit(lineitem=lineitem).groupBy("workspace_id", "series_key").count().withColumnRenamed("count", "issues")
+    return catalog.series_summary(lineitem=lineitem).join(issues, ["workspace_id", "series_key"], "left").fillna(0, ["issues"])
