@@ -1,11 +1,128 @@
-"""PET and CT: pairs, units, decay, display values, resampling and fusion."""
+"""PET and CT: pairs, units, decay, display values, resampling and fusion; surface and layer presets."""
 
 from __future__ import annotations
 
-from voxtab.plans.statement import Dialect, operator
+from voxtab.plans.statement import Dialect, operator, view
+
+#: Aliases of display units; fixed values.
+UNITS = {"raw": "source", "source": "source", "BQML": "source", "kBq/ml": "kBq/ml", "kBqml": "kBq/ml", "uptake": "kBq/ml", "SUV": "SUVbw", "SUVbw": "SUVbw", "GML": "SUVbw", "SUVbsa": "SUVbsa", "SUL": "SUL", "%ID/g": "%ID/g", "percentIDg": "%ID/g"}
+
+
+@view
+def pet_headers(d: Dialect) -> str:
+    """PET series with what their scale needs."""
+    return """SELECT series_id, label, CASE label WHEN 7 THEN 'GML' WHEN 9 THEN '' ELSE 'BQML' END AS units, cast(70 AS double) AS weight_kg, cast(1.75 AS double) AS size_m, CASE WHEN label % 4 = 1 THEN 'F' ELSE 'M' END AS sex,
+  CASE WHEN label = 5 THEN NULL ELSE cast(350000000 AS double) END AS dose, cast(6586.2 AS double) AS half_life, '20240102' AS scan_date, '101500' AS scan_time, CASE label WHEN 1 THEN '101500' ELSE '09' || '3000.5' END AS injection_time
+FROM image_series WHERE modality = 'PT'"""
 
 
 @operator
 def pair_pet_ct(d: Dialect) -> str:
     """CT and PET series of the same study."""
     return "SELECT c.series_id AS ct_id, p.series_id AS pet_id, c.study_uid FROM image_series c JOIN image_series p ON p.study_uid = c.study_uid AND c.modality = 'CT' AND p.modality IN ('PT', 'PET')"
+
+
+@operator
+def parse_dicom_datetime(d: Dialect) -> str:
+    """Seconds of date and time texts; none where they are no date."""
+    digits = "scan_date || substring(injection_time, 1, 6)"
+    return f"SELECT series_id, {d.seconds(d.moment(digits, 'yyyyMMddHHmmss', '%Y%m%d%H%M%S'))} AS injected_s, {d.seconds(d.moment('scan_date || scan_time', 'yyyyMMddHHmmss', '%Y%m%d%H%M%S'))} AS scanned_s FROM pet_headers"
+
+
+@operator
+def format_dicom_date_time(d: Dialect) -> str:
+    """Dates as YYYY.MM.DD and times as HH:MM:SS."""
+    return "SELECT series_id, substring(scan_date, 1, 4) || '.' || substring(scan_date, 5, 2) || '.' || substring(scan_date, 7, 2) AS date_text, substring(scan_time, 1, 2) || ':' || substring(scan_time, 3, 2) || ':' || substring(scan_time, 5, 2) AS time_text FROM pet_headers"
+
+
+@operator
+def pet_decay_dose(d: Dialect) -> str:
+    """Injected dose decayed to the scan."""
+    return """SELECT h.series_id, round(dose * exp(-ln(2) * greatest(0, scanned_s - injected_s) / half_life), 2) AS dose FROM pet_headers h JOIN parse_dicom_datetime t ON t.series_id = h.series_id WHERE dose > 0"""
+
+
+@operator
+def pet_unit(d: Dialect) -> str:
+    """Display unit that each alias names."""
+    return f"SELECT DISTINCT units, CASE units {' '.join(f'''WHEN '{a}' THEN '{u}' ''' for a, u in UNITS.items())} ELSE 'SUVbw' END AS unit FROM pet_headers"
+
+
+@operator
+def pet_scale(d: Dialect) -> str:
+    """Factor from stored to displayed values of each series and unit; missing data leave the source as it is."""
+    lbm = "CASE WHEN sex = 'F' THEN 1.07 * weight_kg - 148 * power(weight_kg / (size_m * 100), 2) ELSE 1.10 * weight_kg - 128 * power(weight_kg / (size_m * 100), 2) END"
+    return f"""SELECT series_id, unit, CASE WHEN unit = 'source' THEN 1 WHEN unit = 'kBq/ml' THEN CASE WHEN units = 'BQML' THEN 0.001 ELSE 1 END WHEN units = 'GML' AND unit = 'SUVbw' THEN 1 WHEN units <> 'BQML' OR dose IS NULL THEN 1
+  WHEN unit = 'SUVbw' THEN round(weight_kg * 1000 / dose, 12) WHEN unit = 'SUVbsa' THEN round(0.007184 * power(size_m * 100, 0.725) * power(weight_kg, 0.425) * 10000 / dose, 12)
+  WHEN unit = 'SUL' THEN round(({lbm}) * 1000 / dose, 12) ELSE round(100 / dose, 12) END AS factor
+FROM (SELECT h.series_id, units, weight_kg, size_m, sex, p.dose FROM pet_headers h LEFT JOIN pet_decay_dose p ON p.series_id = h.series_id) q
+JOIN (SELECT * FROM (VALUES ('source'), ('kBq/ml'), ('SUVbw'), ('SUVbsa'), ('SUL'), ('%ID/g')) v(unit)) u ON true""".replace("THEN 1 ", "THEN cast(1 AS double) ").replace("0.001", "cast(0.001 AS double)")
+
+
+@operator
+def pet_display(d: Dialect) -> str:
+    """PET voxels in SUV by body weight (times 10^6, so that six places hold them)."""
+    return "SELECT v.series_id, i, j, k, round(value * factor * 1000000, 6) AS value FROM voxels v JOIN pet_scale s ON s.series_id = v.series_id AND s.unit = 'SUVbw'"
+
+
+@operator
+def nearest_pet_slice(d: Dialect) -> str:
+    """PET slice nearest each CT slice, clamped, half-even."""
+    return f"""SELECT ct_id, c.i AS ct_slice, pet_id, cast(least(greatest({d.even('round((cg.oz + c.i * cg.si - pg.oz) / pg.si, 9)')}, 0), pg.depth - 1) AS int) AS pet_slice FROM pair_pet_ct JOIN slices c ON c.series_id = ct_id
+JOIN geometry cg ON cg.series_id = ct_id JOIN geometry pg ON pg.series_id = pet_id"""
+
+
+@operator
+def register_plane(d: Dialect) -> str:
+    """Axial planes of the CT turned by 6 degrees about their normal and moved in their own directions."""
+    return """SELECT series_id, round(cx + 1.5 * ux - 2.25 * vx, 6) AS cx, round(cy + 1.5 * uy - 2.25 * vy, 6) AS cy, cz, round(ux * cos(radians(6)) + vx * sin(radians(6)), 9) AS ux, round(uy * cos(radians(6)) + vy * sin(radians(6)), 9) AS uy,
+  round(vx * cos(radians(6)) - ux * sin(radians(6)), 9) AS vx, round(vy * cos(radians(6)) - uy * sin(radians(6)), 9) AS vy FROM planes WHERE kind = 'axial'"""
+
+
+@operator
+def resample_pet_to_ct(d: Dialect) -> str:
+    """PET on the CT's grid: linear between the two nearest PET slices, nearest in the plane."""
+    return f"""SELECT ct_id, pet_id, ct_slice, g.j, g.k, round(sum(CASE WHEN v.i = lo THEN (1 - f) * value ELSE f * value END), 6) AS value FROM (
+  SELECT ct_id, pet_id, ct_slice, j, k, cast(floor(z) AS int) AS lo, z - floor(z) AS f, cast({d.even('round(least(greatest(j * sj_c / sj_p, 0), 7), 9)')} AS int) AS pj, cast({d.even('round(least(greatest((k * sk_c + ox_c - ox_p) / sk_p, 0), 7), 9)')} AS int) AS pk FROM (
+    SELECT ct_id, pet_id, c.i AS ct_slice, c.j, c.k, round(least(greatest(c.i * cg.si / pg.si, 0), pg.depth - 1), 9) AS z, cg.sj AS sj_c, pg.sj AS sj_p, cg.sk AS sk_c, pg.sk AS sk_p, cg.ox AS ox_c, pg.ox AS ox_p
+    FROM pair_pet_ct JOIN voxels c ON c.series_id = ct_id JOIN geometry cg ON cg.series_id = ct_id JOIN geometry pg ON pg.series_id = pet_id) a) g
+JOIN voxels v ON v.series_id = pet_id AND v.j = pj AND v.k = pk AND v.i BETWEEN lo AND lo + 1 AND (v.i = lo OR f > 0) GROUP BY ct_id, pet_id, ct_slice, g.j, g.k"""
+
+
+@operator
+def fuse_pet_ct(d: Dialect) -> str:
+    """CT gray and PET colour blended by how high the PET value is."""
+    return """SELECT p.ct_id, p.ct_slice, p.j, p.k, cast(floor(least(greatest(gray * (1 - a) + c * a, 0), 255)) AS int) AS r FROM (
+  SELECT ct_id, ct_slice, j, k, value, round(0.6 * least(greatest((value + 2000) / 4000, 0), 1), 6) AS a, floor(255 * least(greatest((value + 2000) / 4000, 0), 1)) AS c FROM resample_pet_to_ct) p
+JOIN window_to_uint8 w ON w.series_id = ct_id AND w.i = ct_slice AND w.j = p.j AND w.k = p.k"""
+
+
+@operator
+def derived_headers(d: Dialect) -> str:
+    """Headers of the resampled series: number, instance, position and units."""
+    return f"""SELECT p.ct_id, p.pet_id, 1000 + c.i AS series_number, c.i + 1 AS instance_number, {d.format('%.6f', 'g.ox')} AS position_x, {d.format('%.6f', 'g.oz + c.i * g.si')} AS position_z, CASE h.units WHEN 'BQML' THEN 'GML' WHEN '' THEN 'CNTS' ELSE h.units END AS units
+FROM pair_pet_ct p JOIN slices c ON c.series_id = p.ct_id JOIN geometry g ON g.series_id = p.ct_id JOIN pet_headers h ON h.series_id = p.pet_id"""
+
+
+@operator
+def canvas_affine(d: Dialect) -> str:
+    """Affine map from image to canvas of each series: fit, zoom and centre."""
+    return "SELECT series_id, round(64 / greatest(8 * sk, 8 * sj) * sk, 6) AS a, round(64 / greatest(8 * sk, 8 * sj) * sj, 6) AS d, round(32 - 4 * 64 / greatest(8 * sk, 8 * sj) * sk, 6) AS e, round(32 - 4 * 64 / greatest(8 * sk, 8 * sj) * sj, 6) AS f FROM geometry"
+
+
+@operator
+def normalize_preset(d: Dialect) -> str:
+    """Preset names without their prefix, in one spelling."""
+    return f"SELECT DISTINCT preset, {d.swap('lower(preset)', '[_ ]+', '-')} AS normal FROM select_preset"
+
+
+@operator
+def adaptive_layers(d: Dialect) -> str:
+    """Window and opacity of each series' soft and dense layer from its percentiles."""
+    return """SELECT series_id, 'soft' AS layer, round(greatest(p75 - p25, 1), 6) AS ww, round((p75 + p25) / 2, 6) AS wl, cast(0.35 AS double) AS opacity FROM intensity_stats
+UNION ALL SELECT series_id, 'dense' AS layer, round(greatest(p99 - p75, 1), 6) AS ww, round((p99 + p75) / 2, 6) AS wl, round(least(0.4 + dense_foreground_fraction, 0.9), 6) AS opacity FROM intensity_stats"""
+
+
+@operator
+def surface_iso_value(d: Dialect) -> str:
+    """Value of the surface of each series: an anchor for CT, a place between percentiles for others."""
+    return "SELECT series_id, CASE WHEN is_ct_hu THEN least(greatest(300, p75), p99) ELSE round(p50 + 0.35 * (p95 - p50), 6) END AS iso FROM intensity_stats"

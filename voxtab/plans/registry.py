@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtab.operators import catalog, pet, pixels, tag_edits
+from voxtab.operators import catalog, pet, pixels, roi, tag_edits, volumes
 from voxtab.plans.statement import DUCKDB, REGISTRY, over_tables, statement
 from voxtab.sources import archives, views
 from voxtab.streaming import log
 
-MODULES = (catalog, pet, pixels, tag_edits, archives, views, log)
+MODULES = (catalog, pet, pixels, roi, tag_edits, volumes, archives, views, log)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: over_tables(op) for n, op in REGISTRY.items() if not op.view}
 ORACLE: dict[str, str] = {n: statement(op, DUCKDB)[0] for n, op in REGISTRY.items() if not op.view}
 

@@ -72,7 +72,7 @@ def geometry(d: Dialect) -> str:
 @view
 def regions(d: Dialect) -> str:
     """Threshold regions: a box around a centre, an HU threshold or a percentile of the box."""
-    return f"""SELECT series_id, r AS region_id, r <> 3 AS enabled, CASE r WHEN 2 THEN 'percentile' ELSE 'hu' END AS mode,
+    return f"""SELECT series_id, cast(r AS int) AS region_id, r <> 3 AS enabled, CASE r WHEN 2 THEN 'percentile' ELSE 'hu' END AS mode,
   CASE r WHEN 1 THEN cast(300 AS double) WHEN 2 THEN cast(80 AS double) ELSE cast(0 AS double) END AS threshold,
   ox + 3.5 * sk AS cx, oy + 3.5 * sj AS cy, oz + 20 * si AS cz, 2.5 * sk AS hx, 2.5 * sj AS hy, 15 * si AS hz
 FROM (SELECT *, {d.rows(d.span('0', '3'))} AS r FROM geometry) q"""
@@ -81,7 +81,7 @@ FROM (SELECT *, {d.rows(d.span('0', '3'))} AS r FROM geometry) q"""
 @view
 def spheres(d: Dialect) -> str:
     """Spheres of 6 and 15 mm in each series."""
-    return f"""SELECT series_id, r AS sphere_id, CASE r WHEN 0 THEN cast(6 AS double) ELSE cast(15 AS double) END AS radius,
+    return f"""SELECT series_id, cast(r AS int) AS sphere_id, CASE r WHEN 0 THEN cast(6 AS double) ELSE cast(15 AS double) END AS radius,
   ox + 3.5 * sk AS cx, oy + 3.5 * sj AS cy, oz + 20 * si AS cz FROM (SELECT *, {d.rows(d.span('0', '1'))} AS r FROM geometry) q"""
 
 
