@@ -1,0 +1,28 @@
+"""Affine maps as columns: 16 numbers of a 4 x 4 matrix, row by row."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def apply(matrix: Column, point: Column) -> Column:
+    """A point (array of three) through a matrix (array of sixteen)."""
+    row = lambda r: sum((F.get(matrix, F.lit(4 * r + c)) * F.get(point, F.lit(c)) for c in range(3)), F.get(matrix, F.lit(4 * r + 3)))
+    return F.array(*[row(r) for r in range(3)])
+
+
+def inverse(m: Column) -> Column:
+    """Inverse of an affine matrix by cofactors; null if it is singular."""
+    e = lambda r, c: F.get(m, F.lit(4 * (r % 3) + c % 3))
+    cof = lambda r, c: e(r + 1, c + 1) * e(r + 2, c + 2) - e(r + 1, c + 2) * e(r + 2, c + 1)
+    det = sum((e(0, c) * cof(0, c) for c in range(1, 3)), e(0, 0) * cof(0, 0))
+    lin = [[cof(c, r) / det for c in range(3)] for r in range(3)]
+    move = [-sum((lin[r][c] * F.get(m, F.lit(4 * c + 3)) for c in range(1, 3)), lin[r][0] * F.get(m, F.lit(3))) for r in range(3)]
+    cells = [x for r in range(3) for x in (*lin[r], move[r])] + [F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+    return F.when(F.abs(det) > 1e-12, F.array(*cells))
+
+
+def cross(a: Column, b: Column) -> Column:
+    g = F.get
+    return F.array(*[g(a, F.lit((i + 1) % 3)) * g(b, F.lit((i + 2) % 3)) - g(a, F.lit((i + 2) % 3)) * g(b, F.lit((i + 1) % 3)) for i in range(3)])

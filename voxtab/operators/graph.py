@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select("b", "a"))
     low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
@@ -26,6 +37,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     reliable checkpoint; the number of rounds grows with the logarithm of the number of nodes. Edges of a node to
     itself and repeated edges do no harm; edges with a null end are left out.
     """
+    shared_dir(edges.sparkSession)
     loops = edges.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
     now = edges.select("a", "b").filter("a <> b").distinct().checkpoint()
     mark = None

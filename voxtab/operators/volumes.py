@@ -80,7 +80,7 @@ def reslice_plane(d: Dialect) -> str:
     return f"""SELECT w.series_id, kind, r, c, round(sum(weight * value), 6) AS value FROM (SELECT series_id, kind, r, c, cast(floor(fi) AS int) + bi AS i, cast(floor(fj) AS int) + bj AS j, cast(floor(fk) AS int) + bk AS k,
     ({corner('i', 'bi')}) * ({corner('j', 'bj')}) * ({corner('k', 'bk')}) AS weight FROM (
       SELECT *, cast(floor(b / 4) AS int) AS bi, cast(floor(b / 2) AS int) % 2 AS bj, cast(b % 2 AS int) AS bk FROM (SELECT *, {d.rows(d.span('0', '7'))} AS b FROM (
-        SELECT p.series_id, kind, r, c, least(greatest(round((z - oz) / si, 9), 0), depth - 1) AS fi, least(greatest(round((y - oy) / sj, 9), 0), 7) AS fj, least(greatest(round((x - ox) / sk, 9), 0), 7) AS fk
+        SELECT p.series_id, kind, r, c, least(greatest(round((z - oz) / si, 9), 0), depth - 1) AS fi, least(greatest(round((y - oy) / sj, 9), 0), nj - 1) AS fj, least(greatest(round((x - ox) / sk, 9), 0), nk - 1) AS fk
         FROM plane_to_world p JOIN geometry g ON g.series_id = p.series_id) s) t) u) w
 JOIN voxels v ON v.series_id = w.series_id AND v.i = w.i AND v.j = w.j AND v.k = w.k WHERE weight > 0 GROUP BY w.series_id, kind, r, c"""
 

@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxtab.helpers import images
 from voxtab.operators import catalog, pet, pixels, roi, tag_edits, volumes
 from voxtab.plans.statement import DUCKDB, REGISTRY, over_tables, statement
-from voxtab.sources import archives, views
-from voxtab.streaming import log
+from voxtab.sources import archives, dicom, views
+from voxtab.streaming import jobs, log
 
+#: Modules whose operators are registered by being imported.
 MODULES = (catalog, pet, pixels, roi, tag_edits, volumes, archives, views, log)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: over_tables(op) for n, op in REGISTRY.items() if not op.view}
+QUERIES |= images.queries()
+QUERIES |= {
+    "latest_event_per_key": lambda s, d: jobs.latest_event_per_key(over_tables(REGISTRY["requests"])(s, d)),
+    "flatten_tags": lambda s, d: dicom.flatten_tags(over_tables(REGISTRY["qido_records"])(s, d)),
+}
 ORACLE: dict[str, str] = {n: statement(op, DUCKDB)[0] for n, op in REGISTRY.items() if not op.view}
 
 

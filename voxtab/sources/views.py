@@ -62,11 +62,11 @@ def image_series(d: Dialect) -> str:
 
 @view
 def geometry(d: Dialect) -> str:
-    """One row per series: spacing along slices, rows and columns, and the position of the first voxel."""
+    """One row per series: spacing along slices, rows and columns, position of the first voxel, and size."""
     return """SELECT series_id, CASE WHEN label % 2 = 0 THEN cast(2.5 AS double) ELSE cast(3.0 AS double) END AS si,
   CASE WHEN label % 2 = 0 THEN cast(1.0 AS double) ELSE cast(2.0 AS double) END AS sj,
   CASE WHEN label % 2 = 0 THEN cast(0.5 AS double) ELSE cast(2.0 AS double) END AS sk,
-  cast(label AS double) AS ox, cast(0 AS double) AS oy, cast(0 AS double) AS oz, depth, label FROM image_series"""
+  cast(label AS double) AS ox, cast(0 AS double) AS oy, cast(0 AS double) AS oz, depth, 8 AS nj, 8 AS nk, label FROM image_series"""
 
 
 @view
