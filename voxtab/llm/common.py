@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxtab.operators.graph import shared_dir
+
 #: White space of the word rule: space and U+0009 to U+000D. Everything else belongs to words.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared folder, as a URI or path that Spark can write."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
