@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Texts are words (``\\w+`` of the lower-cased text). The document frequency of every n-gram of the benchmark
-is counted over the whole corpus; in each window of WINDOW consecutive n-grams of an item the rarest is a seed (so
-every stretch of an item has one, however often it leaked). Seeds found in a document give passages around them, which
+is counted over the whole corpus; in each window of WINDOW consecutive n-grams of an item the rarest are seeds: those in at
+most SLACK times as many documents as the rarest, and FEW more. So every stretch of an item has seeds, however often it
+leaked, and n-grams that an edited copy still has are seeds beside those that it lost. Seeds found in a document give passages around them, which
 are aligned with the item: match +2, mismatch -1, gap -1 a word. An item counts as leaked when the best alignment
 reaches THRESHOLD of the item's own score, so edited and paraphrased copies count too.
 
@@ -24,6 +25,8 @@ from voxtab.llm.common import table, written
 
 N = 4
 WINDOW = 4
+SLACK = 4
+FEW = 10
 THRESHOLD = 0.5
 #: Shortest item (in words) that can be told from chance; shorter ones must match whole.
 SHORT = 8
@@ -106,13 +109,16 @@ def frequencies(docs: DataFrame, items: Items) -> dict[int, int]:
 
 
 def seeds(items: Items, df: dict[int, int]) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
-    """Sorted seed hashes, and the (item, position) places of each: the rarest n-gram of every window."""
+    """Sorted seed hashes, and the (item, position) places of each: the rarest n-grams of every window."""
     g, item, at = items.grams()
     places: dict[int, list[tuple[int, int]]] = {}
     begin = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(g) else []
     for b, e in zip(begin, [*begin[1:], len(g)], strict=False):
-        rank = [(df.get(int(x), 0), i) for i, x in enumerate(g[b:e])]
-        chosen = {min(rank[i : i + WINDOW])[1] for i in range(max(1, len(rank) - WINDOW + 1))}
+        n = [df.get(int(x), 0) for x in g[b:e]]
+        chosen = set()
+        for i in range(max(1, len(n) - WINDOW + 1)):
+            most = SLACK * min(n[i : i + WINDOW]) + FEW
+            chosen |= {j for j in range(i, min(i + WINDOW, len(n))) if n[j] <= most}
         for i in sorted(chosen):
             places.setdefault(int(g[b + i]), []).append((int(item[b]), int(at[b + i])))
     return np.array(sorted(places), dtype=np.uint64), places

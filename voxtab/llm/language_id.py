@@ -161,7 +161,7 @@ def identify(docs: DataFrame, names: list[str], weights: dict[str, np.ndarray])
         for batch in batches:
             if not batch.num_rows:
                 continue
-            prob = pooled(weights, *buffers(batch.column(3)))
+            prob = pooled(weights, *buffers(batch.column(3))).round(9)
             known = batch.column(2).to_numpy(zero_copy_only=False) & bool(names)
             best = prob.argmax(axis=1)
             pred = pa.array([names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], pa.string())
