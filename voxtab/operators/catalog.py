@@ -92,7 +92,7 @@ FROM (SELECT *, coalesce({description}, {folder}, {file}) AS phase FROM (
 @operator
 def dedupe_instances(d: Dialect) -> str:
     """Within a series the first file by path of each SOP uid."""
-    return """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, object_type, series_key, coalesce(sop_uid, path) ORDER BY path) AS copy_no
+    return """SELECT * FROM (SELECT *, cast(row_number() OVER (PARTITION BY workspace_id, object_type, series_key, coalesce(sop_uid, path) ORDER BY path) AS bigint) AS copy_no
 FROM keyed_headers) q WHERE copy_no = 1 AND object_type = 'IMAGE'"""
 
 
@@ -100,10 +100,11 @@ FROM keyed_headers) q WHERE copy_no = 1 AND object_type = 'IMAGE'"""
 def instance_numbers(d: Dialect) -> str:
     """Instance number: the text's number, else the place in path order; and the 0-based slice index in number order."""
     return """SELECT *, cast(row_number() OVER (PARTITION BY workspace_id, series_key ORDER BY instance_number, path_place) - 1 AS bigint) AS slice_index
-FROM (SELECT *, CASE WHEN abs(try_cast(trim(instance_number_text) AS double)) < 1e15 THEN cast(trunc_ AS bigint) ELSE path_place END AS instance_number FROM (
+FROM (SELECT *, coalesce(number_, path_place) AS instance_number FROM (
   SELECT workspace_id, series_key, path, sop_uid, rows_, columns_, instance_number_text, position_z, number_of_frames, photometric, transfer_syntax_uid, modality,
     pixel_spacing, has_position, has_rescale_slope, study_uid, series_uid, series_description, phase,
-    CASE WHEN try_cast(trim(instance_number_text) AS double) < 0 THEN ceil(try_cast(trim(instance_number_text) AS double)) ELSE floor(try_cast(trim(instance_number_text) AS double)) END AS trunc_,
+    CASE WHEN abs(try_cast(trim(instance_number_text) AS double)) < 1e15 THEN cast(CASE WHEN try_cast(trim(instance_number_text) AS double) < 0
+      THEN ceil(try_cast(trim(instance_number_text) AS double)) ELSE floor(try_cast(trim(instance_number_text) AS double)) END AS bigint) END AS number_,
     cast(row_number() OVER (PARTITION BY workspace_id, series_key ORDER BY path) AS bigint) AS path_place FROM dedupe_instances) p) q"""
 
 

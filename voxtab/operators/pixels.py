@@ -112,7 +112,7 @@ def colour_stops(d: Dialect) -> str:
     return f"SELECT preset, cast(a AS double) AS a, cast(b AS double) AS b, r0, g0, b0, r1, g1, b1 FROM (VALUES {', '.join(rows)}) v(preset, a, b, r0, g0, b0, r1, g1, b1)"
 
 
-@operator
+@view
 def colour_table(d: Dialect) -> str:
     """256 colours of each preset, linear between stops, truncated."""
     mix = lambda c: f"cast(floor({c}0 + ({c}1 - {c}0) * (gray - a) / (b - a) + 1e-9) AS int) AS {c if c != 'b' else 'b_'}"

@@ -138,10 +138,10 @@ LEFT JOIN voxels v ON v.series_id = p.series_id AND v.i = p.slice_index AND v.j
 
 @operator
 def drawings_on_slice(d: Dialect) -> str:
-    """Drawings that each slice shows: those of the whole series, and those of the slice itself."""
-    return """SELECT s.series_id, s.i, count(*) AS drawings, count(CASE WHEN scope = 'series' THEN 1 END) AS of_series FROM (
-  SELECT series_id, i, measurement_id, scope FROM slices JOIN measurements USING (series_id) WHERE scope = 'series' AND measurement_id LIKE '%0'
-  UNION ALL SELECT s.series_id, s.i, measurement_id, scope FROM slices s JOIN measurements m ON m.series_id = s.series_id AND m.slice_index = s.i AND scope = 'image' WHERE measurement_id LIKE '%0') s GROUP BY s.series_id, s.i"""
+    """Number of drawings that each slice shows: those of the whole series, and those of the slice itself, each counted before the join."""
+    return """SELECT s.series_id, s.i, coalesce(n_series, 0) + coalesce(n_image, 0) AS drawings, coalesce(n_series, 0) AS of_series FROM slices s
+LEFT JOIN (SELECT series_id, count(*) AS n_series FROM measurements WHERE scope = 'series' GROUP BY series_id) a ON a.series_id = s.series_id
+LEFT JOIN (SELECT series_id, slice_index, count(*) AS n_image FROM measurements WHERE scope = 'image' GROUP BY series_id, slice_index) b ON b.series_id = s.series_id AND b.slice_index = s.i"""
 
 
 @operator
