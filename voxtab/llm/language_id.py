@@ -181,8 +181,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that have no language (no letter) or whose pooled probability is below LEAST_SCORE."""
+    """docs without those that have no language (no letter) or whose pooled probability is below LEAST_SCORE.
+
+    Rows are told apart by doc_id and text, so a null or repeated doc_id takes no other row with it.
+    """
     names, weights = learn(_learnable(docs))
-    found = identify(docs.select("doc_id", "text"), names, weights)
+    key = F.xxhash64(docs["doc_id"], docs["text"])
+    found = identify(docs.select(key.alias("doc_id"), "text"), names, weights)
     bad = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    return docs.join(bad, key == bad["__bad"], "left_anti")

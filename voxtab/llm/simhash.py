@@ -36,7 +36,7 @@ STAGE_LIKENESS = 0.8
 #: Fingerprints that the planner looks at (a bounded sample; it only steers costs, never results).
 SAMPLE = 20_000
 #: Members of a key beyond which the key is split into pairs of blocks of about this size.
-HEAVY = 4096
+HEAVY = 2048
 #: Groups up to this size are compared row by row offset, larger ones by blocks.
 SMALL = 32
 
@@ -169,11 +169,11 @@ def _forest(node: np.ndarray, fp: np.ndarray, index: np.ndarray, radius: int) ->
         dist = d[i, j]
         for r in range(radius + 1):
             at = dist == r
-            found[r].append(np.stack([i[at] + lo, j[at]]))
+            found[r].append(np.stack([i[at] + lo, j[at]]).astype(np.int32))
     label = np.arange(n)
     links = []
     for level in found:
-        pairs = np.concatenate(level, axis=1) if level else np.zeros((2, 0), dtype=np.int64)
+        pairs = np.concatenate(level, axis=1) if level else np.zeros((2, 0), dtype=np.int32)
         while True:
             a, b = label[pairs[0]], label[pairs[1]]
             keep = a != b
@@ -302,17 +302,19 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts link if their word fingerprints are within STAGE_RADIUS bits and the Jaccard likeness of their 5-word
     shingles is 0.8 or more; equal texts always do. Of rows that repeat a doc_id within a group one stays. Rows of null or
-    empty text are copies of each other.
+    empty text are copies of each other. A null doc_id counts as the hash of its text.
     """
     shared_dir(spark)
     text = F.coalesce(docs["text"], F.lit(""))
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("__text"))
+    node = F.xxhash64(text)
+    key = F.coalesce(docs["doc_id"].cast("bigint"), node)
+    source = docs.select(key.alias("doc_id"), node.alias("node"), text.cast("binary").alias("__text"))
     fps = written(fingerprints(source, word_hashes, ["doc_id", "node"], "doc_id bigint, node bigint"), "dedup")
     firsts = written(fps.groupBy("node", "fp").agg(F.min("doc_id").alias("first")), "dedup-distinct")
     pairs = written(links(firsts.select("node", "fp"), STAGE_RADIUS), "dedup-links")
     linked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     heads = firsts.join(linked, "node", "left_semi").select("node", F.col("first").alias("doc_id"))
-    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("t"))
+    known = docs.select(key.alias("doc_id"), node.alias("node"), text.alias("t"))
     sets = known.join(heads, ["node", "doc_id"], "left_semi").groupBy("node").agg(F.first("t").alias("t"))
     sets = written(_shingle_sets(sets, STAGE_SHINGLE), "dedup-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
@@ -321,5 +323,5 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nodes = components(alike)
     groups = firsts.join(nodes, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("doc_id"))
     stay = groups.select(F.col("doc_id").alias("__stay"))
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["__stay"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    kept = docs.withColumn("__key", key).join(stay, F.col("__key") == F.col("__stay"), "left_semi")
+    return kept.dropDuplicates(["__key"]).drop("__key")
