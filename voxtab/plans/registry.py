@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from voxtab.helpers import images
-from voxtab.operators import catalog, pet, pixels, roi, tag_edits, volumes
+from voxtab.operators import catalog, graph, pet, pixels, roi, tag_edits, volumes
 from voxtab.plans.statement import DUCKDB, REGISTRY, over_tables, statement
 from voxtab.sources import archives, dicom, views
 from voxtab.streaming import jobs, log
@@ -20,8 +21,43 @@ QUERIES |= {
     "latest_event_per_key": lambda s, d: jobs.latest_event_per_key(over_tables(REGISTRY["requests"])(s, d)),
     "flatten_tags": lambda s, d: dicom.flatten_tags(over_tables(REGISTRY["qido_records"])(s, d)),
 }
+
+
+def _table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return over_tables(REGISTRY[name])(spark, sf_dir)
+
+
+def _read_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = dicom.read_headers(dicom.header_files(_table("headers", spark, sf_dir)))
+    return got.select("path", "sop_uid", "series_uid", "study_uid", "modality", "series_description", "photometric", "rows_", "columns_")
+
+
+def _write_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.write_catalog(_table("group_series", spark, sf_dir), f"{graph.shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
+
+
+def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of lineitem as a stream into the shared folder; series ids are hashes, so batches agree."""
+    folder = f"{graph.shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    jobs.stream_ingest(spark.readStream.schema(schema).parquet(f"{sf_dir}/[l]ineitem.parquet"), f"{folder}/series", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/series").select("workspace_id", "series_key", "series_id").distinct()
+
+
+QUERIES |= {
+    "read_headers": _read_headers,
+    "decode_slices": lambda s, d: dicom.decode_slices(dicom.slice_files(_table("slices", s, d))).selectExpr("path", "rows_", "columns_", "cast(pixels[0] as double) as first_pixel", "aggregate(pixels, 0D, (a, x) -> a + x) as total"),
+    "write_catalog": _write_catalog,
+    "stream_ingest": _stream_ingest,
+}
 ORACLE: dict[str, str] = {n: statement(op, DUCKDB)[0] for n, op in REGISTRY.items() if not op.view}
 
+ORACLE["write_catalog"] = ORACLE["group_series"]
+ORACLE["stream_ingest"] = f"SELECT DISTINCT workspace_id, series_key, series_id FROM ({ORACLE['group_series']}) g"
+ORACLE["read_headers"] = f"""SELECT path, sop_uid, series_uid, study_uid, modality, series_description, photometric, cast(coalesce(rows_, 0) AS bigint) AS rows_, cast(columns_ AS bigint) AS columns_
+FROM ({REGISTRY["headers"].build(DUCKDB)}) h"""
+ORACLE["decode_slices"] = f"""SELECT '/data/' || series_id || '/' || i AS path, 8 AS rows_, 8 AS columns_, pixels[1] AS first_pixel, list_sum(pixels) AS total FROM ({REGISTRY["slices"].build(DUCKDB)}) s"""
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image series with their number of compatibility issues."""

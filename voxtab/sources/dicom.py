@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 LONG_VRS = (b"OB", b"OW", b"OF", b"SQ", b"UT", b"UN", b"OD", b"OL", b"UC", b"UR")
 #: Header fields by tag; fixed values.
@@ -76,8 +77,7 @@ def read_headers(files: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [{"path": p} | h for p, c in zip(frame["path"], frame["content"], strict=True) if (h := header(bytes(c)))]
-            out = pd.DataFrame(rows, columns=["path", *COLUMNS, *NUMBERS.values()])
-            yield out.astype({n: "Int64" for n in NUMBERS.values()})
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in ("path", *COLUMNS, *NUMBERS.values())})
 
     schema = "path string, " + ", ".join(f"{c} string" for c in COLUMNS) + ", " + ", ".join(f"{n} bigint" for n in NUMBERS.values())
     return files.select("path", "content").mapInPandas(run, schema)
@@ -133,3 +133,40 @@ def flatten_tags(records: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["record_no", "tag_path", "tag", "vr", "value", "depth", "ord"])
 
     return records.select("record_no", "record").mapInPandas(run, "record_no bigint, tag_path string, tag string, vr string, value string, depth int, ord int")
+
+
+def _element(tag: str, vr: str, value: Column) -> Column:
+    """One explicit-VR element as bytes: tag as little-endian hex digits, VR, two length bytes, value of even length."""
+    even = F.when(F.length(value) % 2 == 1, F.concat(value, F.unhex(F.lit("20")))).otherwise(value)
+    n = F.length(even)
+    low, high = F.lpad(F.hex(n % 256), 2, "0"), F.lpad(F.hex(F.floor(n / 256)), 2, "0")
+    return F.concat(F.unhex(F.lit(tag)), F.lit(vr).cast("binary"), F.unhex(F.concat(low, high)), even)
+
+
+def _short(value: Column) -> Column:
+    return F.unhex(F.concat(F.lpad(F.hex(value % 256), 2, "0"), F.lpad(F.hex(F.floor(value / 256)), 2, "0")))
+
+
+#: Explicit VR little endian; a fixed value.
+PLAIN = "1.2.840.10008.1.2.1"
+
+
+def header_files(headers: DataFrame) -> DataFrame:
+    """Headers (path and fields) as files (path, content): what a scanner would have written, without pixels."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).cast("binary")
+    parts = [F.unhex(F.lit("00" * 128 + "4449434D")), _element("02001000", "UI", F.lit(PLAIN).cast("binary"))]
+    parts += [_element(t, v, text(c)) for t, v, c in (("08001800", "UI", "sop_uid"), ("08006000", "CS", "modality"), ("08003E10", "LO", "series_description"), ("20000D00", "UI", "study_uid"), ("20000E00", "UI", "series_uid"), ("20001300", "IS", "instance_number_text"), ("28000400", "CS", "photometric"))]
+    parts += [_element(t, "US", _short(F.coalesce(F.col(c), F.lit(0)))) for t, c in (("28001000", "rows_"), ("28001100", "columns_"))]
+    return headers.select("path", F.concat(*parts).alias("content"))
+
+
+def slice_files(slices: DataFrame) -> DataFrame:
+    """Square slices (series_id, i, pixels) as files (path, content) of signed 16-bit pixels."""
+    word = lambda v: F.pmod(v.cast("int"), F.lit(65536))
+    pair = lambda v: F.concat(F.lpad(F.hex(word(v) % 256), 2, "0"), F.lpad(F.hex(F.floor(word(v) / 256)), 2, "0"))
+    side = F.sqrt(F.size("pixels")).cast("int")
+    raw = F.unhex(F.array_join(F.transform("pixels", pair), ""))
+    parts = [F.unhex(F.lit("00" * 128 + "4449434D")), _element("02001000", "UI", F.lit(PLAIN).cast("binary")), _element("28000400", "CS", F.lit("MONOCHROME2").cast("binary")), _element("28001000", "US", _short(side)), _element("28001100", "US", _short(side)),
+             _element("28000001", "US", _short(F.lit(16))), _element("28000301", "US", _short(F.lit(1)))]
+    size = F.concat(F.unhex(F.lit("E07F10004F570000")), _short(2 * F.size("pixels")), F.unhex(F.lit("0000")), raw)
+    return slices.select(F.concat(F.lit("/data/"), "series_id", F.lit("/"), F.col("i").cast("string")).alias("path"), F.concat(*parts, size).alias("content"))
