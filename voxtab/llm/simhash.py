@@ -157,13 +157,14 @@ def plan(fps: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int]]:
 # Probing
 
 
-def _forest(node: np.ndarray, fp: np.ndarray, index: np.ndarray, radius: int) -> list[np.ndarray]:
+def _forest(node: np.ndarray, fp: np.ndarray, index: np.ndarray, bit: np.ndarray, radius: int) -> list[np.ndarray]:
     """Spanning forest of the pairs within the radius, smallest distances first, of one group."""
     n = len(node)
     found: list[list[np.ndarray]] = [[] for _ in range(radius + 1)]
     for lo in range(0, n, 512):
         d = np.bitwise_count((fp[lo : lo + 512, None] ^ fp[None, :]).view(np.uint64))
-        i, j = np.nonzero((d <= radius) & (index[lo : lo + 512, None] | index[None, :]))
+        meet = (index[lo : lo + 512, None] | index[None, :]) & ((bit[lo : lo + 512, None] != bit[None, :]) | (bit[None, :] < 0))
+        i, j = np.nonzero((d <= radius) & meet)
         keep = i + lo < j
         i, j = i[keep], j[keep]
         dist = d[i, j]
@@ -194,20 +195,20 @@ def _forest(node: np.ndarray, fp: np.ndarray, index: np.ndarray, radius: int) ->
     return links
 
 
-def links_of_groups(g: np.ndarray, node: np.ndarray, fp: np.ndarray, index: np.ndarray, radius: int) -> list[np.ndarray]:
-    """Links of sorted groups of rows."""
+def links_of_groups(g: np.ndarray, node: np.ndarray, fp: np.ndarray, index: np.ndarray, bit: np.ndarray, radius: int) -> list[np.ndarray]:
+    """Links of sorted groups of rows. Rows that both flipped the same bit agree without it and meet under another key."""
     begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
     size = np.diff(np.r_[begin, len(g)])
-    links = [x for b, s in zip(begin[size > SMALL], size[size > SMALL], strict=True) for x in _forest(node[b : b + s], fp[b : b + s], index[b : b + s], radius)]
+    links = [x for b, s in zip(begin[size > SMALL], size[size > SMALL], strict=True) for x in _forest(node[b : b + s], fp[b : b + s], index[b : b + s], bit[b : b + s], radius)]
     small = np.repeat(size <= SMALL, size)
-    g, node, fp, index = g[small], node[small], fp[small], index[small]
+    g, node, fp, index, bit = g[small], node[small], fp[small], index[small], bit[small]
     for step in range(1, SMALL):
         same = g[step:] == g[:-step]
         if not same.any():
             break
         i = np.flatnonzero(same)
         near = np.bitwise_count((fp[i] ^ fp[i + step]).view(np.uint64)) <= radius
-        i = i[near & (index[i] | index[i + step])]
+        i = i[near & (index[i] | index[i + step]) & ((bit[i] != bit[i + step]) | (bit[i] < 0))]
         links.append(np.stack([node[i], node[i + step]]))
     return links
 
@@ -224,9 +225,9 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     rows = []
     for p, (bits, t) in enumerate(parts):
         key = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
-        rows.append(F.struct(F.lit(p).alias("p"), key.alias("k"), F.lit(True).alias("index")))
+        rows.append(F.struct(F.lit(p).alias("p"), key.alias("k"), F.lit(True).alias("index"), F.lit(-1).alias("bit")))
         if t >= 1:
-            rows += [F.struct(F.lit(p).alias("p"), key.bitwiseXOR(F.lit(_mask([b]))).alias("k"), F.lit(t == 2).alias("index")) for b in bits]
+            rows += [F.struct(F.lit(p).alias("p"), key.bitwiseXOR(F.lit(_mask([b]))).alias("k"), F.lit(t == 2).alias("index"), F.lit(b).alias("bit")) for b in bits]
     probes = nodes.select("node", "fp", F.explode(F.array(*rows)).alias("r")).select("node", "fp", "r.*")
     exact = [F.struct(F.lit(p).alias("p"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("k")) for p, (bits, _) in enumerate(parts)]
     heavy = nodes.select(F.explode(F.array(*exact)).alias("r")).groupBy("r.p", "r.k").count().filter(F.col("count") > HEAVY)
@@ -237,7 +238,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
         own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
         probes = probes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("own", own)
         group = F.xxhash64("p", "k", F.least("own", "other"), F.greatest("own", "other"))
-    probes = probes.select(group.alias("g"), "node", "fp", "index").repartition("g").sortWithinPartitions("g")
+    probes = probes.select(group.alias("g"), "node", "fp", "index", "bit").repartition("g").sortWithinPartitions("g")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
@@ -253,7 +254,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
 
     def found(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if len(frame) > 1:
-            got = links_of_groups(*(frame[c].to_numpy() for c in ("g", "node", "fp", "index")), radius)
+            got = links_of_groups(*(frame[c].to_numpy() for c in ("g", "node", "fp", "index", "bit")), radius)
             if got:
                 a, b = np.concatenate(got, axis=1)
                 yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).query("a != b").drop_duplicates()
