@@ -109,7 +109,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
         return p | {"c": np.array([40.0 if counts.get(1) else -40.0 if counts.get(0) else 0.0], dtype=np.float32)}
     take = F.when(F.col("quality") == 0, int(min(1.0, DOCS_PER_LABEL / counts[0]) * 1_000_000) + 1).otherwise(int(min(1.0, DOCS_PER_LABEL / counts[1]) * 1_000_000) + 1)
     marks = marks.filter(F.pmod(F.xxhash64("__id", F.lit(2)), F.lit(1_000_000)) < take)
-    rows = docs.filter("text is not null").join(marks, docs["doc_id"] == marks["__id"])
+    # About 2 * DOCS_PER_LABEL rows of 12 bytes at any size of the tables, so the texts need no shuffle.
+    rows = docs.filter("text is not null").join(F.broadcast(marks), docs["doc_id"] == marks["__id"])
     room = F.greatest(F.length("text") - CHUNK, F.lit(0))
     windows = F.array(*[F.encode(F.substring("text", (F.floor(room * k / (WINDOWS - 1)) + 1).cast("int"), F.lit(CHUNK)), "UTF-8") for k in range(WINDOWS)])
     got = rows.select("quality", F.array_distinct(windows).alias("x")).toPandas()
@@ -133,7 +134,7 @@ def score(docs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                s = probability(weights, *buffers(batch.column(2)))
+                s = probability(weights, *buffers(batch.column(2))).round(9)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
