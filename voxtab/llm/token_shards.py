@@ -1,8 +1,8 @@
 """Token ids as raw binary shards with a minimal perfect hash index.
 
 A shard is three files in one folder. ``NAME.bin``: the ids of its documents one after the other, little-endian unsigned
-32-bit integers, nothing else. ``NAME.key``: the keys in order (doc_id long, occurrence int: rows that repeat a doc_id
-are 0, 1, ...). ``NAME.idx``: the index: number of keys n and of buckets b (two longs), b displacements (int), then n
+integers of 16 bits if the vocabulary has no larger ids, else of 32, nothing else. ``NAME.key``: the keys in order (doc_id long, occurrence int: rows that repeat a doc_id
+are 0, 1, ...). ``NAME.idx``: the index: number of keys n, of buckets b and of bytes of an id (three longs), b displacements (int), then n
 slots (fingerprint unsigned long, offset long, length long; offset and length in ids).
 
 A key is hashed to a bucket; the bucket's displacement d >= 0 seeds the hash that gives the key's slot, d < 0 names slot
@@ -14,6 +14,7 @@ and one slot, compares the fingerprint, and reads the ids at the offset: constan
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,14 +29,16 @@ from pyspark.sql import functions as F
 from voxtab.llm.common import new_folder, table, written
 
 END_ID = 1
-#: A task closes a shard after this many ids (16 MB) and begins another.
+#: A task closes a shard after this many ids (8 or 16 MB) and begins another.
 SHARD_IDS = 4_000_000
 #: Words whose ids a Python worker remembers; beyond it forgets all and starts again.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
 #: A displacement that no bucket reaches: its hash is the stored fingerprint.
 FINGERPRINT = 2**31 - 2
 KEY = np.dtype([("doc_id", "<i8"), ("seen", "<i4")])
 SLOT = np.dtype([("fp", "<u8"), ("offset", "<i8"), ("length", "<i8")])
+#: A piece that is lower-case Latin-1 letters and ASCII symbols after them.
+ENDED = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 _CACHE: dict[str, dict[str, bytes]] = {}
 _TOKENIZERS: dict[str, object] = {}
 
@@ -43,40 +46,69 @@ _TOKENIZERS: dict[str, object] = {}
 # Encoding
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """Ids of whole texts as little-endian unsigned 32-bit integers, without special tokens.
-
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its pieces between spaces
-    and line ends; each different piece goes through the tokenizer once.
-    """
+def _tokenizer(path: str):  # noqa: ANN202
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = Tokenizer.from_file(path)
-    cache = _CACHE.setdefault(path, {})
+    return _TOKENIZERS[path]
+
+
+def id_bytes(path: str, end_id: int = END_ID) -> int:
+    """2 if all ids of the tokenizer and the end id fit 16 bits, else 4."""
+    return 2 if max(_tokenizer(path).get_vocab_size(with_added_tokens=True) - 1, end_id) < 2**16 else 4
+
+
+def _pieces(text: str) -> list[str]:
+    """Pieces that the tokenizer never joins ids across: the text between spaces and line ends.
+
+    The tokenizer lower-cases; doing so first leaves fewer different pieces. Only Latin-1 texts without the marks of special
+    tokens, where it is exact.
+    """
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+    return text.replace("\n", " ").split(" ")
+
+
+def encode(texts: list[str], path: str, width: int = 4) -> list[bytes]:
+    """Ids of whole texts as little-endian unsigned integers of ``width`` bytes, without special tokens.
+
+    The tokenizer drops white space, so a text's ids are those of its pieces; each different piece goes through it once.
+    """
+    cache = _CACHE.setdefault(f"{path}:{width}", {})
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    out = []
-    for text in texts:
-        pieces = text.replace("\n", " ").split(" ")
-        new = [p for p in dict.fromkeys(pieces) if p not in cache]
-        if new:
-            _learn(new, _TOKENIZERS[path], cache)
-        out.append(b"".join(map(cache.__getitem__, pieces)))
-    return out
-
-
-def _learn(pieces: list[str], tokenizer, cache: dict[str, bytes]) -> None:  # noqa: ANN001
-    blocks = [pieces[i : i + 1000] for i in range(0, len(pieces), 1000)]
-    for block, got in zip(blocks, tokenizer.encode_batch([" ".join(b) for b in blocks], add_special_tokens=False), strict=True):
-        ids = np.array(got.ids, dtype="<u4")
-        starts = np.cumsum([0] + [len(p) + 1 for p in block])
-        at = np.array([a for a, _ in got.offsets], dtype=np.int64)
-        cuts = np.searchsorted(at, starts)
-        raw = ids.tobytes()
-        for p, a, b in zip(block, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            cache[p] = raw[4 * a : 4 * b]
+    split = [_pieces(t) for t in texts]
+    new = {p for p in set().union(*split) if p not in cache}
+    if new:
+        _learn(new, _tokenizer(path), cache, width)
+    return [b"".join(map(cache.__getitem__, p)) for p in split]
+
+
+def _learn(pieces: set[str], tokenizer, cache: dict[str, bytes], width: int) -> None:  # noqa: ANN001
+    """Ids of new pieces; a word and the symbols at its end are tokens apart, so the word may be known already."""
+    parts = {p: m.groups() for p in pieces if (m := ENDED.fullmatch(p))}
+    todo = {p for p in {x for w in parts.values() for x in w}.union(p for p in pieces if p not in parts) if p not in cache}
+    plain = [p for p in todo if p.isascii() or max(p) < "\u0100"]
+    for words, apart in ((plain, False), (list(todo.difference(plain)), True)):  # marks could join the space before them
+        blocks = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        batch = blocks if apart else [" ".join(b) for b in blocks]
+        for block, got in zip(blocks, tokenizer.encode_batch(batch, is_pretokenized=apart, add_special_tokens=False), strict=True):
+            raw = np.array(got.ids, dtype=f"<u{width}").tobytes()
+            if apart:
+                starts, at = np.arange(len(block) + 1), np.array(got.word_ids, dtype=np.int64)
+            else:
+                starts, at = np.cumsum([0] + [len(p) + 1 for p in block]), np.array([a for a, _ in got.offsets], dtype=np.int64)
+            cuts = (np.searchsorted(at, starts) * width).tolist()
+            for p, a, b in zip(block, cuts, cuts[1:], strict=False):
+                cache[p] = raw[a:b]
+    for p, (word, end) in parts.items():
+        cache[p] = cache[word] + cache[end]
 
 
 # The index
@@ -89,16 +121,16 @@ def _hashes(keys: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     return raw, np.array([xxh64_intdigest(k, 1) for k in raw], dtype=np.uint64)
 
 
-def _mixed(h: np.ndarray, d: int) -> np.ndarray:
+def _mixed(h: np.ndarray, d: int | np.ndarray) -> np.ndarray:
     """Another hash of hashes for each displacement (the finalizer of a 64-bit mixer)."""
     with np.errstate(over="ignore"):
-        x = h + np.uint64(d + 1) * np.uint64(0x9E3779B97F4A7C15)
+        x = h + (np.asarray(d, dtype=np.int64) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
 
-def build_index(keys: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> bytes:
+def build_index(keys: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, width: int) -> bytes:
     """Index file of a shard's keys (all different)."""
     n = len(keys)
     b = max(1, n // 3)
@@ -129,27 +161,46 @@ def build_index(keys: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> b
         place[own] = spots
     slots = np.zeros(n, dtype=SLOT)
     slots["fp"][place], slots["offset"][place], slots["length"][place] = _mixed(h, FINGERPRINT), offsets, lengths
-    return struct.pack("<qq", n, b) + shift.tobytes() + slots.tobytes()
+    return struct.pack("<qqq", n, b, width) + shift.tobytes() + slots.tobytes()
 
 
-def find(file, key: tuple[int, int]) -> tuple[int, int] | None:  # noqa: ANN001
-    """(offset, length) of a key in an open index file, None if it has no such key."""
+def find(file, key: tuple[int, int]) -> tuple[int, int, int] | None:  # noqa: ANN001
+    """(offset, length, bytes of an id) of a key in an open index file, None if it has no such key."""
     _, h = _hashes(np.array([key], dtype=KEY))
     file.seek(0)
-    n, b = struct.unpack("<qq", file.read(16))
+    n, b, width = struct.unpack("<qqq", file.read(24))
     if not n:
         return None
-    file.seek(16 + 4 * int(h[0] % np.uint64(b)))
+    file.seek(24 + 4 * int(h[0] % np.uint64(b)))
     (d,) = struct.unpack("<i", file.read(4))
     spot = -1 - d if d < 0 else int(_mixed(h, d)[0] % np.uint64(n))
-    file.seek(16 + 4 * b + SLOT.itemsize * spot)
+    file.seek(24 + 4 * b + SLOT.itemsize * spot)
     slot = np.frombuffer(file.read(SLOT.itemsize), dtype=SLOT)[0]
-    return (int(slot["offset"]), int(slot["length"])) if slot["fp"] == _mixed(h, FINGERPRINT)[0] else None
+    return (int(slot["offset"]), int(slot["length"]), width) if slot["fp"] == _mixed(h, FINGERPRINT)[0] else None
+
+
+def find_all(data: bytes, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """offsets, lengths and bytes of an id of many keys, all of which the index has."""
+    n, b, width = struct.unpack_from("<qqq", data)
+    _, h = _hashes(keys)
+    shift = np.frombuffer(data, dtype="<i4", count=b, offset=24)[(h % np.uint64(b)).astype(np.int64)].astype(np.int64)
+    spot = np.where(shift < 0, -1 - shift, (_mixed(h, np.maximum(shift, 0)) % np.uint64(max(n, 1))).astype(np.int64))
+    slots = np.frombuffer(data, dtype=SLOT, count=n, offset=24 + 4 * b)[spot]
+    if (slots["fp"] != _mixed(h, FINGERPRINT)).any():
+        raise KeyError("a key is not in the index")
+    return slots["offset"], slots["length"], width
 
 
 # Writing and reading
 
 
+def _ids(payload, at: tuple[int, int, int]) -> np.ndarray:  # noqa: ANN001
+    """The ids at a place of an open payload."""
+    offset, length, width = at
+    payload.seek(width * offset)
+    return np.frombuffer(payload.read(width * length), dtype=f"<u{width}").astype("<u4")
+
+
 def _open(folder: str):  # noqa: ANN202
     from pyarrow import fs
 
@@ -176,6 +227,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
     follow each other by text and have keys of their own. An empty table writes no shard.
     """
 
+    width = id_bytes(path, end_id)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, last, seen = TaskContext.get().partitionId(), 0, None, 0
         keys: list[tuple[int, int]] = []
@@ -185,25 +238,25 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
         def close() -> pa.RecordBatch:
             nonlocal keys, data, held, shard
             name = f"{part:06d}-{shard:04d}"
-            lengths = np.array([len(x) // 4 for x in data], dtype=np.int64)
+            lengths = np.array([len(x) // width for x in data], dtype=np.int64)
             k = np.array(keys, dtype=KEY)
             _put(folder, f"{name}.bin", b"".join(data))
             _put(folder, f"{name}.key", k.tobytes())
-            _put(folder, f"{name}.idx", build_index(k, np.cumsum(lengths) - lengths, lengths))
+            _put(folder, f"{name}.idx", build_index(k, np.cumsum(lengths) - lengths, lengths, width))
             row = [name, keys[0][0], keys[-1][0], len(keys), held]
             keys, data, held, shard = [], [], 0, shard + 1
             return pa.RecordBatch.from_arrays([pa.array([row[0]]), *[pa.array([x], pa.int64()) for x in row[1:]]], names=["name", "first_id", "last_id", "docs", "ids"])
 
-        end = struct.pack("<I", end_id)
+        end = end_id.to_bytes(width, "little")
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for lo in range(0, len(ids), 256):
-                for doc_id, raw in zip(ids[lo : lo + 256], encode(batch.column(1).slice(lo, 256).to_pylist(), path), strict=True):
+                for doc_id, raw in zip(ids[lo : lo + 256], encode(batch.column(1).slice(lo, 256).to_pylist(), path, width), strict=True):
                     seen = seen + 1 if doc_id == last else 0
                     last = doc_id
                     keys.append((doc_id, seen))
                     data.append(raw + end)
-                    held += len(raw) // 4 + 1
+                    held += len(raw) // width + 1
                     if held >= SHARD_IDS:
                         yield close()
         if keys:
@@ -215,7 +268,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
     before = F.sum("ids").over(Window.orderBy("first_id", "name").rowsBetween(Window.unboundedPreceding, -1))
     shards = shards.withColumn("before", F.coalesce(before, F.lit(0)))
     shards.write.parquet(f"{folder}/manifest")
-    return docs.sparkSession.read.parquet(f"{folder}/manifest")
+    return docs.sparkSession.read.schema(shards.schema).parquet(f"{folder}/manifest")
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
@@ -227,17 +280,15 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 store, path = _open(folder)
                 with store.open_input_file(f"{path}/{shard.name}.key") as f:
                     keys = np.frombuffer(f.read(), dtype=KEY)
-                rows = []
                 with store.open_input_file(f"{path}/{shard.name}.idx") as f:
-                    index = pa.BufferReader(f.read())
-                with store.open_input_file(f"{path}/{shard.name}.bin") as payload:
-                    for doc_id, seen in keys.tolist():
-                        offset, length = find(index, (doc_id, seen))
-                        payload.seek(4 * offset)
-                        rows.append((doc_id, shard.before + offset, length, zlib.crc32(payload.read(4 * length))))
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    out = manifest.repartition("name").mapInPandas(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+                    offsets, lengths, width = find_all(f.read(), keys)
+                with store.open_input_file(f"{path}/{shard.name}.bin") as f:
+                    ids = np.frombuffer(f.read(), dtype=f"<u{width}").astype("<u4")
+                crc = [zlib.crc32(ids[o : o + n]) for o, n in zip(offsets.tolist(), lengths.tolist(), strict=True)]
+                yield pd.DataFrame({"doc_id": keys["doc_id"], "start": shard.before + offsets, "n_tokens": lengths, "ids_crc32": crc})
+
+    # One task a shard (up to a thousand): the manifest itself is small and would else be read by one task.
+    out = manifest.repartition(max(1, min(1000, manifest.count()))).mapInPandas(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
 
 
@@ -258,8 +309,7 @@ def lookup(keys: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
                         for i, doc_id in enumerate(own["doc_id"].tolist()):
                             at = find(index, (doc_id, 0))
                             if at:
-                                payload.seek(4 * at[0])
-                                got[i] = np.frombuffer(payload.read(4 * at[1]), dtype="<u4").tolist()
+                                got[i] = _ids(payload, at).tolist()
                 yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "ids": got})
 
     return ranged.select("doc_id", "name").repartition("name").mapInPandas(run, "doc_id bigint, ids array<bigint>")
