@@ -182,6 +182,30 @@ def test_dedup_stage(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 20] and kept.columns == docs(spark, rows).columns
 
 
+def test_all_alike_pairs_of_one_word_set_meet(spark):
+    """Over 32 texts of one word set have one fingerprint; texts are alike in pairs that no forest by distance tells."""
+    rng = np.random.default_rng(3)
+    words = [f"word{i}" for i in range(120)]
+    rows = []
+    for i in range(40):
+        text = list(rng.permutation(words))
+        rows.append(text)
+        if i % 2:
+            swapped = list(text)
+            swapped[60], swapped[61] = swapped[61], swapped[60]
+            rows.append(swapped)
+    order = rng.permutation(len(rows))
+    rows = [(n, " ".join(rows[k]), "en") for n, k in enumerate(order)]
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(116)} for _, t, _ in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    kept = simhash.dedup_stage(spark, docs(spark, rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root)) and len(set(root)) == 40
+
+
 # Decontamination
 
 

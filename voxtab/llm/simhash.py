@@ -157,8 +157,8 @@ def plan(fps: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int]]:
 # Probing
 
 
-def _forest(node: np.ndarray, fp: np.ndarray, index: np.ndarray, bit: np.ndarray, radius: int) -> list[np.ndarray]:
-    """Spanning forest of the pairs within the radius, smallest distances first, of one group."""
+def _forest(node: np.ndarray, fp: np.ndarray, index: np.ndarray, bit: np.ndarray, radius: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Spanning forest of the pairs within the radius, smallest distances first, of one group, and the tree of each row."""
     n = len(node)
     found: list[list[np.ndarray]] = [[] for _ in range(radius + 1)]
     for lo in range(0, n, 512):
@@ -192,14 +192,23 @@ def _forest(node: np.ndarray, fp: np.ndarray, index: np.ndarray, bit: np.ndarray
                     break
                 parent = up
             label = parent[label]
-    return links
+    return links, label
 
 
-def links_of_groups(g: np.ndarray, node: np.ndarray, fp: np.ndarray, index: np.ndarray, bit: np.ndarray, radius: int) -> list[np.ndarray]:
-    """Links of sorted groups of rows. Rows that both flipped the same bit agree without it and meet under another key."""
+def links_of_groups(g: np.ndarray, node: np.ndarray, fp: np.ndarray, index: np.ndarray, bit: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links of sorted groups of rows, and (group, tree, node) of trees that stand for more pairs than their links.
+
+    Rows that both flipped the same bit agree without it and meet under another key.
+    """
     begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
     size = np.diff(np.r_[begin, len(g)])
-    links = [x for b, s in zip(begin[size > SMALL], size[size > SMALL], strict=True) for x in _forest(node[b : b + s], fp[b : b + s], index[b : b + s], bit[b : b + s], radius)]
+    links, trees = [], []
+    for b, s in zip(begin[size > SMALL], size[size > SMALL], strict=True):
+        own, tree = _forest(node[b : b + s], fp[b : b + s], index[b : b + s], bit[b : b + s], radius)
+        links += own
+        at = np.flatnonzero(np.bincount(tree, minlength=s)[tree] > 2)
+        if len(at):
+            trees.append(np.stack([g[b + at], tree[at], node[b + at]]))
     small = np.repeat(size <= SMALL, size)
     g, node, fp, index, bit = g[small], node[small], fp[small], index[small], bit[small]
     for step in range(1, SMALL):
@@ -210,14 +219,22 @@ def links_of_groups(g: np.ndarray, node: np.ndarray, fp: np.ndarray, index: np.n
         near = np.bitwise_count((fp[i] ^ fp[i + step]).view(np.uint64)) <= radius
         i = i[near & (index[i] | index[i + step]) & ((bit[i] != bit[i + step]) | (bit[i] < 0))]
         links.append(np.stack([node[i], node[i + step]]))
-    return links
+    return links, trees
 
 
 def links(nodes: DataFrame, radius: int) -> DataFrame:
     """a, b (a < b): links between nodes (node, fp) that connect all pairs within the radius. nodes: distinct, written."""
+    return links_and_trees(nodes, radius).filter("g is null").select("a", "b")
+
+
+def links_and_trees(nodes: DataFrame, radius: int) -> DataFrame:
+    """a, b of links, with g null; and for trees of large groups g, the group, a, the tree, and b, a node of it.
+
+    Every pair within the radius is a link or is within one tree.
+    """
     n = nodes.count()
     if n < 2:
-        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).filter(F.lit(False))
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("node").alias("g")).filter(F.lit(False))
     share = min(1.0, SAMPLE / n)
     sample = nodes.filter(F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("fp").limit(2 * SAMPLE)
     fps = sample.toPandas()["fp"].to_numpy(dtype=np.int64)
@@ -254,12 +271,15 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
 
     def found(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if len(frame) > 1:
-            got = links_of_groups(*(frame[c].to_numpy() for c in ("g", "node", "fp", "index", "bit")), radius)
+            got, trees = links_of_groups(*(frame[c].to_numpy() for c in ("g", "node", "fp", "index", "bit")), radius)
             if got:
                 a, b = np.concatenate(got, axis=1)
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).query("a != b").drop_duplicates()
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).query("a != b").drop_duplicates().assign(g=pd.NA).astype({"g": "Int64"})
+            if trees:
+                g, a, b = np.concatenate(trees, axis=1)
+                yield pd.DataFrame({"a": a, "b": b, "g": g}).drop_duplicates()
 
-    return probes.mapInPandas(run, "a bigint, b bigint").distinct()
+    return probes.mapInPandas(run, "a bigint, b bigint, g bigint").distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -298,6 +318,56 @@ def _shingle_sets(df: DataFrame, width: int) -> DataFrame:
     return df.select("node", F.array_distinct(shingles).alias("s"))
 
 
+def alike_in_tree(node: np.ndarray, fp: np.ndarray, label: np.ndarray, sets: list[np.ndarray], radius: int, likeness: float) -> list[tuple[int, int]]:
+    """Links that connect all pairs of nodes within the radius and of at least that likeness; equal labels are connected already."""
+    size = np.array([len(x) for x in sets])
+    begin = np.r_[0, np.cumsum(size)[:-1]]
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    label, marked, out = label.copy(), np.zeros(int(column.max()) + 1, dtype=np.int64), []
+    for i in range(len(node) - 1):
+        near = np.bitwise_count((fp[i + 1 :] ^ fp[i]).view(np.uint64)) <= radius
+        fits = np.minimum(size[i + 1 :], size[i]) >= likeness * np.maximum(size[i + 1 :], size[i]) - 1e-9
+        j = np.flatnonzero(near & fits & (label[i + 1 :] != label[i])) + i + 1
+        if not len(j):
+            continue
+        own = column[begin[i] : begin[i] + size[i]]
+        marked[own] = 1
+        ends = np.cumsum(size[j])
+        at = np.arange(ends[-1]) + np.repeat(begin[j] - (ends - size[j]), size[j])
+        common = np.add.reduceat(marked[column[at]], ends - size[j])
+        marked[own] = 0
+        for k in j[common / (size[i] + size[j] - common) >= likeness]:
+            if label[k] != label[i]:
+                out.append((int(node[i]), int(node[k])))
+                label[label == label[k]] = label[i]
+    return out
+
+
+def _alike(pairs: DataFrame, trees: DataFrame, sets: DataFrame, radius: int, likeness: float) -> DataFrame:
+    """node, root of the graph of all pairs within the radius (of links or within a tree) and of at least that likeness.
+
+    Links are held against each other first. A tree whose nodes they do not all connect is gone through once more with the
+    shingles of its nodes (node, fp, s of sets), pair by pair except those that are connected by then.
+    """
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    alike = written(both.filter(common / (F.size("x") + F.size("y") - common) >= likeness).select("a", "b"), "dedup-alike")
+    nodes = components(alike)
+    if trees.isEmpty():
+        return nodes
+    rows = trees.join(nodes.withColumnRenamed("node", "b"), "b", "left").select("g", "a", F.col("b").alias("node"), F.coalesce("root", "b").alias("label"))
+    rows = written(rows, "dedup-trees")
+    loose = rows.groupBy("g", "a").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("g", "a")
+    rows = rows.join(loose, ["g", "a"], "left_semi").join(sets, "node")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        found = alike_in_tree(*(frame[c].to_numpy() for c in ("node", "fp", "label")), list(frame["s"]), radius, likeness)
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    more = rows.groupBy("g", "a").applyInPandas(run, "a bigint, b bigint")
+    return components(written(alike.union(more), "dedup-alike"))
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without near copies: of each group of texts the row with the smallest doc_id stays.
 
@@ -312,16 +382,14 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source = docs.select(key.alias("doc_id"), node.alias("node"), text.cast("binary").alias("__text"))
     fps = written(fingerprints(source, word_hashes, ["doc_id", "node"], "doc_id bigint, node bigint"), "dedup")
     firsts = written(fps.groupBy("node", "fp").agg(F.min("doc_id").alias("first")), "dedup-distinct")
-    pairs = written(links(firsts.select("node", "fp"), STAGE_RADIUS), "dedup-links")
+    found = written(links_and_trees(firsts.select("node", "fp"), STAGE_RADIUS), "dedup-links")
+    pairs, trees = found.filter("g is null").select("a", "b"), found.filter("g is not null")
     linked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     heads = firsts.join(linked, "node", "left_semi").select("node", F.col("first").alias("doc_id"))
     known = docs.select(key.alias("doc_id"), node.alias("node"), text.alias("t"))
     sets = known.join(heads, ["node", "doc_id"], "left_semi").groupBy("node").agg(F.first("t").alias("t"))
-    sets = written(_shingle_sets(sets, STAGE_SHINGLE), "dedup-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    alike = both.filter(common / (F.size("x") + F.size("y") - common) >= STAGE_LIKENESS).select("a", "b")
-    nodes = components(alike)
+    sets = written(_shingle_sets(sets, STAGE_SHINGLE).join(firsts.select("node", "fp"), "node"), "dedup-sets")
+    nodes = _alike(pairs, trees, sets, STAGE_RADIUS, STAGE_LIKENESS)
     groups = firsts.join(nodes, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("doc_id"))
     stay = groups.select(F.col("doc_id").alias("__stay"))
     kept = docs.withColumn("__key", key).join(stay, F.col("__key") == F.col("__stay"), "left_semi")
