@@ -182,6 +182,14 @@ def test_dedup_stage(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 20] and kept.columns == docs(spark, rows).columns
 
 
+def test_dedup_stage_keeps_texts_that_share_a_doc_id(spark):
+    text = " ".join(f"word{i * 7919 % 5000}" for i in range(400))
+    far = " ".join(f"term{i * 104729 % 5000}" for i in range(400))
+    rows = [(3, text, "en"), (7, far, "en"), (7, text.replace("word0 ", "other ", 1), "en"), (8, "alone here", "en"), (8, "two words", "en")]
+    kept = simhash.dedup_stage(spark, docs(spark, rows), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(3, text), (7, far), (8, "alone here"), (8, "two words")]
+
+
 def test_all_alike_pairs_of_one_word_set_meet(spark):
     """Over 32 texts of one word set have one fingerprint; texts are alike in pairs that no forest by distance tells."""
     rng = np.random.default_rng(3)

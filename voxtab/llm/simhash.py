@@ -369,7 +369,7 @@ def _alike(pairs: DataFrame, trees: DataFrame, sets: DataFrame, radius: int, lik
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without near copies: of each group of texts the row with the smallest doc_id stays.
+    """docs without near copies: of each group of texts the row with the smallest doc_id stays (of equal ones, the text of smallest hash).
 
     Texts link if their word fingerprints are within STAGE_RADIUS bits and the Jaccard likeness of their 5-word
     shingles is 0.8 or more; equal texts always do. Of rows that repeat a doc_id within a group one stays. Rows of null or
@@ -390,7 +390,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sets = known.join(heads, ["node", "doc_id"], "left_semi").groupBy("node").agg(F.first("t").alias("t"))
     sets = written(_shingle_sets(sets, STAGE_SHINGLE).join(firsts.select("node", "fp"), "node"), "dedup-sets")
     nodes = _alike(pairs, trees, sets, STAGE_RADIUS, STAGE_LIKENESS)
-    groups = firsts.join(nodes, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("doc_id"))
-    stay = groups.select(F.col("doc_id").alias("__stay"))
-    kept = docs.withColumn("__key", key).join(stay, F.col("__key") == F.col("__stay"), "left_semi")
-    return kept.dropDuplicates(["__key"]).drop("__key")
+    groups = firsts.join(nodes, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first", "node")).alias("head"))
+    stay = groups.select(F.col("head.first").alias("__stay"), F.col("head.node").alias("__head"))
+    kept = docs.withColumn("__key", key).withColumn("__node", node)
+    kept = kept.join(stay, (F.col("__key") == F.col("__stay")) & (F.col("__node") == F.col("__head")), "left_semi")
+    return kept.dropDuplicates(["__key", "__node"]).drop("__key", "__node")
