@@ -246,6 +246,19 @@ def test_leaks(spark):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("exact", [0, 1])
+def test_leaks_of_many_edited_copies(spark, exact):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    item = [word() for _ in range(40)]
+    edited = [word() if i % 5 == 4 else w for i, w in enumerate(item)]
+    noise = lambda n: [word() for _ in range(n)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    rows = [(i, noise(30) + edited + noise(20)) for i in range(50)] + [(50 + i, noise(30) + item) for i in range(exact)] + [(60, noise(90))]
+    got = decontaminate.leaks(docs(spark, [(i, " ".join(w), "en") for i, w in rows]), bench).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(50 + exact))
+
+
 def test_pipeline(spark, tmp_path, monkeypatch):
     import corpus_pipeline
 

@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Texts are words (``\\w+`` of the lower-cased text). The document frequency of every n-gram of the benchmark
-is counted over the whole corpus; in each window of WINDOW consecutive n-grams of an item the rarest are seeds: those in at
-most SLACK times as many documents as the rarest, and FEW more. So every stretch of an item has seeds, however often it
-leaked, and n-grams that an edited copy still has are seeds beside those that it lost. Seeds found in a document give passages around them, which
-are aligned with the item: match +2, mismatch -1, gap -1 a word. An item counts as leaked when the best alignment
+Texts are words (``\\w+`` of the lower-cased text). Every n-gram of an item is a seed, however many documents hold it: an edited
+copy may keep only grams that are as common as its copies. Seeds found in a document give passages around them, which
+are aligned with the item: match +2, mismatch -1, gap -1 a word. Passages with too few of the item's words to reach
+the threshold are left out before. An item counts as leaked when the best alignment
 reaches THRESHOLD of the item's own score, so edited and paraphrased copies count too.
 
 Items are taken in blocks of BLOCK items, each broadcast with a known bound and held against all documents.
@@ -24,9 +23,6 @@ from pyspark.sql import functions as F
 from voxtab.llm.common import table, written
 
 N = 4
-WINDOW = 4
-SLACK = 4
-FEW = 10
 THRESHOLD = 0.5
 #: Shortest item (in words) that can be told from chance; shorter ones must match whole.
 SHORT = 8
@@ -92,35 +88,11 @@ def _hits(items: Items, wanted: np.ndarray, text: str | None) -> tuple[np.ndarra
     return numbers, np.concatenate(which), np.concatenate(where)
 
 
-def frequencies(docs: DataFrame, items: Items) -> dict[int, int]:
-    """Number of documents that hold each n-gram of the items."""
-    wanted = np.unique(items.grams()[0])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(wanted), dtype=np.int64)
-        for frame in frames:
-            for text in frame["text"]:
-                total[np.unique(_hits(items, wanted, text)[1])] += 1
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"k": at, "n": total[at]})
-
-    counted = docs.select("text").mapInPandas(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
-    return {int(wanted[r["k"]]): r["n"] for r in counted.toLocalIterator()}
-
-
-def seeds(items: Items, df: dict[int, int]) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
-    """Sorted seed hashes, and the (item, position) places of each: the rarest n-grams of every window."""
-    g, item, at = items.grams()
+def seeds(items: Items) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
+    """Sorted seed hashes, and the (item, position) places of each: all n-grams."""
     places: dict[int, list[tuple[int, int]]] = {}
-    begin = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(g) else []
-    for b, e in zip(begin, [*begin[1:], len(g)], strict=False):
-        n = [df.get(int(x), 0) for x in g[b:e]]
-        chosen = set()
-        for i in range(max(1, len(n) - WINDOW + 1)):
-            most = SLACK * min(n[i : i + WINDOW]) + FEW
-            chosen |= {j for j in range(i, min(i + WINDOW, len(n))) if n[j] <= most}
-        for i in sorted(chosen):
-            places.setdefault(int(g[b + i]), []).append((int(item[b]), int(at[b + i])))
+    for g, item, at in zip(*(x.tolist() for x in items.grams()), strict=True):
+        places.setdefault(g, []).append((item, at))
     return np.array(sorted(places), dtype=np.uint64), places
 
 
@@ -163,7 +135,14 @@ def _candidates(items: Items, numbers: np.ndarray, which: np.ndarray, where: np.
 
 
 def _leaks_of_block(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
-    wanted, places = seeds(items, frequencies(docs, items))
+    wanted, places = seeds(items)
+
+    def least(item: int) -> float:
+        """Score from which the item counts as leaked."""
+        m = len(items.words[item])
+        return (threshold if m >= SHORT else 1.0) * 2 * m
+
+    words = [w.tolist() for w in items.words]
 
     def settle(todo: list[tuple]) -> pd.DataFrame:
         todo.sort(key=lambda c: c[3] - c[2])
@@ -173,7 +152,7 @@ def _leaks_of_block(docs: DataFrame, items: Items, threshold: float) -> DataFram
             score = align([items.words[c[1]] for c in part], [c[4] for c in part])
             for c, s in zip(part, score.tolist(), strict=True):
                 m = len(items.words[c[1]])
-                if s >= (threshold if m >= SHORT else 1.0) * 2 * m:
+                if s >= least(c[1]):
                     rows.append((c[0], items.ids[c[1]], s / (2 * m), c[2], c[3]))
         out = pd.DataFrame(rows, columns=["doc_id", "item_id", "likeness", "begin", "end"])
         return out.sort_values(["likeness", "begin"], ascending=[False, True])
@@ -183,7 +162,10 @@ def _leaks_of_block(docs: DataFrame, items: Items, threshold: float) -> DataFram
             todo, done = [], []
             for row, (doc_id, text) in enumerate(zip(frame["doc_id"], frame["text"], strict=True)):
                 numbers, which, where = _hits(items, wanted, text)
-                todo += [((row, doc_id), item, b, e, numbers[b:e]) for item, b, e in _candidates(items, numbers, which, where, wanted, places)]
+                for item, b, e in _candidates(items, numbers, which, where, wanted, places):
+                    held = set(numbers[b:e].tolist())
+                    if 2 * sum(w in held for w in words[item]) >= least(item):
+                        todo.append(((row, doc_id), item, b, e, numbers[b:e]))
                 if len(todo) >= 4096:
                     done.append(settle(todo))
                     todo = []
