@@ -137,6 +137,15 @@ def test_superseded_previews(spark):
     assert [x[0] for x in rows(log.drop_superseded_events(requests=df), "event_id")] == [1, 2, 4]
 
 
+def test_intensity_stats_read_every_voxel(spark):
+    at = spark.range(2_000_002)
+    voxels = at.selectExpr("'a' AS series_id", "cast(id div 64 AS int) AS i", "cast(id div 8 % 8 AS int) AS j", "cast(id % 8 AS int) AS k", "CASE WHEN id = 7 THEN 5000.0D WHEN id % 2 = 1 THEN 400.0D ELSE 0.0D END AS value")
+    given = spark.createDataFrame([("a", *[0.0] * 8)], "series_id string, " + ", ".join(f"{p} double" for p in ("p1", "p5", "p25", "p50", "p75", "p95", "p99", "p99_5")))
+    series = spark.createDataFrame([("a", "CT")], "series_id string, modality string")
+    (r,) = pixels.intensity_stats(voxels=voxels, volume_percentiles=given, image_series=series).collect()
+    assert (r["lo"], r["hi"], r["dense_foreground_fraction"]) == (0, 5000, 0.5)
+
+
 def test_pseudocolour_ends(spark):
     table = {(r["preset"], r["gray"]): (r["r"], r["g"], r["b"]) for r in pixels.colour_table(slices=spark.createDataFrame([], "series_id string")).collect()}
     assert table["hotiron", 0] == (0, 0, 0) and table["hotiron", 255] == (255, 242, 191) and len(table) == 2048
