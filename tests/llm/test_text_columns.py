@@ -1,6 +1,8 @@
 """Chat formatting, personal data, URL filters, winnowing and mixing: native operators against plain versions."""
 
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -73,10 +75,68 @@ def test_base_spans(spark):
     assert sanitise.find_spans(docs(spark).limit(0)).count() == 0
 
 
-def test_revealing_terms_go(spark):
-    texts = [f"project zanzibar belongs to zed@corp.org number{i} today" for i in range(4)] + [f"today some other words {i} belongs" for i in range(40)]
-    out = {r["doc_id"]: r["sanitised"] for r in sanitise.sanitise(docs(spark, *texts)).collect()}
-    assert "zanzibar" not in out[0] and "<EMAIL>" in out[0] and "today" in out[0] and out[10] == texts[10]
+def plain_term_spans(texts, block):
+    """Spans of disclosing terms of each text, by counting pairs in dictionaries."""
+    word, email = r"[0-9]*[^\W\d_][^\W_]*", BASE["email"]
+    name = lambda w: f"#{len(w)}" if re.search("[0-9]", w) else w.lower()
+    found, terms, held = {}, {}, {}
+    for text in set(texts):
+        found[text] = []
+        for no in range(max(0, len(text) - 1) // block + 1):
+            lo, hi = no * block, min(len(text), (no + 1) * block)
+            if lo and re.match("[^\\W_]", text[lo - 1]):
+                while lo < hi and re.match("[^\\W_]", text[lo]):
+                    lo += 1
+            if lo < hi and re.match("[^\\W_]", text[hi - 1]):
+                while hi < len(text) and re.match("[^\\W_]", text[hi]) and hi < (no + 1) * block + 64:
+                    hi += 1
+            for m in re.finditer(f"{email}|({word})", text[lo:hi]):
+                if m[2] and len(m[2]) >= 4:
+                    found[text].append((lo + m.start(), lo + m.end(), name(m[2])))
+                    terms.setdefault(name(m[2]), set()).add((text, no))
+            terms.setdefault(None, set()).add((text, no))
+        for span in base_spans(text):
+            kind, b, e = span.split(":")
+            value = text[int(b) : int(e)]
+            digits = re.sub("[^0-9]", "", value)
+            group = value.split("@")[1].lower() if kind == "email" else ".".join(value.split(".")[:2]) if kind == "ip" else digits[:6]
+            for c in ("any", kind, f"{kind}/{group}", f"{kind}={value}"):
+                held.setdefault(c, set()).add((text, int(b) // block))
+    n, share = len(terms.pop(None)), {}
+    for blocks in held.values():
+        for t, where in terms.items():
+            both = len(where & blocks)
+            if both >= 7 and len(blocks) < n:
+                pmi = math.log2(both * n / (len(blocks) * len(where))) / math.log2(n / len(blocks))
+                share[t] = max(share.get(t, 0), pmi * both / (both + 3))
+    base = {t: [tuple(map(int, x.split(":")[1:])) for x in base_spans(t)] for t in found}
+    return [sorted((b, e) for b, e, t in found[x] if share.get(t, 0) >= 0.7 and not any(p < e and b < q for p, q in base[x])) for x in texts]
+
+
+def test_disclosing_terms(spark, monkeypatch):
+    monkeypatch.setattr(sanitise, "BLOCK", 60)
+    rng = random.Random(5)
+    common = ["today", "some", "other", "words", "über", "belong", "HERE", "x9y8z7", "to", "and"]
+    texts = []
+    for i in range(240):
+        words = [rng.choice(common) for _ in range(rng.randrange(1, 40))]
+        if i % 6 == 0:
+            words.insert(rng.randrange(len(words) + 1), f"secret{i % 10}x zanzibar zed{i}@corp{i % 2}.org")
+        if i % 9 == 0:
+            words.insert(rng.randrange(len(words) + 1), f"10.2.{i}.4 zanzibar")
+        texts.append(" ".join(words))
+    texts += [texts[0]] * 30 + ["y" * 200, "", "zanzibar alone"]
+    want = plain_term_spans(texts, 60)
+    got = {r["doc_id"]: sorted((s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term") for r in sanitise.find_spans(docs(spark, *texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want and sum(map(len, want)) > 40
+
+
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    texts = [f"project zanzibar belongs to zed{i}@corp.org number today" for i in range(20)] + [f"today some other words {i} belongs" for i in range(200)] + ["zanzibar again", None]
+    df = docs(spark, *texts).withColumnRenamed("extra", "spans")
+    out = {r["doc_id"]: r["sanitised"] for r in sanitise.sanitise(df).collect()}
+    assert "zanzibar" not in out[0] and "<EMAIL>" in out[0] and "today" in out[0] and out[30] == texts[30]
+    assert "zanzibar" not in out[220] and out[220].endswith(" again") and out[221] is None and sanitise.sanitise(df).columns == [*df.columns, "sanitised"]
 
 
 # URL filters

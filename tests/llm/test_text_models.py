@@ -232,6 +232,38 @@ def test_alignment_matches_plain():
     assert decontaminate.align(a, b).tolist() == [plain_alignment(x, y) for x, y in zip(a, b, strict=True)]
 
 
+def edit(rng, words, rate, word):
+    """Words with substitutions, insertions and deletions at a rate."""
+    out = []
+    for w in words:
+        kind = rng.random() / rate
+        out += [w] if kind > 1 else [word()] if kind < 0.4 else [w, word()] if kind < 0.75 else []
+    return out
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghij"])
+def test_no_leak_is_missed(letters):
+    """All (text, item) pairs by full alignment: few different words, so that seeds are common, and many."""
+    rng = np.random.default_rng(len(letters))
+    word = lambda: "".join(rng.choice(list(letters), 2 if len(letters) == 2 else 3))
+    items = [[word() for _ in range(n)] for n in (1, 2, 3, 7, 8, 9, 12, 20, 30)]
+    texts = []
+    for i in range(60):
+        it = items[int(rng.integers(len(items)))]
+        parts = [[word() for _ in range(int(rng.integers(0, 30)))], edit(rng, it, (0.02, 0.2, 0.35, 0.5)[i % 4], word), [word() for _ in range(int(rng.integers(0, 30)))]]
+        texts.append(" ".join(sum(parts, [])))
+    texts += [None, "", " ".join(sum(([w, word()] for w in items[-1]), [])), " ".join(items[-1] * 12), " ".join(w if i % 3 else word() for i, w in enumerate(items[-1]))]
+    block = decontaminate.Items([(n, " ".join(w)) for n, w in enumerate(items)], {"aa": 5, "ab": 9}, 0.5)
+    got = {(r, i): like for r, i, like, _, _ in block.found(texts)}
+    want = {}
+    for r, t in enumerate(texts):
+        for i, w in enumerate(items):
+            score = plain_alignment(w, (t or "").split())
+            if score >= (len(w) if len(w) >= 8 else 2 * len(w)):
+                want[r, i] = score / (2 * len(w))
+    assert got == want and len(want) > 30
+
+
 def test_leaks(spark):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
@@ -243,7 +275,22 @@ def test_leaks(spark):
     df = docs(spark, [(i, " ".join(w), "en") for i, w in rows] + [(15, None, "en"), (16, "", "en")])
     got = {(r["doc_id"], r["item_id"]): r["likeness"] for r in decontaminate.leaks(df, bench).collect()}
     assert set(got) == {(10, 1), (11, 1), (14, 1), (None, 1)} and got[10, 1] == 1 and 0.5 < got[11, 1] < 1
+    assert {r["item_id"] for r in decontaminate.leaks(df, bench.selectExpr("cast(null as bigint) item_id", "text")).collect()} == {None}
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
+    df = df.withColumn("item_id", df["doc_id"])
+    kept = decontaminate.without_leaks(df, bench)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [12, 13, 15, 16] and kept.columns == df.columns and kept.schema == df.schema
+    assert decontaminate.without_leaks(df, bench.limit(0)).count() == df.count() and decontaminate.without_leaks(df.limit(0), bench).count() == 0
+
+
+def test_leaks_in_a_very_long_text(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 3))
+    item = [word() for _ in range(30)]
+    text = " ".join([*(word() for _ in range(150_000)), *item, *(word() for _ in range(150_000))])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    (got,) = decontaminate.leaks(docs(spark, [(1, text, "en"), (1, text[:500_000], "en")]), bench).collect()
+    assert got["likeness"] == 1 and got["begin"] <= 150_000 <= got["end"]
 
 
 @pytest.mark.parametrize("exact", [0, 1])

@@ -1,99 +1,166 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Texts are words (``\\w+`` of the lower-cased text). Every n-gram of an item is a seed, however many documents hold it: an edited
-copy may keep only grams that are as common as its copies. Seeds found in a document give passages around them, which
-are aligned with the item: match +2, mismatch -1, gap -1 a word. Passages with too few of the item's words to reach
-the threshold are left out before. An item counts as leaked when the best alignment
-reaches THRESHOLD of the item's own score, so edited and paraphrased copies count too.
+Texts are words (``\\w+`` of the lower-cased text). An item and a passage are aligned with match +2, mismatch -1, gap -1 a
+word; the item counts as leaked when the best local alignment reaches THRESHOLD of the item's own score (2 a word), so edited and
+paraphrased copies count too.
 
-Items are taken in blocks of BLOCK items, each broadcast with a known bound and held against all documents.
+Seeds are pairs of words with at most one word skipped between them. Be m the item's words, S the score it must reach and M the
+matches of an alignment: what lies between one match and the next costs at least 2 unless at most one word is skipped on either side,
+and all that costs at most 2 M - S, so at least S / 2 - 1 matches are followed by such a near one. Each of them begins at a
+place of the item of its own. Of the m - 1 places any set of m - 1 - (S / 2 - 1) + 1 holds one of them: the rarest places, by the
+document frequency of their words in the corpus, are the seeds. An alignment is at most 2 m - S words longer than the item,
+which gives the passage around a seed. So no leak is missed, whatever the edits; rarity only saves work.
+
+Items are taken in blocks of about BLOCK_BYTES of text, each broadcast and held against all documents.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtab.llm.common import table, written
 
-N = 4
 THRESHOLD = 0.5
 #: Shortest item (in words) that can be told from chance; shorter ones must match whole.
 SHORT = 8
-#: Items of one pass: about 40 words each, so some 10 MB for each task.
-BLOCK = 20_000
+#: Text of the items of one pass; a worker holds some twelve times as much.
+BLOCK_BYTES = 16 * 2**20
+#: Words of different items that are broadcast at most to count their documents; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
+#: Cells of the alignment table that are computed at once, and documents that are looked up at once.
+CELLS = 2**18
+DOCS = 128
 WORDS = re.compile(r"\w+")
+#: The same words in Java.
+JAVA_WORDS = r"(?U)\w+"
+#: Texts beyond this many characters are split word by word instead of into one list.
+LONG = 1_000_000
+
+
+def split_words(text: str | None) -> Iterator[str]:
+    text = (text or "").lower()
+    return iter(WORDS.findall(text)) if len(text) < LONG else (m[0] for m in WORDS.finditer(text))
 
 
 class Items:
-    """A block of benchmark items as word numbers, with the n-grams that lead to them."""
+    """A block of benchmark items as word numbers, with the pairs of words that lead to them.
+
+    rows: (item_id, text); frequency: documents of each word, 0 for those that are not in it.
+    """
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
+    def __init__(self, rows: list[tuple[int | None, str | None]], frequency: dict[str, int], threshold: float) -> None:
         self.vocab: dict[str, int] = {}
-        self.ids, self.words = [], []
+        self.ids, self.words, self.least = [], [], []
         for item_id, text in rows:
-            words = WORDS.findall((text or "").lower())
+            words = list(split_words(text))
             if words:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], dtype=np.int64))
-
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """n-gram hash, item number and position of every n-gram; an item of fewer words is one gram of its own length."""
-        got = [(g, np.full(len(g), i), np.arange(len(g))) for i, w in enumerate(self.words) for g in [gram_hashes(w, min(N, len(w)))[0]]]
-        if not got:
-            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        return tuple(np.concatenate(x) for x in zip(*got, strict=True))  # type: ignore[return-value]
-
-    def lengths(self) -> list[int]:
-        return sorted({min(N, len(w)) for w in self.words})
+                self.least.append(math.ceil((threshold if len(words) >= SHORT else 1.0) * 2 * len(words) - 1e-9))
+        self.base = len(self.vocab) + 1
+        df = np.zeros(self.base, dtype=np.int64)
+        for w, n in self.vocab.items():
+            df[n] = frequency.get(w, 0)
+        got = [self._seeds(i, df) for i in range(len(self.words))]
+        code, item, at = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, dtype=np.int64),) * 3
+        order = np.argsort(code, kind="stable")
+        self.codes, self.begin = np.unique(code[order], return_index=True)
+        self.count = np.diff(np.r_[self.begin, len(code)])
+        self.item, self.at = item[order].astype(np.int32), at[order].astype(np.int32)
+        #: Words that begin a seed, so that most of a document's words need no lookup.
+        self.leads = np.zeros(self.base, dtype=bool)
+        self.leads[self.codes // self.base] = True
+
+    def slack(self, item: np.ndarray | int) -> np.ndarray | int:
+        m, least = np.array([len(w) for w in self.words]), np.array(self.least)
+        return (2 * m - least)[item]
+
+    def _seeds(self, i: int, df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the item's seeds and the places where they begin; an item of one word is the pair of that word and none."""
+        w, n = self.words[i], df[self.words[i]]
+        m = len(w)
+        if m == 1:
+            return w * self.base, np.array([i]), np.array([0])
+        one = np.minimum(n[:-1], n[1:])
+        two = np.r_[np.minimum(n[:-2], n[2:]), 0] if m > 2 else np.zeros(m - 1, dtype=np.int64)
+        places = np.argsort(one + two, kind="stable")[: min(m - 1, m - max(0, math.ceil(self.least[i] / 2 - 1)))]
+        far = places[places + 2 < m]
+        code = np.r_[w[places] * self.base + w[places + 1], w[far] * self.base + w[far + 2]]
+        return code, np.full(len(code), i), np.r_[places, far]
 
     def numbers(self, text: str | None) -> np.ndarray:
         """Word numbers of a text; 0 for words that no item has."""
-        return np.fromiter(map(self.vocab.get, WORDS.findall((text or "").lower()), repeat(0)), dtype=np.int64)
-
-
-def gram_hashes(numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams without unknown words, and where they begin."""
-    if len(numbers) < n:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    m = len(numbers) - n + 1
-    ok = np.ones(m, dtype=bool)
-    for i in range(n):
-        ok &= numbers[i : i + m] > 0
-    at = np.flatnonzero(ok)
-    h = np.full(len(at), n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(n):
-            h = (h ^ numbers[at + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-    return h, at
-
-
-def _hits(items: Items, wanted: np.ndarray, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of a text, and number in ``wanted`` (sorted) and position of each n-gram that is wanted."""
-    numbers = items.numbers(text)
-    which, where = [], []
-    for n in items.lengths():
-        h, at = gram_hashes(numbers, n)
-        k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-        good = wanted[k] == h
-        which.append(k[good])
-        where.append(at[good])
-    return numbers, np.concatenate(which), np.concatenate(where)
-
-
-def seeds(items: Items) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
-    """Sorted seed hashes, and the (item, position) places of each: all n-grams."""
-    places: dict[int, list[tuple[int, int]]] = {}
-    for g, item, at in zip(*(x.tolist() for x in items.grams()), strict=True):
-        places.setdefault(g, []).append((item, at))
-    return np.array(sorted(places), dtype=np.uint64), places
+        return np.fromiter(map(self.vocab.get, split_words(text), repeat(0)), dtype=np.int64)
+
+    def passages(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+        """(row, item, begin, end, words) of the passages around all seeds that hold enough of an item's words."""
+        if not len(self.codes):
+            return
+        docs = [self.numbers(t) for t in texts]
+        size = np.array([len(d) for d in docs])
+        start = np.cumsum(size + 2) - size - 2  # two words of no item between documents, so that no pair crosses
+        u = np.zeros(int(size.sum()) + 2 * len(docs) + 2, dtype=np.int64)
+        for s, d in zip(start.tolist(), docs, strict=True):
+            u[s : s + len(d)] = d
+        j = np.flatnonzero(self.leads[u[:-2]])
+        pairs = [(u[j] * self.base + u[j + k], j, (u[j + k] > 0)) for k in (1, 2)]
+        if any(len(w) == 1 for w in self.words):
+            pairs.append((u[j] * self.base, j, u[j] > 0))
+        code, j = np.concatenate([c[ok] for c, _, ok in pairs]), np.concatenate([x[ok] for _, x, ok in pairs])
+        k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        good = self.codes[k] == code
+        k, j = k[good], j[good]
+        n = self.count[k]
+        nth = np.repeat(self.begin[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        j, item, at = np.repeat(j, n), self.item[nth], self.at[nth].astype(np.int64)
+        if not len(j):
+            return
+        row = np.searchsorted(start, j, side="right") - 1
+        m = np.array([len(w) for w in self.words])[item]
+        slack = self.slack(item)
+        b = np.maximum(start[row], j - at - slack)
+        e = np.minimum(start[row] + size[row], j - at + m + slack)
+        order = np.lexsort((b, item, row))
+        row, item, b, e, m = (x[order] for x in (row, item, b, e, m))
+        top = np.empty(len(b), dtype=np.int64)  # furthest end so far within the same row and item
+        own = np.cumsum(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])])
+        top = np.maximum.accumulate(e + own * (len(u) + 1)) - own * (len(u) + 1)
+        first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (b[1:] > top[:-1])])
+        last = np.r_[first[1:], len(b)] - 1
+        for f, z in zip(first.tolist(), last.tolist(), strict=True):
+            r, i, lo, hi, step = int(row[f]), int(item[f]), int(b[f]), int(top[z]), int(m[f])
+            words = self.words[i].tolist()
+            while True:  # long passages in pieces that overlap by more than any alignment is long
+                end = min(hi, lo + 8 * step)
+                part = u[lo:end]
+                held = set(part.tolist())
+                if 2 * sum(w in held for w in words) >= self.least[i]:
+                    yield r, i, lo - int(start[r]), end - int(start[r]), part
+                if end == hi:
+                    break
+                lo += 5 * step
+
+    def found(self, texts: list[str | None]) -> list[tuple[int, int, float, int, int]]:
+        """(row, item, likeness, begin, end) of each item that leaked into a text: its likest passage, the first of equals."""
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for lo in range(0, len(texts), DOCS):
+            todo = sorted(self.passages(texts[lo : lo + DOCS]), key=lambda c: len(c[4]))
+            while todo:
+                rows = max(1, CELLS // (len(todo[-1][4]) + 1))
+                part, todo = todo[-rows:], todo[:-rows]
+                for (row, item, b, e, _), s in zip(part, align([self.words[c[1]] for c in part], [c[4] for c in part]).tolist(), strict=True):
+                    key, likeness = (lo + row, item), s / (2 * len(self.words[item]))
+                    if s >= self.least[item] and (key not in best or (-likeness, b) < (-best[key][0], best[key][1])):
+                        best[key] = (likeness, b, e)
+        return [(*key, *value) for key, value in sorted(best.items())]
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
@@ -113,95 +180,79 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _candidates(items: Items, numbers: np.ndarray, which: np.ndarray, where: np.ndarray, wanted: np.ndarray, places: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int, int]]:
-    """(item, begin, end) of the passages around a document's seeds; passages of an item that overlap become one."""
-    spans: dict[int, list[tuple[int, int]]] = {}
-    for k, pos in zip(which.tolist(), where.tolist(), strict=True):
-        for item, at in places[int(wanted[k])]:
-            m = len(items.words[item])
-            slack = m // 4 + 2
-            spans.setdefault(item, []).append((max(0, pos - at - slack), min(len(numbers), pos - at + m + slack)))
-    out = []
-    for item, own in spans.items():
-        own.sort()
-        begin, end = own[0]
-        for b, e in own[1:]:
-            if b > end:
-                out.append((item, begin, end))
-                begin, end = b, e
-            end = max(end, e)
-        out.append((item, begin, end))
-    return out
-
-
-def _leaks_of_block(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
-    wanted, places = seeds(items)
-
-    def least(item: int) -> float:
-        """Score from which the item counts as leaked."""
-        m = len(items.words[item])
-        return (threshold if m >= SHORT else 1.0) * 2 * m
-
-    words = [w.tolist() for w in items.words]
-
-    def settle(todo: list[tuple]) -> pd.DataFrame:
-        todo.sort(key=lambda c: c[3] - c[2])
-        rows = []
-        for lo in range(0, len(todo), 256):
-            part = todo[lo : lo + 256]
-            score = align([items.words[c[1]] for c in part], [c[4] for c in part])
-            for c, s in zip(part, score.tolist(), strict=True):
-                m = len(items.words[c[1]])
-                if s >= least(c[1]):
-                    rows.append((c[0], items.ids[c[1]], s / (2 * m), c[2], c[3]))
-        out = pd.DataFrame(rows, columns=["doc_id", "item_id", "likeness", "begin", "end"])
-        return out.sort_values(["likeness", "begin"], ascending=[False, True])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            todo, done = [], []
-            for row, (doc_id, text) in enumerate(zip(frame["doc_id"], frame["text"], strict=True)):
-                numbers, which, where = _hits(items, wanted, text)
-                for item, b, e in _candidates(items, numbers, which, where, wanted, places):
-                    held = set(numbers[b:e].tolist())
-                    if 2 * sum(w in held for w in words[item]) >= least(item):
-                        todo.append(((row, doc_id), item, b, e, numbers[b:e]))
-                if len(todo) >= 4096:
-                    done.append(settle(todo))
-                    todo = []
-            done.append(settle(todo))
-            found = pd.concat(done).drop_duplicates(["doc_id", "item_id"])
-            yield found.assign(doc_id=[d for _, d in found["doc_id"]]).astype({"item_id": "int64", "likeness": "float64", "begin": "int64", "end": "int64"})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, item_id bigint, likeness double, begin bigint, end bigint")
+def _blocks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> Iterator[Items]:
+    """The benchmark in blocks, with the document frequencies of its words over all of docs."""
+    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(F.col("text").rlike(JAVA_WORDS))
+    (total,) = rows.agg(F.sum(F.octet_length("text"))).first()
+    if not total:
+        return
+    n = -(-total // BLOCK_BYTES)
+    rows = written(rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "items")
+    words = lambda text: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(JAVA_WORDS), F.lit(0)))).alias("word")
+    wanted = written(rows.select(words("text")).distinct(), "item-words")
+    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    counts = written(docs.select(words("text")).join(small, "word").groupBy("word").count(), "item-frequency")
+    for block in range(n):
+        own = rows.filter(F.col("block") == block)
+        texts = sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        if texts:
+            yield Items(texts, {r["word"]: r["count"] for r in counts.join(own.select(words("text")).distinct(), "word", "left_semi").collect()}, threshold)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, likeness, begin, end: items that leaked into documents and the words of the passage around them.
 
-    docs: doc_id, text; benchmark: item_id, text. Null and empty texts hold nothing and no item leaks from them;
-    rows that repeat a doc_id are told apart (each gives its own leaks); a null doc_id stays null. Of several passages
-    of an item in a document the likest counts, the first of equals. Empty tables give no rows.
+    docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Null and empty texts hold nothing and no item leaks from
+    them; rows that repeat a doc_id or an item_id are told apart (each gives its own leaks); a null doc_id or item_id stays null. Of several
+    passages of an item in a document the likest counts, the first of equals. Texts are read whole. Empty tables give no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-benchmark.count() // BLOCK))))
-    rows = written(benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text", block.alias("block")), "items")
-    out = spark.createDataFrame([], "doc_id bigint, item_id bigint, likeness double, begin bigint, end bigint")
-    for (b,) in sorted(rows.select("block").distinct().collect()):
-        items = Items(sorted((r["item_id"], r["text"]) for r in rows.filter(F.col("block") == b).filter("item_id is not null and text is not null").collect()))
-        if items.ids:
-            out = out.union(_leaks_of_block(docs, items, threshold))
+    schema = "doc_id bigint, item_id bigint, likeness double, begin bigint, end bigint"
+
+    def pass_of(items: Items) -> DataFrame:
+        sent = spark.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = sent.value.found(batch.column(1).to_pylist())
+                ids = batch.column(0).to_pylist()
+                cols = [[ids[r] for r, *_ in got], [sent.value.ids[i] for _, i, *_ in got], *([g[k] for g in got] for k in (2, 3, 4))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 2 else pa.int64()) for k, c in enumerate(cols)], names=["doc_id", "item_id", "likeness", "begin", "end"])
+
+        return docs.mapInArrow(run, schema)
+
+    out = spark.createDataFrame([], schema)
+    for items in _blocks(docs, benchmark, threshold):
+        out = out.union(pass_of(items))
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns, without the rows into whose text an item leaked; see ``leaks``.
+
+    Rows go through the workers as they are, so nothing is shuffled and rows need no key: repeated rows and null doc_ids are judged
+    each by its own text. Null and empty texts stay; an empty table or an empty benchmark changes nothing.
+    """
+    at = docs.columns.index("text")
+    for items in list(_blocks(docs, benchmark, threshold)):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                clean[[r for r, *_ in sent.value.found(batch.column(at).to_pylist())]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All leaks of the benchmark into documents; see ``leaks`` for nulls, repeats and empty tables."""
     return leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def decontaminated_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the documents that hold an item of the benchmark; rows are told apart by doc_id and text."""
-    key = F.xxhash64(docs["doc_id"], docs["text"])
-    bad = leaks(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__bad"))
-    bad = written(bad.distinct(), "leaked")
-    return docs.join(bad, key == bad["__bad"], "left_anti")
+    """docs without the documents that hold an item of the benchmark; see ``without_leaks``."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
