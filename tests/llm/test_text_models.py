@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from voxtab.llm import chunks, decontaminate, language_id, quality_cnn, simhash, token_shards
 from voxtab.llm.common import new_folder, written
@@ -107,6 +108,69 @@ def test_language(spark, monkeypatch):
     assert {r["lang_pred"] for r in none.collect()} == {"und"} and language_id.identify(df.limit(0), ["en"], language_id.new_weights(1)).count() == 0
 
 
+def plain_gru(p, text):
+    """Mean probabilities of a text of up to a segment, one byte after the other."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    states = []
+    for w, u, order in ((p["wf"], p["uf"], range(len(text))), (p["wb"], p["ub"], range(len(text) - 1, -1, -1))):
+        h, out, n = np.zeros(language_id.HIDDEN), {}, language_id.HIDDEN
+        for t in order:
+            x, r = w[text[t]], h @ u
+            z, g = sig(x[:n] + r[:n]), sig(x[n : 2 * n] + r[n : 2 * n])
+            h = (1 - z) * np.tanh(x[2 * n :] + g * r[2 * n :]) + z * h
+            out[t] = h
+        states.append([out[t] for t in range(len(text))])
+    e = np.exp(np.concatenate(states, axis=1) @ p["v"] + p["c"])
+    return (e / e.sum(axis=1, keepdims=True)).mean(axis=0)
+
+
+def test_pooled_positions_match_a_plain_network():
+    p, rng = language_id.new_weights(3), np.random.default_rng(2)
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (1, 2, 50, language_id.SEGMENT)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    assert np.allclose(language_id.pooled(p, data, offsets), [plain_gru(p, t) for t in texts], atol=1e-5)
+
+
+def test_language_stage_keeps_rows_as_they_are(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "STEPS", 60)
+    rows = [(i % 7, "the cat and this house " * 3 if i % 2 else "für über schön größe " * 3, "en" if i % 2 else "de") for i in range(60)]
+    df = docs(spark, [*rows, (3, None, None), (None, "the house and the cat", None), (4, "", "en"), (4, "123", "en"), (9, "the cat " * 40_000, None)]).withColumn("score", F.lit(1))
+    kept = language_id.language_stage(spark, df, "")
+    assert kept.schema == df.schema and kept.count() == 62 and language_id.language_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_samples_are_bounded_whatever_repeats(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language_id, "DOCS_PER_LABEL", 5)
+    monkeypatch.setattr(language_id, "train", lambda texts, labels, n: seen.update(language=len(texts)) or language_id.new_weights(n))
+    df = docs(spark, [(1, "the same text", "en")] * 500 + [(1, f"another text {i}", "en") for i in range(300)] + [(2, "kurz", "de")])
+    assert language_id.learn(df)[0] == ["de", "en"] and seen["language"] <= 2 * 5 * language_id.WINDOWS
+    monkeypatch.setattr(quality_cnn, "DOCS_PER_LABEL", 5)
+    monkeypatch.setattr(quality_cnn, "train", lambda texts, labels: seen.update(quality=len(texts)) or quality_cnn.new_weights())
+    marks = spark.createDataFrame([(1, 1, 0)] * 300 + [(2, 0, 0)] * 300 + [(None, 0, 0)], "doc_id bigint, quality int, toxic int")
+    quality_cnn.learn(df, marks)
+    assert seen["quality"] == 2
+
+
+def plain_cnn(p, text):
+    """Probability of a text by sliding each filter over each chunk, one place after the other."""
+    w, tops = quality_cnn.WIDTH, []
+    for begin in range(0, max(1, len(text) - w + 1), quality_cnn.STRIDE):
+        chunk = text[begin : begin + quality_cnn.CHUNK]
+        size, chunk = len(chunk), np.frombuffer(chunk.ljust(quality_cnn.CHUNK, bytes(1)), np.uint8)
+        tops.append(np.max([p["e"][chunk[i : i + w]].reshape(-1) @ p["k"] for i in range(max(0, size - w) + 1)], axis=0))
+    f = np.tanh(np.concatenate([np.mean(tops, axis=0), np.max(tops, axis=0)]))
+    return 1 / (1 + np.exp(-(f @ p["v"] + p["c"][0])))
+
+
+def test_filters_match_a_plain_network():
+    p, rng = quality_cnn.new_weights(), np.random.default_rng(2)
+    p["v"] *= 10
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 7, 8, 9, 256, 257, 900)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    assert np.allclose(quality_cnn.probability(p, data, offsets), [plain_cnn(p, t) for t in texts], atol=1e-5)
+
+
 def test_quality(spark, monkeypatch):
     monkeypatch.setattr(quality_cnn, "STEPS", 150)
     rows = [(i, ("a calm plain sentence here. " if i % 2 else "BUY!! $$$ NOW!! ") * (1 + i % 40), None) for i in range(120)]

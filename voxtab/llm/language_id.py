@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxtab.llm.chunks import Adam, blocks, buffers
@@ -20,7 +20,8 @@ from voxtab.llm.common import table
 HIDDEN = 8
 SEGMENT = 128
 ROWS = 2048
-#: Bound of the training sample: documents of each language (in expectation), windows of each, characters of a window.
+#: Bound of the training sample: the most frequent languages, documents of each, windows of each, characters of a window.
+LANGUAGES = 500
 DOCS_PER_LABEL = 400
 WINDOWS = 4
 WINDOW_CHARS = 64
@@ -126,23 +127,40 @@ def has_letter(text: Column) -> Column:
 
 
 def learn(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Languages and weights from labelled rows (doc_id, text, lang): a bounded sample, spread by a hash of doc_id."""
+    """Languages and weights from labelled rows (doc_id, text, lang): a bounded sample, the lowest hashes of (doc_id, text).
+
+    At most LANGUAGES languages (the most frequent) and DOCS_PER_LABEL documents of each come to the driver, however often
+    rows or ids repeat. Rows without a language or a letter teach nothing; no such rows, no languages.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & has_letter(F.col("text")))
-    counts = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect())
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text", F.lit(1)))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = sorted((r["lang"], r["texts"]) for r in counts.collect())
+    # About twice as many as are wanted get past the share, so that the ranking below sees few rows.
     share = F.lit(0)
     for lang, n in counts:
-        share = F.when(F.col("lang") == lang, int(min(1.0, DOCS_PER_LABEL / n) * 1_000_000) + 1).otherwise(share)
-    some = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < share)
+        share = F.when(F.col("lang") == lang, int(min(1.0, 2 * DOCS_PER_LABEL / max(1, n)) * 1_000_000) + 1).otherwise(share)
+    some = rows.filter(F.pmod("h", F.lit(1_000_000)) < share)
     room = F.greatest(F.length("text") - WINDOW_CHARS, F.lit(0))
     begin = lambda k: (F.floor(room * k / max(1, WINDOWS - 1)) + 1).cast("int")
     windows = F.array(*[F.encode(F.substring("text", begin(k), F.lit(WINDOW_CHARS)), "UTF-8") for k in range(WINDOWS)])
-    got = some.select("lang", F.explode(windows).alias("x")).toPandas()
+    some = some.select("lang", "h", windows.alias("xs")).dropDuplicates(["lang", "h"])
+    some = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_000)), "h"))).filter(F.col("place") <= DOCS_PER_LABEL)
+    got = some.select("lang", F.explode("xs").alias("x")).toPandas()
     order = got.assign(x=[bytes(x) for x in got["x"]]).sort_values(["lang", "x"])
     names = [lang for lang, _ in counts]
     index = {lang: i for i, lang in enumerate(names)}
     return names, train(order["x"].tolist(), [index[v] for v in order["lang"]], max(1, len(names)))
 
 
+def judged(weights: dict[str, np.ndarray], names: list[str], data: pa.Array, letters: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best label, whether there is one, and its probability (else 0) of each text (bytes, without nulls) of a batch."""
+    prob = pooled(weights, *buffers(data)).round(9)
+    known = letters.to_numpy(zero_copy_only=False) & bool(names)
+    best = prob.argmax(axis=1)
+    return best, known, np.where(known, np.clip(prob[np.arange(len(best)), best], 0, 1), 0.0)
+
+
 def identify(docs: DataFrame, names: list[str], weights: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of docs (doc_id, text).
 
@@ -159,13 +177,8 @@ def identify(docs: DataFrame, names: list[str], weights: dict[str, np.ndarray])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            prob = pooled(weights, *buffers(batch.column(3))).round(9)
-            known = batch.column(2).to_numpy(zero_copy_only=False) & bool(names)
-            best = prob.argmax(axis=1)
+            best, known, score = judged(weights, names, batch.column(3), batch.column(2))
             pred = pa.array([names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], pa.string())
-            score = np.where(known, np.clip(prob[np.arange(len(best)), best], 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pred, pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
@@ -176,17 +189,28 @@ def _learnable(docs: DataFrame) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; see ``identify`` for nulls, repeats and empty tables."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs.select("doc_id", "text"), *learn(_learnable(docs)))
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that have no language (no letter) or whose pooled probability is below LEAST_SCORE.
+def with_language(docs: DataFrame, names: list[str], weights: dict[str, np.ndarray], least: float = LEAST_SCORE) -> DataFrame:
+    """docs, all columns, without the rows that have no language (no letter) or whose pooled probability is below ``least``.
 
-    Rows are told apart by doc_id and text, so a null or repeated doc_id takes no other row with it.
+    Rows go through the workers as they are, so nothing is shuffled and rows need no key: repeated rows and null doc_ids are judged
+    each by its own text. Null and empty texts go; an empty table stays empty. The names ``__letter`` and ``__data`` are taken.
     """
-    names, weights = learn(_learnable(docs))
-    key = F.xxhash64(docs["doc_id"], docs["text"])
-    found = identify(docs.select(key.alias("doc_id"), "text"), names, weights)
-    bad = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, key == bad["__bad"], "left_anti")
+    width = len(docs.columns)
+    rows = docs.withColumn("__letter", has_letter(F.col("text"))).withColumn("__data", F.coalesce("text", F.lit("")).cast("binary"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, known, score = judged(weights, names, batch.column(width + 1), batch.column(width))
+            yield batch.select(list(range(width))).filter(pa.array(known & (score >= least)))
+
+    return rows.mapInArrow(run, docs.schema)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without documents that the language ID rejects; see ``with_language``."""
+    return with_language(docs, *learn(_learnable(docs)))

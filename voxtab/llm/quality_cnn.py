@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxtab.llm.chunks import Adam, blocks, buffers
@@ -24,7 +24,7 @@ FILTERS = 16
 CHUNK = 256
 STRIDE = CHUNK - WIDTH + 1
 ROWS = 256
-#: Bound of the training sample: documents of each label (in expectation) and evenly spread windows of CHUNK characters.
+#: Bound of the training sample: documents of each label and evenly spread windows of CHUNK characters.
 DOCS_PER_LABEL = 1500
 WINDOWS = 6
 #: Passes over the sample, more where it is so small that they would be fewer than STEPS steps.
@@ -100,20 +100,28 @@ def train(docs: list[list[bytes]], labels: list[int], epochs: int = EPOCHS) -> d
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
-    """Weights from docs (doc_id, text) and labels (doc_id, quality); rows without a label or text teach nothing."""
-    marks = labels.filter("quality in (0, 1)").select(F.col("doc_id").alias("__id"), "quality")
-    counts = {r["quality"]: r["count"] for r in marks.groupBy("quality").count().collect()}
+    """Weights from docs (doc_id, text) and labels (doc_id, quality).
+
+    Rows without a label of 0 or 1, an id or a text teach nothing. Of each label the DOCS_PER_LABEL ids of lowest hash are the sample, of rows that
+    repeat an id the text of lowest hash, so that at most twice as many rows are broadcast and come to the driver, however often rows or ids repeat. If only one
+    label occurs, every text has its score; without labels every score is 0.5.
+    """
+    marks = labels.filter("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("__id"), "quality")
+    found = marks.groupBy("quality").agg(F.count("*").alias("n"), F.approx_count_distinct("__id").alias("ids")).collect()
+    counts, ids = {r["quality"]: r["n"] for r in found}, {r["quality"]: r["ids"] for r in found}
     if len(counts) < 2:
         p = new_weights()
         p["v"][:] = 0
         return p | {"c": np.array([40.0 if counts.get(1) else -40.0 if counts.get(0) else 0.0], dtype=np.float32)}
-    take = F.when(F.col("quality") == 0, int(min(1.0, DOCS_PER_LABEL / counts[0]) * 1_000_000) + 1).otherwise(int(min(1.0, DOCS_PER_LABEL / counts[1]) * 1_000_000) + 1)
-    marks = marks.filter(F.pmod(F.xxhash64("__id", F.lit(2)), F.lit(1_000_000)) < take)
-    # About 2 * DOCS_PER_LABEL rows of 12 bytes at any size of the tables, so the texts need no shuffle.
+    share = lambda n: int(min(1.0, 2 * DOCS_PER_LABEL / max(1, n)) * 1_000_000) + 1
+    place = F.pmod(F.xxhash64("__id", F.lit(2)), F.lit(1_000_000))
+    marks = marks.filter(place < F.when(F.col("quality") == 0, share(ids[0])).otherwise(share(ids[1]))).distinct()
+    marks = marks.withColumn("n", F.row_number().over(Window.partitionBy("quality").orderBy(place, "__id"))).filter(F.col("n") <= DOCS_PER_LABEL).drop("n")
+    # At most 2 * DOCS_PER_LABEL rows of 12 bytes at any size of the tables, so the texts need no shuffle.
     rows = docs.filter("text is not null").join(F.broadcast(marks), docs["doc_id"] == marks["__id"])
     room = F.greatest(F.length("text") - CHUNK, F.lit(0))
     windows = F.array(*[F.encode(F.substring("text", (F.floor(room * k / (WINDOWS - 1)) + 1).cast("int"), F.lit(CHUNK)), "UTF-8") for k in range(WINDOWS)])
-    got = rows.select("quality", F.array_distinct(windows).alias("x")).toPandas()
+    got = rows.groupBy("__id", "quality").agg(F.min_by(F.array_distinct(windows), F.xxhash64("text")).alias("x")).toPandas()
     sample = sorted((int(q), [bytes(w) for w in x]) for q, x in zip(got["quality"], got["x"], strict=True))
     p = train([w for _, w in sample], [q for q, _ in sample])
     ones = sum(q for q, _ in sample)
@@ -141,6 +149,7 @@ def score(docs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document; see ``score`` for nulls, repeats and empty tables."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marks = table(spark, sf_dir, "labels").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     return score(docs, learn(docs, marks))
