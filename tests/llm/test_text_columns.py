@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from voxtab.llm import chat_format, mixing, sanitise, url_filters, winnowing
 
@@ -180,17 +181,27 @@ def test_winnowing(spark):
     assert [int(e.split(":")[1]) for e in got[6]["s"].split()] == sorted(range(7, 26)), "the rightmost of equal hashes"
 
 
-def test_next_row(spark):
-    ids = [5, 64, 65, 4096, 10**12, -3, 262144 * 5]
-    df = spark.createDataFrame([(i, f"t{i}", "n") for i in ids], "doc_id bigint, text string, next0 string")
-    got = {r["doc_id"]: r["next"]["text"] for r in winnowing.with_next(df, "doc_id", "text", ["text"]).collect()}
-    order = sorted(ids)
-    assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
-    assert winnowing.with_next(df.limit(0), "doc_id", "text", ["text"]).count() == 0
-    (one,) = winnowing.with_next(df.limit(1), "doc_id", "text", ["text"]).collect()
+@pytest.mark.parametrize("rows", [1, 4096])
+def test_next_row(spark, monkeypatch, rows):
+    monkeypatch.setattr(winnowing, "BUCKET_ROWS", rows)
+    rng = random.Random(rows)
+    ids = [5, 64, 65, 4096, 10**12, -3, 262144 * 5, *[rng.randrange(-(2**61), 2**61) for _ in range(300)], *[7] * 40, *[None] * 30, 6, 8]
+    df = spark.createDataFrame([(i, n % 25 if i == 7 else n, f"t{i}", "n") for n, i in enumerate(ids)], "doc_id bigint, h bigint, text string, next string")
+    df = df.withColumn("text", F.concat("text", F.lit("/"), F.col("h").cast("string")))
+    order = sorted(((-(2**62) if r["doc_id"] is None else r["doc_id"], r["h"], r["text"]) for r in df.collect()))
+    want = sorted((a[2], b[2]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted((r["text"], r["next"]["text"]) for r in winnowing.with_next(df, "doc_id", "h", ["text"]).collect()) == want
+    assert winnowing.with_next(df.limit(0), "doc_id", "h", ["text"]).count() == 0
+    (one,) = winnowing.with_next(df.limit(1), "doc_id", "h", ["text"]).collect()
     assert one["next"]["text"] == one["text"]
 
 
+def test_next_row_of_many_equal_rows(spark):
+    df = spark.range(20_000).selectExpr("CASE WHEN id < 10 THEN id ELSE 5 END AS doc_id", "1L AS h", "CASE WHEN id < 10 THEN cast(id AS string) ELSE '5' END AS text")
+    got = {(r["text"], r["text2"]): r["count"] for r in winnowing.with_next(df, "doc_id", "h", ["text"]).groupBy("text", F.col("next.text").alias("text2")).count().collect()}
+    assert got == {(str(i), str((i + 1) % 10)): 1 for i in range(10)} | {("5", "5"): 19_990}
+
+
 # Mixing
 
 
@@ -231,6 +242,33 @@ def test_mix(spark):
     assert mixing.mix(docs(spark).limit(0)).count() == 0
 
 
+def test_rates_solve_the_dual(spark):
+    """lambda of the plain problem by bisection."""
+    sizes = [1, 2, 3, 5, 8, 13, 21]
+    mean, goal = sum(sizes) / len(sizes), {1: 1.4, 2: 0.6, 3: 1.0}
+    classes = spark.createDataFrame([(s, n, 10, n / mean) for s in goal for n in sizes], "s_id int, size bigint, n bigint, c double")
+    goals = spark.createDataFrame([(s, 10 * sum(sizes) * g, False) for s, g in goal.items()], "s_id int, target double, full boolean")
+    got = {r["s_id"]: r["lam"] for r in mixing.solve(classes, goals).collect()}
+    for s, g in goal.items():
+        lo, hi = -20.0, 20.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(n * min(3, math.exp(mid * n / mean)) for n in sizes) < g * sum(sizes) else (lo, mid)
+        assert got[s] == pytest.approx(lo, abs=1e-6)
+
+
+def test_equal_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CLASS_ROWS", 50)
+    df = docs(spark, "a b c", "x y z w", sources=["s", "t"]).withColumn("row", F.lit(1)).withColumn("n", F.explode(F.sequence(F.lit(1), F.when(F.col("source") == "s", 3000).otherwise(400)))).repartition(4)
+    rows = mixing.mix(df, carry=["doc_id", "source", "row"]).collect()
+    taken, target = {}, {}
+    for r in rows:
+        taken[r["row"]["source"]] = taken.get(r["row"]["source"], 0) + r["copies"] * r["size"]
+        target[r["row"]["source"]] = r["target"]
+    assert len(rows) == 3400 and all(abs(taken[s] - target[s]) <= 200 for s in taken) and all(0 <= r["copies"] <= 3 for r in rows)
+    assert set(mixing.mixed_stage(spark, df, "").columns) == set(df.columns)
+
+
 def test_large_classes_are_salted(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CLASS_ROWS", 10)
     rows = mixing.mix(docs(spark, *["a b c"] * 200, *["x"] * 7, sources=["s"] * 200 + ["t"] * 7)).collect()

@@ -12,6 +12,8 @@ All sums are exact decimals, so reruns agree.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ CAP = 3
 STEPS = 60
 TOLERANCE = 1e-9
 TOUCH_UPS = 6
-#: Documents of a (source, size) class that one task ranks at once; larger classes are salted.
+#: Documents of a (source, size) class that one task ranks at once; larger classes are salted, and rows that are all equal are dealt out.
 CLASS_ROWS = 2000
 #: Classes are broadcast up to this many rows (about 50 bytes each).
 BROADCAST_ROWS = 200_000
@@ -80,6 +82,8 @@ def solve(classes: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
         lam = cut(sums.select("s_id", "target", nxt.alias("lam"), "lo", "hi", (F.col("done") | done).alias("done")))
         if lam.filter(~F.col("done")).isEmpty():
             break
+    else:
+        warnings.warn(f"{lam.filter(~F.col('done')).count()} sources are not within {TOLERANCE} of their targets after {STEPS} steps", stacklevel=2)
     return lam.select("s_id", F.round("lam", 9).alias("lam"))
 
 
@@ -105,15 +109,15 @@ def allot(classes: DataFrame, goals: DataFrame, lam: DataFrame, cap: int = CAP)
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """row (a struct of docs' columns), size, source_size, target, copies for every row of docs.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, carry: list[str] | None = None) -> DataFrame:
+    """row (a struct of the carried columns, all if not given), size, source_size, target, copies for every row of docs.
 
-    docs: doc_id, source, text and any other columns. A null text has size 0; a null source is the last source. Rows of
-    size 0 keep one copy unless their source is full. Repeated rows count and are taken like different ones.
-    An empty table gives no rows.
+    docs: doc_id, source, text and any other columns, whatever their names. A null text has size 0; a null source is the last
+    source; a null doc_id counts like any other. Rows of size 0 keep one copy unless their source is full. Repeated rows count and are taken like
+    different ones. Of rows with equal doc_id and text it is open which take the odd copies. An empty table gives no rows.
     """
     rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        F.struct(*[docs[c] for c in carry or docs.columns]).alias("row"),
         docs["source"].alias("source"),
         n_words(docs["text"]).alias("size"),
         F.xxhash64(docs["doc_id"], docs["text"]).alias("h"),
@@ -133,7 +137,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
     out = rows.join(plan, rows["source"].eqNullSafe(plan["p_source"]) & (rows["size"] == plan["p_size"]))
-    out = out.withColumn("salt", F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.floor(F.col("p_n") / CLASS_ROWS))))
+    salt = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.floor(F.col("p_n") / CLASS_ROWS)))
+    # Rows that are equal have one hash and one salt; many of them are dealt out by where they stand in their partition.
+    equal = out.filter(F.col("p_n") >= 2 * CLASS_ROWS).groupBy(F.col("h").alias("e_h")).agg(F.count("*").alias("e_n")).filter(F.col("e_n") > CLASS_ROWS)
+    equal = written(equal, "mix-equal")
+    many = equal.count()
+    if many:
+        out = out.withColumn("seq", F.monotonically_increasing_id()).join(F.broadcast(equal) if many <= BROADCAST_ROWS else equal, F.col("h") == F.col("e_h"), "left")
+        salt = F.when(F.col("e_h").isNull(), salt).otherwise(F.xxhash64("h", F.pmod(F.xxhash64("seq"), F.ceil(F.col("e_n") / CLASS_ROWS))))
+    out = out.withColumn("salt", salt)
     # How many of the class's odd copies each salt gets, by prefix sums over salts: only classes and salts, no rows.
     salts = out.groupBy("p_s_id", "p_size", "p_n", "p_copies", "salt").agg(F.count("*").alias("m"))
     salts = salts.filter(F.col("p_n") >= 2 * CLASS_ROWS)
@@ -146,21 +158,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     if salts.count() <= BROADCAST_ROWS:
         salts = F.broadcast(salts)
     out = out.join(salts, (out["p_s_id"] == salts["a"]) & (out["p_size"] == salts["b"]) & (out["salt"] == salts["k"]), "left")
-    rank = F.row_number().over(Window.partitionBy("p_s_id", "p_size", "salt").orderBy("h", "row.doc_id"))
+    rank = F.row_number().over(Window.partitionBy("p_s_id", "p_size", "salt").orderBy("h"))
     extra = (rank <= F.coalesce("share", F.pmod("p_copies", "p_n"))).cast("long")
     copies = F.floor(F.col("p_copies") / F.col("p_n")) + extra
     return out.select("row", "size", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), copies.cast("long").alias("copies"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for every document."""
+    """doc_id, size, source_size, target, taken, copies for every document; see ``mix`` for nulls, repeats and empty tables."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mix(docs)
+    mixed = mix(docs, carry=["doc_id"])
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with each row as often as the mix takes it."""
+    """docs with each row as often as the mix takes it, so that some are gone; all columns stay. See ``mix`` for nulls, repeats and empty tables."""
     mixed = mix(docs).filter("copies > 0")
     each = mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return each.select("row.*")

@@ -19,10 +19,11 @@ from voxtab.llm.common import SPACE, table, written
 K = 5
 W = 8
 LAST = 2**31 - 1
-#: Neighbouring ids that are sorted together (2**6), and neighbouring buckets at each level above (2**12).
+#: Neighbouring ids that are sorted together (2**6).
 NEAR_BITS = 6
-FAN_BITS = 12
-#: Buckets (24 bytes each) that are broadcast at most; with more of them the join shuffles.
+#: Rows of a bucket of neighbouring ids beyond which it is split by id and tie, and equal rows beyond which they are counted.
+BUCKET_ROWS = 4096
+#: Buckets (some 40 bytes each) that are broadcast at most; with more of them the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -79,40 +80,70 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(x) + F.size(y) - both))
 
 
-def _next_key(keys: DataFrame, levels: int) -> DataFrame:
-    """key, after: each key's successor, null for the last. Sorted within groups of 2**FAN_BITS, then group by group."""
-    if levels == 0:
-        return keys.select("key", F.lead("key").over(Window.orderBy("key")).alias("after"))
-    keys = keys.withColumn("top", F.shiftright("key", FAN_BITS))
-    firsts = keys.groupBy("top").agg(F.min("key").alias("first"))
-    tops = _next_key(firsts.select(F.col("top").alias("key")), levels - 1)
-    over = tops.join(firsts.withColumnRenamed("top", "after"), "after").select(F.col("key").alias("top"), F.col("first").alias("over"))
-    within = keys.withColumn("after", F.lead("key").over(Window.partitionBy("top").orderBy("key")))
-    return within.join(over, "top", "left").select("key", F.coalesce("after", "over").alias("after"))
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _with_following(keys: DataFrame, order: list[str]) -> DataFrame:
+    """keys (rows all different) with ``after``, a struct of the row after it in ascending order, the first after the last.
+
+    Rows are sorted within ranges; the first row of each range, one a range, follows the last of the range before.
+    """
+    ranged = keys.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    ranged = written(ranged, "next-ranges")
+    whole = F.struct(*keys.columns)
+    heads = ranged.groupBy("__range").agg(F.min(F.struct(*order, whole.alias("row")))["row"].alias("head"))
+    ring = Window.orderBy("__range")  # a row for each range, however many keys
+    heads = heads.withColumn("over", F.coalesce(F.lead("head").over(ring), F.first("head").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    within = ranged.withColumn("within", F.lead(whole).over(Window.partitionBy("__range").orderBy(*order)))
+    return within.join(F.broadcast(heads.select("__range", "over")), "__range").select(*keys.columns, F.coalesce("within", "over").alias("after"))
 
 
 def with_next(df: DataFrame, key: str, tie: str, carry: list[str]) -> DataFrame:
     """df with ``next``, a struct of the carried columns of the row after it in ascending key, the first after the last.
 
-    Only 2**NEAR_BITS neighbouring ids are sorted together: the first row of each bucket of ids also goes, as a guest, to the
-    bucket before it. Null keys come first; rows with equal keys follow each other by ``tie``.
+    Null keys come first; rows with equal keys follow each other by ``tie`` (a long), and rows that are equal in both must be equal
+    in all columns. A column ``next`` of df is replaced; names that begin with ``__`` are taken. An empty table gives no rows.
+
+    Neighbouring ids are sorted together in buckets, and the first row of each bucket also goes, as a guest, to the
+    bucket before it. Buckets of many rows (ids that repeat, nulls) are split by id and tie; of many equal rows one
+    is sorted, the others are followed by their like.
     """
     low = -(2**62)
-    df = df.withColumn("__id", F.coalesce(F.col(key), F.lit(low))).withColumn("__b", F.shiftright("__id", NEAR_BITS))
-    buckets = df.groupBy("__b").agg(F.min("__id").alias("__first"))
-    after = _next_key(buckets.select(F.col("__b").alias("key")), 2)
-    start = buckets.agg(F.min("__b")).first()[0]
-    before = after.select(F.col("key").alias("__before"), F.coalesce("after", F.lit(start)).alias("__b"))
-    links = written(before.join(buckets, "__b"), "next-links")
-    if links.count() <= BROADCAST_ROWS:
-        links = F.broadcast(links)
-    rows = df.join(links, "__b", "left")
-    seats = F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("g")), F.struct(F.col("__before").alias("b"), F.lit(1).alias("g")))
-    seats = F.when(F.col("__id") == F.col("__first"), seats).otherwise(F.slice(seats, 1, 1))
-    rows = rows.withColumn("__seat", F.explode(seats)).drop("__b", "__first", "__before")
+    df = df.drop("next").withColumn("__id", F.coalesce(F.col(key).cast("bigint"), F.lit(low)))
+    slim = df.select("__id", F.col(tie).alias("__tie"))
+    equal = written(slim.groupBy("__id", "__tie").agg(F.count("*").alias("__n")).filter(F.col("__n") > BUCKET_ROWS), "next-equal")
+    spare = None
+    if not equal.isEmpty():
+        like = _small(equal.select(F.col("__id").alias("__e"), F.col("__tie").alias("__t"), "__n"))
+        marked = df.join(like, (F.col("__id") == F.col("__e")) & (F.col(tie) == F.col("__t")), "left")
+        single = marked.filter("__n is not null").dropDuplicates(["__e", "__t"])
+        spare = single.withColumn("next", F.struct(*carry)).select("*", F.explode(F.sequence(F.lit(2), "__n"))).select(*df.columns, "next").drop("__id")
+        df = marked.filter("__n is null").select(*df.columns).union(single.select(*df.columns))
+    group = F.shiftright("__id", NEAR_BITS)
+    big = slim.groupBy(group.alias("__g")).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > BUCKET_ROWS)
+    big = written(big.withColumn("__bits", F.least(F.lit(40), F.ceil(F.log2(F.col("__rows") / BUCKET_ROWS)) + 1).cast("int")).select("__g", "__bits"), "next-big")
+    if big.isEmpty():
+        b1, b2 = group, F.lit(0).cast("bigint")
+    else:
+        df = df.join(_small(big), group == F.col("__g"), "left").drop("__g")
+        b1 = F.when(F.col("__bits").isNull(), group).otherwise(F.shiftright("__id", NEAR_BITS))
+        b2 = F.when(F.col("__bits").isNull(), F.lit(0)).otherwise(F.expr(f"shiftright({tie}, 64 - __bits)")).cast("bigint")
+    sub = F.lit(0).cast("bigint") if big.isEmpty() else F.when(F.col("__bits").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("__id"))
+    df = df.withColumn("__b1", b1).withColumn("__b2", sub).withColumn("__b3", b2).drop("__bits")
+    names = ["__b1", "__b2", "__b3"]
+    buckets = df.groupBy(*names).agg(F.min(F.struct(F.col("__id").alias("i"), F.col(tie).alias("t"))).alias("__first"))
+    after = _with_following(buckets, names)
+    before = after.select(F.struct(*names).alias("__before"), *[F.col(f"after.{n}").alias(n) for n in names], F.col("after.__first").alias("__first"))
+    links = _small(written(before, "next-links"))
+    rows = df.join(links, names, "left")
+    seats = F.array(F.struct(F.struct(*names).alias("b"), F.lit(0).alias("g")), F.struct(F.col("__before").alias("b"), F.lit(1).alias("g")))
+    seats = F.when(F.struct(F.col("__id").alias("i"), F.col(tie).alias("t")) == F.col("__first"), seats).otherwise(F.slice(seats, 1, 1))
+    rows = rows.withColumn("__seat", F.explode(seats)).drop(*names, "__first", "__before")
+    # Of several equal rows that come first each is a guest; the guest's place among them does not matter.
     order = Window.partitionBy("__seat.b").orderBy("__seat.g", "__id", tie)
-    rows = rows.withColumn("next", F.lead(F.struct(*carry)).over(order))
-    return rows.filter("__seat.g = 0").drop("__seat", "__id")
+    rows = rows.withColumn("next", F.lead(F.struct(*carry)).over(order)).filter("__seat.g = 0").drop("__seat", "__id")
+    return rows if spare is None else rows.unionByName(spare)
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
