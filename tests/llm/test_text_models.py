@@ -61,6 +61,16 @@ def test_shards(spark, monkeypatch):
     assert token_shards.read_shards(token_shards.write_shards(docs(spark, []), new_folder(spark, "none"), token_shards.tokenizer_path()), folder).count() == 0
 
 
+def test_shards_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(token_shards, "SHARD_IDS", 3000)
+    df = spark.range(4000).selectExpr("CASE WHEN id < 5 THEN id WHEN id < 2000 THEN 7 END AS doc_id", "CASE WHEN id < 5 THEN 'a b' WHEN id < 2000 THEN 'same text' WHEN id < 3000 THEN 'no id' ELSE 'none' END AS text")
+    folder = new_folder(spark, "many")
+    manifest = token_shards.write_shards(df, folder, token_shards.tokenizer_path())
+    got = sorted((r["start"], r["n_tokens"], -1 if r["doc_id"] is None else r["doc_id"]) for r in token_shards.read_shards(manifest, folder).collect())
+    assert len(got) == 4000 and [d for *_, d in got] == [-1] * 2000 + list(range(5)) + [7] * 1995
+    assert all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:], strict=False)) and got[0][0] == 0
+
+
 # Models
 
 

@@ -208,13 +208,11 @@ def _open(folder: str):  # noqa: ANN202
 
 
 def _put(folder: str, name: str, data: bytes) -> None:
-    """Write a whole file under another name, then move it: a task that is run again replaces it by the same bytes."""
+    """Write a whole file; its name holds the task's attempt, so that a task that is run again touches no file of its first run."""
     store, path = _open(folder)
     store.create_dir(path, recursive=True)
-    part = f"{path}/.{name}.{TaskContext.get().taskAttemptId()}"
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(f"{path}/{name}") as out:
         out.write(data)
-    store.move(part, f"{path}/{name}")
 
 
 MANIFEST = "name string, first_id bigint, last_id bigint, docs bigint, ids bigint"
@@ -224,20 +222,21 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
     """Write the texts of docs (doc_id, text) as shards in ascending doc_id order; the manifest of what was written.
 
     Null and empty texts are one end id; a null doc_id is written as the smallest long; rows that repeat a doc_id
-    follow each other by text and have keys of their own. An empty table writes no shard.
+    follow each other by a hash of their text, dealt to as many tasks as they need, and are numbered within each task's part. An
+    empty table writes no shard. Other columns are ignored.
     """
 
     width = id_bytes(path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard, last, seen = TaskContext.get().partitionId(), 0, None, 0
+        part, attempt, shard, last, seen = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, None, 0
         keys: list[tuple[int, int]] = []
         data: list[bytes] = []
         held = 0
 
         def close() -> pa.RecordBatch:
             nonlocal keys, data, held, shard
-            name = f"{part:06d}-{shard:04d}"
+            name = f"{part:06d}-{shard:04d}-{attempt}"
             lengths = np.array([len(x) // width for x in data], dtype=np.int64)
             k = np.array(keys, dtype=KEY)
             _put(folder, f"{name}.bin", b"".join(data))
@@ -263,10 +262,16 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
             yield close()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Equal rows may stand in any order, so where they stand in the input lets ranges cut between them.
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("seq", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange("doc_id", "h", "seq").sortWithinPartitions("doc_id", "h").drop("h", "seq")
     shards = written(rows.mapInArrow(run, MANIFEST), "shard-list")
-    before = F.sum("ids").over(Window.orderBy("first_id", "name").rowsBetween(Window.unboundedPreceding, -1))
-    shards = shards.withColumn("before", F.coalesce(before, F.lit(0)))
+    # Ids before each shard: within its task's shards, and of all tasks before (one row a task).
+    shards = shards.withColumn("part", F.substring("name", 1, 6))
+    tasks = shards.groupBy("part").agg(F.sum("ids").alias("own"))
+    earlier = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy("name" if by else "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = tasks.select("part", earlier("own").alias("base"))
+    shards = shards.join(tasks, "part").withColumn("before", F.col("base") + earlier("ids", "part")).drop("part", "base")
     shards.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(shards.schema).parquet(f"{folder}/manifest")
 
@@ -293,7 +298,8 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def lookup(keys: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, ids (array) for keys (doc_id, occurrence 0) that some shard holds; others have null ids.
+    """doc_id, ids (array) for keys (doc_id, occurrence 0) that some shard holds; others have null ids. Of a doc_id whose rows fill
+    several shards each shard gives one row.
 
     Keys meet shards by range: shards are few (one row per 16 MB), keys go to the task of their shard.
     """
@@ -322,12 +328,13 @@ def tokenizer_path() -> str:
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids stand; see ``write_shards`` for nulls, repeats and empty tables."""
     folder = new_folder(spark, "token-shards")
     manifest = write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, tokenizer_path())
     return read_shards(manifest, folder)
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where the ids of each row of docs stand in the written shards."""
+    """Where the ids of each row of docs stand in the written shards; see ``write_shards`` for nulls, repeats and empty tables."""
     folder = new_folder(spark, "token-shards")
     return read_shards(write_shards(docs.select("doc_id", "text"), folder, tokenizer_path()), folder)
