@@ -151,10 +151,79 @@ def test_rules_and_templates(spark):
     assert len(got) == len(urls)
     assert [got[i]["rule"] for i in range(8)] == [None, None, "example.org/es/", "example.org/en/1", "org/", "com/de/", "com/fr/", None]
     assert (got[2]["host"], got[2]["path"]) == ("a.b.example.org", "/es/1") and (got[7]["host"], got[7]["path"]) == ("org", "")
-    assert all(got[i]["verdict"] == "block" for i in range(9, len(urls))) and got[20]["template"] == "/de/#//"
+    assert all(got[i]["verdict"] == "block" for i in range(9, 39)) and got[20]["template"] == "/de/#" and got[45]["template"] == "/en/#"
     assert url_filters.judge(df.limit(0)).count() == 0
 
 
+def plain_tree(urls):
+    """Template and purity of each url by recursion over nodes."""
+    rules = {r: v for r, v in url_filters.RULES}
+    pages = []
+    for url in urls:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match("[^/?#]*", rest)[0].lower()
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        fits = [r for r in rules for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        rule = max(fits, key=len) if fits else None
+        pages.append((host, re.sub("[0-9]+", "#", path), None if rule is None else rules[rule] == "block"))
+    label = lambda group: (sum(x[2] is True for x in group), sum(x[2] is not None for x in group))
+    smooth = lambda group, above: (label(group)[0] + 4 * above) / (label(group)[1] + 4)
+    out = {}
+
+    def node(group, template, level, purity):
+        children = {}
+        for x in group:
+            parts = x[1].split("/")
+            if len(parts) <= level:
+                out[x[0], x[1]] = (template, purity)
+            else:
+                children.setdefault(parts[level], []).append(x)
+        total = sum(map(len, children.values()))
+        if (len(children) >= 10 and len(children) > 0.3 * total) or len(children) > url_filters.WIDE:
+            merged = {}
+            for seg, g in children.items():
+                merged.setdefault("*" if seg else "", []).extend(g)
+            children = merged
+        for known in (0, 1):
+            order = sorted((label(g)[0] / label(g)[1] if known else 0, seg) for seg, g in children.items() if (label(g)[1] > 0) == bool(known))
+            branches = []
+            for share, seg in order:
+                b, n = label(children[seg])
+                if branches:
+                    b0, n0 = label(children[branches[-1][-1]])
+                    p = (b + b0) / (n + n0) if known else 0
+                    apart = known and 0 < p < 1 and abs(share - b0 / n0) >= 1.96 * math.sqrt(p * (1 - p) * (1 / n + 1 / n0))
+                if not branches or apart:
+                    branches.append([])
+                branches[-1].append(seg)
+            for segs in branches:
+                group = sum((children[s] for s in segs), [])
+                node(group, template + "/" + min(segs) + ("~" if len(segs) > 1 else ""), level + 1, smooth(group, purity))
+
+    overall = (label(pages)[0] + 2) / (label(pages)[1] + 4)
+    for host in {x[0] for x in pages}:
+        domain = re.search(r"[^.]*\.?[^.]*$", host)[0]
+        above = smooth([x for x in pages if re.search(r"[^.]*\.?[^.]*$", x[0])[0] == domain], overall)
+        group = [x for x in pages if x[0] == host]
+        node(group, "", 1, smooth(group, above))
+    return [out[x[0], x[1]] for x in pages]
+
+
+def test_template_tree(spark, monkeypatch):
+    monkeypatch.setattr(url_filters, "WIDE", 15)
+    rng = random.Random(4)
+    urls = [None, "x", "http://", "http://h.com", "http://h.com/"]
+    for _ in range(900):
+        depth = rng.randrange(0, 7)
+        parts = [rng.choice(["de", "fr", "en", "es"])] + [rng.choice(["a", "b", "c", "p" + rng.choice("abcdefghijklmnop") * 2, "x" + str(rng.random())[2:8]]) for _ in range(depth)]
+        urls.append(f"http://{rng.choice(['a.example.org', 'b.org', 'c.com', 'd.c.com', 'q.net'])}/" + "/".join(parts) + rng.choice(["", "/", "?q=1"]))
+    rows = url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()
+    got = {r["page_id"]: (r["template"], r["purity"]) for r in rows}
+    for i, (template, purity) in enumerate(plain_tree(urls)):
+        assert got[i][0] == template and got[i][1] == pytest.approx(purity, abs=2e-6), urls[i]
+    assert any("~" in t for t, _ in got.values()) and len({t for t, _ in got.values()}) > 30
+
+
 # Winnowing
 
 

@@ -1,14 +1,15 @@
 """URL filters: rules first, then a path-template tree with smoothed labelled purity.
 
-The rules' verdicts are the labels. Per host, paths become templates: runs of digits turn into ``#``, and at each level of the
-tree a node with many different children that rarely repeat (VARIED children, more than SHARE of its pages each its own)
-has them replaced by ``*``. Sibling branches of a node are compared next to each other in order of their share of blocked
-labels; neighbours whose shares do not differ significantly (two-proportion z below Z) are merged, branches
-without labels among themselves. A branch's purity is its share of blocked labels, smoothed by that of its host, the
-host's by that of its domain (last two labels), the domain's by the whole table's; from REJECT on, its pages are blocked.
-
-One SQL text, written for Spark and for DuckDB (they differ in two functions); every step is an aggregation or window over
-(host, template) counts, never over the pages of a host.
+The rules' verdicts are the labels. Per host, paths become a tree of templates, level by level down to the deepest path: runs of digits turn into
+``#``; a node with many different children that rarely repeat (VARIED children or more, more than SHARE of its pages each its own) or
+with over WIDE children has them replaced by ``*``; then the children of one node are compared next to each other in order of their share
+of blocked labels, and neighbours whose shares do not differ significantly (two-proportion z below Z) become one branch, named after its
+first child with a ``~``, whose children are looked at together on the next level. Children without labels make one branch. A node's
+purity is its share of blocked labels smoothed by its parent's: all pages, domain (last two labels), host, first segment and so on to the leaf;
+from REJECT on, pages of the leaf are blocked.
+
+One SQL text, written for Spark and for DuckDB (they differ in one function); every step is an aggregation over
+(host, template) counts or a window over the at most WIDE children of one node, never over the pages of a host.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-LEVELS = 4
+#: Deepest level that is a level of its own; what is below counts as one segment (only loops of links are as deep).
+LEVELS = 24
 VARIED = 10
 SHARE = 0.3
+WIDE = 1000
 Z = 1.96
 PRIOR = 4.0
 REJECT = 0.5
@@ -40,12 +43,11 @@ def _replace_digits(column: str, dialect: str) -> str:
     return f"regexp_replace({column}, '[0-9]+', '#'" + (", 'g')" if dialect == "duckdb" else ")")
 
 
-#: Steps whose rows Spark writes, so that they are made once.
-WRITTEN = ("t0", f"t{LEVELS}", "b4", "s")
+def steps(dialect: str, levels: int, rules: tuple[tuple[str, str], ...] = RULES) -> list[tuple[str, str, bool]]:
+    """Name, SQL and whether Spark writes the rows of each step, each from steps before it and ``pages`` (page_id, url without nulls).
 
-
-def steps(dialect: str, rules: tuple[tuple[str, str], ...] = RULES) -> list[tuple[str, str]]:
-    """Name and SQL of each step, each from steps before it and ``pages`` (page_id, url without nulls); the last is the result."""
+    ``levels`` is the depth of the deepest path, more do no harm. The last step is the result.
+    """
     fits = []
     for rule, verdict in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
         host, path = rule.split("/", 1)
@@ -56,72 +58,85 @@ def steps(dialect: str, rules: tuple[tuple[str, str], ...] = RULES) -> list[tupl
         ("p1", """SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p0"""),
         ("p2", f"""SELECT *, CASE {' '.join(fits)} END AS rule, {_replace_digits('path', dialect)} AS shape FROM p1"""),
-        ("t0", f"""SELECT host, shape, '' AS template, count(*) AS n, sum(CASE CASE rule {verdicts} END WHEN 'block' THEN 1 ELSE 0 END) AS bad,
-  count(rule) AS labelled FROM p2 GROUP BY host, shape"""),
+        ("u", f"""SELECT host, shape, length(shape) - length(replace(shape, '/', '')) AS depth, count(*) AS n,
+  sum(CASE CASE rule {verdicts} END WHEN 'block' THEN 1 ELSE 0 END) AS bad, count(rule) AS labelled FROM p2 GROUP BY host, shape"""),
+        ("h", r"""SELECT host, regexp_extract(host, '[^.]*\.?[^.]*$', 0) AS domain, CAST(sum(bad) AS DOUBLE) AS bad, CAST(sum(labelled) AS DOUBLE) AS labelled FROM u GROUP BY host"""),
+        ("d", """SELECT domain, sum(bad) AS bad, sum(labelled) AS labelled FROM h GROUP BY domain"""),
+        ("w", f"""SELECT (sum(bad) + 0.5 * {PRIOR}) / (sum(labelled) + {PRIOR}) AS purity FROM d"""),
+        ("dp", f"""SELECT domain, (bad + {PRIOR} * (SELECT purity FROM w)) / (labelled + {PRIOR}) AS purity FROM d"""),
+        ("hp", f"""SELECT host, (bad + {PRIOR} * dp.purity) / (labelled + {PRIOR}) AS purity FROM h JOIN dp ON dp.domain = h.domain"""),
+        ("t0", """SELECT u.host AS host, shape, depth, '' AS template, hp.purity AS purity, n, bad, labelled FROM u JOIN hp ON hp.host = u.host"""),
     ]
-    for level in range(1, LEVELS + 1):
+    for level in range(1, levels + 1):
         segment = f"split_part(shape, '/', {level + 1})"
-        if level == LEVELS:  # the rest of the path is one segment
+        if level == LEVELS:
             before = " + 1 + ".join(f"length(split_part(shape, '/', {i}))" for i in range(1, level + 1))
             segment = f"substr(shape, {before} + 2)"
         out += [
-            (f"c{level}", f"""SELECT host, template, {segment} AS seg, sum(n) AS n FROM t{level - 1} GROUP BY 1, 2, 3"""),
-            (f"v{level}", f"""SELECT host, template, count(*) >= {VARIED} AND count(*) > {SHARE} * sum(n) AS varied FROM c{level} GROUP BY host, template"""),
-            (f"t{level}", f"""SELECT t.host, shape, t.template || '/' || CASE WHEN varied AND {segment} <> '' THEN '*' ELSE {segment} END AS template, n, bad, labelled
-  FROM t{level - 1} t JOIN v{level} v ON v.host = t.host AND v.template = t.template"""),
+            (f"c{level}", f"""SELECT host, template, {segment} AS seg, sum(n) AS n, CAST(sum(bad) AS DOUBLE) AS bad, CAST(sum(labelled) AS DOUBLE) AS labelled, max(purity) AS above
+  FROM t{level - 1} WHERE depth >= {level} GROUP BY 1, 2, 3"""),
+            (f"v{level}", f"""SELECT host, template, (count(*) >= {VARIED} AND count(*) > {SHARE} * sum(n)) OR count(*) > {WIDE} AS varied FROM c{level} GROUP BY host, template"""),
+            (f"k{level}", f"""SELECT c.host AS host, c.template AS template, CASE WHEN varied AND seg <> '' THEN '*' ELSE seg END AS seg, sum(bad) AS bad, sum(labelled) AS labelled, max(above) AS above
+  FROM c{level} c JOIN v{level} v ON v.host = c.host AND v.template = c.template GROUP BY 1, 2, 3"""),
+            (f"x{level}", f"""SELECT *, CASE WHEN labelled > 0 THEN 1 ELSE 0 END AS known, CASE WHEN labelled > 0 THEN bad / labelled ELSE 0 END AS share FROM k{level}"""),
+            (f"y{level}", f"""SELECT *, lag(bad) OVER w AS bad0, lag(labelled) OVER w AS labelled0 FROM x{level} WINDOW w AS (PARTITION BY host, template, known ORDER BY share, seg)"""),
+            (f"z{level}", f"""SELECT *, CASE WHEN bad0 IS NULL THEN 1 WHEN known = 0 THEN 0 WHEN (bad + bad0) = 0 OR (bad + bad0) = (labelled + labelled0) THEN 0
+    WHEN abs(share - bad0 / labelled0) >= {Z} * sqrt((bad + bad0) / (labelled + labelled0) * (1 - (bad + bad0) / (labelled + labelled0)) * (1 / labelled + 1 / labelled0)) THEN 1 ELSE 0 END AS breaks FROM y{level}"""),
+            (f"b{level}", f"""SELECT *, sum(breaks) OVER (PARTITION BY host, template, known ORDER BY share, seg ROWS UNBOUNDED PRECEDING) AS branch FROM z{level}"""),
+            (f"g{level}", f"""SELECT host, template, known, branch, CASE WHEN count(*) > 1 THEN min(seg) || '~' ELSE min(seg) END AS name, (sum(bad) + {PRIOR} * max(above)) / (sum(labelled) + {PRIOR}) AS purity
+  FROM b{level} GROUP BY host, template, known, branch"""),
+            (f"s{level}", f"""SELECT b.host AS host, b.template AS template, b.seg AS seg, g.name AS name, g.purity AS purity FROM b{level} b
+  JOIN g{level} g ON g.host = b.host AND g.template = b.template AND g.known = b.known AND g.branch = b.branch"""),
+            (f"q{level}", f"""SELECT t.*, CASE WHEN varied AND {segment} <> '' THEN '*' ELSE {segment} END AS seg FROM t{level - 1} t JOIN v{level} v ON v.host = t.host AND v.template = t.template WHERE depth >= {level}"""),
+            (f"t{level}", f"""SELECT q.host AS host, shape, depth, q.template || '/' || s.name AS template, s.purity AS purity, n, bad, labelled FROM q{level} q
+  JOIN s{level} s ON s.host = q.host AND s.template = q.template AND s.seg = q.seg UNION ALL SELECT host, shape, depth, template, purity, n, bad, labelled FROM t{level - 1} WHERE depth < {level}"""),
         ]
-    out += [
-        # Branches: the templates below a node (host and first segment left open), in order of their blocked share.
-        ("b0", f"""SELECT host, template, sum(bad) * 1.0 AS bad, sum(labelled) * 1.0 AS labelled FROM t{LEVELS} GROUP BY host, template"""),
-        ("b1", """SELECT *, split_part(template, '/', 3) AS below, CASE WHEN labelled > 0 THEN 1 ELSE 0 END AS known,
-  CASE WHEN labelled > 0 THEN CAST(bad AS DOUBLE) / CAST(labelled AS DOUBLE) ELSE 0 END AS share FROM b0"""),
-        ("b2", """SELECT *, lag(CAST(bad AS DOUBLE)) OVER w AS bad0, lag(CAST(labelled AS DOUBLE)) OVER w AS labelled0 FROM b1
-  WINDOW w AS (PARTITION BY host, below, known ORDER BY share, template)"""),
-        ("b3", f"""SELECT *, CASE WHEN bad0 IS NULL THEN 1 WHEN known = 0 THEN 0
-    WHEN (bad + bad0) = 0 OR (bad + bad0) = (labelled + labelled0) THEN 0
-    WHEN abs(share - bad0 / labelled0) >= {Z} * sqrt((bad + bad0) / (labelled + labelled0) * (1 - (bad + bad0) / (labelled + labelled0)) * (1 / labelled + 1 / labelled0)) THEN 1
-    ELSE 0 END AS breaks FROM (SELECT host, template, below, known, share, CAST(bad AS DOUBLE) AS bad, CAST(labelled AS DOUBLE) AS labelled, bad0, labelled0 FROM b2) q"""),
-        ("b4", """SELECT *, sum(breaks) OVER (PARTITION BY host, below, known ORDER BY share, template ROWS UNBOUNDED PRECEDING) AS branch FROM b3"""),
-        ("g", """SELECT host, below, known, branch, sum(bad) AS bad, sum(labelled) AS labelled FROM b4 GROUP BY host, below, known, branch"""),
-        ("h", r"""SELECT host, regexp_extract(host, '[^.]*\.?[^.]*$', 0) AS domain, sum(bad) AS bad, sum(labelled) AS labelled FROM b4 GROUP BY host"""),
-        ("d", """SELECT domain, sum(bad) AS bad, sum(labelled) AS labelled FROM h GROUP BY domain"""),
-        ("w", f"""SELECT (sum(bad) + 0.5 * {PRIOR}) / (sum(labelled) + {PRIOR}) AS purity FROM d"""),
-        ("dp", f"""SELECT domain, (bad + {PRIOR} * (SELECT purity FROM w)) / (labelled + {PRIOR}) AS purity FROM d"""),
-        ("hp", f"""SELECT host, (bad + {PRIOR} * dp.purity) / (labelled + {PRIOR}) AS purity FROM h JOIN dp ON dp.domain = h.domain"""),
-        ("gp", f"""SELECT g.host, below, known, branch, (bad + {PRIOR} * hp.purity) / (labelled + {PRIOR}) AS purity FROM g JOIN hp ON hp.host = g.host"""),
-        ("s", f"""SELECT t.host, t.shape, t.template, purity FROM t{LEVELS} t JOIN b4 ON b4.host = t.host AND b4.template = t.template
-  JOIN gp ON gp.host = b4.host AND gp.below = b4.below AND gp.known = b4.known AND gp.branch = b4.branch"""),
+    out.append(
         (
             "judged",
-            f"""SELECT page_id, p2.host AS host, path, rule, CASE rule {verdicts} ELSE CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END END AS verdict,
-  template, round(purity, 6) AS purity FROM p2 LEFT JOIN s ON s.host = p2.host AND s.shape = p2.shape""",
-        ),
-    ]
-    return out
+            f"""SELECT page_id, p.host AS host, path, rule, CASE rule {verdicts} ELSE CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END END AS verdict,
+  template, round(purity, 6) AS purity FROM p2 p LEFT JOIN t{levels} t ON t.host = p.host AND t.shape = p.shape""",
+        )
+    )
+    return [(name, sql, name == "u" or name[0] in "tb" and name[1:].isdigit()) for name, sql in out]
 
 
 def judge(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict, template, purity of every row of pages (page_id, url).
+    """page_id, host, path, rule, verdict, template, purity of every row of pages (page_id, url); other columns are ignored.
 
     A null url, and one without ``://``, has empty host and path, fits no rule and is judged by its (empty) template. Repeated
-    rows count and are all returned; a null page_id stays null; an empty table gives no rows.
+    rows count and are all returned; a null page_id stays null; ties of shares go by the segment's text; an empty table gives no rows.
     """
     frames = {"pages": pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"))}
-    for name, sql in steps("spark"):
-        named = re.sub(r"\b(FROM|JOIN) (\w+)( [tv]\b)?", lambda m: f"{m[1]} {{{m[2]}}}{m[3] or f' AS {m[2]}'}", sql)
-        frames[name] = pages.sparkSession.sql(named, **{k: v for k, v in frames.items() if f"{{{k}}}" in named})
-        if name in WRITTEN:
-            frames[name] = written(frames[name], f"url-{name}")
-    return frames[name]
+
+    def add(name: str, sql: str, keep: bool) -> DataFrame:
+        named = re.sub(r"\b(FROM|JOIN) (\w+)( [a-z]\b)?", lambda m: f"{m[1]} {{{m[2]}}}{m[3] or f' AS {m[2]}'}", sql)
+        frame = pages.sparkSession.sql(named, **{k: v for k, v in frames.items() if f"{{{k}}}" in named})
+        frames[name] = written(frame, f"url-{name}") if keep else frame
+        return frame
+
+    plan = steps("spark", 0)
+    first = [name for name, *_ in plan].index("u")
+    for step in plan[: first + 1]:
+        add(*step)
+    (depth,) = frames["u"].agg(F.max("depth")).first()
+    for step in steps("spark", min(depth or 0, LEVELS))[first + 1 :]:
+        add(*step)
+    return frames["judged"]
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every page; see ``judge`` for nulls, repeats and empty tables."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+#: Depth of the SQL that checks the query on the test tables, whose paths have fewer segments.
+ORACLE_LEVELS = 6
+
+
 def _oracle() -> str:
     pages = "pages0 AS (SELECT page_id, coalesce(url, '') AS url FROM pages)"
-    ctes = [f"{name} AS ({sql.replace('FROM pages', 'FROM pages0')})" for name, sql in steps("duckdb")]
+    ctes = [f"{name} AS {'MATERIALIZED ' if keep else ''}({sql.replace('FROM pages', 'FROM pages0')})" for name, sql, keep in steps("duckdb", ORACLE_LEVELS)]
     return "WITH " + ",\n".join([pages, *ctes]) + "\nSELECT * FROM judged"
 
 
