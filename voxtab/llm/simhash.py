@@ -157,23 +157,28 @@ def plan(fps: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int]]:
 # Probing
 
 
-def _forest(node: np.ndarray, fp: np.ndarray, index: np.ndarray, bit: np.ndarray, radius: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Spanning forest of the pairs within the radius, smallest distances first, of one group, and the tree of each row."""
+def _forest(node: np.ndarray, fp: np.ndarray, index: np.ndarray, bit: np.ndarray, side: np.ndarray, radius: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Spanning forest of the pairs within the radius, smallest distances first, of one group, and the tree of each row.
+
+    Pairs of one block that meet another block are connected by the block's own group, so only links between the two are given.
+    """
     n = len(node)
-    found: list[list[np.ndarray]] = [[] for _ in range(radius + 1)]
+    found: list[list[np.ndarray]] = [[] for _ in range(radius + 2)]
     for lo in range(0, n, 512):
         d = np.bitwise_count((fp[lo : lo + 512, None] ^ fp[None, :]).view(np.uint64))
         meet = (index[lo : lo + 512, None] | index[None, :]) & ((bit[lo : lo + 512, None] != bit[None, :]) | (bit[None, :] < 0))
         i, j = np.nonzero((d <= radius) & meet)
         keep = i + lo < j
         i, j = i[keep], j[keep]
-        dist = d[i, j]
-        for r in range(radius + 1):
-            at = dist == r
+        level = d[i, j].astype(np.int64) + 1
+        if side.any():
+            level[side[i + lo] == side[j]] = 0
+        for r in range(radius + 2):
+            at = level == r
             found[r].append(np.stack([i[at] + lo, j[at]]).astype(np.int32))
     label = np.arange(n)
     links = []
-    for level in found:
+    for r, level in enumerate(found):
         pairs = np.concatenate(level, axis=1) if level else np.zeros((2, 0), dtype=np.int32)
         while True:
             a, b = label[pairs[0]], label[pairs[1]]
@@ -183,7 +188,8 @@ def _forest(node: np.ndarray, fp: np.ndarray, index: np.ndarray, bit: np.ndarray
                 break
             low, high = np.minimum(a, b), np.maximum(a, b)
             top, at = np.unique(high, return_index=True)  # one link from each higher tree to a lower one: no cycles
-            links.append(np.stack([node[pairs[0][at]], node[pairs[1][at]]]))
+            if r:
+                links.append(np.stack([node[pairs[0][at]], node[pairs[1][at]]]))
             parent = np.arange(n)
             parent[top] = low[at]
             while True:
@@ -195,7 +201,7 @@ def _forest(node: np.ndarray, fp: np.ndarray, index: np.ndarray, bit: np.ndarray
     return links, label
 
 
-def links_of_groups(g: np.ndarray, node: np.ndarray, fp: np.ndarray, index: np.ndarray, bit: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def links_of_groups(g: np.ndarray, node: np.ndarray, fp: np.ndarray, index: np.ndarray, bit: np.ndarray, side: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links of sorted groups of rows, and (group, tree, node) of trees that stand for more pairs than their links.
 
     Rows that both flipped the same bit agree without it and meet under another key.
@@ -204,7 +210,7 @@ def links_of_groups(g: np.ndarray, node: np.ndarray, fp: np.ndarray, index: np.n
     size = np.diff(np.r_[begin, len(g)])
     links, trees = [], []
     for b, s in zip(begin[size > SMALL], size[size > SMALL], strict=True):
-        own, tree = _forest(node[b : b + s], fp[b : b + s], index[b : b + s], bit[b : b + s], radius)
+        own, tree = _forest(*(x[b : b + s] for x in (node, fp, index, bit, side)), radius)
         links += own
         at = np.flatnonzero(np.bincount(tree, minlength=s)[tree] > 2)
         if len(at):
@@ -249,13 +255,14 @@ def links_and_trees(nodes: DataFrame, radius: int) -> DataFrame:
     exact = [F.struct(F.lit(p).alias("p"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("k")) for p, (bits, _) in enumerate(parts)]
     heavy = nodes.select(F.explode(F.array(*exact)).alias("r")).groupBy("r.p", "r.k").count().filter(F.col("count") > HEAVY)
     heavy = cut(heavy.select("p", "k", F.ceil(F.col("count") / HEAVY).cast("int").alias("nb")))
-    group = F.xxhash64("p", "k")
+    group, side = F.xxhash64("p", "k"), F.lit(False)
     if not heavy.isEmpty():
         probes = probes.join(heavy, ["p", "k"], "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
         own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
         probes = probes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("own", own)
         group = F.xxhash64("p", "k", F.least("own", "other"), F.greatest("own", "other"))
-    probes = probes.select(group.alias("g"), "node", "fp", "index", "bit").repartition("g").sortWithinPartitions("g")
+        side = F.col("own") > F.col("other")
+    probes = probes.select(group.alias("g"), "node", "fp", "index", "bit", side.alias("side")).repartition("g").sortWithinPartitions("g")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
@@ -271,7 +278,7 @@ def links_and_trees(nodes: DataFrame, radius: int) -> DataFrame:
 
     def found(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if len(frame) > 1:
-            got, trees = links_of_groups(*(frame[c].to_numpy() for c in ("g", "node", "fp", "index", "bit")), radius)
+            got, trees = links_of_groups(*(frame[c].to_numpy() for c in ("g", "node", "fp", "index", "bit", "side")), radius)
             if got:
                 a, b = np.concatenate(got, axis=1)
                 yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).query("a != b").drop_duplicates().assign(g=pd.NA).astype({"g": "Int64"})
@@ -304,6 +311,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document; see ``near_groups`` for nulls, repeats and empty tables."""
     return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
