@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from voxtab.plans.statement import Dialect, operator
+import re
+
+from voxtab.plans.statement import Dialect, operator, quote
 
 #: File suffixes that are never scanned; fixed values.
 DENIED = (".7z", ".bz2", ".csv", ".db", ".gz", ".html", ".htm", ".json", ".log", ".md", ".pdf", ".rar", ".tar", ".tgz", ".txt", ".webp", ".xml", ".xz", ".yaml", ".yml", ".zip", ".zst")
 #: SOP classes of structured reports and key objects, and of presentation states; fixed values.
 SR_CLASSES = ("1.2.840.10008.5.1.4.1.1.88.11", "1.2.840.10008.5.1.4.1.1.88.22", "1.2.840.10008.5.1.4.1.1.88.33", "1.2.840.10008.5.1.4.1.1.88.34", "1.2.840.10008.5.1.4.1.1.88.35", "1.2.840.10008.5.1.4.1.1.88.40", "1.2.840.10008.5.1.4.1.1.88.50", "1.2.840.10008.5.1.4.1.1.88.59")
+GSPS_CLASS = "1.2.840.10008.5.1.4.1.1.11.1"
+#: Photometric interpretations that are shown as they are; fixed values.
+PLAIN_PHOTOMETRIC = ("MONOCHROME1", "MONOCHROME2")
 #: Transfer syntaxes: (uid, name, compressed); fixed values.
 SYNTAXES = (
     ("1.2.840.10008.1.2", "Implicit VR Little Endian", False),
@@ -40,23 +45,34 @@ def phase_value(d: Dialect, text: str) -> str:
     percent = "(^|[^0-9])(100([.]0+)?|[0-9][0-9]?([.][0-9]+)?)[ _-]*(%|％|﹪|pct|percent)"
     named = "(^|[^a-z0-9])(phase|ph)[ _:#-]*([0-9][0-9]?[0-9]?([.][0-9]+)?)($|[^a-z0-9])"
     short = "(^|[^a-z0-9])p[ _-]*([0-9][0-9]?[0-9]?)($|[^a-z0-9])"
-    return f"coalesce(nullif(regexp_extract({lower}, '{percent}', 2), '') || '%', nullif(regexp_extract({lower}, '{named}', 3), ''), nullif(regexp_extract({lower}, '{short}', 2), ''))"
+    found = f"coalesce(nullif(regexp_extract({lower}, '{percent}', 2), '') || '%', nullif(regexp_extract({lower}, '{named}', 3), ''), nullif(regexp_extract({lower}, '{short}', 2), ''))"
+    return f"CASE WHEN {d.matches(text, '[pP%％﹪]')} THEN {found} END"  # every pattern has one of these
+
+
+def object_type(d: Dialect) -> str:
+    """Class of a header's object: presentation states first, then reports, then images; null for others."""
+    reports = ", ".join(f"'{c}'" for c in SR_CLASSES)
+    return f"""CASE WHEN sop_class_uid = '{GSPS_CLASS}' OR modality = 'PR' THEN 'DICOM_GSPS' WHEN sop_class_uid IN ({reports}) OR modality = 'SR' THEN 'DICOM_SR' WHEN coalesce(rows_, 0) > 0 AND coalesce(columns_, 0) > 0 THEN 'IMAGE' END"""
+
+
+def syntaxes(d: Dialect) -> str:
+    """The known transfer syntaxes as a table."""
+    rows = ", ".join(f"('{u}', '{n}', {'true' if c else 'false'})" for u, n, c in SYNTAXES)
+    return f"(SELECT * FROM (VALUES {rows}) v(uid, syntax_name, compressed))"
 
 
 @operator
 def scan_candidates(d: Dialect) -> str:
-    """Files that may be images: no hidden or __MACOSX part, no denied suffix; place in order of path components."""
+    """Files that may be images: no hidden or __MACOSX part, no denied suffix; ``sort_key`` orders them by path components."""
     denied = ", ".join(f"'{x}'" for x in DENIED)
-    return f"""SELECT path, cast(row_number() OVER (ORDER BY {d.cut('path', '/')}, path) AS bigint) AS place FROM headers
-WHERE NOT {d.matches('path', '(^|/)[.]')} AND NOT {d.matches('path', '(^|/)__MACOSX(/|$)')}
+    return f"""SELECT path, replace(path, '/', chr(1)) AS sort_key FROM headers WHERE NOT {d.matches('path', '(^|/)[.]')} AND NOT {d.matches('path', '(^|/)__MACOSX(/|$)')}
   AND lower(regexp_extract(path, '([.][^./]*)$', 1)) NOT IN ({denied})"""
 
 
 @operator
 def classify_objects(d: Dialect) -> str:
     """Presentation states first, then reports, then images; other objects go."""
-    return """SELECT * FROM (SELECT path, sop_uid, modality, CASE WHEN modality = 'PR' THEN 'DICOM_GSPS' WHEN modality = 'SR' THEN 'DICOM_SR'
-  WHEN coalesce(rows_, 0) > 0 AND coalesce(columns_, 0) > 0 THEN 'IMAGE' END AS object_type FROM headers) q WHERE object_type IS NOT NULL"""
+    return f"SELECT * FROM (SELECT path, sop_uid, modality, {object_type(d)} AS object_type FROM headers) q WHERE object_type IS NOT NULL"
 
 
 @operator
@@ -71,9 +87,8 @@ def coerce_headers(d: Dialect) -> str:
 @operator
 def transfer_syntax_flags(d: Dialect) -> str:
     """Name of the transfer syntax and whether it is compressed; unknown ones are not."""
-    rows = ", ".join(f"('{u}', '{n}', {'true' if c else 'false'})" for u, n, c in SYNTAXES)
     return f"""SELECT path, coalesce(transfer_syntax_uid, '') AS uid, coalesce(syntax_name, transfer_syntax_uid, '') AS syntax_name, coalesce(compressed, false) AS compressed
-FROM headers LEFT JOIN (SELECT * FROM (VALUES {rows}) v(uid, syntax_name, compressed)) s ON s.uid = transfer_syntax_uid"""
+FROM headers LEFT JOIN {syntaxes(d)} s ON s.uid = transfer_syntax_uid"""
 
 
 @operator
@@ -85,7 +100,7 @@ def keyed_headers(d: Dialect) -> str:
     || CASE WHEN phase IS NOT NULL THEN '::phase=' || phase ELSE '' END ELSE 'path::' || {parent('path')} END AS series_key
 FROM (SELECT *, coalesce({description}, {folder}, {file}) AS phase FROM (
   SELECT *, regexp_extract({parent('path')}, '^/data/?(.*)$', 1) AS folder, {stem(d, 'path')} AS stem_,
-    CASE WHEN modality = 'PR' THEN 'DICOM_GSPS' WHEN modality = 'SR' THEN 'DICOM_SR' WHEN coalesce(rows_, 0) > 0 AND coalesce(columns_, 0) > 0 THEN 'IMAGE' END AS object_type
+    {object_type(d)} AS object_type
   FROM headers WHERE NOT {d.matches('path', '[.]txt$')}) p) q WHERE object_type IS NOT NULL"""
 
 
@@ -116,45 +131,40 @@ def slice_index(d: Dialect) -> str:
 
 @operator
 def group_series(d: Dialect) -> str:
-    """One row per series; its attributes come from the first file in path order."""
-    return f"""SELECT workspace_id, series_key, substring({d.sha256("workspace_id || '|' || series_key")}, 1, 16) AS series_id, series_uid, study_uid, modality, series_description,
+    """One row per series, one aggregation; its attributes come from the first file in path order, copies of an instance count once."""
+    first = ", ".join(f"{d.first_by(c, 'path')} AS {c}" for c in ("series_uid", "study_uid", "modality", "series_description"))
+    return f"""SELECT workspace_id, series_key, substring({d.sha256("workspace_id || '|' || series_key")}, 1, 16) AS series_id, series_uid, study_uid, CASE WHEN object_type = 'DICOM_SR' THEN coalesce(modality, 'SR') ELSE modality END AS modality,
+  CASE WHEN object_type = 'DICOM_SR' THEN coalesce(series_description, 'Structured Report') ELSE series_description END AS series_description,
   object_type = 'IMAGE' AS is_image_series, object_type AS standard_object_type, CASE object_type WHEN 'IMAGE' THEN 'Stack' ELSE 'Tag' END AS preferred_view_type, instance_count
-FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, object_type, series_key ORDER BY path) AS place,
-  count(*) OVER (PARTITION BY workspace_id, object_type, series_key) AS instance_count FROM (
-    SELECT *, row_number() OVER (PARTITION BY workspace_id, object_type, series_key, coalesce(sop_uid, path) ORDER BY path) AS copy_no FROM keyed_headers) p WHERE copy_no = 1) q
-WHERE place = 1"""
+FROM (SELECT workspace_id, object_type, series_key, {first}, count(DISTINCT coalesce(sop_uid, path)) AS instance_count FROM keyed_headers GROUP BY workspace_id, object_type, series_key) q"""
 
 
 @operator
 def series_summary(d: Dialect) -> str:
-    """Count and first size of each image series, and its number of phases."""
-    return """SELECT s.series_id, s.workspace_id, s.series_key, s.instance_count, cast(i.columns_ AS bigint) AS width, cast(i.rows_ AS bigint) AS height, s.is_image_series,
-  i.phase IS NOT NULL AS has_phase FROM group_series s JOIN instance_numbers i ON i.workspace_id = s.workspace_id AND i.series_key = s.series_key AND i.slice_index = 0
-WHERE s.is_image_series"""
+    """Count and first size of each image series, and whether it has a phase: one pass over its instances."""
+    return f"""SELECT substring({d.sha256("workspace_id || '|' || series_key")}, 1, 16) AS series_id, workspace_id, series_key, instance_count, width, height, true AS is_image_series, has_phase FROM (
+  SELECT workspace_id, series_key, count(*) AS instance_count, max(CASE WHEN slice_index = 0 THEN cast(columns_ AS bigint) END) AS width, max(CASE WHEN slice_index = 0 THEN cast(rows_ AS bigint) END) AS height, max(phase) IS NOT NULL AS has_phase
+  FROM instance_numbers GROUP BY workspace_id, series_key) q"""
 
 
 @operator
 def compatibility_audit(d: Dialect) -> str:
-    """Issues of each image series with their severity and number of affected instances; none for zero."""
-    compressed = "'1.2.840.10008.1.2.4.50'"
+    """Issues of each image series with their severity, number of affected instances and, for syntaxes and photometrics, the first three names; none for zero. One aggregation, then a row for each issue."""
+    plain = ", ".join(f"'{p}'" for p in PLAIN_PHOTOMETRIC)
     codes = (
-        ("missing-image-size", "error", "bad_size"), ("mixed-image-size", "warning", "mixed"), ("compressed-transfer-syntax", "warning", "compressed"),
-        ("missing-transfer-syntax", "warning", "no_syntax"), ("unsupported-photometric", "warning", "colour"), ("multiframe-first-frame", "warning", "frames"),
-        ("missing-pixel-spacing", "warning", "no_spacing"), ("missing-spatial-geometry", "warning", "no_geometry"), ("missing-rescale", "warning", "no_rescale"),
+        ("missing-image-size", "error", "bad_size", "''"), ("mixed-image-size", "warning", "mixed", "''"), ("compressed-transfer-syntax", "warning", "compressed", "syntax_names"),
+        ("missing-transfer-syntax", "warning", "no_syntax", "''"), ("unsupported-photometric", "warning", "colour", "photometric_names"), ("multiframe-first-frame", "warning", "frames", "''"),
+        ("missing-pixel-spacing", "warning", "no_spacing", "''"), ("missing-spatial-geometry", "warning", "no_geometry", "''"), ("missing-rescale", "warning", "no_rescale", "''"),
     )
-    one = " UNION ALL ".join(f"SELECT workspace_id, series_key, '{c}' AS code, '{s}' AS severity, {n} AS affected_instances FROM audit_counts" for c, s, n in codes)
-    return f"""WITH audit_counts AS (SELECT workspace_id, series_key,
-  cast(sum(CASE WHEN coalesce(rows_, 0) <= 0 OR coalesce(columns_, 0) <= 0 THEN 1 ELSE 0 END) AS bigint) AS bad_size,
-  CASE WHEN count(DISTINCT rows_ * 100000 + columns_) > 1 THEN count(*) ELSE 0 END AS mixed,
-  cast(sum(CASE WHEN transfer_syntax_uid = {compressed} THEN 1 ELSE 0 END) AS bigint) AS compressed,
-  cast(sum(CASE WHEN coalesce(transfer_syntax_uid, '') = '' THEN 1 ELSE 0 END) AS bigint) AS no_syntax,
-  cast(sum(CASE WHEN upper(photometric) NOT IN ('MONOCHROME1', 'MONOCHROME2') THEN 1 ELSE 0 END) AS bigint) AS colour,
-  cast(sum(CASE WHEN number_of_frames > 1 THEN 1 ELSE 0 END) AS bigint) AS frames,
-  cast(sum(CASE WHEN pixel_spacing IS NULL THEN 1 ELSE 0 END) AS bigint) AS no_spacing,
-  CASE WHEN count(*) > 1 THEN cast(sum(CASE WHEN NOT has_position THEN 1 ELSE 0 END) AS bigint) ELSE 0 END AS no_geometry,
-  CASE WHEN min(upper(modality)) IN ('CT', 'PT', 'PET') THEN cast(sum(CASE WHEN NOT has_rescale_slope THEN 1 ELSE 0 END) AS bigint) ELSE 0 END AS no_rescale
-  FROM instance_numbers GROUP BY workspace_id, series_key)
-SELECT * FROM ({one}) q WHERE affected_instances > 0"""
+    each = d.array(*(d.struct(code=f"'{c}'", severity=f"'{s}'", n=f"cast({n} AS bigint)", detail=x) for c, s, n, x in codes))
+    when = lambda test: f"sum(CASE WHEN {test} THEN 1 ELSE 0 END)"
+    colour = f"upper(coalesce(photometric, '')) NOT IN ({plain}, '')"
+    return f"""SELECT workspace_id, series_key, (x).code AS code, (x).severity AS severity, (x).n AS affected_instances, (x).detail AS detail FROM (SELECT workspace_id, series_key, {d.rows(each)} AS x FROM (
+  SELECT workspace_id, series_key, {when('coalesce(rows_, 0) <= 0 OR coalesce(columns_, 0) <= 0')} AS bad_size, CASE WHEN count(DISTINCT rows_ * cast(1000000 AS bigint) + columns_) > 1 THEN count(*) ELSE 0 END AS mixed,
+    {when('coalesce(s.compressed, false)')} AS compressed, {d.names('CASE WHEN s.compressed THEN s.syntax_name END')} AS syntax_names, {when("coalesce(transfer_syntax_uid, '') = ''")} AS no_syntax,
+    {when(colour)} AS colour, {d.names(f'CASE WHEN {colour} THEN upper(photometric) END')} AS photometric_names, {when('number_of_frames > 1')} AS frames, {when('pixel_spacing IS NULL')} AS no_spacing,
+    CASE WHEN count(*) > 1 THEN {when('NOT has_position')} ELSE 0 END AS no_geometry, CASE WHEN min(upper(modality)) IN ('CT', 'PT', 'PET') THEN {when('NOT has_rescale_slope')} ELSE 0 END AS no_rescale
+  FROM dedupe_instances i LEFT JOIN {syntaxes(d)} s ON s.uid = i.transfer_syntax_uid GROUP BY workspace_id, series_key) q) w WHERE (x).n > 0"""
 
 
 @operator
@@ -165,17 +175,19 @@ def study_rollup(d: Dialect) -> str:
 
 @operator
 def series_preview(d: Dialect) -> str:
-    """Instance count, first size, frames, syntaxes in order and whether any is compressed."""
-    return f"""SELECT series_key, workspace_id, count(*) AS instance_count, cast(max(number_of_frames) AS bigint) AS max_frames, max(number_of_frames) > 1 AS multi_frame,
-  {d.joined('syntax_new', ',', 'slice_index')} AS transfer_syntaxes, bool_or(coalesce(transfer_syntax_uid, '') = '1.2.840.10008.1.2.4.50') AS any_compressed
-FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY workspace_id, series_key, transfer_syntax_uid ORDER BY slice_index) = 1 THEN transfer_syntax_uid END AS syntax_new FROM instance_numbers) q
-GROUP BY series_key, workspace_id"""
+    """Instance count, first size, frames, syntaxes and photometrics in first-seen order, and whether any instance is compressed."""
+    new = lambda c: f"CASE WHEN row_number() OVER (PARTITION BY workspace_id, series_key, {c} ORDER BY slice_index) = 1 THEN {c} END"
+    return f"""SELECT series_key, workspace_id, count(*) AS instance_count, max(CASE WHEN slice_index = 0 THEN cast(rows_ AS bigint) END) AS first_rows, max(CASE WHEN slice_index = 0 THEN cast(columns_ AS bigint) END) AS first_columns,
+  cast(max(number_of_frames) AS bigint) AS max_frames, max(number_of_frames) > 1 AS multi_frame, {d.joined('syntax_new', ',', 'slice_index')} AS transfer_syntaxes, {d.joined('photometric_new', ',', 'slice_index')} AS photometrics, bool_or(coalesce(s.compressed, false)) AS any_compressed
+FROM (SELECT *, {new('transfer_syntax_uid')} AS syntax_new, {new('photometric')} AS photometric_new FROM instance_numbers) q LEFT JOIN {syntaxes(d)} s ON s.uid = transfer_syntax_uid GROUP BY series_key, workspace_id"""
 
 
 @operator
-def workspace_filter(d: Dialect) -> str:
-    """Series of one workspace, with its id checked."""
-    return f"SELECT series_id, series_key, instance_count FROM group_series WHERE workspace_id = 'ws1' AND {d.matches('workspace_id', '^[A-Za-z0-9][A-Za-z0-9_.:-]*$')} AND length(workspace_id) <= 128"
+def workspace_filter(d: Dialect, workspace: str = "ws1") -> str:
+    """Series of one workspace; an id that is none is an error."""
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.:-]{0,127}", workspace):
+        raise ValueError(f"no workspace id: {workspace!r}")
+    return f"SELECT series_id, series_key, instance_count FROM group_series WHERE workspace_id = {quote(workspace)}"
 
 
 @operator
@@ -224,23 +236,26 @@ def registry_before(d: Dialect) -> str:
 
 @operator
 def upsert_series_registry(d: Dialect) -> str:
-    """Ids of all series: a registered key keeps its id, a new one gets a hash of workspace and key."""
-    return f"""SELECT n.workspace_id, n.series_key, coalesce(r.series_id, n.series_id) AS series_id, r.series_id IS NOT NULL AS known
-FROM group_series n LEFT JOIN (SELECT workspace_id, series_key, min(series_id) AS series_id FROM registry_before GROUP BY workspace_id, series_key) r
-  ON r.workspace_id = n.workspace_id AND r.series_key = n.series_key WHERE n.standard_object_type = 'IMAGE'"""
+    """Ids of all series: a registered key keeps its id, else one of its instances' paths does, else it gets a hash of workspace and key; registered series that did not come again stay."""
+    return f"""SELECT n.workspace_id, n.series_key, coalesce(r.series_id, p.series_id, n.series_id) AS series_id, r.series_id IS NOT NULL OR p.series_id IS NOT NULL AS known
+FROM group_series n LEFT JOIN (SELECT workspace_id, series_key, min(series_id) AS series_id FROM registry_before GROUP BY workspace_id, series_key) r ON r.workspace_id = n.workspace_id AND r.series_key = n.series_key
+LEFT JOIN (SELECT i.workspace_id, i.series_key, min(o.series_id) AS series_id FROM dedupe_instances i JOIN registry_paths o ON o.workspace_id = i.workspace_id AND o.path = i.path GROUP BY i.workspace_id, i.series_key) p
+  ON p.workspace_id = n.workspace_id AND p.series_key = n.series_key WHERE n.standard_object_type = 'IMAGE'
+UNION ALL SELECT workspace_id, series_key, series_id, true AS known FROM registry_before b WHERE NOT EXISTS (SELECT 1 FROM group_series n WHERE n.workspace_id = b.workspace_id AND n.series_key = b.series_key)"""
 
 
 @operator
 def registry_diff(d: Dialect) -> str:
-    """Keys that are only in one of two registries, or in both."""
-    return """SELECT 'new' AS side, workspace_id, series_key FROM (SELECT workspace_id, series_key FROM group_series EXCEPT SELECT workspace_id, series_key FROM registry_before) a
-UNION ALL SELECT 'both' AS side, workspace_id, series_key FROM (SELECT workspace_id, series_key FROM group_series INTERSECT SELECT workspace_id, series_key FROM registry_before) b"""
+    """Keys that are only in the new registry, only in the old one, or in both."""
+    new, old = "SELECT workspace_id, series_key FROM group_series", "SELECT workspace_id, series_key FROM registry_before"
+    sides = (("new", f"{new} EXCEPT {old}"), ("old", f"{old} EXCEPT {new}"), ("both", f"{new} INTERSECT {old}"))
+    return " UNION ALL ".join(f"SELECT '{side}' AS side, workspace_id, series_key FROM ({rows}) {side}_side" for side, rows in sides)
 
 
 @operator
-def clear_workspace(d: Dialect) -> str:
+def clear_workspace(d: Dialect, workspace: str = "ws1") -> str:
     """The registry without one workspace."""
-    return "SELECT workspace_id, series_key, series_id FROM registry_before WHERE workspace_id <> 'ws1'"
+    return f"SELECT workspace_id, series_key, series_id FROM registry_before WHERE workspace_id <> {quote(workspace)}"
 
 
 @operator
@@ -338,6 +353,6 @@ def display_header(d: Dialect) -> str:
 
 
 @operator
-def page(d: Dialect) -> str:
-    """The second page of 50 series, by key."""
-    return "SELECT workspace_id, series_key, standard_object_type, instance_count FROM group_series ORDER BY workspace_id, series_key, standard_object_type LIMIT 50 OFFSET 50"
+def page(d: Dialect, offset: int = 50, limit: int = 50) -> str:
+    """A page of series, by key."""
+    return f"SELECT workspace_id, series_key, standard_object_type, instance_count FROM group_series ORDER BY workspace_id, series_key, standard_object_type LIMIT {max(0, limit)} OFFSET {max(0, offset)}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxtab.plans.statement import Dialect, operator, view
+from voxtab.plans.statement import Dialect, operator, quote, view
 
 #: Colour stops of each preset: (position, red, green, blue); fixed values.
 PRESETS = {
@@ -19,33 +19,38 @@ PRESETS = {
 
 @operator
 def rescale_pixels(d: Dialect) -> str:
-    """Stored values times slope plus intercept; negated for MONOCHROME1 (odd slices here)."""
-    return "SELECT series_id, i, j, k, (value * 2 - 1024) * CASE WHEN i % 2 = 1 THEN -1 ELSE 1 END AS value FROM voxels"
+    """Stored gray values times slope (1 if there is none) plus intercept (0); negated for MONOCHROME1."""
+    inner = d.pixels("SELECT * FROM stored_slices WHERE photometric <> 'RGB'")
+    return f"""SELECT series_id, i, cast(floor(p / columns_) AS int) AS j, cast(p % columns_ AS int) AS k, (value * coalesce(slope, 1) + coalesce(intercept, 0)) * CASE WHEN photometric = 'MONOCHROME1' THEN -1 ELSE 1 END AS value FROM ({inner}) v"""
 
 
 @operator
 def rescale_color(d: Dialect) -> str:
-    """Colour samples of 12 bits as 8: times 255 / 4095, clipped and truncated."""
-    return "SELECT series_id, i, j, k, cast(floor(least(greatest((value + 2048) * 255.0 / 4095, 0), 255)) AS int) AS value FROM voxels"
+    """Colour samples as 8 bits: times 255 over the greatest value of their bits, or over the slice's own maximum where bits are not stated; clipped and truncated."""
+    inner = d.pixels(f"SELECT *, CASE WHEN bits_stored IS NOT NULL THEN power(2, bits_stored) - 1 ELSE greatest({d.most_of('pixels')}, 1e-9) END AS top FROM stored_slices WHERE photometric = 'RGB'")
+    return f"SELECT series_id, i, cast(floor(p / columns_) AS int) AS j, cast(p % columns_ AS int) AS k, cast(floor(least(greatest(value * 255 / top, 0), 255)) AS int) AS value FROM ({inner}) v"
 
 
 @operator
 def slice_range(d: Dialect) -> str:
     """Extremes, 1st, 5th, 95th and 99th percentile of each slice."""
     return f"""SELECT series_id, i, min(value) AS lo, max(value) AS hi, round({d.percentile('value', 0.01)}, 6) AS p1, round({d.percentile('value', 0.05)}, 6) AS p5,
-  round({d.percentile('value', 0.95)}, 6) AS p95, round({d.percentile('value', 0.99)}, 6) AS p99 FROM voxels GROUP BY series_id, i"""
+  round({d.percentile('value', 0.95)}, 6) AS p95, round({d.percentile('value', 0.99)}, 6) AS p99 FROM (SELECT series_id, i, CASE WHEN abs(value) < 1e300 THEN value END AS value FROM voxels) v GROUP BY series_id, i"""
 
 
 @operator
 def default_window(d: Dialect) -> str:
-    """Window of each slice from its extremes."""
-    return "SELECT series_id, i, greatest(1, hi - lo) AS ww, (hi + lo) / 2 AS wl FROM slice_range"
+    """Window of each slice: the header's, else from its extremes."""
+    return """SELECT r.series_id, r.i, CASE WHEN window_width > 0 AND window_center IS NOT NULL THEN window_width ELSE greatest(1, hi - lo) END AS ww, CASE WHEN window_width > 0 AND window_center IS NOT NULL THEN window_center ELSE (hi + lo) / 2 END AS wl
+FROM slice_range r JOIN stored_slices s ON s.series_id = r.series_id AND s.i = r.i"""
 
 
 @operator
-def percentile_window(d: Dialect) -> str:
-    """Low and high of each slice: 1st and 99th percentile, the extremes where they meet, and one more where those do."""
-    return "SELECT series_id, i, CASE WHEN p99 > p1 THEN p1 ELSE lo END AS low, CASE WHEN p99 > p1 THEN p99 WHEN hi > lo THEN hi ELSE lo + 1 END AS high FROM slice_range"
+def percentile_window(d: Dialect, ww: float | None = None, wl: float | None = None) -> str:
+    """Low and high of each slice: a given window's, else 1st and 99th percentile, the extremes where they meet, and one more where those do; (0, 1) without finite values."""
+    if ww is not None and ww > 0 and wl is not None:
+        return f"SELECT series_id, i, {quote(wl - ww / 2)} AS low, {quote(wl + ww / 2)} AS high FROM slice_range"
+    return "SELECT series_id, i, coalesce(CASE WHEN p99 > p1 THEN p1 ELSE lo END, 0) AS low, coalesce(CASE WHEN p99 > p1 THEN p99 WHEN hi > lo THEN hi ELSE lo + 1 END, 1) AS high FROM slice_range"
 
 
 @operator
@@ -65,7 +70,7 @@ def intensity_stats(d: Dialect) -> str:
     every = "voxels" if d.spark else """(SELECT * FROM voxels JOIN (SELECT series_id AS sid, cast(ceil(count(*) / 2000000.0) AS bigint) AS stride FROM voxels GROUP BY series_id) n ON sid = series_id
     WHERE ((i * 8 + j) * 8 + k) % stride = 0) q"""
     return f"""SELECT s.series_id, lo, hi, p1, p5, p25, p50, p75, p95, p99, p99_5, round(low_fraction, 6) AS low_hu_fraction, round(dense, 6) AS dense_foreground_fraction,
-  round(very_dense, 6) AS very_dense_foreground_fraction, m.modality IN ('CT', 'CTA', 'CBCT') AS is_ct_hu FROM (
+  round(very_dense, 6) AS very_dense_foreground_fraction, coalesce(m.modality IN ('CT', 'CTA', 'CBCT'), lo <= -850 AND hi >= 80) AS is_ct_hu FROM (
   SELECT series_id, min(value) AS lo, max(value) AS hi, avg(CASE WHEN value BETWEEN -950 AND -300 THEN cast(1 AS double) ELSE 0 END) AS low_fraction,
     cast(count(CASE WHEN value >= 350 THEN 1 END) AS double) / greatest(1, count(CASE WHEN value > -700 THEN 1 END)) AS dense,
     cast(count(CASE WHEN value >= 1000 THEN 1 END) AS double) / greatest(1, count(CASE WHEN value > -700 THEN 1 END)) AS very_dense
@@ -73,18 +78,21 @@ def intensity_stats(d: Dialect) -> str:
 
 
 @operator
-def pet_default_window(d: Dialect) -> str:
-    """Window of a PET volume: from 0 (or the 1st percentile below it) to the 99.5th percentile of positive values."""
+def pet_default_window(d: Dialect, unit: str = "source") -> str:
+    """Window of a PET volume: fixed for SUV units, else from 0 (or the 1st percentile below it) to the 99.5th percentile of positive values."""
+    if unit.startswith("SUV") or unit == "SUL":
+        return "SELECT series_id, cast(4.49 AS double) AS ww, cast(2.245 AS double) AS wl FROM image_series WHERE modality IN ('PT', 'PET')"
     return f"""SELECT series_id, round(greatest(high - low, 1), 6) AS ww, round((high + low) / 2, 6) AS wl FROM (
-  SELECT series_id, CASE WHEN min(value) >= 0 THEN 0 ELSE {d.percentile('value', 0.01)} END AS low, coalesce({d.percentile('CASE WHEN value > 0 THEN value END', 0.995)}, {d.percentile('value', 0.995)}) AS high
-  FROM voxels WHERE label % 2 = 1 GROUP BY series_id) q"""
+  SELECT v.series_id, CASE WHEN min(value) >= 0 THEN 0 ELSE {d.percentile('value', 0.01)} END AS low, coalesce({d.percentile('CASE WHEN value > 0 THEN value END', 0.995)}, {d.percentile('value', 0.995)}) AS high
+  FROM voxels v JOIN image_series s ON s.series_id = v.series_id WHERE modality IN ('PT', 'PET') GROUP BY v.series_id) q"""
 
 
 @operator
-def window_to_uint8(d: Dialect) -> str:
-    """Slices as gray values of their own window, clipped and truncated."""
-    return """SELECT v.series_id, v.i, v.j, v.k, cast(CASE WHEN high <= low THEN 0 ELSE floor((least(greatest(value, low), high) - low) * 255 / (high - low)) END AS int) AS gray
-FROM voxels v JOIN percentile_window w ON w.series_id = v.series_id AND w.i = v.i"""
+def window_to_uint8(d: Dialect, fused: bool = False) -> str:
+    """Slices as gray values of their window, clipped and truncated; no range is black, or one wide if ``fused``."""
+    high = "CASE WHEN high <= low THEN low + 1 ELSE high END" if fused else "high"
+    return f"""SELECT series_id, i, j, k, cast(CASE WHEN top <= low THEN 0 ELSE floor((least(greatest(value, low), top) - low) * 255 / (top - low)) END AS int) AS gray
+FROM (SELECT v.series_id, v.i, v.j, v.k, value, low, {high} AS top FROM voxels v JOIN percentile_window w ON w.series_id = v.series_id AND w.i = v.i) q"""
 
 
 @operator
@@ -123,16 +131,21 @@ def colour_table(d: Dialect) -> str:
 
 
 @operator
-def pseudocolor(d: Dialect) -> str:
-    """Windowed slices through a preset's colours."""
-    return "SELECT p.series_id, p.i, p.j, p.k, c.r, c.g, c.b FROM window_to_uint8 p JOIN colour_table c ON c.preset = 'hotiron' AND c.gray = p.gray"
+def pseudocolor(d: Dialect, preset: str = "hotiron") -> str:
+    """Windowed slices through a preset's colours; the part before a colon is cut, unknown presets are ``bw``."""
+    name = preset.split(":")[-1].strip().lower()
+    return f"SELECT p.series_id, p.i, p.j, p.k, c.r, c.g, c.b FROM window_to_uint8 p JOIN colour_table c ON c.preset = {quote(name if name in PRESETS else 'bw')} AND c.gray = p.gray"
 
 
 @operator
-def montage_pixels(d: Dialect) -> str:
-    """The middle slice of each series, windowed and coloured: gray for CT, the PET preset for PET."""
-    return """SELECT p.series_id, p.j, p.k, c.r, c.g, c.b FROM window_to_uint8 p JOIN image_series s ON s.series_id = p.series_id AND p.i = cast(floor(s.depth / 2) AS int)
-JOIN colour_table c ON c.preset = CASE WHEN s.modality = 'PT' THEN 'pet' ELSE 'bw' END AND c.gray = p.gray"""
+def montage_pixels(d: Dialect, ct_preset: str = "bw", pet_preset: str = "pet", unit: str = "SUVbw") -> str:
+    """The middle slice of each series, in display values for PET, windowed by its percentiles and coloured."""
+    middle = f"""SELECT v.series_id, v.j, v.k, s.modality, v.value * CASE WHEN s.modality IN ('PT', 'PET') THEN coalesce(f.factor, 1) ELSE 1 END AS value FROM voxels v JOIN image_series s ON s.series_id = v.series_id AND v.i = cast(floor(s.depth / 2) AS int)
+  LEFT JOIN pet_scale f ON f.series_id = v.series_id AND f.unit = {quote(unit)}"""
+    return f"""SELECT g.series_id, g.j, g.k, c.r, c.g, c.b FROM (SELECT series_id, j, k, modality, cast(floor((least(greatest(value, low), high) - low) * 255 / (high - low) + 1e-9) AS int) AS gray FROM (
+  SELECT m.*, CASE WHEN p99 > p1 THEN p1 ELSE lo END AS low, CASE WHEN p99 > p1 THEN p99 WHEN hi > lo THEN hi ELSE lo + 1 END AS high FROM ({middle}) m JOIN (
+    SELECT series_id, min(value) AS lo, max(value) AS hi, {d.percentile('value', 0.01)} AS p1, {d.percentile('value', 0.99)} AS p99 FROM ({middle}) a GROUP BY series_id) r ON r.series_id = m.series_id) w) g
+JOIN colour_table c ON c.preset = CASE WHEN g.modality IN ('PT', 'PET') THEN {quote(pet_preset)} ELSE {quote(ct_preset)} END AND c.gray = g.gray"""
 
 
 @operator
@@ -150,8 +163,9 @@ def rescale_for_export(d: Dialect) -> str:
 
 @operator
 def encode_uint16(d: Dialect) -> str:
-    """Voxels as unsigned 16-bit numbers of their series' slope and intercept, half-even."""
-    return f"SELECT v.series_id, i, j, k, cast(least(greatest({d.even('round((value - intercept) / slope, 6)')}, 0), 65535) AS int) AS stored FROM voxels v JOIN rescale_for_export e ON e.series_id = v.series_id"
+    """Voxels as unsigned 16-bit numbers of their series' slope and intercept, half-even; not finite ones as the intercept, all 0 without a slope."""
+    return f"""SELECT v.series_id, i, j, k, cast(CASE WHEN abs(slope) < 1e-12 OR NOT coalesce(abs(value) < 1e300, false) THEN 0 ELSE least(greatest({d.even('round((value - intercept) / slope, 6)')}, 0), 65535) END AS int) AS stored
+FROM voxels v JOIN rescale_for_export e ON e.series_id = v.series_id"""
 
 
 @operator
@@ -162,58 +176,65 @@ def air_value(d: Dialect) -> str:
 
 @operator
 def bed_thresholds(d: Dialect) -> str:
-    """Seed and candidate HU of each series from quartiles over -700."""
+    """Seed and candidate HU of each series from quartiles of the values over -700, of all values if those are fewer than 32."""
+    q = lambda p: f"CASE WHEN count(CASE WHEN value > -700 THEN 1 END) >= 32 THEN {d.percentile('CASE WHEN value > -700 THEN value END', p)} ELSE {d.percentile('value', p)} END"
     return f"""SELECT series_id, round(least(greatest(p25, -500), -50), 6) AS candidate_hu, round(least(greatest((p50 + p75) / 2, -150), 200), 6) AS seed_hu FROM (
-  SELECT series_id, {d.percentile('CASE WHEN value > -700 THEN value END', 0.25)} AS p25, {d.percentile('CASE WHEN value > -700 THEN value END', 0.5)} AS p50, {d.percentile('CASE WHEN value > -700 THEN value END', 0.75)} AS p75
-  FROM voxels GROUP BY series_id) q"""
+  SELECT series_id, {q(0.25)} AS p25, {q(0.5)} AS p50, {q(0.75)} AS p75 FROM voxels GROUP BY series_id) q"""
 
 
 @operator
-def plane_fractions(d: Dialect) -> str:
-    """Share of candidate and dense voxels in every plane of every axis."""
-    one = lambda axis: f"SELECT series_id, '{axis}' AS axis, {axis} AS idx, round(avg(CASE WHEN value > 0 THEN cast(1 AS double) ELSE 0 END), 6) AS candidate, round(avg(CASE WHEN value >= 350 THEN cast(1 AS double) ELSE 0 END), 6) AS dense FROM voxels GROUP BY series_id, {axis}"
-    return " UNION ALL ".join(one(a) for a in "ijk")
+def plane_fractions(d: Dialect, dense: float = 350.0) -> str:
+    """Share of candidate and dense voxels in every plane of every axis, one pass over the voxels."""
+    axes = d.array(*(d.struct(axis=f"'{a}'", idx=f"v.{a}") for a in "ijk"))
+    return f"""SELECT series_id, (a).axis AS axis, (a).idx AS idx, round(avg(CASE WHEN value > candidate_hu THEN cast(1 AS double) ELSE 0 END), 6) AS candidate, round(avg(CASE WHEN value >= {quote(dense)} THEN cast(1 AS double) ELSE 0 END), 6) AS dense FROM (
+  SELECT v.series_id, value, candidate_hu, {d.rows(axes)} AS a FROM voxels v JOIN bed_thresholds t ON t.series_id = v.series_id) q GROUP BY series_id, (a).axis, (a).idx"""
 
 
 @operator
-def boolean_runs(d: Dialect) -> str:
-    """Maximal runs of planes whose candidate share is over a half."""
-    return """SELECT series_id, axis, cast(min(idx) AS int) AS begin_, cast(max(idx) + 1 AS int) AS end_ FROM (
-  SELECT *, idx - row_number() OVER (PARTITION BY series_id, axis ORDER BY idx) AS island FROM plane_fractions WHERE candidate > 0.5) q GROUP BY series_id, axis, island"""
+def boolean_runs(d: Dialect, share: float = 0.5) -> str:
+    """Maximal runs of planes whose candidate share is over a bound."""
+    return f"""SELECT series_id, axis, cast(min(idx) AS int) AS begin_, cast(max(idx) + 1 AS int) AS end_ FROM (
+  SELECT *, idx - row_number() OVER (PARTITION BY series_id, axis ORDER BY idx) AS island FROM plane_fractions WHERE candidate > {quote(share)}) q GROUP BY series_id, axis, island"""
 
 
 @operator
-def bed_slabs(d: Dialect) -> str:
+def bed_slabs(d: Dialect, most_dense: float = 0.018) -> str:
     """Thin runs of planes near an edge that are full of candidates and not dense."""
     return f"""SELECT series_id, axis, begin_, end_ FROM (SELECT series_id, axis, length_, cast(min(idx) AS int) AS begin_, cast(max(idx) + 1 AS int) AS end_ FROM (
   SELECT f.*, length_, idx - row_number() OVER (PARTITION BY f.series_id, f.axis ORDER BY idx) AS island FROM plane_fractions f JOIN (
     SELECT series_id, axis, count(*) AS length_, {d.percentile('candidate', 0.84)} AS p84 FROM plane_fractions GROUP BY series_id, axis HAVING count(*) >= 8) t
-    ON t.series_id = f.series_id AND t.axis = f.axis WHERE candidate >= greatest(0.07, 0.78 * p84) AND dense <= 0.5) q GROUP BY series_id, axis, length_, island) r
+    ON t.series_id = f.series_id AND t.axis = f.axis WHERE candidate >= greatest(0.07, 0.78 * p84) AND dense <= {quote(most_dense)}) q GROUP BY series_id, axis, length_, island) r
 WHERE end_ - begin_ <= greatest(2, {d.even('0.12 * length_')}) AND least(begin_, length_ - end_) <= 0.28 * length_"""
 
 
 @operator
-def sample_slices(d: Dialect) -> str:
-    """Slices of a representative sample of 48: all of a short series, else places spread evenly, half-even."""
-    return f"""SELECT DISTINCT series_id, cast(CASE WHEN depth <= 48 THEN n ELSE {d.even('round(n * (depth - 1) / 47.0, 9)')} END AS int) AS i FROM (
-  SELECT series_id, depth, {d.rows(d.span('0', '47'))} AS n FROM image_series) q WHERE depth > 48 OR n < depth"""
+def sample_slices(d: Dialect, n: int = 48) -> str:
+    """Slices of a representative sample: all of a short series, else ``n`` places spread evenly, half-even."""
+    return f"""SELECT DISTINCT series_id, cast(CASE WHEN depth <= {n} THEN n ELSE {d.even(f'round(n * (depth - 1) / cast({max(1, n - 1)} AS double), 9)')} END AS int) AS i FROM (
+  SELECT series_id, depth, {d.rows(d.span('0', str(n - 1)))} AS n FROM image_series) q WHERE depth > {n} OR n < depth"""
+
+
+@view
+def border_pixels(d: Dialect) -> str:
+    """Voxels with whether they are at the edge of their slice."""
+    return "SELECT v.series_id, v.i, value, j = 0 OR k = 0 OR j = nj - 1 OR k = nk - 1 AS edge FROM voxels v JOIN image_series s ON s.series_id = v.series_id"
 
 
 @operator
 def slice_scores(d: Dialect) -> str:
     """Content score of each sampled slice: foreground against the border's median, times its spread."""
-    return f"""SELECT series_id, i, round(CASE WHEN hi <= lo THEN 0 ELSE least(ratio, 0.72) * greatest(p99 - p1, spread) END, 6) AS score FROM (
-  SELECT v.series_id, v.i, lo, hi, p1, p99, avg(CASE WHEN abs(value - back) > greatest(0.06 * (p99 - p1), 8) THEN cast(1 AS double) ELSE 0 END) AS ratio,
-    coalesce({d.percentile('CASE WHEN abs(value - back) > greatest(0.06 * (p99 - p1), 8) THEN value END', 0.95)} - {d.percentile('CASE WHEN abs(value - back) > greatest(0.06 * (p99 - p1), 8) THEN value END', 0.05)}, 0) AS spread
+    return f"""SELECT series_id, i, round(CASE WHEN hi <= lo OR finite_n < 16 THEN 0 ELSE least(ratio, 0.72) * greatest(p99 - p1, spread) END, 6) AS score FROM (
+  SELECT v.series_id, v.i, lo, hi, p1, p99, avg(CASE WHEN abs(value - back) > greatest(0.06 * (p99 - p1), CASE WHEN lo >= 0 AND hi <= 255 THEN 1 ELSE 8 END) THEN cast(1 AS double) ELSE 0 END) AS ratio,
+    coalesce({d.percentile('CASE WHEN abs(value - back) > greatest(0.06 * (p99 - p1), CASE WHEN lo >= 0 AND hi <= 255 THEN 1 ELSE 8 END) THEN value END', 0.95)} - {d.percentile('CASE WHEN abs(value - back) > greatest(0.06 * (p99 - p1), CASE WHEN lo >= 0 AND hi <= 255 THEN 1 ELSE 8 END) THEN value END', 0.05)}, 0) AS spread, count(value) AS finite_n
   FROM voxels v JOIN sample_slices s ON s.series_id = v.series_id AND s.i = v.i JOIN slice_range r ON r.series_id = v.series_id AND r.i = v.i
-  JOIN (SELECT series_id, i, {d.percentile('value', 0.5)} AS back FROM voxels WHERE j IN (0, 7) OR k IN (0, 7) GROUP BY series_id, i) b ON b.series_id = v.series_id AND b.i = v.i
+  JOIN (SELECT series_id, i, {d.percentile('value', 0.5)} AS back FROM border_pixels WHERE edge GROUP BY series_id, i) b ON b.series_id = v.series_id AND b.i = v.i
   GROUP BY v.series_id, v.i, lo, hi, p1, p99) q"""
 
 
 @operator
 def representative_slice(d: Dialect) -> str:
-    """The slice with the best score, of equals the one nearest the middle."""
-    return """SELECT series_id, i, score FROM (SELECT s.series_id, s.i, score, row_number() OVER (PARTITION BY s.series_id ORDER BY score DESC, abs(s.i - (depth - 1) / 2.0), s.i) AS place
+    """The slice with the best score, of equals (and of all if none has any) the one nearest the middle."""
+    return """SELECT series_id, i, score FROM (SELECT s.series_id, s.i, score, row_number() OVER (PARTITION BY s.series_id ORDER BY round(score, 6) DESC, abs(s.i - (depth - 1) / 2.0), s.i) AS place
 FROM slice_scores s JOIN image_series m ON m.series_id = s.series_id) q WHERE place = 1"""
 
 
@@ -222,8 +243,8 @@ def pet_background(d: Dialect) -> str:
     """PET slices with values at or below the border's level lowered under the window."""
     return f"""SELECT v.series_id, v.i, v.j, v.k, CASE WHEN level > low AND value <= level THEN low - greatest(1, 0.02 * (high - low)) ELSE value END AS value FROM voxels v JOIN (
   SELECT w.series_id, w.i, low, high, least(p75, low + 0.35 * (high - low)) AS level FROM percentile_window w JOIN (
-    SELECT series_id, i, round({d.percentile('value', 0.75)}, 6) AS p75 FROM voxels WHERE j IN (0, 7) OR k IN (0, 7) GROUP BY series_id, i) b ON b.series_id = w.series_id AND b.i = w.i) t
-  ON t.series_id = v.series_id AND t.i = v.i WHERE v.label % 2 = 1"""
+    SELECT series_id, i, round({d.percentile('value', 0.75)}, 6) AS p75 FROM border_pixels WHERE edge GROUP BY series_id, i) b ON b.series_id = w.series_id AND b.i = w.i) t
+  ON t.series_id = v.series_id AND t.i = v.i JOIN image_series s ON s.series_id = v.series_id WHERE s.modality IN ('PT', 'PET')"""
 
 
 @operator
@@ -236,4 +257,4 @@ def select_preset(d: Dialect) -> str:
     WHEN {has('cta', 'angio', 'vessel')} THEN 'bodyCta' WHEN {has('hardware', 'metal', 'implant')} THEN 'hardware' WHEN {has('plate', 'screw')} THEN 'bonePlusPlate' WHEN {has('fracture')} THEN 'fracture'
     WHEN {has('lumbar', 'spine', 'vertebra')} THEN 'lumbar' WHEN {has('lung', 'chest')} OR low_hu_fraction >= 0.24 THEN 'lung'
     WHEN dense_foreground_fraction >= 0.18 AND very_dense_foreground_fraction >= 0.04 THEN 'hardware' WHEN dense_foreground_fraction >= 0.22 THEN 'bones' ELSE 'aaa' END ELSE 'bone' END AS preset
-FROM intensity_stats s JOIN (SELECT series_id, modality, lower(modality || ' ' || replace(replace(series_description, '_', ' '), '-', ' ')) AS words FROM image_series) m ON m.series_id = s.series_id"""
+FROM intensity_stats s JOIN (SELECT series_id, modality, lower(coalesce(modality, '') || ' ' || replace(replace(series_description, '_', ' '), '-', ' ')) AS words FROM image_series) m ON m.series_id = s.series_id"""

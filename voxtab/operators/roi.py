@@ -1,187 +1,291 @@
-"""Measurements on slices: validity, lengths, angles, region statistics, labels and report graphics."""
+"""Measurements on slices: validity, lengths, angles, region statistics, labels and report graphics.
+
+A measurement has an array of points, the spacing of its image (null without one) and the image's size.
+"""
 
 from __future__ import annotations
 
-from voxtab.plans.statement import Dialect, operator
+from voxtab.plans.statement import Dialect, operator, quote, view
 
-SX, SY = 0.5, 2.0
 #: Units of measurement labels and their UCUM codes; fixed values.
-UNITS = {"mm": "mm", "mm2": "mm2", "mm^2": "mm2", "sqmm": "mm2", "deg": "deg", "HU": "[hnsf'U]", "px": "{pixels}"}
+UNITS = {"": "1", "mm": "mm", "cm": "cm", "m": "m", "mm2": "mm2", "cm2": "cm2", "deg": "deg", "degree": "deg", "degrees": "deg", "px": "{pixel}", "pixel": "{pixel}", "pixels": "{pixel}", "%": "%", "hu": "[hnsf'U]"}
+#: Spacing and units with the fall-back to pixels.
+SX, SY = "coalesce(sx, 1)", "coalesce(sy, 1)"
+UNIT = "CASE WHEN sx IS NULL THEN 'px' ELSE 'mm' END AS unit"
+LINES = ("line", "alignment-horizontal", "alignment-vertical")
+
+
+def xy(d: Dialect, n: str | int) -> tuple[str, str]:
+    """x and y of a measurement's point."""
+    p = d.at("points", n)
+    return f"({p}).x", f"({p}).y"
+
+
+def ends(d: Dialect, *more: str) -> str:
+    """Columns x0, y0, x1, y1 of the first two points."""
+    return ", ".join(f"{v} AS {c}{n}" for n in (0, 1) for c, v in zip("xy", xy(d, n), strict=True))
+
+
+def complete(d: Dialect) -> str:
+    """Whether a measurement has the number of points that its tool needs."""
+    n = d.size("points")
+    return f"CASE tool_type WHEN 'angle' THEN {n} = 3 WHEN 'curve' THEN {n} >= 2 WHEN 'freeform' THEN {n} >= 3 ELSE {n} = 2 END"
 
 
 @operator
 def valid_measurement_points(d: Dialect) -> str:
     """Whether a measurement has the number of points that its tool needs."""
-    return """SELECT measurement_id, tool_type, points, CASE tool_type WHEN 'angle' THEN points = 3 WHEN 'curve' THEN points >= 2 WHEN 'freeform' THEN points >= 3 ELSE points = 2 END AS valid FROM (
-  SELECT measurement_id, tool_type, CASE WHEN slice_index % 13 = 0 THEN 1 WHEN tool_type IN ('angle', 'curve', 'freeform') THEN 3 ELSE 2 END AS points FROM measurements) q"""
+    return f"SELECT measurement_id, tool_type, cast({d.size('points')} AS bigint) AS points, {complete(d)} AS valid FROM measurements"
 
 
 @operator
 def clamp_points(d: Dialect) -> str:
-    """Points brought inside an 8 x 8 image."""
-    return "SELECT measurement_id, " + ", ".join(f"least(greatest({c}, 0), 7) AS {c}" for c in ("x0", "y0", "x1", "y1", "x2", "y2")) + " FROM measurements"
+    """Points brought inside the image, by their number."""
+    x, y = xy(d, "n")
+    return f"""SELECT measurement_id, cast(n AS int) AS n, least(greatest({x}, 0), image_width - 1) AS x, least(greatest({y}, 0), image_height - 1) AS y FROM (
+  SELECT *, {d.rows(d.span('0', d.size('points') + ' - 1'))} AS n FROM measurements) q"""
+
+
+def length(d: Dialect, a: str, b: str) -> str:
+    (xa, ya), (xb, yb) = xy(d, a), xy(d, b)
+    return f"sqrt(power(({xb} - {xa}) * {SX}, 2) + power(({yb} - {ya}) * {SY}, 2))"
 
 
 @operator
 def line_length(d: Dialect) -> str:
-    """Length of each line in millimetres."""
-    return f"SELECT measurement_id, 'mm' AS unit, round(sqrt(power((x1 - x0) * {SX}, 2) + power((y1 - y0) * {SY}, 2)), 6) AS length FROM measurements WHERE tool_type = 'line'"
+    """Length of each line, in millimetres if there is a spacing."""
+    return f"SELECT measurement_id, {UNIT}, round({length(d, '0', '1')}, 6) AS length FROM measurements WHERE tool_type = 'line' AND {complete(d)}"
 
 
 @operator
 def curve_length(d: Dialect) -> str:
     """Length of each curve: the sum over its consecutive points."""
-    return f"""SELECT measurement_id, 'mm' AS unit, round(sum(sqrt(power((x - px) * {SX}, 2) + power((y - py) * {SY}, 2))), 6) AS length FROM (
-  SELECT measurement_id, x, y, lag(x) OVER (PARTITION BY measurement_id ORDER BY n) AS px, lag(y) OVER (PARTITION BY measurement_id ORDER BY n) AS py FROM (
-    SELECT measurement_id, 0 AS n, x0 AS x, y0 AS y FROM measurements WHERE tool_type = 'curve' UNION ALL SELECT measurement_id, 1 AS n, x1 AS x, y1 AS y FROM measurements WHERE tool_type = 'curve'
-    UNION ALL SELECT measurement_id, 2 AS n, x2 AS x, y2 AS y FROM measurements WHERE tool_type = 'curve') p) q WHERE px IS NOT NULL GROUP BY measurement_id"""
+    parts = d.each(d.span("0", d.size("points") + " - 2"), "n", length(d, "n", "n + 1"))
+    return f"SELECT measurement_id, {UNIT}, round({d.total(parts)}, 6) AS length FROM (SELECT * FROM measurements WHERE tool_type = 'curve' AND {d.size('points')} >= 2) m"
 
 
 @operator
 def angle_degrees(d: Dialect) -> str:
     """Angle at the middle point after physical scaling; 0 for a side of no length."""
+    (xa, ya), (xb, yb), (xc, yc) = xy(d, 0), xy(d, 1), xy(d, 2)
     return f"""SELECT measurement_id, CASE WHEN a <= 1e-6 OR b <= 1e-6 THEN 0 ELSE round(degrees(acos(least(greatest(dot / (a * b), -1), 1))), 5) END AS angle_degrees FROM (
   SELECT measurement_id, sqrt(ax * ax + ay * ay) AS a, sqrt(bx * bx + by_ * by_) AS b, ax * bx + ay * by_ AS dot FROM (
-    SELECT measurement_id, (x0 - x1) * {SX} AS ax, (y0 - y1) * {SY} AS ay, (x2 - x1) * {SX} AS bx, (y2 - y1) * {SY} AS by_ FROM measurements WHERE tool_type = 'angle') p) q"""
+    SELECT measurement_id, ({xa} - {xb}) * {SX} AS ax, ({ya} - {yb}) * {SY} AS ay, ({xc} - {xb}) * {SX} AS bx, ({yc} - {yb}) * {SY} AS by_ FROM measurements WHERE tool_type = 'angle' AND {complete(d)}) p) q"""
 
 
 @operator
-def alignment_angle(d: Dialect) -> str:
-    """Angle of long alignment lines to the horizontal in [-90, 90); none under 2 mm here."""
-    turn = d.mod("degrees(atan2(dy, dx)) + 90", "180")
-    return f"""SELECT measurement_id, CASE WHEN sqrt(dx * dx + dy * dy) >= 2 THEN round({turn} - 90, 5) END AS angle_degrees FROM (
-  SELECT measurement_id, (x1 - x0) * {SX} AS dx, (y1 - y0) * {SY} AS dy FROM measurements WHERE tool_type = 'alignment-horizontal') q"""
+def alignment_angle(d: Dialect, shortest: float = 20.0) -> str:
+    """Physical length of alignment lines and their angle to the row or column direction in [-90, 90), none under ``shortest`` mm; lines without a valid spacing are left out."""
+    turn = lambda a, b: d.mod(f"degrees(atan2({a}, {b})) + 90", "180")
+    return f"""SELECT measurement_id, round(sqrt(dx * dx + dy * dy), 6) AS length, CASE WHEN sqrt(dx * dx + dy * dy) >= {quote(shortest)} THEN round(CASE WHEN tool_type = 'alignment-horizontal' THEN {turn('dy', 'dx')} ELSE {turn('dx', 'dy')} END - 90, 5) END AS angle_degrees
+FROM (SELECT measurement_id, tool_type, (x1 - x0) * sx AS dx, (y1 - y0) * sy AS dy FROM (SELECT *, {ends(d)} FROM measurements WHERE tool_type LIKE 'alignment-%' AND {complete(d)} AND sx > 0 AND sy > 0) m) q"""
 
 
 @operator
 def roi_pixels(d: Dialect) -> str:
-    """Pixels in the box of each rectangle, ellipse and freeform: the slice's box, then an equi-join on the pixel."""
-    return f"""SELECT m.measurement_id, m.tool_type, m.series_id, m.slice_index, m.l, m.t, m.r, m.b, v.j, v.k, v.value, x0, y0, x1, y1, x2, y2 FROM (
-  SELECT *, cast({d.even('least(x0, x1)')} AS int) AS l, cast({d.even('greatest(x0, x1)')} AS int) AS r, cast({d.even('least(y0, y1)')} AS int) AS t, cast({d.even('greatest(y0, y1)')} AS int) AS b FROM measurements
-  WHERE tool_type IN ('rect', 'ellipse', 'freeform')) m
-JOIN voxels v ON v.series_id = m.series_id AND v.i = m.slice_index
-WHERE (m.tool_type <> 'freeform' AND v.k BETWEEN m.l AND m.r AND v.j BETWEEN m.t AND m.b) OR (m.tool_type = 'freeform' AND v.k BETWEEN least(x0, x1, x2) AND greatest(x0, x1, x2) AND v.j BETWEEN least(y0, y1, y2) AND greatest(y0, y1, y2))"""
+    """Pixels in the box of each rectangle, ellipse and freeform."""
+    return "SELECT measurement_id, tool_type, series_id, slice_index, j, k, value FROM roi_box_pixels"
+
+
+@view
+def roi_box_pixels(d: Dialect) -> str:
+    """Pixels in the box of each rectangle, ellipse and freeform: an equi-join on the slice, then its pixels, then the box."""
+    xs, ys = d.each("points", "p", "p.x"), d.each("points", "p", "p.y")
+    inner = f"""SELECT m.*, s.pixels, s.columns_ FROM (SELECT *, cast({d.even('least(x0, x1)')} AS int) AS l, cast({d.even('greatest(x0, x1)')} AS int) AS r,
+    cast({d.even('least(y0, y1)')} AS int) AS t, cast({d.even('greatest(y0, y1)')} AS int) AS b FROM (SELECT *, {ends(d)}, {d.least_of(xs)} AS x_min, {d.most_of(xs)} AS x_max, {d.least_of(ys)} AS y_min, {d.most_of(ys)} AS y_max
+    FROM measurements WHERE tool_type IN ('rect', 'ellipse', 'freeform') AND {complete(d)}) e) m JOIN slices s ON s.series_id = m.series_id AND s.i = m.slice_index"""
+    return f"""SELECT measurement_id, tool_type, series_id, slice_index, points, sx, sy, l, t, r, b, x0, y0, x1, y1, j, k, value FROM (
+  SELECT *, cast(floor(p / columns_) AS int) AS j, cast(p % columns_ AS int) AS k FROM ({d.pixels(inner)}) v) w
+WHERE CASE WHEN tool_type = 'freeform' THEN k BETWEEN x_min AND x_max AND j BETWEEN y_min AND y_max ELSE k BETWEEN l AND r AND j BETWEEN t AND b END"""
 
 
 AGG = """round(avg(value), 6) AS mean, round(sqrt(greatest(sum(value * value) / count(*) - power(sum(value) / count(*), 2), 0)), 6) AS standard_deviation, min(value) AS minimum, max(value) AS maximum"""
+ROI_UNIT = "CASE WHEN max(sx) IS NULL THEN 'px' ELSE 'mm' END AS unit, CASE WHEN max(sx) IS NULL THEN 'px2' ELSE 'mm2' END AS area_unit"
+WIDE, HIGH = "coalesce(max(sx), 1)", "coalesce(max(sy), 1)"
 
 
 @operator
 def rect_roi_stats(d: Dialect) -> str:
     """Size, area and statistics of each rectangle's inclusive box."""
-    return f"SELECT measurement_id, 'mm' AS unit, (max(r) - max(l)) * cast({SX} AS double) AS width, (max(b) - max(t)) * cast({SY} AS double) AS height, (max(r) - max(l)) * (max(b) - max(t)) * cast({SX * SY} AS double) AS area, {AGG} FROM roi_pixels WHERE tool_type = 'rect' GROUP BY measurement_id"
+    return f"""SELECT measurement_id, {ROI_UNIT}, (max(r) - max(l)) * {WIDE} AS width, (max(b) - max(t)) * {HIGH} AS height, (max(r) - max(l)) * (max(b) - max(t)) * {WIDE} * {HIGH} AS area, {AGG}
+FROM roi_box_pixels WHERE tool_type = 'rect' GROUP BY measurement_id"""
 
 
 @operator
 def ellipse_roi_stats(d: Dialect) -> str:
-    """Statistics of the pixels inside each ellipse."""
-    return f"""SELECT measurement_id, round(pi() / 4 * max(abs(x1 - x0)) * max(abs(y1 - y0)) * {SX * SY}, 6) AS area, {AGG} FROM roi_pixels WHERE tool_type = 'ellipse'
+    """Size, area and statistics of the pixels inside each ellipse."""
+    return f"""SELECT measurement_id, {ROI_UNIT}, max(abs(x1 - x0)) * {WIDE} AS width, max(abs(y1 - y0)) * {HIGH} AS height, round(pi() / 4 * max(abs(x1 - x0)) * max(abs(y1 - y0)) * {WIDE} * {HIGH}, 6) AS area, {AGG}
+FROM roi_box_pixels WHERE tool_type = 'ellipse'
 AND power((k - (x0 + x1) / 2) / greatest(abs(x1 - x0) / 2, 1e-6), 2) + power((j - (y0 + y1) / 2) / greatest(abs(y1 - y0) / 2, 1e-6), 2) <= 1 GROUP BY measurement_id"""
 
 
-def crosses(xa: str, ya: str, xb: str, yb: str) -> str:
-    return f"CASE WHEN ({ya} > j) <> ({yb} > j) AND k < ({xb} - {xa}) * (j - {ya}) / CASE WHEN {yb} = {ya} THEN 1 ELSE {yb} - {ya} END + {xa} THEN 1 ELSE 0 END"
+def inside_polygon(d: Dialect, points: str, x: str, y: str) -> str:
+    """Whether a place is inside a polygon (array of points) by the even-odd rule."""
+    a = d.at(points, "n")
+    b = d.at(points, f"CASE WHEN n = {d.size(points)} - 1 THEN 0 ELSE n + 1 END")
+    crosses = f"CASE WHEN (({a}).y > {y}) <> (({b}).y > {y}) AND {x} < (({b}).x - ({a}).x) * ({y} - ({a}).y) / CASE WHEN ({b}).y = ({a}).y THEN 1 ELSE ({b}).y - ({a}).y END + ({a}).x THEN cast(1 AS double) ELSE cast(0 AS double) END"
+    return f"({d.total(d.each(d.span('0', d.size(points) + ' - 1'), 'n', crosses))} % 2 = 1)"
 
 
 @operator
 def freeform_roi_stats(d: Dialect) -> str:
-    """Statistics of the pixels inside each polygon by the even-odd rule."""
-    n = " + ".join(crosses(*e) for e in (("x0", "y0", "x1", "y1"), ("x1", "y1", "x2", "y2"), ("x2", "y2", "x0", "y0")))
-    return f"SELECT measurement_id, count(*) * cast({SX * SY} AS double) AS area, {AGG} FROM roi_pixels WHERE tool_type = 'freeform' AND ({n}) % 2 = 1 GROUP BY measurement_id"
+    """Area and statistics of the pixels inside each polygon by the even-odd rule."""
+    return f"SELECT measurement_id, {ROI_UNIT}, count(*) * {WIDE} * {HIGH} AS area, {AGG} FROM (SELECT * FROM roi_box_pixels WHERE tool_type = 'freeform') f WHERE {inside_polygon(d, 'points', 'k', 'j')} GROUP BY measurement_id"
 
 
 @operator
 def circle_roi_stats(d: Dialect) -> str:
-    """Statistics of five circles on every slice: centre, left, right, top, bottom."""
-    rows = "('center', 3.5, 3.5), ('left', 1.5, 3.5), ('right', 5.5, 3.5), ('top', 3.5, 1.5), ('bottom', 3.5, 5.5)"
-    return f"""SELECT series_id, i, roi_id, count(*) AS sample_count, {AGG} FROM voxels JOIN (SELECT * FROM (VALUES {rows}) v(roi_id, cx, cy)) c ON power(k - cx, 2) + power(j - cy, 2) <= 2.25 GROUP BY series_id, i, roi_id"""
+    """Statistics of the finite pixels in each circle of each slice; zeros for a circle without any."""
+    inner = "SELECT s.series_id, s.i, s.columns_, roi_id, cx, cy, c.r AS radius, s.pixels FROM slices s JOIN circles c ON c.series_id = s.series_id"
+    hit = "power(p % columns_ - cx, 2) + power(floor(p / columns_) - cy, 2) <= radius * radius AND abs(value) < 1e300"
+    v = f"CASE WHEN {hit} THEN value END"
+    return f"""SELECT series_id, i, roi_id, count({v}) AS sample_count, coalesce(round(avg({v}), 6), 0) AS mean, coalesce(round(sqrt(greatest(avg({v.replace('THEN value', 'THEN value * value')}) - power(avg({v}), 2), 0)), 6), 0) AS standard_deviation,
+  min({v}) AS minimum, max({v}) AS maximum FROM ({d.pixels(inner)}) c GROUP BY series_id, i, roi_id"""
 
 
 @operator
 def water_qa_metrics(d: Dialect) -> str:
-    """Accuracy, uniformity and noise of a water phantom from its five regions, two places."""
-    return f"""SELECT s.series_id, s.i, roi_id, {d.even('mean', 2)} AS mean, {d.even('mean - centre', 2)} AS deviation_from_center, {d.even('centre', 2)} AS accuracy, {d.even('worst', 2)} AS max_deviation, {d.even('noise', 2)} AS noise
-FROM circle_roi_stats s JOIN (SELECT series_id, i, max(CASE WHEN roi_id = 'center' THEN mean END) AS centre, max(CASE WHEN roi_id = 'center' THEN standard_deviation END) AS noise FROM circle_roi_stats GROUP BY series_id, i) c
-  ON c.series_id = s.series_id AND c.i = s.i JOIN (SELECT a.series_id, a.i, max(abs(a.mean - b.mean)) AS worst FROM circle_roi_stats a JOIN circle_roi_stats b ON b.series_id = a.series_id AND b.i = a.i AND b.roi_id = 'center'
-  GROUP BY a.series_id, a.i) w ON w.series_id = s.series_id AND w.i = s.i"""
+    """Accuracy, uniformity and noise of a water phantom from its five regions, two places, with the regions' size in millimetres."""
+    return f"""SELECT s.series_id, s.i, s.roi_id, {d.even('mean', 2)} AS mean, {d.even('mean - centre', 2)} AS deviation_from_center, {d.even('centre', 2)} AS accuracy, {d.even('worst', 2)} AS max_deviation, {d.even('noise', 2)} AS noise,
+  {d.even('2 * c.r * g.sk', 2)} AS diameter_x_mm, {d.even('2 * c.r * g.sj', 2)} AS diameter_y_mm
+FROM (SELECT *, max(abs(mean - centre)) OVER (PARTITION BY series_id, i) AS worst FROM (SELECT *, max(CASE WHEN roi_id = 'center' THEN mean END) OVER (PARTITION BY series_id, i) AS centre,
+    max(CASE WHEN roi_id = 'center' THEN standard_deviation END) OVER (PARTITION BY series_id, i) AS noise FROM circle_roi_stats) p) s
+JOIN circles c ON c.series_id = s.series_id AND c.roi_id = s.roi_id JOIN spacings g ON g.series_id = s.series_id"""
 
 
 @operator
 def phantom_rois(d: Dialect) -> str:
-    """Five water regions at 0.55 of a phantom's radius, each of radius max(6, 0.12 R)."""
-    rows = "('center', 0.0, 0.0), ('left', -1.0, 0.0), ('right', 1.0, 0.0), ('top', 0.0, -1.0), ('bottom', 0.0, 1.0)"
-    return f"""SELECT series_id, roi_id, round(cx + dx * 0.55 * radius, 6) AS x, round(cy + dy * 0.55 * radius, 6) AS y, greatest(cast(6 AS double), round(0.12 * radius, 6)) AS r
-FROM (SELECT series_id, cast(128 AS double) AS cx, cast(128 AS double) AS cy, cast(60 + label * 4 AS double) AS radius FROM image_series) p JOIN (SELECT * FROM (VALUES {rows}) v(roi_id, dx, dy)) o ON true"""
+    """Regions of found phantoms: five of water at 0.55 of the radius, each of radius max(6, 0.12 R), and one of air: the first of left, right, top and bottom outside that fits the image."""
+    water = ", ".join(d.struct(roi_id=f"'{n}'", dx=f"cast({x} AS double)", dy=f"cast({y} AS double)") for n, x, y in (("center", 0, 0), ("left", -1, 0), ("right", 1, 0), ("top", 0, -1), ("bottom", 0, 1)))
+    air = ", ".join(d.struct(dx=f"cast({x} AS double)", dy=f"cast({y} AS double)") for x, y in ((-1, 0), (1, 0), (0, -1), (0, 1)))
+    fits = "cx + p.dx * (radius + 2 * small) BETWEEN small AND columns_ - 1 - small AND cy + p.dy * (radius + 2 * small) BETWEEN small AND rows_ - 1 - small"
+    return f"""SELECT series_id, i, (w).roi_id AS roi_id, round(cx + (w).dx * 0.55 * radius, 6) AS x, round(cy + (w).dy * 0.55 * radius, 6) AS y, small AS r FROM (
+  SELECT *, {d.rows(d.array(water))} AS w FROM (SELECT *, greatest(cast(6 AS double), round(0.12 * radius, 6)) AS small FROM phantoms) p) q
+UNION ALL SELECT series_id, i, 'air' AS roi_id, round(cx + (a).dx * (radius + 2 * small), 6) AS x, round(cy + (a).dy * (radius + 2 * small), 6) AS y, small AS r FROM (
+  SELECT *, {d.at(d.keep(d.array(air), 'p', fits), 0)} AS a FROM (SELECT *, greatest(cast(6 AS double), round(0.12 * radius, 6)) AS small FROM phantoms) p) q WHERE a IS NOT NULL"""
 
 
 @operator
 def measurement_labels(d: Dialect) -> str:
-    """Label text of each rectangle: fixed one-place numbers, ``-`` for none."""
-    return f"SELECT measurement_id, 'Area: ' || coalesce({d.format('%.1f', d.even('area', 1))}, '-') || ' mm2' AS area_label, 'Mean: ' || coalesce({d.format('%.1f', d.even('mean', 1))}, '-') AS mean_label FROM rect_roi_stats"
+    """Label texts of each rectangle: fixed one-place numbers, ``-`` for none."""
+    text = lambda c: f"coalesce({d.format('%.1f', d.even(c, 1))}, '-')"
+    return f"SELECT measurement_id, 'Area: ' || {text('area')} || ' ' || area_unit AS area_label, 'Mean: ' || {text('mean')} AS mean_label, 'SD: ' || {text('standard_deviation')} AS sd_label, 'W: ' || {text('width')} || ' ' || unit AS width_label FROM rect_roi_stats"
 
 
 @operator
 def parse_measure_labels(d: Dialect) -> str:
-    """Number, unit code and concept of label texts."""
-    unit = "CASE unit " + " ".join(f"WHEN '{u}' THEN '{c.replace(chr(39), chr(39) * 2)}'" for u, c in UNITS.items() if "{" not in c) + " END"
-    return f"""SELECT measurement_id, concept, number, {unit} AS code FROM (SELECT measurement_id, trim(regexp_extract(area_label, '^([^:]*):', 1)) AS concept,
-  try_cast(regexp_extract(area_label, '[-+]?[0-9]+([.][0-9]+)?', 0) AS double) AS number, trim(regexp_extract(area_label, '([A-Za-z^]+[0-9]*)$', 1)) AS unit FROM measurement_labels) q"""
+    """First number, unit code and concept (the text before) of label texts; labels without a number are left out."""
+    number = "[-+]?[0-9]+([.][0-9]+)?"
+    codes = "CASE unit " + " ".join(f"WHEN '{u}' THEN '{c.replace(chr(39), chr(39) * 2)}'" for u, c in UNITS.items() if "{" not in c) + " WHEN 'px' THEN pixel WHEN 'pixel' THEN pixel WHEN 'pixels' THEN pixel ELSE unit END"
+    unit = f"lower(replace(replace(trim(regexp_extract(label, '{number}[ ]*([^ ]*)', 2)), '°', 'deg'), '^2', '2'))"
+    return f"""SELECT measurement_id, label, coalesce(nullif(regexp_replace(regexp_extract(label, '^([^0-9]*?)[ :-]*{number}', 1), '^[ :-]+', ''), ''), 'Measurement Value') AS concept, number, {codes} AS code FROM (
+  SELECT measurement_id, label, number, chr(123) || 'pixel' || chr(125) AS pixel, CASE WHEN unit LIKE 'sq_%' THEN substring(unit, 3) || '2' ELSE unit END AS unit FROM (
+    SELECT measurement_id, label, try_cast(regexp_extract(label, '{number}', 0) AS double) AS number, {unit} AS unit FROM (
+      SELECT measurement_id, {d.rows(d.array('area_label', 'mean_label', 'sd_label', 'width_label'))} AS label FROM measurement_labels) l) p) q WHERE number IS NOT NULL"""
 
 
 @operator
 def hover_sample(d: Dialect) -> str:
-    """Pixel under a pointer: clamped position, 1-based row and column, value and display text."""
-    return f"""SELECT p.event_id, p.r AS row_, p.c AS col_, v.value, CASE WHEN label % 2 = 0 THEN 'HU' END AS unit, coalesce(cast(cast(v.value AS bigint) AS {d.text}), '-') AS display_text FROM (
-  SELECT *, cast(floor(least(greatest(x, 0), 1) * 7.999999) + 1 AS int) AS c, cast(floor(least(greatest(y, 0), 1) * 7.999999) + 1 AS int) AS r FROM pointers) p
-LEFT JOIN voxels v ON v.series_id = p.series_id AND v.i = p.slice_index AND v.j = p.r - 1 AND v.k = p.c - 1"""
+    """Pixel under a pointer: canvas position through the inverse of the image's affine map; 1-based row and column, (0, 0) outside; stored sign of MONOCHROME1 restored."""
+    back = lambda p, q, r: f"({p} * (px - e) + {q} * (py - f)) / ({r})"
+    return f"""SELECT p.event_id, p.r AS row_, p.c AS col_, CASE WHEN s.photometric = 'MONOCHROME1' THEN -1 ELSE 1 END * {d.at('s.pixels', '(p.r - 1) * s.columns_ + p.c - 1')} AS value, CASE WHEN m.modality = 'CT' THEN 'HU' END AS unit,
+  coalesce(cast(cast({d.at('s.pixels', '(p.r - 1) * s.columns_ + p.c - 1')} * CASE WHEN s.photometric = 'MONOCHROME1' THEN -1 ELSE 1 END AS bigint) AS {d.text}), '-') AS display_text
+FROM (SELECT event_id, series_id, slice_index, CASE WHEN u >= 0 AND v >= 0 AND u < columns_ AND v < rows_ THEN cast(floor(u) + 1 AS int) ELSE 0 END AS c,
+    CASE WHEN u >= 0 AND v >= 0 AND u < columns_ AND v < rows_ THEN cast(floor(v) + 1 AS int) ELSE 0 END AS r FROM (
+  SELECT *, {back('d', '-c', 'a * d - b * c')} AS u, {back('-b', 'a', 'a * d - b * c')} AS v FROM (
+    SELECT q.event_id, q.series_id, q.slice_index, least(least(greatest(q.x, 0), 1) * canvas_width, canvas_width - 1e-6) AS px, least(least(greatest(q.y, 0), 1) * canvas_height, canvas_height - 1e-6) AS py, t.a, t.b, t.c, t.d, t.e, t.f, t.rows_, t.columns_
+    FROM pointers q JOIN canvas_affine t ON t.series_id = q.series_id) w) z) p
+JOIN image_series m ON m.series_id = p.series_id LEFT JOIN slices s ON s.series_id = p.series_id AND s.i = p.slice_index AND p.r > 0"""
 
 
 @operator
 def drawings_on_slice(d: Dialect) -> str:
-    """Number of drawings that each slice shows: those of the whole series, and those of the slice itself, each counted before the join."""
-    return """SELECT s.series_id, s.i, coalesce(n_series, 0) + coalesce(n_image, 0) AS drawings, coalesce(n_series, 0) AS of_series FROM slices s
-LEFT JOIN (SELECT series_id, count(*) AS n_series FROM measurements WHERE scope = 'series' GROUP BY series_id) a ON a.series_id = s.series_id
-LEFT JOIN (SELECT series_id, slice_index, count(*) AS n_image FROM measurements WHERE scope = 'image' GROUP BY series_id, slice_index) b ON b.series_id = s.series_id AND b.slice_index = s.i"""
+    """Drawings that each stack or mpr slice shows: those of the whole series and of the slice itself, of its own kind, each counted before the join."""
+    return f"""SELECT s.series_id, s.i, s.kind, coalesce(n_series, 0) + coalesce(n_image, 0) AS drawings, coalesce(n_series, 0) AS of_series FROM (SELECT series_id, i, {d.rows(d.array("'stack'", "'mpr'"))} AS kind FROM slices) s
+LEFT JOIN (SELECT series_id, kind, count(*) AS n_series FROM measurements WHERE scope = 'series' GROUP BY series_id, kind) a ON a.series_id = s.series_id AND a.kind = s.kind
+LEFT JOIN (SELECT series_id, kind, slice_index, count(*) AS n_image FROM measurements WHERE scope <> 'series' GROUP BY series_id, kind, slice_index) b ON b.series_id = s.series_id AND b.kind = s.kind AND b.slice_index = s.i"""
 
 
 @operator
 def reproject_measurements(d: Dialect) -> str:
-    """Line ends of one plane in millimetres and on the coronal plane, with the length there."""
-    return """SELECT m.measurement_id, round(ox + x0 * sk, 6) AS wx0, round(oz + slice_index * si, 6) AS wz0, round((slice_index * si - (depth - 1) / 2.0 * si) / sk + 3.5, 6) AS plane_row, round(abs(x1 - x0) * sk, 6) AS length_on_plane
-FROM measurements m JOIN geometry g ON g.series_id = m.series_id WHERE tool_type = 'line'"""
+    """Points of every measurement of the stack in millimetres, and their row and column on every other plane of the series."""
+    x, y = xy(d, "n")
+    w = ", ".join(f"o{c} + ({y}) * j{c} + ({x}) * k{c} + slice_index * i{c} AS w{c}" for c in "xyz")
+    on = lambda a: f"(wx - cx) * {a}x + (wy - cy) * {a}y + (wz - cz) * {a}z"
+    return f"""SELECT measurement_id, p.kind AS plane, cast(n AS int) AS n, round(wx, 6) AS wx, round(wy, 6) AS wy, round(wz, 6) AS wz, round(({on('u')}) / step + (width - 1) / cast(2 AS double), 6) AS plane_column, round(({on('v')}) / step + (height - 1) / cast(2 AS double), 6) AS plane_row
+FROM (SELECT m.series_id, measurement_id, n, {w} FROM (SELECT *, {d.rows(d.span('0', d.size('points') + ' - 1'))} AS n FROM measurements WHERE kind = 'stack') m JOIN geometry g ON g.series_id = m.series_id) q
+JOIN planes p ON p.series_id = q.series_id AND p.kind <> 'axial'"""
 
 
 @operator
-def smooth_path(d: Dialect) -> str:
-    """Curve points joined smoothly: 12 samples of a Catmull-Rom curve through three points."""
-    h = lambda a: f"round(0.5 * (2 * {a}0 + (-{a}0 + {a}1) * u + (2 * {a}0 - 5 * {a}0 + 4 * {a}1 - {a}2) * u * u + (-{a}0 + 3 * {a}0 - 3 * {a}1 + {a}2) * u * u * u), 6) AS {a}"
-    return f"SELECT measurement_id, cast(n AS int) AS n, {h('x')}, {h('y')} FROM (SELECT *, n / cast(12 AS double) AS u FROM (SELECT measurement_id, x0, y0, x1, y1, x2, y2, {d.rows(d.span('0', '12'))} AS n FROM measurements WHERE tool_type = 'curve') p) q"
+def smooth_path(d: Dialect, closed: bool = False, samples: int = 12) -> str:
+    """Each curve as a smooth path: cubic Bezier segments with controls at a sixth of the neighbours' distance, ``samples`` points a segment after the first point."""
+    n = d.size("points")
+    if closed:  # only paths of three points and more close
+        place = lambda e: f"CASE WHEN {n} > 2 THEN ({e} + {n}) % {n} ELSE least(greatest({e}, 0), {n} - 1) END"
+        segments = f"CASE WHEN {n} > 2 THEN {n} ELSE {n} - 1 END"
+    else:
+        place, segments = (lambda e: f"least(greatest({e}, 0), {n} - 1)"), f"{n} - 1"
+    at = {k: xy(d, place(e)) for k, e in (("b", "seg - 1"), ("s", "seg"), ("e", "seg + 1"), ("a", "seg + 2"))}
+
+    def curve(c: int) -> str:
+        b, s, e, a = (at[k][c] for k in "bsea")
+        return f"round(power(1 - u, 3) * {s} + 3 * power(1 - u, 2) * u * ({s} + ({e} - {b}) / 6) + 3 * (1 - u) * u * u * ({e} - ({a} - {s}) / 6) + power(u, 3) * {e}, 6)"
+
+    return f"""SELECT measurement_id, cast(m AS int) AS n, {curve(0)} AS x, {curve(1)} AS y FROM (
+  SELECT *, CASE WHEN m = 0 THEN 0 ELSE cast(floor((m - 1) / {samples}) AS int) END AS seg, CASE WHEN m = 0 THEN cast(0 AS double) ELSE ((m - 1) % {samples} + 1) / cast({samples} AS double) END AS u FROM (
+    SELECT *, {d.rows(d.span('0', f'({segments}) * {samples}'))} AS m FROM measurements WHERE tool_type = 'curve' AND {n} >= 2) p) q"""
+
+
+def outline(d: Dialect) -> str:
+    """Points (n, x, y) of each measurement's outline: rectangles as five corners, ellipses as 33 points, freeforms closed, others as they are."""
+    point = lambda x, y: d.struct(x=x, y=y)
+    rect = d.array(point("x0", "y0"), point("x1", "y0"), point("x1", "y1"), point("x0", "y1"), point("x0", "y0"))
+    turn = d.each(d.span("0", "32"), "n", point("(x0 + x1) / 2 + abs(x1 - x0) / 2 * cos(2 * pi() * (n % 32) / 32)", "(y0 + y1) / 2 + abs(y1 - y0) / 2 * sin(2 * pi() * (n % 32) / 32)"))
+    first, last = d.at("points", 0), d.at("points", d.size("points") + " - 1")
+    join = "concat(points, slice(points, 1, 1))" if d.spark else "list_concat(points, points[1:1])"
+    closed = f"CASE WHEN {d.size('points')} > 2 AND NOT (({first}).x = ({last}).x AND ({first}).y = ({last}).y) THEN {join} ELSE points END"
+    return f"""SELECT measurement_id, graphic_type, cast(n AS int) AS n, ({d.at('o', 'n')}).x AS x, ({d.at('o', 'n')}).y AS y, image_width, image_height FROM (SELECT *, {d.rows(d.span('0', d.size('o') + ' - 1'))} AS n FROM (
+  SELECT measurement_id, image_width, image_height, CASE WHEN {d.size('points')} = 1 THEN 'POINT' ELSE 'POLYLINE' END AS graphic_type, CASE WHEN {d.size('points')} = 1 THEN points WHEN tool_type = 'rect' THEN {rect} WHEN tool_type = 'ellipse' THEN {turn} WHEN tool_type = 'freeform' THEN {closed} ELSE points END AS o
+  FROM (SELECT *, {ends(d)} FROM measurements) m) a) b"""
+
+
+CLIPPED = "least(greatest(x, 0), image_width - 1)", "least(greatest(y, 0), image_height - 1)"
 
 
 @operator
 def sr_graphics(d: Dialect) -> str:
-    """Closed outlines of rectangles for reports: five corners in order."""
-    xs, ys = "CASE n WHEN 0 THEN x0 WHEN 1 THEN x1 WHEN 2 THEN x1 ELSE x0 END", "CASE n WHEN 0 THEN y0 WHEN 1 THEN y0 WHEN 2 THEN y1 WHEN 3 THEN y1 ELSE y0 END"
-    return f"SELECT measurement_id, 'POLYLINE' AS graphic_type, cast(n AS int) AS n, {xs.replace('ELSE x0', 'WHEN 3 THEN x0 ELSE x0')} AS x, {ys} AS y FROM (SELECT *, {d.rows(d.span('0', '4'))} AS n FROM measurements WHERE tool_type = 'rect') q"
+    """Outlines for reports: points counted from 0, inside the image."""
+    return f"SELECT measurement_id, graphic_type, n, round({CLIPPED[0]}, 6) AS x, round({CLIPPED[1]}, 6) AS y FROM ({outline(d)}) o"
 
 
 @operator
 def gsps_graphics(d: Dialect) -> str:
-    """Outlines for presentation states: 33 points of each ellipse, counted from 1."""
-    return f"""SELECT measurement_id, 'POLYLINE' AS graphic_type, cast(n AS int) AS n, round((x0 + x1) / 2 + abs(x1 - x0) / 2 * cos(2 * pi() * n / 32) + 1, 6) AS x, round((y0 + y1) / 2 + abs(y1 - y0) / 2 * sin(2 * pi() * n / 32) + 1, 6) AS y
-FROM (SELECT *, {d.rows(d.span('0', '32'))} AS n FROM measurements WHERE tool_type = 'ellipse') q"""
+    """Outlines for presentation states: points counted from 1, inside the image."""
+    return f"SELECT measurement_id, graphic_type, n, round({CLIPPED[0]} + 1, 6) AS x, round({CLIPPED[1]} + 1, 6) AS y FROM ({outline(d)}) o"
 
 
 @operator
 def parse_gsps(d: Dialect) -> str:
-    """Presentation graphics as measurements: 0-based points floored at 0, and the tool that the shape says."""
-    return """SELECT measurement_id, CASE WHEN points = 2 THEN 'line' WHEN points = 5 AND closed THEN 'rect' ELSE 'freeform' END AS tool_type, x_min, y_min, x_max, y_max FROM (
-  SELECT measurement_id, count(*) AS points, min(CASE WHEN n = 0 THEN x END) = max(CASE WHEN n = 4 THEN x END) AS closed, greatest(min(x) - 1, 0) AS x_min, greatest(min(y) - 1, 0) AS y_min,
-    greatest(max(x) - 1, 0) AS x_max, greatest(max(y) - 1, 0) AS y_max FROM (SELECT measurement_id, n, x, y FROM sr_graphics UNION ALL SELECT measurement_id, n, x, y FROM gsps_graphics) g GROUP BY measurement_id) q"""
+    """Presentation graphics as measurements: 0-based points floored at 0, PIXEL units only, the tool that the shape says, the text of the same place; texts that are left over become annotations."""
+    return """SELECT g.graphic_id, CASE WHEN graphic_type IN ('ELLIPSE', 'CIRCLE') THEN 'ellipse' WHEN points = 2 THEN 'line' WHEN points = 5 AND closed AND xs = 2 AND ys = 2 THEN 'rect' WHEN points = 1 THEN 'point' ELSE 'freeform' END AS tool_type,
+  CASE WHEN lower(layer) LIKE '%annot%' THEN 'annotation' ELSE 'measurement' END AS kind, x_min, y_min, x_max, y_max, t.text_value AS label FROM (
+  SELECT state_id, graphic_id, graphic_no, max(layer) AS layer, max(graphic_type) AS graphic_type, count(*) AS points, count(DISTINCT x) AS xs, count(DISTINCT y) AS ys, max(CASE WHEN n = 0 THEN x END) = max(CASE WHEN n = 4 THEN x END) AND max(CASE WHEN n = 0 THEN y END) = max(CASE WHEN n = 4 THEN y END) AS closed,
+    greatest(min(x) - 1, 0) AS x_min, greatest(min(y) - 1, 0) AS y_min, greatest(max(x) - 1, 0) AS x_max, greatest(max(y) - 1, 0) AS y_max FROM gsps_items WHERE units = 'PIXEL' GROUP BY state_id, graphic_id, graphic_no) g
+LEFT JOIN gsps_texts t ON t.state_id = g.state_id AND t.text_no = g.graphic_no
+UNION ALL SELECT t.text_id AS graphic_id, 'text' AS tool_type, 'annotation' AS kind, greatest(t.x - 1, 0) AS x_min, greatest(t.y - 1, 0) AS y_min, greatest(t.x - 1, 0) AS x_max, greatest(t.y - 1, 0) AS y_max, t.text_value AS label FROM gsps_texts t
+WHERE NOT EXISTS (SELECT 1 FROM gsps_items i WHERE i.state_id = t.state_id AND i.graphic_no = t.text_no AND i.units = 'PIXEL')"""
 
 
 @operator
 def sr_report_rows(d: Dialect) -> str:
-    """Report items of each rectangle: group, tool, coordinates and numbers, in order."""
-    return f"""SELECT measurement_id, 1 AS ord, 'Tool' AS concept, 'rect' AS text_value FROM rect_roi_stats UNION ALL SELECT measurement_id, 2 AS ord, 'Area' AS concept, {d.format('%.1f', 'area')} AS text_value FROM rect_roi_stats
-UNION ALL SELECT measurement_id, 3 + n AS ord, 'Coordinate' AS concept, {d.format('%.2f', 'x')} || '/' || {d.format('%.2f', 'y')} AS text_value FROM sr_graphics"""
+    """Report tree of every measurement, one row an item: its path in the tree, concept and text. Group, then tool and place, coordinates, and the numbers of rectangles."""
+    item = lambda path, concept, text: d.struct(path=path, concept=f"'{concept}'", text_value=text)
+    number = lambda c: d.format("%.1f", d.even(c, 1))
+    joined = lambda a, b: f"concat({a}, {b})" if d.spark else f"list_concat({a}, {b})"
+    head = d.array(item("'1'", "Imaging Measurement", "measurement_id"), item("'1.1'", "Tool", "tool_type"), item("'1.2'", "Source", f"series_id || '/' || cast(slice_index AS {d.text})"))
+    p = d.at("points", "n")
+    points = d.each(d.span("0", d.size("points") + " - 1"), "n", item(f"'1.3.' || cast(n + 1 AS {d.text})", "Coordinate", f"{d.format('%.2f', f'({p}).x')} || '/' || {d.format('%.2f', f'({p}).y')}"))
+    numbers = d.array(*(item(f"'1.4.{n}'", c.title(), number(c)) for n, c in enumerate(("area", "mean", "standard_deviation"), 1)))
+    return f"""SELECT measurement_id, (x).path AS path, (x).concept AS concept, (x).text_value AS text_value FROM (SELECT measurement_id, {d.rows(joined(joined(head, points), 'CASE WHEN mean IS NULL THEN ' + d.keep(numbers, 'n', 'false') + ' ELSE ' + numbers + ' END'))} AS x
+FROM (SELECT m.*, area, mean, standard_deviation FROM measurements m LEFT JOIN rect_roi_stats r ON r.measurement_id = m.measurement_id) q) w"""

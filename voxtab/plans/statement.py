@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,16 @@ class Dialect:
         """Array of the parts of a text between one-character marks."""
         return f"split({text}, '[{mark}]')" if self.spark else f"string_split({text}, '{mark}')"
 
+    def names(self, value: str, most: int = 3) -> str:
+        """The first different values of a group in order, as one text."""
+        if self.spark:
+            return f"array_join(slice(array_sort(collect_set({value})), 1, {most}), ', ')"
+        return f"array_to_string(list_sort(list_distinct(coalesce(list({value}) FILTER (WHERE {value} IS NOT NULL), [])))[1:{most}], ', ')"
+
+    def parts(self, text: str) -> str:
+        """Array of the parts of a value of several, which backslashes separate."""
+        return f"split({text}, '[\\\\\\\\]', -1)" if self.spark else f"string_split({text}, chr(92))"
+
     def joined(self, value: str, mark: str, order: str) -> str:
         return f"array_join(transform(array_sort(collect_list(struct({order} as o, {value} as v))), x -> x.v), '{mark}')" if self.spark else f"string_agg({value}, '{mark}' ORDER BY {order})"
 
@@ -73,6 +84,38 @@ class Dialect:
     def json(self, text: str, path: str) -> str:
         return f"get_json_object({text}, '{path}')" if self.spark else f"json_extract_string({text}, '{path}')"
 
+    def size(self, array: str) -> str:
+        return f"size({array})" if self.spark else f"len({array})"
+
+    def at(self, array: str, place: str | int) -> str:
+        """Element at a 0-based place, null outside."""
+        return f"get({array}, cast({place} AS int))" if self.spark else f"{array}[cast({place} AS int) + 1]"
+
+    def total(self, array: str) -> str:
+        """Sum of an array of doubles."""
+        return f"aggregate({array}, cast(0 AS double), (a, x) -> a + x)" if self.spark else f"coalesce(list_sum({array}), 0)"
+
+    def least_of(self, array: str) -> str:
+        return f"array_min({array})" if self.spark else f"list_min({array})"
+
+    def most_of(self, array: str) -> str:
+        return f"array_max({array})" if self.spark else f"list_max({array})"
+
+    def struct(self, **fields: str) -> str:
+        if self.spark:
+            return f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in fields.items())})"
+        return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
+    def first_by(self, value: str, key: str) -> str:
+        """Value of the row with the smallest key."""
+        return f"min_by({value}, {key})" if self.spark else f"first({value} ORDER BY {key})"
+
+    def pixels(self, inner: str) -> str:
+        """Rows of a statement that has an array ``pixels``, once for each pixel, with its place p and its value."""
+        if self.spark:
+            return f"SELECT q.*, e.p, e.value FROM ({inner}) q LATERAL VIEW posexplode(pixels) e AS p, value"
+        return f"SELECT *, pixels[p + 1] AS value FROM (SELECT *, unnest(range(0, len(pixels))) AS p FROM ({inner}) q) u"
+
     def mod(self, a: str, b: str) -> str:
         return f"pmod({a}, {b})" if self.spark else f"((({a}) % ({b})) + ({b})) % ({b})"
 
@@ -89,22 +132,40 @@ NAMED = re.compile(r"\b(FROM|JOIN) (\w+)")
 ALIASED = re.compile(r"\b(FROM|JOIN) (\w+)( [a-z]\w*)?")
 
 
+def quote(value: str | float | bool | None) -> str:
+    """A parameter as an SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, float):
+        return f"cast({value!r} AS double)"
+    return str(value) if isinstance(value, int) else "'" + str(value).replace("\\", "").replace("'", "''") + "'"
+
+
 class Operator:
-    """A named statement; see the module's docstring."""
+    """A named statement; see the module's docstring. What its builder takes beside the dialect are its parameters."""
 
-    def __init__(self, build: Callable[[Dialect], str], view: bool) -> None:
-        self.name, self.build, self.view, self.__doc__ = build.__name__, build, view, build.__doc__
+    def __init__(self, build: Callable[..., str], view: bool) -> None:
+        self.name, self.builder, self.view, self.__doc__ = build.__name__, build, view, build.__doc__
+        self.params = tuple(signature(build).parameters)[1:]
         REGISTRY[self.name] = self
 
-    def needs(self, dialect: Dialect) -> list[str]:
-        return list(dict.fromkeys(n for _, n in NAMED.findall(self.build(dialect)) if n in REGISTRY or n in BASE))
+    def build(self, dialect: Dialect, params: dict | None = None) -> str:
+        return self.builder(dialect, **{k: v for k, v in (params or {}).items() if k in self.params})
+
+    def needs(self, dialect: Dialect, params: dict | None = None) -> list[str]:
+        return list(dict.fromkeys(n for _, n in NAMED.findall(self.build(dialect, params)) if n in REGISTRY or n in BASE))
 
-    def __call__(self, **frames: DataFrame) -> DataFrame:
+    def __call__(self, **given: DataFrame | str | float | bool | tuple | None) -> DataFrame:
+        """The operator over given tables; other arguments are parameters of it or of an operator that it needs."""
+        frames = {k: v for k, v in given.items() if isinstance(v, DataFrame)}
+        params = {k: v for k, v in given.items() if k not in frames}
         spark = next(iter(frames.values())).sparkSession
-        return spark.sql(*statement(self, SPARK, tuple(frames)), **{k: v for k, v in frames.items()})
+        return spark.sql(*statement(self, SPARK, tuple(frames), params), **frames)
 
 
-def statement(op: Operator, dialect: Dialect, given: tuple[str, ...] = BASE) -> tuple[str]:
+def statement(op: Operator, dialect: Dialect, given: tuple[str, ...] = BASE, params: dict | None = None) -> tuple[str]:
     """The operator and all that it needs, down to the given tables, as one statement."""
     order: list[str] = []
 
@@ -113,15 +174,18 @@ def statement(op: Operator, dialect: Dialect, given: tuple[str, ...] = BASE) ->
             return
         if name not in REGISTRY:
             raise KeyError(f"{op.name} needs a table {name}")
-        for n in REGISTRY[name].needs(dialect):
+        for n in REGISTRY[name].needs(dialect, params):
             visit(n)
         order.append(name)
 
-    for n in op.needs(dialect):
+    for n in op.needs(dialect, params):
         visit(n)
+    unknown = set(params or {}).difference(op.params, *(REGISTRY[n].params for n in order))
+    if unknown:
+        raise TypeError(f"{op.name} has no parameter {', '.join(sorted(unknown))}")
 
     def body(name: str) -> str:
-        sql = REGISTRY[name].build(dialect).strip()
+        sql = REGISTRY[name].build(dialect, params).strip()
         if not dialect.spark:
             return sql
         return ALIASED.sub(lambda m: f"{m[1]} {{{m[2]}}}{m[3] or f' AS {m[2]}'}" if m[2] in given else m[0], sql)
@@ -130,11 +194,11 @@ def statement(op: Operator, dialect: Dialect, given: tuple[str, ...] = BASE) ->
     return ((f"WITH {ctes}\n" if ctes else "") + f"SELECT * FROM (\n{body(op.name)}\n) result",)
 
 
-def operator(build: Callable[[Dialect], str]) -> Operator:
+def operator(build: Callable[..., str]) -> Operator:
     return Operator(build, view=False)
 
 
-def view(build: Callable[[Dialect], str]) -> Operator:
+def view(build: Callable[..., str]) -> Operator:
     """A view of the given tables as a table of the domain; not a query of its own."""
     return Operator(build, view=True)
 

@@ -4,21 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from voxtab.plans.statement import Dialect, operator
+from voxtab.operators.catalog import DENIED
+from voxtab.plans.statement import Dialect, operator, quote
 
 MAX_ENTRIES, MAX_RATIO, MAX_BYTES = 20_000, 200, 4 * 2**30
 UPLOAD_FILES, UPLOAD_BYTES = 20_000, 2 * 2**30
 
 
+def candidate(d: Dialect, name: str) -> str:
+    """Whether a file's name may be an image's: no hidden or __MACOSX part, no denied suffix."""
+    denied = ", ".join(f"'{x}'" for x in DENIED)
+    return f"NOT {d.matches(name, '(^|/)[.][^./]')} AND NOT {d.matches(name, '(^|/)__MACOSX(/|$)')} AND lower(regexp_extract({name}, '([.][^./]*)$', 1)) NOT IN ({denied})"
+
+
 @operator
-def screen_archive_members(d: Dialect) -> str:
-    """Status of each member in listing order: the first check that fails, with running entries and bytes."""
-    return f"""SELECT archive_id, ord, member_name, CASE WHEN running_entries > {MAX_ENTRIES} THEN 'too-many-entries' WHEN is_encrypted THEN 'encrypted'
+def screen_archive_members(d: Dialect, max_entries: int = MAX_ENTRIES, max_ratio: int = MAX_RATIO, max_bytes: int = MAX_BYTES) -> str:
+    """Status of each member in listing order: the first check that fails, with running entries and bytes; members without sizes are held against the whole archive's ratio."""
+    return f"""SELECT archive_id, ord, member_name, CASE WHEN running_entries > {max_entries} THEN 'too-many-entries' WHEN is_encrypted THEN 'encrypted' WHEN is_symlink THEN 'symlink'
     WHEN member_name LIKE '/%' OR {d.matches('member_name', '(^|/)[.][.]?(/|$)')} THEN 'unsafe-path' WHEN skipped THEN 'skipped'
-    WHEN uncompressed > 0 AND compressed > 0 AND uncompressed > {MAX_RATIO} * compressed THEN 'ratio' WHEN running_bytes > {MAX_BYTES} THEN 'too-large' ELSE 'ok' END AS status,
-  running_entries, running_bytes FROM (SELECT *, row_number() OVER w AS running_entries,
-    cast(sum(CASE WHEN skipped THEN 0 ELSE uncompressed END) OVER (PARTITION BY archive_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS bigint) AS running_bytes
-  FROM (SELECT *, {d.matches('member_name', '[.]txt$')} AS skipped FROM archive_members) p WINDOW w AS (PARTITION BY archive_id ORDER BY ord)) q""".replace("row_number() OVER w", "cast(row_number() OVER w AS bigint)")
+    WHEN uncompressed > 0 AND compressed > 0 AND uncompressed > {max_ratio} * compressed THEN 'ratio' WHEN (coalesce(uncompressed, 0) <= 0 OR coalesce(compressed, 0) <= 0) AND all_bytes > {max_ratio} * archive_size THEN 'ratio'
+    WHEN running_bytes > {max_bytes} THEN 'too-large' ELSE 'ok' END AS status, running_entries, running_bytes
+FROM (SELECT *, cast(count(*) OVER w AS bigint) AS running_entries, cast(sum(CASE WHEN skipped THEN 0 ELSE coalesce(uncompressed, 0) END) OVER w AS bigint) AS running_bytes, sum(coalesce(uncompressed, 0)) OVER (PARTITION BY archive_id) AS all_bytes
+  FROM (SELECT *, NOT ({candidate(d, 'member_name')}) AS skipped FROM archive_members) p WINDOW w AS (PARTITION BY archive_id ORDER BY ord ROWS UNBOUNDED PRECEDING)) q"""
 
 
 @operator
@@ -33,60 +40,80 @@ FROM (SELECT *, row_number() OVER (PARTITION BY archive_id, target ORDER BY ord)
 
 
 @operator
-def upload_quota(d: Dialect) -> str:
-    """Files of a session until it has too many or too large; empty ones go, others that cannot be images are skipped."""
-    return f"""SELECT archive_id, ord, CASE WHEN skipped THEN 'skipped' WHEN files > {UPLOAD_FILES} OR running > {UPLOAD_BYTES} THEN 'rejected' ELSE 'accepted' END AS status FROM (
-  SELECT archive_id, ord, skipped, sum(CASE WHEN skipped THEN 0 ELSE 1 END) OVER (PARTITION BY archive_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS files,
-    sum(uncompressed * 100) OVER (PARTITION BY archive_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS running
-  FROM (SELECT *, {d.matches('member_name', '[.]txt$')} AS skipped FROM archive_members WHERE uncompressed > 0) p) q"""
+def upload_quota(d: Dialect, max_files: int = UPLOAD_FILES, max_bytes: int = UPLOAD_BYTES) -> str:
+    """Files of a session until it has more than ``max_files`` or ``max_bytes``; empty files go, others that cannot be images are skipped and not counted."""
+    return f"""SELECT archive_id, ord, CASE WHEN skipped THEN 'skipped' WHEN files > {max_files} OR running > {max_bytes} THEN 'rejected' ELSE 'accepted' END AS status FROM (
+  SELECT archive_id, ord, skipped, sum(CASE WHEN skipped THEN 0 ELSE 1 END) OVER w AS files, sum(CASE WHEN skipped THEN 0 ELSE uncompressed END) OVER w AS running
+  FROM (SELECT *, NOT ({candidate(d, 'member_name')}) AS skipped FROM archive_members WHERE uncompressed > 0) p WINDOW w AS (PARTITION BY archive_id ORDER BY ord ROWS UNBOUNDED PRECEDING)) q"""
 
 
 @operator
 def content_fingerprint(d: Dialect) -> str:
-    """Size and SHA-256 of each file's content (here its description), and the ordered digest of a series."""
-    own = f"cast(length(photometric || path) AS {d.text}) || ':' || {d.sha256('photometric || path')}"
+    """Digest of each series over the lines ``uid::size:sha256`` of its instances in order; instances without a uid are skipped."""
+    own = f"cast(content_size AS {d.text}) || ':' || content_sha256"
     return f"""SELECT workspace_id, series_key, {d.sha256(d.joined('line', chr(10), 'slice_index'))} AS series_digest, count(*) AS files FROM (
-  SELECT workspace_id, series_key, slice_index, coalesce(sop_uid, path) || '::' || {own} AS line FROM instance_numbers) q GROUP BY workspace_id, series_key"""
+  SELECT workspace_id, series_key, slice_index, sop_uid || '::' || {own} AS line FROM instance_numbers i JOIN file_contents c ON c.file_path = i.path WHERE coalesce(sop_uid, '') <> '') q GROUP BY workspace_id, series_key"""
 
 
 @operator
 def registration_sidecar(d: Dialect) -> str:
-    """One JSON document for each CT and PET pair."""
-    if d.spark:
-        body = "to_json(named_struct('ct', ct_id, 'pet', pet_id, 'unit', 'SUVbw', 'translation', array(0, 0), 'rotation', 0))"
-    else:
-        body = "'{\"ct\":\"' || ct_id || '\",\"pet\":\"' || pet_id || '\",\"unit\":\"SUVbw\",\"translation\":[0,0],\"rotation\":0}'"
-    return f"SELECT ct_id, pet_id, {body} AS document FROM pair_pet_ct"
+    """One JSON document for each CT and PET pair: ids, unit, factor, window and registration, numbers with six places."""
+    text = lambda c: f"'\"{c}\":\"' || {c} || '\"'"
+    number = lambda name, c: f"'\"{name}\":' || {d.format('%.6f', f'cast({c} AS double)')}"
+    parts = [text("ct_id"), text("pet_id"), text("unit"), number("low", "low"), number("high", "high"), number("rotation", "rotation"), number("shift_u", "shift_u"), number("shift_v", "shift_v"), number("scale", "coalesce(factor, 1)")]
+    return f"SELECT ct_id, pet_id, chr(123) || {(' || chr(44) || ').join(parts)} || chr(125) AS document FROM (SELECT r.*, f.factor FROM registrations r LEFT JOIN pet_scale f ON f.series_id = r.pet_id AND f.unit = r.unit) q"
 
 
 @operator
 def read_dicom_json(d: Dialect) -> str:
     """Fields of archive answers: values as text, names by their alphabetic part."""
-    return f"""SELECT record_no, {d.json('record', '$.0020000D.Value[0]')} AS study_uid, {d.json('record', '$.00100010.Value[0].Alphabetic')} AS patient_name,
+    return f"""SELECT record_no, {d.json('record', '$.0020000D.Value[0]')} AS study_uid,
+  coalesce(nullif({d.json('record', '$.00100010.Value[0].Alphabetic')}, ''), nullif({d.json('record', '$.00100010.Value[0].Ideographic')}, ''), {d.json('record', '$.00100010.Value[0].Phonetic')}) AS patient_name,
+  {d.json('record', '$.00100020.Value[0]')} AS patient_id, {d.json('record', '$.00080050.Value[0]')} AS accession_number, {d.json('record', '$.00081030.Value[0]')} AS study_description,
   {d.json('record', '$.00080020.Value[0]')} AS study_date, {d.json('record', '$.00080061.Value[0]')} || ',' || {d.json('record', '$.00080061.Value[1]')} AS modalities,
   cast({d.json('record', '$.00201208.Value[0]')} AS bigint) AS instance_count FROM qido_records"""
 
 
 @operator
 def normalize_dicom_date_range(d: Dialect) -> str:
-    """Date bounds as archive query text; anything but eight digits is no bound."""
-    clean = lambda x: f"CASE WHEN {d.matches(f'''replace(trim({x}), '-', '')''', '^[0-9]+$')} AND length(replace(trim({x}), '-', '')) = 8 THEN replace(trim({x}), '-', '') END"
-    return f"""SELECT record_no, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a || '-' || b WHEN a IS NOT NULL THEN a || '-' WHEN b IS NOT NULL THEN '-' || b END AS date_range FROM (
-  SELECT record_no, {clean("CASE WHEN record_no % 3 = 0 THEN 'x' ELSE study_date END")} AS a, {clean("CASE WHEN record_no % 5 = 0 THEN '' ELSE substring(study_date, 1, 4) || '-12-31' END")} AS b FROM read_dicom_json) q"""
+    """Date bounds as archive query text; anything but eight digits is no bound, none of both gives null."""
+    bare = lambda x: f"replace(trim({x}), '-', '')"
+    clean = lambda x: f"CASE WHEN {d.matches(bare(x), '^[0-9]+$')} AND length({bare(x)}) = 8 THEN {bare(x)} END"
+    return f"""SELECT query_no, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a || '-' || b WHEN a IS NOT NULL THEN a || '-' WHEN b IS NOT NULL THEN '-' || b END AS date_range FROM (
+  SELECT query_no, {clean('date_from')} AS a, {clean('date_to')} AS b FROM date_queries) q"""
+
+
+def wildcard(d: Dialect, column: str, pattern: str) -> str:
+    """Archive matching: ``*`` for any text, ``?`` for one character, all else as it is; an empty pattern matches everything."""
+    if not pattern or set(pattern) == {"*"}:
+        return "true"
+    if not set(pattern) & set("*?"):
+        return f"{column} = {quote(pattern)}"
+    sign = {"*": ".*", "?": "."}
+    return d.matches(column, "^" + "".join(sign.get(c, c if c.isalnum() or c in " #-_" else f"[{c}]" if c not in "^\\'" else ".") for c in pattern) + "$")
+
+
+def between(column: str, span: str) -> str:
+    """An inclusive date range ``a-b``, ``a-``, ``-b`` or one day; empty for any."""
+    low, dash, high = span.partition("-")
+    return " AND ".join([f"{column} >= {quote(low)}"] * bool(low) + [f"{column} <= {quote(high if dash else low)}"] * bool(high or (low and not dash))) or "true"
 
 
 @operator
-def query_studies(d: Dialect) -> str:
-    """Studies that match a name pattern, a modality and a date range; a page of 50 in order."""
-    return """SELECT study_uid, patient_name, study_date, modalities, instance_count FROM read_dicom_json
-WHERE patient_name LIKE 'Customer#%1' AND study_date BETWEEN '19930101' AND '19971231' AND ',' || modalities || ',' LIKE '%,O,%' ORDER BY study_uid LIMIT 50"""
+def query_studies(d: Dialect, study_uid: str = "", patient_id: str = "", patient_name: str = "Customer#*1", accession_number: str = "", study_description: str = "", modality: str = "O", study_date: str = "19930101-19971231", limit: int = 50, offset: int = 0) -> str:
+    """Studies that match all filters (empty ones match everything); a page of 1 to 200 in order of their uid."""
+    filters = [wildcard(d, c, v) for c, v in (("study_uid", study_uid), ("patient_id", patient_id), ("patient_name", patient_name), ("accession_number", accession_number), ("study_description", study_description))]
+    filters += [f"',' || modalities || ',' LIKE '%,' || {quote(modality)} || ',%'" if modality else "true", between("study_date", study_date)]
+    return f"""SELECT study_uid, patient_name, patient_id, study_date, accession_number, study_description, modalities, instance_count FROM read_dicom_json
+WHERE {' AND '.join(filters)} ORDER BY study_uid LIMIT {min(max(limit, 1), 200)} OFFSET {max(offset, 0)}"""
 
 
 @operator
-def query_series(d: Dialect) -> str:
-    """Series of a study that match a modality and a description pattern; a page of 100 in order."""
-    return """SELECT series_uid, study_uid, modality, series_description, count(*) AS instance_count FROM dedupe_instances WHERE modality = 'CT' AND series_description LIKE 'S%'
-GROUP BY series_uid, study_uid, modality, series_description ORDER BY series_uid LIMIT 100"""
+def query_series(d: Dialect, study_uid: str = "", series_uid: str = "", modality: str = "CT", series_description: str = "S*", limit: int = 100, offset: int = 0) -> str:
+    """Series that match all filters (empty ones match everything); a page of 1 to 500 in order of their uid."""
+    filters = [wildcard(d, c, v) for c, v in (("study_uid", study_uid), ("series_uid", series_uid), ("modality", modality), ("series_description", series_description))]
+    return f"""SELECT series_uid, study_uid, modality, series_description, count(*) AS instance_count FROM dedupe_instances WHERE {' AND '.join(filters)}
+GROUP BY series_uid, study_uid, modality, series_description ORDER BY series_uid, study_uid, modality, series_description LIMIT {min(max(limit, 1), 500)} OFFSET {max(offset, 0)}"""
 
 
 @operator

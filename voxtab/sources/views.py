@@ -15,7 +15,7 @@ def headers(d: Dialect) -> str:
   '/data/g' || cast(l_partkey % 3 AS {t}) || '/f' || cast(l_orderkey AS {t}) || '_' || cast(l_linenumber AS {t}) || '_' || cast(l_partkey AS {t})
     || '_' || cast(l_suppkey AS {t}) || '_' || cast(cast(floor(l_extendedprice * 100 + 0.5) AS bigint) AS {t})
     || CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN '.txt' ELSE '.dcm' END AS path,
-  CASE WHEN l_linenumber = 7 THEN CASE WHEN l_returnflag = 'A' THEN 'PR' ELSE 'SR' END
+  CASE WHEN l_linenumber = 7 THEN CASE WHEN l_quantity > 45 THEN 'OT' WHEN l_returnflag = 'A' THEN 'PR' ELSE 'SR' END
     ELSE CASE l_suppkey % 3 WHEN 0 THEN 'CT' WHEN 1 THEN 'PT' ELSE 'MR' END END AS modality,
   CASE WHEN l_suppkey % 2 = 0 THEN 'Scan ' || cast(l_suppkey % 3 AS {t}) || ' ' || cast((l_suppkey % 10) * 10 AS {t}) || '%'
     ELSE 'Routine ' || cast(l_suppkey % 5 AS {t}) END AS series_description,
@@ -28,76 +28,129 @@ def headers(d: Dialect) -> str:
   l_quantity <= 48 AS has_position, l_quantity <= 49 AS has_rescale_slope,
   cast(CASE WHEN l_quantity = 2 THEN 4 ELSE 1 END AS int) AS number_of_frames,
   'ws' || cast(l_suppkey % 2 AS {t}) AS workspace_id,
-  cast(l_extendedprice AS double) AS position_z,
+  cast(l_extendedprice AS double) AS position_z, CASE WHEN l_linenumber <> 7 THEN '1.2.840.10008.5.1.4.1.1.2' WHEN l_returnflag = 'A' AND l_quantity > 25 THEN '1.2.840.10008.5.1.4.1.1.11.1' WHEN l_quantity > 40 THEN '1.2.840.10008.5.1.4.1.1.88.33' END AS sop_class_uid,
   l_orderkey AS file_no, l_linenumber AS file_part
 FROM lineitem"""
 
 
 @view
 def slices(d: Dialect) -> str:
-    """One row per slice: 8 x 8 integer HU values, row-major."""
+    """One row per slice: 8 x 8 values after rescaling, row-major, and what the pixels were."""
     t = d.text
-    return f"""SELECT 'S' || cast(label AS {t}) AS series_id, cast(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS int) AS i, label,
-  {d.each('embedding', 'x', 'cast(floor(cast(x AS double) * 4000) AS double)')} AS pixels FROM embeddings"""
+    return f"""SELECT 'S' || cast(label AS {t}) AS series_id, cast(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS int) AS i, label, 8 AS rows_, 8 AS columns_,
+  CASE WHEN label = 8 THEN 'MONOCHROME1' ELSE 'MONOCHROME2' END AS photometric, {d.each('embedding', 'x', 'cast(floor(cast(x AS double) * 4000) AS double)')} AS pixels FROM embeddings"""
 
 
 @view
 def voxels(d: Dialect) -> str:
     """One row per voxel of all series."""
-    if d.spark:
-        source = "SELECT series_id, i, label, pos AS p, col AS value FROM slices LATERAL VIEW posexplode(pixels) e AS pos, col"
-    else:
-        source = "SELECT series_id, i, label, p, pixels[p + 1] AS value FROM (SELECT *, unnest(range(0, len(pixels))) AS p FROM slices) u"
-    return f"SELECT series_id, i, cast(floor(p / 8) AS int) AS j, cast(p % 8 AS int) AS k, value, label FROM ({source}) q"
+    inner = d.pixels("SELECT series_id, i, label, columns_, pixels FROM slices")
+    return f"SELECT series_id, i, cast(floor(p / columns_) AS int) AS j, cast(p % columns_ AS int) AS k, value, label FROM ({inner}) q"
+
+
+@view
+def stored_slices(d: Dialect) -> str:
+    """Slices as they are stored: samples of 12 bits, their scale (null for none) and photometric interpretation."""
+    return f"""SELECT series_id, i, 8 AS rows_, 8 AS columns_, CASE WHEN i % 4 = 3 THEN 'RGB' WHEN i % 2 = 1 THEN 'MONOCHROME1' ELSE 'MONOCHROME2' END AS photometric,
+  CASE WHEN i % 3 = 0 THEN NULL ELSE cast(2 AS double) END AS slope, CASE WHEN i % 3 = 0 THEN NULL ELSE cast(-1024 AS double) END AS intercept, CASE WHEN i % 8 = 3 THEN 12 END AS bits_stored,
+  CASE WHEN i % 5 = 0 THEN cast(400 AS double) END AS window_width, CASE WHEN i % 5 = 0 THEN cast(40 AS double) END AS window_center, {d.each('pixels', 'x', 'x + 2048')} AS pixels FROM slices"""
 
 
 @view
 def image_series(d: Dialect) -> str:
     """One row per pixel series: modality, size, study."""
     t = d.text
-    return f"""SELECT series_id, 'ST' || cast(cast(floor(label / 2) AS int) AS {t}) AS study_uid, CASE WHEN label % 2 = 0 THEN 'CT' ELSE 'PT' END AS modality,
+    return f"""SELECT series_id, 'ST' || cast(cast(floor(label / 2) AS int) AS {t}) AS study_uid, CASE WHEN label = 6 THEN NULL WHEN label % 2 = 0 THEN 'CT' ELSE 'PT' END AS modality,
   CASE label WHEN 2 THEN 'Chest routine' WHEN 4 THEN 'Spine lumbar' WHEN 6 THEN 'CTA body' ELSE 'Plain' END AS series_description,
-  label, cast(count(*) AS int) AS depth FROM slices GROUP BY series_id, label"""
+  label, cast(count(*) AS int) AS depth, max(rows_) AS nj, max(columns_) AS nk FROM slices GROUP BY series_id, label"""
 
 
 @view
-def geometry(d: Dialect) -> str:
-    """One row per series: spacing along slices, rows and columns, position of the first voxel, and size."""
-    return """SELECT series_id, CASE WHEN label % 2 = 0 THEN cast(2.5 AS double) ELSE cast(3.0 AS double) END AS si,
-  CASE WHEN label % 2 = 0 THEN cast(1.0 AS double) ELSE cast(2.0 AS double) END AS sj,
-  CASE WHEN label % 2 = 0 THEN cast(0.5 AS double) ELSE cast(2.0 AS double) END AS sk,
-  cast(label AS double) AS ox, cast(0 AS double) AS oy, cast(0 AS double) AS oz, depth, 8 AS nj, 8 AS nk, label FROM image_series"""
+def orientations(d: Dialect) -> str:
+    """Direction of rows and columns (unit vectors; null for none), spacing, first position and size of each series: axial, flipped, coronal, oblique."""
+    pick = lambda n, *v: "cast(CASE label % 5 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(v)) + f" END AS double) AS {n}"
+    return f"""SELECT series_id, label, depth, nj, nk, {pick('rx', 1, -1, 1, 1, 'NULL')}, {pick('ry', 0, 0, 0, 0, 0)}, {pick('rz', 0, 0, 0, 0, 0)}, {pick('cx', 0, 0, 0, 0, 0)}, {pick('cy', 1, 1, 0, 0.866025403784, 1)}, {pick('cz', 0, 0, -1, 0.5, 0)},
+  CASE WHEN label % 2 = 0 THEN cast(2.5 AS double) ELSE cast(3.0 AS double) END AS slice_step, CASE WHEN label % 2 = 0 THEN cast(1.0 AS double) ELSE cast(2.0 AS double) END AS row_step,
+  CASE WHEN label % 2 = 0 THEN cast(0.5 AS double) ELSE cast(2.0 AS double) END AS column_step, cast(label AS double) AS px, cast(0 AS double) AS py, cast(0 AS double) AS pz FROM image_series"""
 
 
 @view
 def regions(d: Dialect) -> str:
-    """Threshold regions: a box around a centre, an HU threshold or a percentile of the box."""
+    """Threshold regions: an oriented box around a centre (three unit vectors, half sides), an HU threshold or a percentile of the box."""
+    axes = "cast(1 AS double) AS ux, cast(0 AS double) AS uy, cast(0 AS double) AS uz, cast(0 AS double) AS vx, cast(0.8 AS double) AS vy, cast(0.6 AS double) AS vz, cast(0 AS double) AS wx, cast(-0.6 AS double) AS wy, cast(0.8 AS double) AS wz"
+    half = lambda n: f"cast({n} AS double) / 2"
+    centre = ", ".join(f"o{c} + 20 * i{c} + {half('nj - 1')} * j{c} + {half('nk - 1')} * k{c} AS c{c}" for c in "xyz")
     return f"""SELECT series_id, cast(r AS int) AS region_id, r <> 3 AS enabled, CASE r WHEN 2 THEN 'percentile' ELSE 'hu' END AS mode,
-  CASE r WHEN 1 THEN cast(300 AS double) WHEN 2 THEN cast(80 AS double) ELSE cast(0 AS double) END AS threshold,
-  ox + 3.5 * sk AS cx, oy + 3.5 * sj AS cy, oz + 20 * si AS cz, 2.5 * sk AS hx, 2.5 * sj AS hy, 15 * si AS hz
+  CASE r WHEN 1 THEN cast(300 AS double) WHEN 2 THEN cast(80 AS double) ELSE cast(0 AS double) END AS threshold, {centre}, {axes}, cast(2.6 AS double) AS hx, cast(4.1 AS double) AS hy, cast(21.3 AS double) AS hz
 FROM (SELECT *, {d.rows(d.span('0', '3'))} AS r FROM geometry) q"""
 
 
 @view
 def spheres(d: Dialect) -> str:
     """Spheres of 6 and 15 mm in each series."""
-    return f"""SELECT series_id, cast(r AS int) AS sphere_id, CASE r WHEN 0 THEN cast(6 AS double) ELSE cast(15 AS double) END AS radius,
-  ox + 3.5 * sk AS cx, oy + 3.5 * sj AS cy, oz + 20 * si AS cz FROM (SELECT *, {d.rows(d.span('0', '1'))} AS r FROM geometry) q"""
+    half = lambda n: f"cast({n} AS double) / 2"
+    centre = ", ".join(f"o{c} + 20 * i{c} + {half('nj - 1')} * j{c} + {half('nk - 1')} * k{c} AS c{c}" for c in "xyz")
+    return f"""SELECT series_id, cast(r AS int) AS sphere_id, CASE r WHEN 0 THEN cast(6 AS double) ELSE cast(15 AS double) END AS radius, {centre} FROM (SELECT *, {d.rows(d.span('0', '1'))} AS r FROM geometry) q"""
+
+
+@view
+def phantoms(d: Dialect) -> str:
+    """Found phantoms: centre and radius in a slice, with its size."""
+    return "SELECT series_id, 0 AS i, cast(128 AS double) AS cx, cast(120 + label AS double) AS cy, cast(60 + label * 7 AS double) AS radius, 256 AS rows_, 256 AS columns_ FROM image_series"
+
+
+@view
+def registrations(d: Dialect) -> str:
+    """Registration of each CT and PET pair: rotation about the plane's normal in degrees, shift along its columns and rows in millimetres, and how the PET is shown."""
+    return """SELECT ct_id, pet_id, CASE WHEN ct_id = 'S0' THEN cast(0 AS double) ELSE cast(6 AS double) END AS rotation, cast(1.5 AS double) AS shift_u, cast(-2.25 AS double) AS shift_v,
+  'SUVbw' AS unit, cast(0 AS double) AS low, cast(0.0005 AS double) AS high, cast(0.6 AS double) AS alpha FROM pair_pet_ct"""
+
+
+@view
+def gsps_items(d: Dialect) -> str:
+    """Points of the graphic items of presentation states."""
+    return """SELECT state_id, g.measurement_id AS graphic_id, graphic_no, layer, CASE WHEN tool_type = 'ellipse' THEN 'ELLIPSE' ELSE graphic_type END AS graphic_type, units, n, x, y FROM gsps_graphics g JOIN gsps_layout l ON l.measurement_id = g.measurement_id"""
+
+
+@view
+def gsps_layout(d: Dialect) -> str:
+    """State, number, layer and units of each drawing in the state of its slice."""
+    return f"""SELECT measurement_id, tool_type, series_id || '/' || cast(slice_index AS {d.text}) AS state_id, row_number() OVER (PARTITION BY series_id, slice_index ORDER BY measurement_id) AS graphic_no,
+  CASE WHEN tool_type = 'angle' THEN 'ANNOTATIONS' ELSE 'MEASURE' END AS layer, CASE WHEN scope = 'series' AND tool_type = 'curve' THEN 'DISPLAY' ELSE 'PIXEL' END AS units FROM measurements"""
+
+
+@view
+def gsps_texts(d: Dialect) -> str:
+    """Text items of presentation states, in order, with their anchor."""
+    return """SELECT state_id, measurement_id AS text_id, graphic_no AS text_no, 'label of ' || tool_type AS text_value, cast(3 AS double) AS x, cast(0.5 AS double) AS y FROM gsps_layout WHERE graphic_no % 2 = 1"""
 
 
 @view
 def measurements(d: Dialect) -> str:
-    """Measurements with up to three points."""
+    """Measurements with any number of points, the spacing (null for none) and the size of their image."""
     t = d.text
-    return f"""SELECT 'm' || cast(l_orderkey AS {t}) || '.' || cast(l_linenumber AS {t}) || '.' || cast(l_partkey AS {t}) || '.'
+    point = lambda x, y: d.struct(x=f"cast({x} AS double)", y=f"cast({y} AS double)")
+    p = [point("x0", "y0"), point("x1", "y1"), point("x2", "y2"), point("y1", "x0")]
+    return f"""SELECT measurement_id, series_id, slice_index, tool_type, CASE WHEN slice_index % 13 = 0 THEN {d.array(p[0])} WHEN tool_type IN ('curve', 'freeform') AND n % 2 = 0 THEN {d.array(*p)}
+    WHEN tool_type IN ('angle', 'curve', 'freeform') THEN {d.array(*p[:3])} ELSE {d.array(*p[:2])} END AS points, scope,
+  CASE WHEN n % 11 = 0 THEN NULL ELSE cast(0.5 * stretch AS double) END AS sx, CASE WHEN n % 11 = 0 THEN NULL ELSE cast(2.0 * stretch AS double) END AS sy, 8 AS image_width, 8 AS image_height, kind FROM (
+  SELECT 'm' || cast(l_orderkey AS {t}) || '.' || cast(l_linenumber AS {t}) || '.' || cast(l_partkey AS {t}) || '.'
     || cast(cast(floor(l_extendedprice * 100 + 0.5) AS bigint) AS {t}) AS measurement_id,
-  'S' || cast(l_suppkey % 10 AS {t}) AS series_id, cast(l_orderkey % 40 AS int) AS slice_index,
+  'S' || cast(l_suppkey % 10 AS {t}) AS series_id, cast(l_orderkey % 40 AS int) AS slice_index, l_orderkey AS n,
   CASE l_linenumber WHEN 1 THEN 'line' WHEN 2 THEN 'rect' WHEN 3 THEN 'ellipse' WHEN 4 THEN 'angle' WHEN 5 THEN 'curve' WHEN 6 THEN 'freeform'
-    ELSE 'alignment-horizontal' END AS tool_type,
+    ELSE CASE WHEN l_partkey % 2 = 0 THEN 'alignment-horizontal' ELSE 'alignment-vertical' END END AS tool_type, CASE WHEN l_linenumber = 7 THEN 3 ELSE 1 END AS stretch,
   cast(l_partkey % 11 - 1 AS double) AS x0, cast(l_suppkey % 9 AS double) - cast(0.25 AS double) AS y0, cast(l_orderkey % 10 AS double) AS x1,
   cast((l_quantity * 7) % 9 AS double) AS y1, cast(l_partkey % 8 AS double) AS x2, cast(l_orderkey % 7 AS double) AS y2,
-  CASE WHEN l_partkey % 2 = 0 THEN 'series' ELSE 'image' END AS scope
-FROM lineitem"""
+  CASE WHEN l_partkey % 2 = 0 THEN 'series' ELSE 'image' END AS scope, CASE WHEN l_partkey % 5 = 0 THEN 'mpr' ELSE 'stack' END AS kind
+FROM lineitem) m"""
+
+
+@view
+def circles(d: Dialect) -> str:
+    """Five circles on every image of 8 x 8: centre, left, right, top, bottom, with the size of a pixel."""
+    rows = "('center', 3.5, 3.5), ('left', 1.5, 3.5), ('right', 5.5, 3.5), ('top', 3.5, 1.5), ('bottom', 3.5, 5.5)"
+    return f"""SELECT series_id, roi_id, cast(cx AS double) AS cx, cast(cy AS double) AS cy, cast(1.5 AS double) AS r FROM (SELECT DISTINCT series_id FROM slices) s
+JOIN (SELECT * FROM (VALUES {rows}) v(roi_id, cx, cy)) c ON true"""
 
 
 @view
@@ -107,7 +160,27 @@ def archive_members(d: Dialect) -> str:
     return f"""SELECT l_suppkey AS archive_id, cast(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS bigint) AS ord,
   CASE WHEN l_quantity = 50 THEN '../x' WHEN l_quantity = 49 THEN 'a/b.txt' ELSE 'a/f' || cast(l_orderkey AS {t}) END AS member_name,
   cast(floor(l_extendedprice * 100 + 0.5) AS bigint) AS uncompressed, cast(floor(l_extendedprice / (1 + l_linenumber)) + 1 AS bigint) AS compressed,
-  l_returnflag = 'A' AND l_quantity = 2 AS is_encrypted FROM lineitem"""
+  l_returnflag = 'A' AND l_quantity = 2 AS is_encrypted, l_returnflag = 'N' AND l_quantity = 2 AS is_symlink, cast(2000000 AS bigint) AS archive_size FROM lineitem"""
+
+
+@view
+def file_contents(d: Dialect) -> str:
+    """Size and SHA-256 of the content of each file."""
+    body = "photometric || '|' || series_description || '|' || sop_uid"
+    return f"SELECT path AS file_path, cast(length({body}) AS bigint) AS content_size, {d.sha256(body)} AS content_sha256 FROM headers"
+
+
+@view
+def date_queries(d: Dialect) -> str:
+    """Date bounds as users write them."""
+    return "SELECT record_no AS query_no, CASE WHEN record_no % 3 = 0 THEN 'x' ELSE study_date END AS date_from, CASE WHEN record_no % 5 = 0 THEN '' ELSE substring(study_date, 1, 4) || '-12-31' END AS date_to FROM read_dicom_json"
+
+
+@view
+def edits(d: Dialect) -> str:
+    """Values that users want to set, right and wrong ones, some of several values."""
+    return """SELECT sop_uid, file, ord, vr, CASE WHEN odd AND ord = 2 THEN value || '9' WHEN odd AND ord = 3 THEN value || '-x' WHEN odd AND ord = 1 THEN value || chr(92) || '1.2..3' ELSE value END AS value FROM (SELECT *, right(sop_uid, 1) IN ('1', '3') AS odd FROM tags) a
+UNION ALL SELECT sop_uid, file, 20 + ord AS ord, CASE ord WHEN 1 THEN 'TM' WHEN 2 THEN 'AS' WHEN 3 THEN 'IS' ELSE 'DS' END AS vr, CASE ord WHEN 1 THEN CASE WHEN right(sop_uid, 1) = '2' THEN '2561' ELSE '101530.25' END WHEN 2 THEN '045y' WHEN 3 THEN '3' || chr(92) || 'x' ELSE '1e400' END AS value FROM tags WHERE ord <= 4"""
 
 
 @view
@@ -136,12 +209,16 @@ def qido_records(d: Dialect) -> str:
   || '"]}}}},"00201208":{{{{"vr":"IS","Value":[' || cast(o_orderkey % 90 AS {t}) || ']}}}}}}}}' AS record FROM orders JOIN customer ON o_custkey = c_custkey""".replace("{{", "{{" if d.spark else "{").replace("}}", "}}" if d.spark else "}")
 
 
+@view
+def registry_paths(d: Dialect) -> str:
+    """Instance paths of series that were registered under another key."""
+    return f"SELECT workspace_id, path, 'path-' || substring({d.sha256('series_key')}, 1, 8) AS series_id FROM dedupe_instances WHERE file_no % 40 = 0"
+
+
 @view
 def tags(d: Dialect) -> str:
     """One row per data element: path, tag, VR and value."""
-    wide = """SELECT sop_uid, path AS file, series_uid, study_uid, modality, series_description, file_no, c_name, o_orderdate
-  FROM headers JOIN orders ON o_orderkey = file_no JOIN customer ON c_custkey = o_custkey"""
-    one = lambda o, path, tag, kw, vr, value, depth: f"SELECT sop_uid, file, series_uid, study_uid, cast({o} AS bigint) AS ord, '{path}' AS tag_path, '{tag}' AS tag, '{kw}' AS keyword, '{vr}' AS vr, {value} AS value, {depth} AS depth FROM wide"
+    one = lambda o, path, tag, kw, vr, value, depth: d.struct(ord=f"cast({o} AS bigint)", tag_path=f"'{path}'", tag=f"'{tag}'", keyword=f"'{kw}'", vr=f"'{vr}'", value=value, depth=str(depth))
     rows = [
         one(1, "00080018", "00080018", "SOPInstanceUID", "UI", "sop_uid", 0),
         one(2, "00080020", "00080020", "StudyDate", "DA", f"replace(substring(cast(o_orderdate AS {d.text}), 1, 10), '-', '')", 0),
@@ -154,4 +231,6 @@ def tags(d: Dialect) -> str:
         one(9, "0020000D", "0020000D", "StudyInstanceUID", "UI", "study_uid", 0),
         one(10, "0020000E", "0020000E", "SeriesInstanceUID", "UI", "series_uid", 0),
     ]
-    return f"WITH wide AS ({wide}) " + "\nUNION ALL ".join(rows)
+    columns = ", ".join(f"(x).{c} AS {c}" for c in ("ord", "tag_path", "tag", "keyword", "vr", "value", "depth"))
+    return f"""SELECT sop_uid, file, series_uid, study_uid, {columns} FROM (SELECT sop_uid, path AS file, series_uid, study_uid, {d.rows(d.array(*rows))} AS x
+FROM headers JOIN orders ON o_orderkey = file_no JOIN customer ON c_custkey = o_custkey) w"""
