@@ -24,12 +24,20 @@ def fold_requests(frame: pd.DataFrame, current: tuple | None) -> tuple | None:
 
 
 def latest_event_per_key(events: DataFrame) -> DataFrame:
-    """One current request for each view of a batch."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *fold_requests(frame, None))], columns=["view_id", "event_id", "render_revision", "is_final"])
-
-    return events.groupBy("view_id").applyInPandas(run, LATEST)
+    """One current request for each view of a batch: the fold of ``fold_requests`` as aggregates in the JVM, without a view's history in one place.
+
+    The last final of a view stays current until a preview of a higher revision comes; from then on, and in a view without a final, the
+    last request is current.
+    """
+    last = events.groupBy("view_id").agg(
+        F.max(F.when(F.col("is_final"), F.struct("event_id", "render_revision"))).alias("final"), F.max(F.struct("event_id", "render_revision")).alias("preview")
+    )
+    after = events.join(last.select("view_id", "final"), "view_id").filter(~F.col("is_final") & (F.col("event_id") > F.col("final.event_id")) & (F.col("render_revision") > F.col("final.render_revision")))
+    # The first preview above the final makes a preview current, which any later request replaces.
+    since = after.groupBy("view_id").agg(F.min("event_id").alias("since"))
+    rows = last.join(since, "view_id", "left")
+    current = F.when(F.col("final").isNull() | F.col("since").isNotNull(), F.col("preview")).otherwise(F.col("final"))
+    return rows.select("view_id", current["event_id"].alias("event_id"), current["render_revision"].alias("render_revision"), (F.col("final").isNotNull() & F.col("since").isNull()).alias("is_final"))
 
 
 def latest_stream(events: DataFrame) -> DataFrame:
