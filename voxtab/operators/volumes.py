@@ -231,7 +231,7 @@ def mip_slab(d: Dialect, thickness: float = 5.0, max_samples: int | None = None)
   SELECT *, {d.rows(d.span('0', 'kept - 1'))} AS m FROM (SELECT *, {count} AS full_n, {kept} AS kept FROM (SELECT *, 1 / greatest({along}, 1e-6) AS step_n FROM (
     SELECT p.*, {normal}, {', '.join(f'g.d{a}{c}' for a in 'ijk' for c in XYZ)} FROM planes p JOIN geometry g ON g.series_id = p.series_id) a) b) e) f"""
     places = f"SELECT series_id, kind, m, cast(r AS int) AS r, cast(c AS int) AS c, x, y, z FROM ({grid(d, '(' + planes_ + ') s')}) g"
-    return f"""SELECT series_id, kind, r, c, max(value) AS maximum, min(value) AS minimum, round(avg(value), 3) AS average, round(sum(value), 2) AS total
+    return f"""SELECT series_id, kind, r, c, max(value) AS maximum, min(value) AS minimum, round(avg(value) + 1e-7, 3) AS average, round(sum(value) + 1e-7, 2) AS total
 FROM ({sampled(d, places, 'kind, m, r, c', 1, 'nearest', 0.0)}) v GROUP BY series_id, kind, r, c"""
 
 
