@@ -347,9 +347,15 @@ def unique_output_names(d: Dialect) -> str:
 
 @operator
 def display_header(d: Dialect) -> str:
-    """Labelled display lines of a header, empty ones left out."""
-    lines = {"modality": "modality", "description": "nullif(trim(series_description), '')", "size": f"CASE WHEN rows_ > 0 THEN cast(columns_ AS {d.text}) || ' x ' || cast(rows_ AS {d.text}) END", "number": "nullif(trim(instance_number_text), '')", "photometric": "photometric"}
-    return " UNION ALL ".join(f"SELECT path, '{k}' AS label, {v} AS line FROM headers WHERE {v} IS NOT NULL" for k, v in lines.items())
+    """Labelled display lines of a header, empty ones left out; one pass."""
+    size = f"CASE WHEN rows_ > 0 AND columns_ > 0 THEN cast(columns_ AS {d.text}) || ' x ' || cast(rows_ AS {d.text}) END"
+    lines = {
+        "modality": "nullif(trim(modality), '')", "description": "nullif(trim(series_description), '')", "size": size, "number": "nullif(trim(instance_number_text), '')", "photometric": "nullif(trim(photometric), '')",
+        "frames": f"CASE WHEN number_of_frames > 1 THEN cast(number_of_frames AS {d.text}) END", "series": "nullif(trim(series_uid), '')", "study": "nullif(trim(study_uid), '')", "instance": "nullif(trim(sop_uid), '')",
+        "spacing": f"CASE WHEN pixel_spacing > 0 THEN {d.format('%.2f', d.even('pixel_spacing', 2))} || ' mm' END", "location": f"CASE WHEN has_position THEN {d.format('%.2f', d.even('position_z', 2))} || ' mm' END", "syntax": "nullif(trim(transfer_syntax_uid), '')",
+    }
+    each = d.array(*(d.struct(label=f"'{k}'", line=v) for k, v in lines.items()))
+    return f"SELECT path, (x).label AS label, (x).line AS line FROM (SELECT path, {d.rows(each)} AS x FROM headers) q WHERE (x).line IS NOT NULL"
 
 
 @operator
