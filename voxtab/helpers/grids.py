@@ -75,3 +75,29 @@ def largest(mask: np.ndarray) -> np.ndarray:
     """The largest component; of equals the first."""
     ids, n = label(mask)
     return ids == np.bincount(ids.ravel())[1:].argmax() + 1 if n else mask
+
+
+def label_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of a 3-D mask along its last axis (z, y, first x, end x), and the first run of the face-connected component of each."""
+    wide = np.zeros((*mask.shape[:2], mask.shape[2] + 2), dtype=np.int8)
+    wide[:, :, 1:-1] = mask
+    step = np.diff(wide, axis=2)
+    z, y, x0 = np.nonzero(step == 1)
+    x1 = np.nonzero(step == -1)[2]
+    ids = np.full(mask.size, -1, dtype=np.int64)
+    ids[mask.ravel()] = np.repeat(np.arange(len(z)), x1 - x0)
+    ids = ids.reshape(mask.shape)
+    pairs = [np.zeros(0, dtype=np.int64)]
+    for a, b in ((ids[:, 1:], ids[:, :-1]), (ids[1:], ids[:-1])):
+        both = (a >= 0) & (b >= 0)
+        pairs.append(np.unique(a[both] * max(1, len(z)) + b[both]))
+    a, b = np.divmod(np.concatenate(pairs), max(1, len(z)))
+    root = np.arange(len(z))
+    while True:
+        lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = lo < hi
+        if not apart.any():
+            return z, y, x0, x1, root
+        np.minimum.at(root, hi[apart], lo[apart])
+        while (root[root] != root).any():
+            root = root[root]

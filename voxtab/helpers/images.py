@@ -1,4 +1,4 @@
-"""Per-image and per-volume jobs: point-source MTF, phantom detection, bed removal, components and hashed samples."""
+"""Per-image and per-volume jobs: point-source MTF, phantom detection, components and hashed samples."""
 
 from __future__ import annotations
 
@@ -105,34 +105,6 @@ def detect_phantom(slices: DataFrame) -> DataFrame:
     return slices.select("series_id", "i", "pixels").mapInPandas(run, "series_id string, i int, cx double, cy double, radius double")
 
 
-def without_bed(volume: np.ndarray, seed_hu: float = -150.0, candidate_hu: float = -300.0, air: float = -1000.0) -> np.ndarray:
-    """A volume whose flat or thin parts apart from the body are air; dense voxels (350 HU and more) in the body stay."""
-    body = grids.largest(grids.erode(volume > seed_hu))
-    body = grids.dilate(body, 3) & (volume > candidate_hu) if body.any() else volume > candidate_hu
-    other = (volume > candidate_hu) & ~body
-    ids, n = grids.label(other)
-    out = volume.copy()
-    for m in range(1, n + 1):
-        z, y, x = np.nonzero(ids == m)
-        spans = [np.ptp(v) + 1 for v in (z, y, x)]
-        flat = min(spans) <= max(2, 0.12 * max(volume.shape)) and max(spans) >= 0.3 * max(volume.shape)
-        if flat or len(z) < 0.02 * volume.size:
-            out[ids == m] = air
-    return out
-
-
-def remove_bed(slices: DataFrame) -> DataFrame:
-    """series_id, i, pixels of each series without its bed; one series is one group (a series is bounded by its scanner)."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("i")
-        side = int(round(len(frame["pixels"].iloc[0]) ** 0.5))
-        volume = np.stack([np.asarray(p, dtype=float).reshape(side, side) for p in frame["pixels"]])
-        return frame[["series_id", "i"]].assign(pixels=[a.ravel().tolist() for a in without_bed(volume)])
-
-    return slices.select("series_id", "i", "pixels").groupBy("series_id").applyInPandas(run, "series_id string, i int, pixels array<double>")
-
-
 def largest_components(mask: DataFrame) -> DataFrame:
     """Face-connected components of mask voxels (series_id, i, j, k) and their sizes, by joins and star contractions."""
     v = mask.select("series_id", F.struct("series_id", "i", "j", "k").alias("node"), "i", "j", "k")
@@ -164,6 +136,7 @@ def hashed_sample_topk(pixels: DataFrame, k: int) -> DataFrame:
 
 
 def queries() -> dict:
+    from voxtab.operators import bed
     from voxtab.plans.statement import REGISTRY, over_tables
 
     def read(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +145,7 @@ def queries() -> dict:
     return {
         "mtf_analysis": lambda s, d: mtf_analysis(read("slices", s, d)),
         "detect_phantom": lambda s, d: detect_phantom(read("slices", s, d)),
-        "remove_bed": lambda s, d: remove_bed(read("slices", s, d)),
+        "remove_bed": lambda s, d: bed.remove_bed(read("slices", s, d)),
         "largest_components": lambda s, d: largest_components(read("voxels", s, d).filter("value > 600")),
         "hashed_sample_topk": lambda s, d: hashed_sample_topk(read("voxels", s, d).filter("value > 0"), 12),
     }

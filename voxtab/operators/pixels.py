@@ -170,23 +170,26 @@ FROM voxels v JOIN rescale_for_export e ON e.series_id = v.series_id"""
 
 @operator
 def air_value(d: Dialect) -> str:
-    """Value of air in each series."""
-    return "SELECT series_id, CASE WHEN min(value) <= -300 THEN least(min(value), -1000) ELSE min(value) - 0.05 * greatest(max(value) - min(value), 1) END AS air FROM voxels GROUP BY series_id"
+    """Value of air in each series, from its finite values; 0 without any."""
+    return """SELECT series_id, coalesce(CASE WHEN lo <= -300 THEN least(lo, -1000) ELSE lo - 0.05 * greatest(hi - lo, 1) END, 0) AS air FROM (
+  SELECT series_id, min(value) AS lo, max(value) AS hi FROM (SELECT series_id, CASE WHEN abs(value) < 1e300 THEN value END AS value FROM voxels) v GROUP BY series_id) r"""
 
 
 @operator
 def bed_thresholds(d: Dialect) -> str:
-    """Seed and candidate HU of each series from quartiles of the values over -700, of all values if those are fewer than 32."""
+    """Seed and candidate HU of each series from quartiles of its finite values over -700, of all if those are fewer than 32; 130 and 180 without any."""
     q = lambda p: f"CASE WHEN count(CASE WHEN value > -700 THEN 1 END) >= 32 THEN {d.percentile('CASE WHEN value > -700 THEN value END', p)} ELSE {d.percentile('value', p)} END"
-    return f"""SELECT series_id, round(least(greatest(p25, -500), -50), 6) AS candidate_hu, round(least(greatest((p50 + p75) / 2, -150), 200), 6) AS seed_hu FROM (
-  SELECT series_id, {q(0.25)} AS p25, {q(0.5)} AS p50, {q(0.75)} AS p75 FROM voxels GROUP BY series_id) q"""
+    return f"""SELECT series_id, CASE WHEN p50 IS NULL THEN 180 ELSE greatest(seed + 24, least(230, greatest(p75 + 10, seed + 36))) END AS candidate_hu, coalesce(seed, 130) AS seed_hu FROM (
+  SELECT *, CASE WHEN p50 IS NOT NULL THEN greatest(80, least(180, greatest(p25 + 28, p50 + 12))) END AS seed FROM (
+    SELECT series_id, round({q(0.25)}, 6) AS p25, round({q(0.5)}, 6) AS p50, round({q(0.75)}, 6) AS p75 FROM (SELECT series_id, CASE WHEN abs(value) < 1e300 THEN value END AS value FROM voxels) v GROUP BY series_id) a) b"""
 
 
 @operator
-def plane_fractions(d: Dialect, dense: float = 350.0) -> str:
-    """Share of candidate and dense voxels in every plane of every axis, one pass over the voxels."""
+def plane_fractions(d: Dialect, low: float = -520.0, dense: float = 350.0) -> str:
+    """Share of candidate (``low`` to the series' bound) and dense voxels in every plane of every axis, one pass over the voxels."""
     axes = d.array(*(d.struct(axis=f"'{a}'", idx=f"v.{a}") for a in "ijk"))
-    return f"""SELECT series_id, (a).axis AS axis, (a).idx AS idx, round(avg(CASE WHEN value > candidate_hu THEN cast(1 AS double) ELSE 0 END), 6) AS candidate, round(avg(CASE WHEN value >= {quote(dense)} THEN cast(1 AS double) ELSE 0 END), 6) AS dense FROM (
+    share = lambda lo, hi: f"round(avg(CASE WHEN value BETWEEN {lo} AND {hi} THEN cast(1 AS double) ELSE 0 END), 6)"
+    return f"""SELECT series_id, (a).axis AS axis, (a).idx AS idx, {share(quote(low), 'candidate_hu')} AS candidate, {share(quote(dense), '1e300')} AS dense FROM (
   SELECT v.series_id, value, candidate_hu, {d.rows(axes)} AS a FROM voxels v JOIN bed_thresholds t ON t.series_id = v.series_id) q GROUP BY series_id, (a).axis, (a).idx"""
 
 
