@@ -32,39 +32,3 @@ def test_same_rows(spark, duck, name):
     relation = duck.sql(registry.ORACLE[name])
     want = plain(relation.fetchall(), relation.columns)
     assert want and plain([tuple(r) for r in df.collect()], df.columns) == want
-
-
-def test_streams(spark, tmp_path):
-    from voxtab.plans.statement import REGISTRY, over_tables
-    from voxtab.streaming import jobs
-
-    over_tables(REGISTRY["requests"])(spark, DIR).repartition(1).write.parquet(str(tmp_path / "requests"))
-    source = spark.readStream.schema(spark.read.parquet(str(tmp_path / "requests")).schema).parquet(str(tmp_path / "requests"))
-    query = jobs.latest_stream(source).writeStream.outputMode("update").format("memory").queryName("latest").trigger(availableNow=True).start()
-    query.awaitTermination(60)
-    batch = {r["view_id"]: r["event_id"] for r in jobs.latest_event_per_key(spark.read.parquet(str(tmp_path / "requests"))).collect()}
-    assert {r["view_id"]: r["event_id"] for r in spark.table("latest").collect()} == batch
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_latest_requests_are_the_fold(spark, seed):
-    import random
-
-    from voxtab.streaming import jobs
-
-    rng = random.Random(seed)
-    rows = [(f"v{rng.randrange(40)}", n, rng.randrange(6), rng.random() < 0.15) for n in range(400)]
-    df = spark.createDataFrame(rows, "view_id string, event_id bigint, render_revision bigint, is_final boolean")
-    frame = df.toPandas()
-    want = {view: jobs.fold_requests(own, None) for view, own in frame.groupby("view_id")}
-    assert {r["view_id"]: (r["event_id"], r["render_revision"], r["is_final"]) for r in jobs.latest_event_per_key(df).collect()} == want
-
-
-def test_windows_of_a_stream(spark, tmp_path):
-    from voxtab.streaming import jobs
-
-    spark.sql("SELECT 'w' AS workspace_id, timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, id * 4, 0) AS ts FROM range(30)").repartition(1).write.parquet(str(tmp_path / "log"))
-    schema = spark.read.parquet(str(tmp_path / "log")).schema
-    for name, build in (("windows", jobs.window_stream), ("sessions", jobs.session_stream)):
-        build(spark.readStream.schema(schema).parquet(str(tmp_path / "log"))).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination(60)
-    assert spark.table("windows").agg({"requests": "sum"}).first()[0] == 60 and spark.table("sessions").collect()[0]["requests"] == 30

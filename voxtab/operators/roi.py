@@ -81,56 +81,89 @@ def alignment_angle(d: Dialect, shortest: float = 20.0) -> str:
 FROM (SELECT measurement_id, tool_type, (x1 - x0) * sx AS dx, (y1 - y0) * sy AS dy FROM (SELECT *, {ends(d)} FROM measurements WHERE tool_type LIKE 'alignment-%' AND {complete(d)} AND sx > 0 AND sy > 0) m) q"""
 
 
+def inside_polygon(d: Dialect, points: str, x: str, y: str) -> str:
+    """Whether a place is inside a polygon (array of points) by the even-odd rule."""
+    a = d.at(points, "n")
+    b = d.at(points, f"CASE WHEN n = {d.size(points)} - 1 THEN 0 ELSE n + 1 END")
+    crosses = f"CASE WHEN (({a}).y > {y}) <> (({b}).y > {y}) AND {x} < (({b}).x - ({a}).x) * ({y} - ({a}).y) / CASE WHEN ({b}).y = ({a}).y THEN 1 ELSE ({b}).y - ({a}).y END + ({a}).x THEN cast(1 AS double) ELSE cast(0 AS double) END"
+    return f"({d.total(d.each(d.span('0', d.size(points) + ' - 1'), 'n', crosses))} % 2 = 1)"
+
+
+REGIONS = ("rect", "ellipse", "freeform")
+
+
+def region_boxes(d: Dialect) -> str:
+    """Rectangles, ellipses and freeforms with the inclusive box of pixels that they look at."""
+    xs, ys = d.each("points", "p", "p.x"), d.each("points", "p", "p.y")
+    side = lambda free, box: f"cast(CASE WHEN tool_type = 'freeform' THEN {free} ELSE {d.even(box)} END AS int)"
+    return f"""SELECT *, {side(f'ceil({d.least_of(xs)})', 'least(x0, x1)')} AS l, {side(f'floor({d.most_of(xs)})', 'greatest(x0, x1)')} AS r,
+  {side(f'ceil({d.least_of(ys)})', 'least(y0, y1)')} AS t, {side(f'floor({d.most_of(ys)})', 'greatest(y0, y1)')} AS b
+FROM (SELECT *, {ends(d)} FROM measurements WHERE tool_type IN {REGIONS} AND {complete(d)}) e"""
+
+
+def in_region(d: Dialect) -> str:
+    """Whether a pixel c (j, k) of the box belongs to the region."""
+    half = lambda a, b, v: f"power(({v} - ({a} + {b}) / 2) / greatest(abs({b} - {a}) / 2, 1e-6), 2)"
+    return f"CASE tool_type WHEN 'rect' THEN true WHEN 'ellipse' THEN {half('x0', 'x1', 'c.k')} + {half('y0', 'y1', 'c.j')} <= 1 ELSE {inside_polygon(d, 'points', 'c.k', 'c.j')} END"
+
+
+def with_cells(d: Dialect, rows: str, where: str = "true") -> str:
+    """Rows (boxes with the pixels of a slice) with ``cells``, the array of the box's pixels (j, k, value) that are in the image."""
+    k = d.each(d.span("greatest(l, 0)", "least(r, columns_ - 1)"), "k", d.struct(j="cast(j AS int)", k="cast(k AS int)", value=d.at("pixels", "j * columns_ + k")))
+    cells = f"flatten({d.each(d.span('greatest(t, 0)', 'least(b, rows_ - 1)'), 'j', k)})"
+    return f"SELECT *, {d.keep(cells, 'c', where)} AS cells FROM ({rows}) b WHERE l <= columns_ - 1 AND r >= 0 AND t <= rows_ - 1 AND b >= 0 AND l <= r AND t <= b"
+
+
 @operator
 def roi_pixels(d: Dialect) -> str:
     """Pixels in the box of each rectangle, ellipse and freeform."""
-    return "SELECT measurement_id, tool_type, series_id, slice_index, j, k, value FROM roi_box_pixels"
+    inner = f"SELECT m.*, s.pixels, s.columns_, s.rows_ FROM ({region_boxes(d)}) m JOIN slices s ON s.series_id = m.series_id AND s.i = m.slice_index"
+    return f"SELECT measurement_id, tool_type, series_id, slice_index, (c).j AS j, (c).k AS k, (c).value AS value FROM (SELECT measurement_id, tool_type, series_id, slice_index, {d.rows('cells')} AS c FROM ({with_cells(d, inner)}) w) v"
 
 
 @view
-def roi_box_pixels(d: Dialect) -> str:
-    """Pixels in the box of each rectangle, ellipse and freeform: an equi-join on the slice, then its pixels, then the box."""
-    xs, ys = d.each("points", "p", "p.x"), d.each("points", "p", "p.y")
-    inner = f"""SELECT m.*, s.pixels, s.columns_ FROM (SELECT *, cast({d.even('least(x0, x1)')} AS int) AS l, cast({d.even('greatest(x0, x1)')} AS int) AS r,
-    cast({d.even('least(y0, y1)')} AS int) AS t, cast({d.even('greatest(y0, y1)')} AS int) AS b FROM (SELECT *, {ends(d)}, {d.least_of(xs)} AS x_min, {d.most_of(xs)} AS x_max, {d.least_of(ys)} AS y_min, {d.most_of(ys)} AS y_max
-    FROM measurements WHERE tool_type IN ('rect', 'ellipse', 'freeform') AND {complete(d)}) e) m JOIN slices s ON s.series_id = m.series_id AND s.i = m.slice_index"""
-    return f"""SELECT measurement_id, tool_type, series_id, slice_index, points, sx, sy, l, t, r, b, x0, y0, x1, y1, j, k, value FROM (
-  SELECT *, cast(floor(p / columns_) AS int) AS j, cast(p % columns_ AS int) AS k FROM ({d.pixels(inner)}) v) w
-WHERE CASE WHEN tool_type = 'freeform' THEN k BETWEEN x_min AND x_max AND j BETWEEN y_min AND y_max ELSE k BETWEEN l AND r AND j BETWEEN t AND b END"""
+def roi_values(d: Dialect) -> str:
+    """Regions with the array of their pixels' values on their own slice: no row a pixel and no grouping."""
+    inner = f"SELECT m.*, s.pixels, s.columns_, s.rows_ FROM ({region_boxes(d)}) m JOIN slices s ON s.series_id = m.series_id AND s.i = m.slice_index"
+    return f"SELECT measurement_id, tool_type, sx, sy, l, r, t, b, x0, y0, x1, y1, {d.each('cells', 'c', 'c.value')} AS vals FROM ({with_cells(d, inner, in_region(d))}) w"
+
+
+def statistics(d: Dialect) -> str:
+    """Mean, population deviation and extremes of the array ``vals``."""
+    n = f"cast({d.size('vals')} AS double)"
+    mean, square = f"{d.total('vals')} / {n}", f"{d.total(d.each('vals', 'x', 'x * x'))} / {n}"
+    return f"round({mean}, 6) AS mean, round(sqrt(greatest({square} - power({mean}, 2), 0)), 6) AS standard_deviation, {d.least_of('vals')} AS minimum, {d.most_of('vals')} AS maximum"
 
 
-AGG = """round(avg(value), 6) AS mean, round(sqrt(greatest(sum(value * value) / count(*) - power(sum(value) / count(*), 2), 0)), 6) AS standard_deviation, min(value) AS minimum, max(value) AS maximum"""
-ROI_UNIT = "CASE WHEN max(sx) IS NULL THEN 'px' ELSE 'mm' END AS unit, CASE WHEN max(sx) IS NULL THEN 'px2' ELSE 'mm2' END AS area_unit"
-WIDE, HIGH = "coalesce(max(sx), 1)", "coalesce(max(sy), 1)"
+ROI_UNIT = "CASE WHEN sx IS NULL THEN 'px' ELSE 'mm' END AS unit, CASE WHEN sx IS NULL THEN 'px2' ELSE 'mm2' END AS area_unit"
 
 
 @operator
 def rect_roi_stats(d: Dialect) -> str:
     """Size, area and statistics of each rectangle's inclusive box."""
-    return f"""SELECT measurement_id, {ROI_UNIT}, (max(r) - max(l)) * {WIDE} AS width, (max(b) - max(t)) * {HIGH} AS height, (max(r) - max(l)) * (max(b) - max(t)) * {WIDE} * {HIGH} AS area, {AGG}
-FROM roi_box_pixels WHERE tool_type = 'rect' GROUP BY measurement_id"""
+    return f"SELECT measurement_id, {ROI_UNIT}, (r - l) * {SX} AS width, (b - t) * {SY} AS height, (r - l) * (b - t) * {SX} * {SY} AS area, {statistics(d)} FROM roi_values WHERE tool_type = 'rect'"
 
 
 @operator
 def ellipse_roi_stats(d: Dialect) -> str:
     """Size, area and statistics of the pixels inside each ellipse."""
-    return f"""SELECT measurement_id, {ROI_UNIT}, max(abs(x1 - x0)) * {WIDE} AS width, max(abs(y1 - y0)) * {HIGH} AS height, round(pi() / 4 * max(abs(x1 - x0)) * max(abs(y1 - y0)) * {WIDE} * {HIGH}, 6) AS area, {AGG}
-FROM roi_box_pixels WHERE tool_type = 'ellipse'
-AND power((k - (x0 + x1) / 2) / greatest(abs(x1 - x0) / 2, 1e-6), 2) + power((j - (y0 + y1) / 2) / greatest(abs(y1 - y0) / 2, 1e-6), 2) <= 1 GROUP BY measurement_id"""
-
-
-def inside_polygon(d: Dialect, points: str, x: str, y: str) -> str:
-    """Whether a place is inside a polygon (array of points) by the even-odd rule."""
-    a = d.at(points, "n")
-    b = d.at(points, f"CASE WHEN n = {d.size(points)} - 1 THEN 0 ELSE n + 1 END")
-    crosses = f"CASE WHEN (({a}).y > {y}) <> (({b}).y > {y}) AND {x} < (({b}).x - ({a}).x) * ({y} - ({a}).y) / CASE WHEN ({b}).y = ({a}).y THEN 1 ELSE ({b}).y - ({a}).y END + ({a}).x THEN cast(1 AS double) ELSE cast(0 AS double) END"
-    return f"({d.total(d.each(d.span('0', d.size(points) + ' - 1'), 'n', crosses))} % 2 = 1)"
+    return f"""SELECT measurement_id, {ROI_UNIT}, abs(x1 - x0) * {SX} AS width, abs(y1 - y0) * {SY} AS height, round(pi() / 4 * abs(x1 - x0) * abs(y1 - y0) * {SX} * {SY}, 6) AS area, {statistics(d)}
+FROM roi_values WHERE tool_type = 'ellipse' AND {d.size('vals')} > 0"""
 
 
 @operator
 def freeform_roi_stats(d: Dialect) -> str:
     """Area and statistics of the pixels inside each polygon by the even-odd rule."""
-    return f"SELECT measurement_id, {ROI_UNIT}, count(*) * {WIDE} * {HIGH} AS area, {AGG} FROM (SELECT * FROM roi_box_pixels WHERE tool_type = 'freeform') f WHERE {inside_polygon(d, 'points', 'k', 'j')} GROUP BY measurement_id"
+    return f"SELECT measurement_id, {ROI_UNIT}, {d.size('vals')} * {SX} * {SY} AS area, {statistics(d)} FROM roi_values WHERE tool_type = 'freeform' AND {d.size('vals')} > 0"
+
+
+@operator
+def drawing_metrics(d: Dialect) -> str:
+    """Region drawings that each shown slice of the stack has, with their numbers on that slice: those of the slice itself, and those of the whole series read anew from its pixels."""
+    inner = f"""SELECT m.*, s.i, s.pixels, s.columns_, s.rows_ FROM (SELECT s.series_id, s.i, s.pixels, s.columns_, s.rows_ FROM slices s JOIN shown_slices v ON v.series_id = s.series_id AND v.i = s.i) s
+  JOIN ({region_boxes(d)}) m ON m.series_id = s.series_id WHERE m.kind = 'stack' AND (m.scope = 'series' OR m.slice_index = s.i)"""
+    return f"""SELECT series_id, i, measurement_id, scope, tool_type, cast({d.size('vals')} AS bigint) AS sample_count, {statistics(d)} FROM (
+  SELECT series_id, i, measurement_id, scope, tool_type, {d.each('cells', 'c', 'c.value')} AS vals FROM ({with_cells(d, inner, in_region(d))}) w) x WHERE {d.size('vals')} > 0"""
 
 
 @operator

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxtab.helpers import images
 from voxtab.operators import catalog, graph, pet, pixels, roi, tag_edits, volumes
@@ -37,16 +38,19 @@ def _write_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of lineitem as a stream into the shared folder; series ids are hashes, so batches agree."""
+    """The files of lineitem, in three parts, as a stream of three batches into the registry in the shared folder."""
     folder = f"{graph.shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    jobs.stream_ingest(spark.readStream.schema(schema).parquet(f"{sf_dir}/[l]ineitem.parquet"), f"{folder}/series", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/series").select("workspace_id", "series_key", "series_id").distinct()
+    files = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    for part in range(3):
+        files.filter(F.pmod(F.col("l_orderkey"), F.lit(3)) == part).withColumn("part", F.lit(part)).write.mode("append").partitionBy("part").parquet(f"{folder}/files")
+    parts = spark.readStream.schema(files.schema).parquet(f"{folder}/files/part=[0-2]")
+    jobs.stream_ingest(parts, f"{folder}/registry", f"{folder}/state").awaitTermination()
+    return jobs.registry(spark, f"{folder}/registry")
 
 
 QUERIES |= {
     "read_headers": _read_headers,
-    "decode_slices": lambda s, d: dicom.decode_slices(dicom.slice_files(_table("slices", s, d))).selectExpr("path", "rows_", "columns_", "cast(pixels[0] as double) as first_pixel", "aggregate(pixels, 0D, (a, x) -> a + x) as total"),
+    "decode_slices": lambda s, d: dicom.decode_slices(dicom.slice_files(_table("slices", s, d))).filter("problem IS NULL").selectExpr("path", "rows_", "columns_", "cast(pixels[0] as double) as first_pixel", "aggregate(pixels, 0D, (a, x) -> a + x) as total"),
     "write_catalog": _write_catalog,
     "stream_ingest": _stream_ingest,
 }
@@ -54,10 +58,24 @@ ORACLE: dict[str, str] = {n: statement(op, DUCKDB)[0] for n, op in REGISTRY.item
 
 ORACLE["write_catalog"] = ORACLE["group_series"]
 ORACLE["stream_ingest"] = f"SELECT DISTINCT workspace_id, series_key, series_id FROM ({ORACLE['group_series']}) g"
+# The fold itself, over each view's list.
+ORACLE["latest_event_per_key"] = f"""WITH r AS ({REGISTRY["requests"].build(DUCKDB)}),
+fold AS (SELECT view_id, list_reduce(list({{'e': event_id, 'r': render_revision, 'f': is_final}} ORDER BY event_id), lambda a, b: CASE WHEN a.f AND NOT b.f AND NOT coalesce(b.r > a.r, false) THEN a ELSE b END) AS f FROM r GROUP BY view_id),
+names AS (SELECT view_id, list(target ORDER BY e, p) AS names FROM (SELECT view_id, target, min(event_id) AS e, min_by(p, event_id * 10 + p) AS p FROM (SELECT view_id, event_id, unnest(targets) AS target, generate_subscripts(targets, 1) AS p FROM r) u GROUP BY view_id, target) g GROUP BY view_id),
+whole AS (SELECT view_id, count(*) > count(targets) AS whole FROM r GROUP BY view_id)
+SELECT fold.view_id, f.e AS event_id, f.r AS render_revision, f.f AS is_final, CASE WHEN NOT whole THEN names END AS targets FROM fold JOIN whole ON whole.view_id = fold.view_id LEFT JOIN names ON names.view_id = fold.view_id"""
 ORACLE["read_headers"] = f"""SELECT path, sop_uid, series_uid, study_uid, modality, series_description, photometric, cast(coalesce(rows_, 0) AS bigint) AS rows_, cast(columns_ AS bigint) AS columns_
 FROM ({REGISTRY["headers"].build(DUCKDB)}) h"""
 ORACLE["decode_slices"] = f"""SELECT '/data/' || series_id || '/' || i AS path, 8 AS rows_, 8 AS columns_, pixels[1] AS first_pixel, list_sum(pixels) AS total FROM ({REGISTRY["slices"].build(DUCKDB)}) s"""
 
+_RECORD_TAGS = (("00080020", "StudyDate", "Study Date", "DA", "$.\"00080020\".Value[0]"), ("00100010", "PatientName", "Patient Name", "PN", "$.\"00100010\".Value[0].Alphabetic"),
+                ("0020000D", "StudyInstanceUID", "Study Instance UID", "UI", "$.\"0020000D\".Value[0]"), ("00201208", "NumberOfStudyRelatedInstances", "Number Of Study Related Instances", "IS", "$.\"00201208\".Value[0]"))
+_RECORD_ROWS = [f"""SELECT record_no, '{t}' AS tag_path, '{t}' AS tag, '{k}' AS keyword, '{n}' AS name, '{v}' AS vr, json_extract_string(record, '{p}') AS value FROM r""" for t, k, n, v, p in _RECORD_TAGS]
+_RECORD_ROWS.append("""SELECT record_no, '00080061' AS tag_path, '00080061' AS tag, 'ModalitiesInStudy' AS keyword, 'Modalities In Study' AS name, 'CS' AS vr,
+  json_extract_string(record, '$."00080061".Value[0]') || ', ' || json_extract_string(record, '$."00080061".Value[1]') AS value FROM r""")
+ORACLE["flatten_tags"] = f"""WITH r AS ({REGISTRY["qido_records"].build(DUCKDB)}) SELECT *, 0 AS depth, cast(row_number() OVER (PARTITION BY record_no ORDER BY tag) - 1 AS int) AS ord, cast(NULL AS varchar) AS problem
+FROM ({" UNION ALL ".join(_RECORD_ROWS)}) u"""
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image series with their number of compatibility issues."""

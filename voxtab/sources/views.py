@@ -35,10 +35,11 @@ FROM lineitem"""
 
 @view
 def slices(d: Dialect) -> str:
-    """One row per slice: 8 x 8 values after rescaling, row-major, and what the pixels were."""
+    """One row per slice: 8 x 8 values after rescaling, row-major, and what the pixels were; series S3 lies on a table of two slices."""
     t = d.text
     return f"""SELECT 'S' || cast(label AS {t}) AS series_id, cast(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS int) AS i, label, 8 AS rows_, 8 AS columns_,
-  CASE WHEN label = 8 THEN 'MONOCHROME1' ELSE 'MONOCHROME2' END AS photometric, {d.each('embedding', 'x', 'cast(floor(cast(x AS double) * 4000) AS double)')} AS pixels FROM embeddings"""
+  CASE WHEN label = 8 THEN 'MONOCHROME1' ELSE 'MONOCHROME2' END AS photometric, {d.each('embedding', 'x', 'cast(CASE WHEN table_ THEN abs(floor(cast(x AS double) * 4000)) % 100 ELSE floor(cast(x AS double) * 4000) END AS double)')} AS pixels
+FROM (SELECT *, label = 3 AND row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 2 AS table_ FROM embeddings) e"""
 
 
 @view
@@ -145,6 +146,12 @@ def measurements(d: Dialect) -> str:
 FROM lineitem) m"""
 
 
+@view
+def shown_slices(d: Dialect) -> str:
+    """Slices that views show: every tenth of the first forty."""
+    return "SELECT series_id, i FROM slices WHERE i < 40 AND i % 10 = 0"
+
+
 @view
 def circles(d: Dialect) -> str:
     """Five circles on every image of 8 x 8: centre, left, right, top, bottom, with the size of a pixel."""
@@ -189,7 +196,16 @@ def requests(d: Dialect) -> str:
     t = d.text
     return f"""SELECT event_id, ts, 'v' || cast(user_id AS {t}) AS view_id, 'ws' || cast(user_id % 5 AS {t}) AS workspace_id,
   event_type = 'purchase' AS is_final, event_id - cast(floor(value) AS bigint) % 7 AS render_revision,
-  'i' || cast(cast(floor(event_id / 50) AS bigint) AS {t}) AS interaction_id, cast(floor(event_id / 50) AS bigint) AS interaction_no FROM events"""
+  'i' || cast(cast(floor(event_id / 50) AS bigint) AS {t}) AS interaction_id, cast(floor(event_id / 50) AS bigint) AS interaction_no,
+  CASE WHEN event_id % 97 <> 0 THEN {d.array(f"'c' || cast(event_id % 5 AS {t})", f"'c' || cast(user_id % 3 AS {t})")} END AS targets FROM events"""
+
+
+@view
+def stored_items(d: Dialect) -> str:
+    """Uploads, cached archives and jobs with their last sight in seconds; archives of running jobs and jobs that have not ended are protected."""
+    at = d.seconds("max(ts)")
+    return f"""SELECT CASE cast(substring(view_id, 2) AS bigint) % 3 WHEN 0 THEN 'upload' WHEN 1 THEN 'cache' ELSE 'job' END AS kind, view_id AS item_id,
+  {at} - cast(substring(view_id, 2) AS bigint) % 5 * 43200 AS seen, sum(CASE WHEN is_final THEN 1 ELSE 0 END) % 4 = 0 AS protected FROM requests GROUP BY view_id"""
 
 
 @view

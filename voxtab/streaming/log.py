@@ -5,7 +5,7 @@ The same rules run on streams in ``voxtab.streaming.jobs``.
 
 from __future__ import annotations
 
-from voxtab.plans.statement import Dialect, operator
+from voxtab.plans.statement import Dialect, operator, quote
 
 
 @operator
@@ -36,8 +36,8 @@ UNION ALL SELECT 'sliding' AS kind, workspace_id, cast(floor(sec / 300) * 300 -
 
 
 @operator
-def expire_stale(d: Dialect) -> str:
-    """Views not seen for 30 minutes before the end of the log, those with a final request in it protected."""
-    at = d.seconds("max(ts)")
-    return f"""SELECT v.view_id, v.seen FROM (SELECT view_id, {at} AS seen FROM requests GROUP BY view_id) v
-WHERE v.seen <= (SELECT {at} FROM requests) - 1800 AND NOT EXISTS (SELECT 1 FROM requests r WHERE r.view_id = v.view_id AND r.is_final AND r.render_revision % 50 = 0)"""
+def expire_stale(d: Dialect, now: float | None = None, upload_age: int = 1800, cache_age: int = 86400) -> str:
+    """Stored items that are too old at ``now`` (seconds; none: the last sight of any): uploads that have reached their age, cached archives that are older and not protected, jobs that have ended and are older."""
+    at = "(SELECT max(seen) FROM stored_items)" if now is None else quote(float(now))
+    return f"""SELECT kind, item_id, seen FROM stored_items
+WHERE CASE kind WHEN 'upload' THEN seen <= {at} - {quote(upload_age)} WHEN 'cache' THEN seen < {at} - {quote(cache_age)} AND NOT protected WHEN 'job' THEN seen < {at} - {quote(cache_age)} AND NOT protected ELSE false END"""
