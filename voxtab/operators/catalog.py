@@ -94,11 +94,12 @@ FROM headers LEFT JOIN {syntaxes(d)} s ON s.uid = transfer_syntax_uid"""
 @operator
 def keyed_headers(d: Dialect) -> str:
     """Candidates of any class with their series key."""
+    # The phase is a row of its own generator, so that its nine patterns are run once and not wherever the key is used.
     description, folder = phase_value(d, "series_description"), phase_value(d, "replace(folder, '/', ' ')")
     file = phase_value(d, "stem_")
     return f"""SELECT *, CASE WHEN series_uid IS NOT NULL AND series_uid <> '' THEN 'uid=' || series_uid || CASE WHEN folder <> '' THEN '::dir=' || folder ELSE '' END
     || CASE WHEN phase IS NOT NULL THEN '::phase=' || phase ELSE '' END ELSE 'path::' || {parent('path')} END AS series_key
-FROM (SELECT *, coalesce({description}, {folder}, {file}) AS phase FROM (
+FROM (SELECT *, {d.rows(d.array(f'coalesce({description}, {folder}, {file})'))} AS phase FROM (
   SELECT *, regexp_extract({parent('path')}, '^/data/?(.*)$', 1) AS folder, {stem(d, 'path')} AS stem_,
     {object_type(d)} AS object_type
   FROM headers WHERE NOT {d.matches('path', '[.]txt$')}) p) q WHERE object_type IS NOT NULL"""
@@ -198,40 +199,29 @@ def workspace_stats(d: Dialect) -> str:
 FULL OUTER JOIN (SELECT workspace_id, count(DISTINCT view_id) AS view_count, {d.seconds('max(ts)')} AS last_seen FROM requests GROUP BY workspace_id) v ON v.workspace_id = s.workspace_id"""
 
 
-@operator
-def presentation_references(d: Dialect) -> str:
-    """Presentation state files and the SOP uid that each refers to."""
-    return f"SELECT path AS state_path, workspace_id, '1.2.3.' || cast(file_no AS {d.text}) || '.1' AS ref_uid FROM keyed_headers WHERE object_type = 'DICOM_GSPS'"
-
-
 @operator
 def attach_presentation_states(d: Dialect) -> str:
-    """States joined to the image instance they refer to; of several series the one with the greatest first path."""
-    return """SELECT state_path, ref_uid, series_key, path AS image_path FROM (
-  SELECT r.state_path, r.ref_uid, i.series_key, i.path, row_number() OVER (PARTITION BY r.state_path ORDER BY f.first_path DESC, i.path) AS place
-  FROM presentation_references r JOIN dedupe_instances i ON i.sop_uid = r.ref_uid
+    """States joined to the image instance of their workspace that they refer to; of several series the one with the greatest first path."""
+    return """SELECT workspace_id, state_path, ref_uid, series_key, path AS image_path FROM (
+  SELECT r.workspace_id, r.state_path, r.ref_uid, i.series_key, i.path, row_number() OVER (PARTITION BY r.workspace_id, r.state_path ORDER BY f.first_path DESC, i.path) AS place
+  FROM presentation_references r JOIN dedupe_instances i ON i.workspace_id = r.workspace_id AND i.sop_uid = r.ref_uid
   JOIN (SELECT workspace_id, series_key, min(path) AS first_path FROM dedupe_instances GROUP BY workspace_id, series_key) f ON f.series_key = i.series_key AND f.workspace_id = i.workspace_id) q
 WHERE place = 1"""
 
 
 @operator
 def unattached_presentation_states(d: Dialect) -> str:
-    """States none of whose references is an image here become document series."""
-    return """SELECT state_path, ref_uid, 'PR' AS modality, 'DICOM_GSPS' AS standard_object_type, 'Tag' AS preferred_view_type FROM presentation_references
-WHERE NOT EXISTS (SELECT 1 FROM dedupe_instances i WHERE i.sop_uid = ref_uid)"""
+    """States none of whose references is an image of their workspace become document series."""
+    return """SELECT workspace_id, state_path, min(ref_uid) AS ref_uid, 'PR' AS modality, 'DICOM_GSPS' AS standard_object_type, 'Tag' AS preferred_view_type FROM (
+  SELECT r.workspace_id, r.state_path, r.ref_uid, i.sop_uid FROM presentation_references r LEFT JOIN dedupe_instances i ON i.workspace_id = r.workspace_id AND i.sop_uid = r.ref_uid) q
+GROUP BY workspace_id, state_path HAVING count(sop_uid) = 0"""
 
 
 @operator
 def series_catalog(d: Dialect) -> str:
     """Image series, reports and unattached presentation states together."""
     return """SELECT series_key, workspace_id, modality, standard_object_type, instance_count FROM group_series WHERE standard_object_type <> 'DICOM_GSPS'
-UNION ALL SELECT 'path::' || state_path AS series_key, 'default' AS workspace_id, modality, standard_object_type, cast(1 AS bigint) AS instance_count FROM unattached_presentation_states"""
-
-
-@operator
-def registry_before(d: Dialect) -> str:
-    """Series registered before: those whose number of instances is no multiple of three."""
-    return f"SELECT workspace_id, series_key, 'old-' || substring({d.sha256('series_key')}, 1, 8) AS series_id FROM group_series WHERE instance_count % 3 <> 0"
+UNION ALL SELECT 'path::' || state_path AS series_key, workspace_id, modality, standard_object_type, cast(1 AS bigint) AS instance_count FROM unattached_presentation_states"""
 
 
 @operator
@@ -298,14 +288,14 @@ FROM instance_numbers i WHERE i.slice_index = 0 AND i.phase IS NOT NULL"""
 @operator
 def dedupe_phases(d: Dialect) -> str:
     """One series for each phase of a group: the lowest key."""
-    return """SELECT group_key, sort_value, series_key, phase FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, group_key, sort_value ORDER BY series_key) AS place FROM four_d_groups) q WHERE place = 1"""
+    return """SELECT workspace_id, group_key, sort_value, series_key, phase FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, group_key, sort_value ORDER BY series_key) AS place FROM four_d_groups) q WHERE place = 1"""
 
 
 @operator
 def phase_items(d: Dialect) -> str:
     """Phases of groups with two or more series and phases, numbered by value."""
-    return """SELECT group_key, series_key, cast(row_number() OVER (PARTITION BY group_key ORDER BY sort_value, series_key) - 1 AS bigint) AS phase_index, sort_value, phase AS label FROM (
-  SELECT *, count(*) OVER (PARTITION BY group_key) AS members FROM dedupe_phases) q WHERE members >= 2"""
+    return """SELECT workspace_id, group_key, series_key, cast(row_number() OVER (PARTITION BY workspace_id, group_key ORDER BY sort_value, series_key) - 1 AS bigint) AS phase_index, sort_value, phase AS label FROM (
+  SELECT *, min(series_key) OVER (PARTITION BY workspace_id, group_key) < max(series_key) OVER (PARTITION BY workspace_id, group_key) AS several_series, count(*) OVER (PARTITION BY workspace_id, group_key) AS phases FROM dedupe_phases) q WHERE several_series AND phases >= 2"""
 
 
 @operator

@@ -1,4 +1,4 @@
-"""PET and CT: pairs, units, decay, display values, resampling and fusion; surface and layer presets."""
+"""PET and CT: pairs, units, decay, display values, resampling and fusion; names of presets."""
 
 from __future__ import annotations
 
@@ -171,16 +171,3 @@ def normalize_preset(d: Dialect) -> str:
     """Name of the preset that each text means: cut after a colon, blanks and underscores as dashes, aliases; ``bone`` for unknown ones."""
     cases = " ".join(f"WHEN '{a}' THEN '{n}'" for a, n in preset_aliases().items())
     return f"""SELECT DISTINCT preset_text, CASE {d.swap("regexp_replace(lower(trim(preset_text)), '^[^:]*:', '')", '[_ ]', '-')} {cases} ELSE 'bone' END AS preset FROM preset_texts"""
-
-
-@operator
-def adaptive_layers(d: Dialect) -> str:
-    """Window and opacity of each series' soft and dense layer from its percentiles."""
-    return """SELECT series_id, 'soft' AS layer, round(greatest(p75 - p25, 1), 6) AS ww, round((p75 + p25) / 2, 6) AS wl, cast(0.35 AS double) AS opacity FROM intensity_stats
-UNION ALL SELECT series_id, 'dense' AS layer, round(greatest(p99 - p75, 1), 6) AS ww, round((p99 + p75) / 2, 6) AS wl, round(least(0.4 + dense_foreground_fraction, 0.9), 6) AS opacity FROM intensity_stats"""
-
-
-@operator
-def surface_iso_value(d: Dialect) -> str:
-    """Value of the surface of each series: an anchor for CT, a place between percentiles for others."""
-    return "SELECT series_id, CASE WHEN is_ct_hu THEN least(greatest(300, p75), p99) ELSE round(p50 + 0.35 * (p95 - p50), 6) END AS iso FROM intensity_stats"

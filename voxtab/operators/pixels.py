@@ -53,28 +53,38 @@ def percentile_window(d: Dialect, ww: float | None = None, wl: float | None = No
     return "SELECT series_id, i, coalesce(CASE WHEN p99 > p1 THEN p1 ELSE lo END, 0) AS low, coalesce(CASE WHEN p99 > p1 THEN p99 WHEN hi > lo THEN hi ELSE lo + 1 END, 1) AS high FROM slice_range"
 
 
+@view
+def volume_extent(d: Dialect) -> str:
+    """Finite values of each series: number, extremes, those over -700, bounds of the middle, low HU; whether it looks like CT, and then has enough foreground."""
+    return f"""SELECT *, is_ct AND n_air >= greatest(64, floor(n * 0.0005)) AS is_ct_hu,
+  n < 16 OR high <= low OR (n <= 50 AND n - CASE WHEN lo < low THEN 1 ELSE 0 END - CASE WHEN hi > high THEN 1 ELSE 0 END < 16) AS whole FROM (
+  SELECT v.series_id, count(value) AS n, min(value) AS lo, max(value) AS hi, count(CASE WHEN value > -700 THEN 1 END) AS n_air, {d.percentile('value', 0.02)} AS low, {d.percentile('value', 0.998)} AS high,
+    cast(count(CASE WHEN value BETWEEN -950 AND -300 THEN 1 END) AS double) / greatest(1, count(value)) AS low_fraction,
+    coalesce(max(CASE WHEN trim(modality) = '' THEN NULL ELSE upper(trim(modality)) END) IN ('CT', 'CTA', 'CBCT'), min(value) <= -850 AND max(value) >= 80) AS is_ct
+  FROM (SELECT series_id, CASE WHEN abs(value) < 1e300 THEN value END AS value FROM voxels) v JOIN image_series s ON s.series_id = v.series_id GROUP BY v.series_id) q"""
+
+
+#: Percentiles of the foreground of a volume.
+PERCENTS = (10, 25, 50, 75, 90, 95, 99, 99.5)
+
+
 @operator
 def volume_percentiles(d: Dialect) -> str:
-    """Percentiles of the foreground of each series: values over -700, else those between the 2nd and 99.8th percentile."""
-    ps = (1, 5, 25, 50, 75, 95, 99, 99.5)
-    cols = ", ".join(f"round({d.percentile('value', p / 100)}, 6) AS p{str(p).replace('.', '_')}" for p in ps)
-    return f"""SELECT v.series_id, {cols} FROM voxels v JOIN (SELECT series_id, count(CASE WHEN value > -700 THEN 1 END) >= greatest(64, 0.0005 * count(*)) AS plain,
-  {d.percentile('value', 0.02)} AS a, {d.percentile('value', 0.998)} AS b FROM voxels GROUP BY series_id) t ON t.series_id = v.series_id
-WHERE CASE WHEN plain THEN value > -700 ELSE value BETWEEN a AND b END GROUP BY v.series_id"""
+    """Percentiles, size and dense values of the foreground of each series: values over -700 of what is CT, else the middle from the 2nd to the 99.8th percentile, all if that is too small."""
+    cols = ", ".join(f"round({d.percentile('value', p / 100)}, 6) AS p{str(p).replace('.', '_')}" for p in PERCENTS)
+    return f"""SELECT v.series_id, {cols}, count(*) AS foreground_count, count(CASE WHEN value >= 350 THEN 1 END) AS dense, count(CASE WHEN value >= 1000 THEN 1 END) AS very_dense FROM voxels v JOIN volume_extent t ON t.series_id = v.series_id
+WHERE abs(value) < 1e300 AND CASE WHEN is_ct_hu THEN value > -700 WHEN whole THEN true ELSE value BETWEEN low AND high END GROUP BY v.series_id"""
 
 
 @operator
 def intensity_stats(d: Dialect) -> str:
-    """Summary of each series: extremes, percentiles of the foreground, fractions, and whether it looks like CT."""
-    # The oracle keeps the reference's stride, which reads every voxel of a series of up to 2,000,000.
-    every = "voxels" if d.spark else """(SELECT * FROM voxels JOIN (SELECT series_id AS sid, cast(ceil(count(*) / 2000000.0) AS bigint) AS stride FROM voxels GROUP BY series_id) n ON sid = series_id
-    WHERE ((i * 8 + j) * 8 + k) % stride = 0) q"""
-    return f"""SELECT s.series_id, lo, hi, p1, p5, p25, p50, p75, p95, p99, p99_5, round(low_fraction, 6) AS low_hu_fraction, round(dense, 6) AS dense_foreground_fraction,
-  round(very_dense, 6) AS very_dense_foreground_fraction, coalesce(m.modality IN ('CT', 'CTA', 'CBCT'), lo <= -850 AND hi >= 80) AS is_ct_hu FROM (
-  SELECT series_id, min(value) AS lo, max(value) AS hi, avg(CASE WHEN value BETWEEN -950 AND -300 THEN cast(1 AS double) ELSE 0 END) AS low_fraction,
-    cast(count(CASE WHEN value >= 350 THEN 1 END) AS double) / greatest(1, count(CASE WHEN value > -700 THEN 1 END)) AS dense,
-    cast(count(CASE WHEN value >= 1000 THEN 1 END) AS double) / greatest(1, count(CASE WHEN value > -700 THEN 1 END)) AS very_dense
-  FROM {every} GROUP BY series_id) s JOIN volume_percentiles p ON p.series_id = s.series_id JOIN image_series m ON m.series_id = s.series_id"""
+    """Summary of each series: extremes, sizes, percentiles of the foreground, fractions, and whether it is CT in HU; fixed values without a finite value."""
+    none = (0, 0, 0, 0.25, 0.5, 0.75, 1, 1)
+    cols = ", ".join(f"coalesce(p{str(p).replace('.', '_')}, {v}) AS p{str(p).replace('.', '_')}" for p, v in zip(PERCENTS, none, strict=True))
+    share = lambda c: f"coalesce(round(cast({c} AS double) / greatest(1, foreground_count), 6), 0)"
+    return f"""SELECT e.series_id, coalesce(lo, 0) AS lo, coalesce(hi, 1) AS hi, coalesce(foreground_count, 0) AS foreground_count, n AS sample_count, coalesce(round(cast(foreground_count AS double) / greatest(1, n), 6), 0) AS foreground_fraction,
+  {cols}, round(low_fraction, 6) AS low_hu_fraction, {share('dense')} AS dense_foreground_fraction, {share('very_dense')} AS very_dense_foreground_fraction, coalesce(is_ct_hu, false) AS is_ct_hu
+FROM volume_extent e LEFT JOIN volume_percentiles p ON p.series_id = e.series_id"""
 
 
 @operator
@@ -252,7 +262,7 @@ def pet_background(d: Dialect) -> str:
 
 @operator
 def select_preset(d: Dialect) -> str:
-    """Volume preset of a series from modality, words of its description and fractions of dense values."""
+    """Volume preset of a series from modality, words of its and its study's description and fractions of dense values."""
     has = lambda *w: "(" + " OR ".join(f"words LIKE '%{x}%'" for x in w) + ")"
     return f"""SELECT s.series_id, CASE WHEN modality IN ('MR', 'MRI') THEN CASE WHEN {has('angio', 'mra', 'vessel')} THEN 'mrAngio' WHEN {has('mip')} THEN 'mrMip' ELSE 'mrDefault' END
   WHEN modality = 'CBCT' OR {has('cbct', 'cone beam')} THEN CASE WHEN {has('bone2', 'bone 2')} THEN 'cbctBone2' WHEN {has('bone')} THEN 'cbctBone' ELSE 'cbctRealist' END
@@ -260,4 +270,4 @@ def select_preset(d: Dialect) -> str:
     WHEN {has('cta', 'angio', 'vessel')} THEN 'bodyCta' WHEN {has('hardware', 'metal', 'implant')} THEN 'hardware' WHEN {has('plate', 'screw')} THEN 'bonePlusPlate' WHEN {has('fracture')} THEN 'fracture'
     WHEN {has('lumbar', 'spine', 'vertebra')} THEN 'lumbar' WHEN {has('lung', 'chest')} OR low_hu_fraction >= 0.24 THEN 'lung'
     WHEN dense_foreground_fraction >= 0.18 AND very_dense_foreground_fraction >= 0.04 THEN 'hardware' WHEN dense_foreground_fraction >= 0.22 THEN 'bones' ELSE 'aaa' END ELSE 'bone' END AS preset
-FROM intensity_stats s JOIN (SELECT series_id, modality, lower(coalesce(modality, '') || ' ' || replace(replace(series_description, '_', ' '), '-', ' ')) AS words FROM image_series) m ON m.series_id = s.series_id"""
+FROM intensity_stats s JOIN (SELECT series_id, upper(trim(coalesce(modality, ''))) AS modality, lower(replace(replace(coalesce(modality, '') || ' ' || coalesce(series_description, '') || ' ' || coalesce(study_description, ''), '_', ' '), '-', ' ')) AS words FROM image_series) m ON m.series_id = s.series_id"""

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtab.helpers import images
-from voxtab.operators import catalog, graph, pet, pixels, roi, tag_edits, volumes
+from voxtab.operators import catalog, graph, pet, pixels, presets, roi, tag_edits, volumes
 from voxtab.plans.statement import DUCKDB, REGISTRY, over_tables, statement
 from voxtab.sources import archives, dicom, views
 from voxtab.streaming import jobs, log
 
 #: Modules whose operators are registered by being imported.
-MODULES = (catalog, pet, pixels, roi, tag_edits, volumes, archives, views, log)
+MODULES = (catalog, pet, pixels, presets, roi, tag_edits, volumes, archives, views, log)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: over_tables(op) for n, op in REGISTRY.items() if not op.view}
 QUERIES |= images.queries()
 QUERIES |= {
@@ -52,10 +52,12 @@ QUERIES |= {
     "read_headers": _read_headers,
     "decode_slices": lambda s, d: dicom.decode_slices(dicom.slice_files(_table("slices", s, d))).filter("problem IS NULL").selectExpr("path", "rows_", "columns_", "cast(pixels[0] as double) as first_pixel", "aggregate(pixels, 0D, (a, x) -> a + x) as total"),
     "write_catalog": _write_catalog,
+    "sanitize_upload_paths": lambda s, d: archives.sanitize_upload_paths(archive_members=_table("archive_members", s, d)),
     "stream_ingest": _stream_ingest,
 }
 ORACLE: dict[str, str] = {n: statement(op, DUCKDB)[0] for n, op in REGISTRY.items() if not op.view}
 
+ORACLE["sanitize_upload_paths"] = f"WITH archive_members AS ({REGISTRY['archive_members'].build(DUCKDB)}), t AS ({REGISTRY['upload_targets'].build(DUCKDB)}) {archives.SANITIZE_ORACLE}"
 ORACLE["write_catalog"] = ORACLE["group_series"]
 ORACLE["stream_ingest"] = f"SELECT DISTINCT workspace_id, series_key, series_id FROM ({ORACLE['group_series']}) g"
 # The fold itself, over each view's list.

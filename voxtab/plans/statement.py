@@ -140,7 +140,10 @@ def quote(value: str | float | bool | None) -> str:
         return "true" if value else "false"
     if isinstance(value, float):
         return f"cast({value!r} AS double)"
-    return str(value) if isinstance(value, int) else "'" + str(value).replace("\\", "").replace("'", "''") + "'"
+    if isinstance(value, int):
+        return str(value)
+    parts = ["'" + p.replace("'", "''") + "'" for p in str(value).split("\\")]  # the engines read a backslash in a literal differently
+    return parts[0] if len(parts) == 1 else f"({' || chr(92) || '.join(parts)})"
 
 
 class Operator:

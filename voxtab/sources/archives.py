@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from voxtab.operators.catalog import DENIED
-from voxtab.plans.statement import Dialect, operator, quote
+from voxtab.plans.statement import Dialect, operator, quote, view
 
 MAX_ENTRIES, MAX_RATIO, MAX_BYTES = 20_000, 200, 4 * 2**30
 UPLOAD_FILES, UPLOAD_BYTES = 20_000, 2 * 2**30
@@ -28,15 +30,57 @@ FROM (SELECT *, cast(count(*) OVER w AS bigint) AS running_entries, cast(sum(CAS
   FROM (SELECT *, NOT ({candidate(d, 'member_name')}) AS skipped FROM archive_members) p WINDOW w AS (PARTITION BY archive_id ORDER BY ord ROWS UNBOUNDED PRECEDING)) q"""
 
 
-@operator
-def sanitize_upload_paths(d: Dialect) -> str:
-    """Safe relative paths; an empty one gets a running name, a repeated one -2, -3 before its suffix."""
+@view
+def upload_targets(d: Dialect) -> str:
+    """Safe relative path of each member before repeats are told apart (an empty one gets a running name), with its family: the folder and name without numbers at its end, and the suffix."""
     parts = d.keep(d.cut("replace(member_name, chr(92), '/')", "/"), "x", "x NOT IN ('', '.', '..') AND right(x, 1) <> ':'")
-    return f"""SELECT archive_id, ord, CASE WHEN place = 1 THEN target ELSE regexp_replace(target, '([.][^./]*)?$', '') || '-' || cast(place AS {d.text}) || regexp_extract(target, '([.][^./]*)$', 1) END AS target_path
-FROM (SELECT *, row_number() OVER (PARTITION BY archive_id, target ORDER BY ord) AS place FROM (
-  SELECT archive_id, ord, coalesce(nullif(array_to_string_({parts}), ''), 'dicom-' || cast(ord AS {d.text}) || '.dcm') AS target FROM archive_members) p) q""".replace(
-        "array_to_string_(" + parts + ")", f"array_join({parts}, '/')" if d.spark else f"array_to_string({parts}, '/')"
-    )
+    joined = f"array_join({parts}, '/')" if d.spark else f"array_to_string({parts}, '/')"
+    return f"""SELECT archive_id, ord, target, regexp_replace(stem, '(-[0-9]+)+$', '') AS family, stem, suffix FROM (
+  SELECT archive_id, ord, target, regexp_extract(target, '([^/])([.][^./]*)$', 2) AS suffix, substring(target, 1, length(target) - length(regexp_extract(target, '([^/])([.][^./]*)$', 2))) AS stem FROM (
+    SELECT archive_id, ord, coalesce(nullif({joined}, ''), 'dicom-' || cast(ord AS {d.text}) || '.dcm') AS target FROM archive_members) p) q"""
+
+
+def free_names(rows: list[tuple[str, str]]) -> list[str]:
+    """Paths of (stem, suffix) rows one after the other; a path that is taken gets the first free of -2, -3, ... before its suffix."""
+    taken: set[str] = set()
+    following: dict[str, int] = {}
+    out = []
+    for stem, suffix in rows:
+        path = stem + suffix
+        if path in taken:
+            n = following.get(path, 2)
+            while f"{stem}-{n}{suffix}" in taken:
+                n += 1
+            following[path], path = n + 1, f"{stem}-{n}{suffix}"
+        taken.add(path)
+        out.append(path)
+    return out
+
+
+def sanitize_upload_paths(**given: DataFrame) -> DataFrame:
+    """archive_id, ord, target_path: safe relative paths of members in their order, none given twice.
+
+    Only paths of a family can meet, so a family is a group (an archive has a bounded number of entries).
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ord")
+        return frame[["archive_id", "ord"]].assign(target_path=free_names(list(zip(frame["stem"], frame["suffix"], strict=True))))
+
+    rows = upload_targets(**given)
+    schema = f"archive_id {rows.schema['archive_id'].dataType.simpleString()}, ord bigint, target_path string"
+    alone = F.count("*").over(Window.partitionBy("archive_id", "family", "suffix")) == 1
+    rows = rows.withColumn("alone", alone)
+    several = rows.filter("NOT alone").groupBy("archive_id", "family", "suffix").applyInPandas(run, schema)
+    return rows.filter("alone").select("archive_id", F.col("ord").cast("bigint").alias("ord"), F.col("target").alias("target_path")).union(several)
+
+
+#: The same in DuckDB's SQL: a fold over each family's list.
+SANITIZE_ORACLE = """SELECT archive_id, unnest(ords) AS ord, unnest(taken) AS target_path FROM (
+  SELECT archive_id, list(ord ORDER BY ord) AS ords, list_reduce(list({'taken': cast([] AS varchar[]), 'stem': stem, 'suffix': suffix} ORDER BY ord),
+    lambda a, x: {'taken': list_append(a.taken, CASE WHEN NOT list_contains(a.taken, x.stem || x.suffix) THEN x.stem || x.suffix
+      ELSE list_filter(list_transform(range(2, len(a.taken) + 3), lambda n: x.stem || '-' || cast(n AS varchar) || x.suffix), lambda p: NOT list_contains(a.taken, p))[1] END), 'stem': x.stem, 'suffix': x.suffix},
+    {'taken': cast([] AS varchar[]), 'stem': '', 'suffix': ''}).taken AS taken FROM t GROUP BY archive_id, family, suffix) q"""
 
 
 @operator
@@ -89,8 +133,8 @@ def wildcard(d: Dialect, column: str, pattern: str) -> str:
         return "true"
     if not set(pattern) & set("*?"):
         return f"{column} = {quote(pattern)}"
-    sign = {"*": ".*", "?": "."}
-    return d.matches(column, "^" + "".join(sign.get(c, c if c.isalnum() or c in " #-_" else f"[{c}]" if c not in "^\\'" else ".") for c in pattern) + "$")
+    sign = {"*": "%", "?": "_"} | {c: f"!{c}" for c in "!%_"}
+    return f"{column} LIKE {quote(''.join(sign.get(c, c) for c in pattern))} ESCAPE '!'"
 
 
 def between(column: str, span: str) -> str:

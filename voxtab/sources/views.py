@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxtab.plans.statement import Dialect, view
+from voxtab.plans.statement import Dialect, operator, view
 
 
 @view
@@ -63,7 +63,7 @@ def image_series(d: Dialect) -> str:
     t = d.text
     return f"""SELECT series_id, 'ST' || cast(cast(floor(label / 2) AS int) AS {t}) AS study_uid, CASE WHEN label = 6 THEN NULL WHEN label % 2 = 0 THEN 'CT' ELSE 'PT' END AS modality,
   CASE label WHEN 2 THEN 'Chest routine' WHEN 4 THEN 'Spine lumbar' WHEN 6 THEN 'CTA body' ELSE 'Plain' END AS series_description,
-  label, cast(count(*) AS int) AS depth, max(rows_) AS nj, max(columns_) AS nk FROM slices GROUP BY series_id, label"""
+  CASE label WHEN 8 THEN 'Hip fracture' WHEN 0 THEN 'Abdomen' END AS study_description, label, cast(count(*) AS int) AS depth, max(rows_) AS nj, max(columns_) AS nk FROM slices GROUP BY series_id, label"""
 
 
 @view
@@ -225,6 +225,20 @@ def qido_records(d: Dialect) -> str:
   || '"]}}}},"00201208":{{{{"vr":"IS","Value":[' || cast(o_orderkey % 90 AS {t}) || ']}}}}}}}}' AS record FROM orders JOIN customer ON o_custkey = c_custkey""".replace("{{", "{{" if d.spark else "{").replace("}}", "}}" if d.spark else "}")
 
 
+@operator
+def presentation_references(d: Dialect) -> str:
+    """Presentation state files and the SOP uids that each refers to: one image or two, some of another workspace."""
+    t = d.text
+    return f"""SELECT path AS state_path, workspace_id, '1.2.3.' || cast(file_no AS {t}) || '.' || cast(n AS {t}) AS ref_uid FROM (
+  SELECT path, workspace_id, file_no, {d.rows(d.span('1', '1 + file_no % 2'))} AS n FROM keyed_headers WHERE object_type = 'DICOM_GSPS') s"""
+
+
+@operator
+def registry_before(d: Dialect) -> str:
+    """Series registered before: those whose number of instances is no multiple of three."""
+    return f"SELECT workspace_id, series_key, 'old-' || substring({d.sha256('series_key')}, 1, 8) AS series_id FROM group_series WHERE instance_count % 3 <> 0"
+
+
 @view
 def registry_paths(d: Dialect) -> str:
     """Instance paths of series that were registered under another key."""
