@@ -83,14 +83,13 @@ def plain_term_spans(texts, block):
     found, terms, held = {}, {}, {}
     for text in set(texts):
         found[text] = []
-        for no in range(max(0, len(text) - 1) // block + 1):
-            lo, hi = no * block, min(len(text), (no + 1) * block)
-            if lo and re.match("[^\\W_]", text[lo - 1]):
-                while lo < hi and re.match("[^\\W_]", text[lo]):
-                    lo += 1
-            if lo < hi and re.match("[^\\W_]", text[hi - 1]):
-                while hi < len(text) and re.match("[^\\W_]", text[hi]) and hi < (no + 1) * block + 64:
-                    hi += 1
+        ends = []
+        while not ends or ends[-1] < len(text):
+            no, lo = len(ends), ends[-1] if ends else 0
+            hi = min(len(text), lo + block)
+            while hi < len(text) and re.match(r"[^\W_]|[._%+@-]", text[hi]):
+                hi += 1
+            ends.append(hi)
             for m in re.finditer(f"{email}|({word})", text[lo:hi]):
                 if m[2] and len(m[2]) >= 4:
                     found[text].append((lo + m.start(), lo + m.end(), name(m[2])))
@@ -102,7 +101,7 @@ def plain_term_spans(texts, block):
             digits = re.sub("[^0-9]", "", value)
             group = value.split("@")[1].lower() if kind == "email" else ".".join(value.split(".")[:2]) if kind == "ip" else digits[:6]
             for c in ("any", kind, f"{kind}/{group}", f"{kind}={value}"):
-                held.setdefault(c, set()).add((text, int(b) // block))
+                held.setdefault(c, set()).add((text, sum(e <= int(b) for e in ends)))
     n, share = len(terms.pop(None)), {}
     for blocks in held.values():
         for t, where in terms.items():
@@ -132,6 +131,21 @@ def test_disclosing_terms(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want and sum(map(len, want)) > 40
 
 
+def test_words_and_addresses_over_block_ends(spark):
+    """A secret of any length across the end of a block goes whole, and an address there is one."""
+    rng = random.Random(8)
+    secret = lambda n: "".join(rng.choice("abcdef0123456789") for _ in range(n - 1)) + "7"
+    texts = [f"token {secret(300)} of me{i}@corp.org here" for i in range(40)] + [f"some other words {i} here" for i in range(400)]
+    cut = secret(300)
+    texts += ["ab " * 1290 + cut + " tail", "ab " * 1332 + "u.name@example.org tail", "x" * 4100 + "@a.b tail", "ab " * 1330 + secret(9000) + " tail"]
+    got = {r["doc_id"]: r["sanitised"] for r in sanitise.sanitise(docs(spark, *texts)).collect()}
+    n = len(texts)
+    assert texts[-4].index(cut) < 4000 < texts[-4].index(cut) + 300 and not any(cut[k : k + 12] in got[n - 4] for k in range(0, 288, 12)) and got[n - 4].endswith(" tail")
+    assert got[n - 3].endswith("ab <EMAIL> tail") and got[n - 2] == "<EMAIL> tail"
+    (spans,) = [r["spans"] for r in sanitise.find_spans(docs(spark, *texts)).collect() if r["doc_id"] == n - 4]
+    assert [(s["start"], s["end"]) for s in spans if s["end"] - s["start"] == 300] == [(texts[-4].index(cut), texts[-4].index(cut) + 300)]
+
+
 def test_disclosing_terms_go_wherever_they_stand(spark):
     texts = [f"project zanzibar belongs to zed{i}@corp.org number today" for i in range(20)] + [f"today some other words {i} belongs" for i in range(200)] + ["zanzibar again", None]
     df = docs(spark, *texts).withColumnRenamed("extra", "spans")
@@ -179,7 +193,7 @@ def plain_tree(urls):
             else:
                 children.setdefault(parts[level], []).append(x)
         total = sum(map(len, children.values()))
-        if (len(children) >= 10 and len(children) > 0.3 * total) or len(children) > url_filters.WIDE:
+        if len(children) >= 10 and len(children) > 0.3 * total:
             merged = {}
             for seg, g in children.items():
                 merged.setdefault("*" if seg else "", []).extend(g)
@@ -209,8 +223,7 @@ def plain_tree(urls):
     return [out[x[0], x[1]] for x in pages]
 
 
-def test_template_tree(spark, monkeypatch):
-    monkeypatch.setattr(url_filters, "WIDE", 15)
+def test_template_tree(spark):
     rng = random.Random(4)
     urls = [None, "x", "http://", "http://h.com", "http://h.com/"]
     for _ in range(900):
@@ -224,6 +237,15 @@ def test_template_tree(spark, monkeypatch):
     assert any("~" in t for t, _ in got.values()) and len({t for t, _ in got.values()}) > 30
 
 
+def test_wide_and_deep_trees(spark):
+    """Any number of children that repeat, and paths of over 24 segments, are like the recursion."""
+    names = ["".join(chr(97 + n // 26**k % 26) for k in range(3)) for n in range(1100)]
+    urls = [f"http://x.com/{('de', 'fr', 'q')[n % 3]}/{s}/{'yz'[k % 2]}" for n, s in enumerate(names) for k in range(4)] + ["http://x.com/q/" + "/".join("ab"[k % 2] for k in range(n)) for n in (25, 26)] * 2
+    got = {r["page_id"]: (r["template"], r["purity"]) for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()}
+    for i, (template, purity) in enumerate(plain_tree(urls)):
+        assert got[i][0] == template and got[i][1] == pytest.approx(purity, abs=2e-6), urls[i]
+
+
 # Winnowing
 
 

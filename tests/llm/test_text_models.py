@@ -394,3 +394,30 @@ def test_pipeline(spark, tmp_path, monkeypatch):
     got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert sorted({d for _, d, _ in got}) == list(range(20))
     assert [s for s, _, _ in got] == [sum(n for _, _, n in got[:i]) for i in range(len(got))]
+
+
+def test_several_blocks_of_a_benchmark(spark, monkeypatch):
+    """Blocks one after the other find what one block does, and the plan has one stage of workers."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(300)]
+    items = [" ".join(rng.choice(words, 12)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(words, 30)) + (" " + items[i % 40] if i % 3 == 0 else ""), "en") for i in range(60)]
+    df, bench = docs(spark, rows), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    want = sorted(map(tuple, decontaminate.leaks(df, bench).collect()))
+    kept = sorted(r["doc_id"] for r in decontaminate.without_leaks(df, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
+    assert sorted(map(tuple, decontaminate.leaks(df, bench).collect())) == want and len(want) >= 20
+    left = decontaminate.without_leaks(df, bench)
+    assert sorted(r["doc_id"] for r in left.collect()) == kept and left._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_fingerprint_bits(spark):
+    """Bits against XXH64 counted one by one."""
+    from xxhash import xxh64_intdigest
+
+    texts = ["", "one", "One two", "a b c", "a b c a b c d", "É a\x0bB\tc d", "x " * 500 + "y"]
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash.near_groups(docs(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t).split()
+        h = [xxh64_intdigest(" ".join(low[k : k + 3]).encode(), 42) for k in range(max(1, len(low) - 2))] if low else []
+        assert got[i] == f"{sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)):016x}"

@@ -11,7 +11,8 @@ place of the item of its own. Of the m - 1 places any set of m - 1 - (S / 2 - 1)
 document frequency of their words in the corpus, are the seeds. An alignment is at most 2 m - S words longer than the item,
 which gives the passage around a seed. So no leak is missed, whatever the edits; rarity only saves work.
 
-Items are taken in blocks of about BLOCK_BYTES of text, each broadcast and held against all documents.
+Items are taken in blocks of about BLOCK_BYTES of text, each broadcast and held against all documents; the driver holds one block at a time, as the
+pass of a block is written before the next block is read.
 """
 
 from __future__ import annotations
@@ -223,8 +224,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
         return docs.mapInArrow(run, schema)
 
     out = spark.createDataFrame([], schema)
-    for items in _blocks(docs, benchmark, threshold):
-        out = out.union(pass_of(items))
+    for items in _blocks(docs, benchmark, threshold):  # a pass is written before the next block is read
+        out = out.union(written(pass_of(items), "leaks"))
     return out
 
 
@@ -234,8 +235,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     Rows go through the workers as they are, so nothing is shuffled and rows need no key: repeated rows and null doc_ids are judged
     each by its own text. Null and empty texts stay; an empty table or an empty benchmark changes nothing.
     """
-    at = docs.columns.index("text")
-    for items in list(_blocks(docs, benchmark, threshold)):
+    at, first = docs.columns.index("text"), True
+    for items in _blocks(docs, benchmark, threshold):
+        docs, first = docs if first else written(docs, "without-leaks"), False  # what a block has left, before the next block is read
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001

@@ -304,6 +304,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document; see ``near_groups`` for nulls, empty texts, repeats and empty tables."""
     return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -373,25 +374,27 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts link if their word fingerprints are within STAGE_RADIUS bits and the Jaccard likeness of their 5-word
     shingles is 0.8 or more; equal texts always do. Of rows that repeat a doc_id within a group one stays. Rows of null or
-    empty text are copies of each other. A null doc_id counts as the hash of its text.
+    empty text are copies of each other. A null doc_id counts as the hash of its text. A text is told from others by 128 bits of its MD5. The
+    names __key, __node, __stay and __head are taken.
     """
     shared_dir(spark)
     text = F.coalesce(docs["text"], F.lit(""))
-    node = F.xxhash64(text)
-    key = F.coalesce(docs["doc_id"].cast("bigint"), node)
-    source = docs.select(key.alias("doc_id"), node.alias("node"), text.cast("binary").alias("__text"))
-    fps = written(fingerprints(source, word_hashes, ["doc_id", "node"], "doc_id bigint, node bigint"), "dedup")
-    firsts = written(fps.groupBy("node", "fp").agg(F.min("doc_id").alias("first")), "dedup-distinct")
+    digest = F.md5(text.cast("binary"))
+    key = F.coalesce(docs["doc_id"].cast("bigint"), F.xxhash64(text))
+    source = docs.select(key.alias("doc_id"), digest.alias("digest"), text.cast("binary").alias("__text"))
+    fps = written(fingerprints(source, word_hashes, ["doc_id", "digest"], "doc_id bigint, digest string"), "dedup")
+    firsts = fps.groupBy("digest", "fp").agg(F.min("doc_id").alias("first"))
+    firsts = written(firsts.withColumn("node", F.monotonically_increasing_id()), "dedup-distinct")  # numbers of different texts, fixed by being written
     found = written(links_and_trees(firsts.select("node", "fp"), STAGE_RADIUS), "dedup-links")
     pairs, trees = found.filter("g is null").select("a", "b"), found.filter("g is not null")
     linked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    heads = firsts.join(linked, "node", "left_semi").select("node", F.col("first").alias("doc_id"))
-    known = docs.select(key.alias("doc_id"), node.alias("node"), text.alias("t"))
-    sets = known.join(heads, ["node", "doc_id"], "left_semi").groupBy("node").agg(F.first("t").alias("t"))
+    heads = firsts.join(linked, "node", "left_semi").select("node", "digest", F.col("first").alias("doc_id"))
+    known = docs.select(key.alias("doc_id"), digest.alias("digest"), text.alias("t"))
+    sets = known.join(heads, ["digest", "doc_id"]).groupBy("node").agg(F.first("t").alias("t"))
     sets = written(_shingle_sets(sets, STAGE_SHINGLE).join(firsts.select("node", "fp"), "node"), "dedup-sets")
     nodes = _alike(pairs, trees, sets, STAGE_RADIUS, STAGE_LIKENESS)
-    groups = firsts.join(nodes, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first", "node")).alias("head"))
-    stay = groups.select(F.col("head.first").alias("__stay"), F.col("head.node").alias("__head"))
-    kept = docs.withColumn("__key", key).withColumn("__node", node)
+    groups = firsts.join(nodes, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first", "digest")).alias("head"))
+    stay = groups.select(F.col("head.first").alias("__stay"), F.col("head.digest").alias("__head"))
+    kept = docs.withColumn("__key", key).withColumn("__node", digest)
     kept = kept.join(stay, (F.col("__key") == F.col("__stay")) & (F.col("__node") == F.col("__head")), "left_semi")
     return kept.dropDuplicates(["__key", "__node"]).drop("__key", "__node")

@@ -1,15 +1,17 @@
 """URL filters: rules first, then a path-template tree with smoothed labelled purity.
 
 The rules' verdicts are the labels. Per host, paths become a tree of templates, level by level down to the deepest path: runs of digits turn into
-``#``; a node with many different children that rarely repeat (VARIED children or more, more than SHARE of its pages each its own) or
-with over WIDE children has them replaced by ``*``; then the children of one node are compared next to each other in order of their share
+``#``; a node with many different children that rarely repeat (VARIED children or more, more than SHARE of its pages each its own)
+has them replaced by ``*``; then the children of one node are compared next to each other in order of their share
 of blocked labels, and neighbours whose shares do not differ significantly (two-proportion z below Z) become one branch, named after its
 first child with a ``~``, whose children are looked at together on the next level. Children without labels make one branch. A node's
 purity is its share of blocked labels smoothed by its parent's: all pages, domain (last two labels), host, first segment and so on to the leaf;
 from REJECT on, pages of the leaf are blocked.
 
 One SQL text, written for Spark and for DuckDB (they differ in one function); every step is an aggregation over
-(host, template) counts or a window over the at most WIDE children of one node, never over the pages of a host.
+(host, template) counts or a window over the different label shares at one node: children of one share never part, so only the
+last child of a share and the first of the next are compared, and a node may have any number of children. Paths may be of any depth; a
+level looks only at paths that reach it.
 """
 
 from __future__ import annotations
@@ -29,11 +31,8 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-#: Deepest level that is a level of its own; what is below counts as one segment (only loops of links are as deep).
-LEVELS = 24
 VARIED = 10
 SHARE = 0.3
-WIDE = 1000
 Z = 1.96
 PRIOR = 4.0
 REJECT = 0.5
@@ -69,33 +68,36 @@ def steps(dialect: str, levels: int, rules: tuple[tuple[str, str], ...] = RULES)
     ]
     for level in range(1, levels + 1):
         segment = f"split_part(shape, '/', {level + 1})"
-        if level == LEVELS:
-            before = " + 1 + ".join(f"length(split_part(shape, '/', {i}))" for i in range(1, level + 1))
-            segment = f"substr(shape, {before} + 2)"
         out += [
             (f"c{level}", f"""SELECT host, template, {segment} AS seg, sum(n) AS n, CAST(sum(bad) AS DOUBLE) AS bad, CAST(sum(labelled) AS DOUBLE) AS labelled, max(purity) AS above
   FROM t{level - 1} WHERE depth >= {level} GROUP BY 1, 2, 3"""),
-            (f"v{level}", f"""SELECT host, template, (count(*) >= {VARIED} AND count(*) > {SHARE} * sum(n)) OR count(*) > {WIDE} AS varied FROM c{level} GROUP BY host, template"""),
+            (f"v{level}", f"""SELECT host, template, count(*) >= {VARIED} AND count(*) > {SHARE} * sum(n) AS varied FROM c{level} GROUP BY host, template"""),
             (f"k{level}", f"""SELECT c.host AS host, c.template AS template, CASE WHEN varied AND seg <> '' THEN '*' ELSE seg END AS seg, sum(bad) AS bad, sum(labelled) AS labelled, max(above) AS above
   FROM c{level} c JOIN v{level} v ON v.host = c.host AND v.template = c.template GROUP BY 1, 2, 3"""),
             (f"x{level}", f"""SELECT *, CASE WHEN labelled > 0 THEN 1 ELSE 0 END AS known, CASE WHEN labelled > 0 THEN bad / labelled ELSE 0 END AS share FROM k{level}"""),
-            (f"y{level}", f"""SELECT *, lag(bad) OVER w AS bad0, lag(labelled) OVER w AS labelled0 FROM x{level} WINDOW w AS (PARTITION BY host, template, known ORDER BY share, seg)"""),
-            (f"z{level}", f"""SELECT *, CASE WHEN bad0 IS NULL THEN 1 WHEN known = 0 THEN 0 WHEN (bad + bad0) = 0 OR (bad + bad0) = (labelled + labelled0) THEN 0
+            (f"e{level}", f"""SELECT host, template, share, min_by(bad, seg) AS bad, min_by(labelled, seg) AS labelled, max_by(bad, seg) AS bad_z, max_by(labelled, seg) AS labelled_z
+  FROM x{level} WHERE known = 1 GROUP BY host, template, share"""),
+            (f"y{level}", f"""SELECT *, lag(bad_z) OVER w AS bad0, lag(labelled_z) OVER w AS labelled0 FROM e{level} WINDOW w AS (PARTITION BY host, template ORDER BY share)"""),
+            (f"z{level}", f"""SELECT *, CASE WHEN bad0 IS NULL THEN 1 WHEN (bad + bad0) = 0 OR (bad + bad0) = (labelled + labelled0) THEN 0
     WHEN abs(share - bad0 / labelled0) >= {Z} * sqrt((bad + bad0) / (labelled + labelled0) * (1 - (bad + bad0) / (labelled + labelled0)) * (1 / labelled + 1 / labelled0)) THEN 1 ELSE 0 END AS breaks FROM y{level}"""),
-            (f"b{level}", f"""SELECT *, sum(breaks) OVER (PARTITION BY host, template, known ORDER BY share, seg ROWS UNBOUNDED PRECEDING) AS branch FROM z{level}"""),
+            (f"r{level}", f"""SELECT host, template, share, sum(breaks) OVER (PARTITION BY host, template ORDER BY share ROWS UNBOUNDED PRECEDING) AS branch FROM z{level}"""),
+            (f"b{level}", f"""SELECT x.host AS host, x.template AS template, seg, bad, labelled, above, known, coalesce(branch, 0) AS branch FROM x{level} x
+  LEFT JOIN r{level} r ON r.host = x.host AND r.template = x.template AND r.share = x.share AND x.known = 1"""),
             (f"g{level}", f"""SELECT host, template, known, branch, CASE WHEN count(*) > 1 THEN min(seg) || '~' ELSE min(seg) END AS name, (sum(bad) + {PRIOR} * max(above)) / (sum(labelled) + {PRIOR}) AS purity
   FROM b{level} GROUP BY host, template, known, branch"""),
             (f"s{level}", f"""SELECT b.host AS host, b.template AS template, b.seg AS seg, g.name AS name, g.purity AS purity FROM b{level} b
   JOIN g{level} g ON g.host = b.host AND g.template = b.template AND g.known = b.known AND g.branch = b.branch"""),
             (f"q{level}", f"""SELECT t.*, CASE WHEN varied AND {segment} <> '' THEN '*' ELSE {segment} END AS seg FROM t{level - 1} t JOIN v{level} v ON v.host = t.host AND v.template = t.template WHERE depth >= {level}"""),
             (f"t{level}", f"""SELECT q.host AS host, shape, depth, q.template || '/' || s.name AS template, s.purity AS purity, n, bad, labelled FROM q{level} q
-  JOIN s{level} s ON s.host = q.host AND s.template = q.template AND s.seg = q.seg UNION ALL SELECT host, shape, depth, template, purity, n, bad, labelled FROM t{level - 1} WHERE depth < {level}"""),
+  JOIN s{level} s ON s.host = q.host AND s.template = q.template AND s.seg = q.seg"""),
         ]
+    ended = " UNION ALL ".join(f"SELECT host, shape, template, purity FROM t{level} WHERE depth = {level}" for level in range(levels + 1))
+    out.append(("leaves", ended))
     out.append(
         (
             "judged",
             f"""SELECT page_id, p.host AS host, path, rule, CASE rule {verdicts} ELSE CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END END AS verdict,
-  template, round(purity, 6) AS purity FROM p2 p LEFT JOIN t{levels} t ON t.host = p.host AND t.shape = p.shape""",
+  template, round(purity, 6) AS purity FROM p2 p LEFT JOIN leaves t ON t.host = p.host AND t.shape = p.shape""",
         )
     )
     return [(name, sql, name == "u" or name[0] in "tb" and name[1:].isdigit()) for name, sql in out]
@@ -120,7 +122,7 @@ def judge(pages: DataFrame) -> DataFrame:
     for step in plan[: first + 1]:
         add(*step)
     (depth,) = frames["u"].agg(F.max("depth")).first()
-    for step in steps("spark", min(depth or 0, LEVELS))[first + 1 :]:
+    for step in steps("spark", depth or 0)[first + 1 :]:
         add(*step)
     return frames["judged"]
 
