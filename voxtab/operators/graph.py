@@ -53,4 +53,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"components are not known after {rounds} rounds")
     return loops.join(now.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("root"))
