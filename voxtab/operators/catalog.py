@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from voxtab.plans.statement import Dialect, operator, quote
+from voxtab.plans.statement import Dialect, operator, quote, view
 
 #: File suffixes that are never scanned; fixed values.
 DENIED = (".7z", ".bz2", ".csv", ".db", ".gz", ".html", ".htm", ".json", ".log", ".md", ".pdf", ".rar", ".tar", ".tgz", ".txt", ".webp", ".xml", ".xz", ".yaml", ".yml", ".zip", ".zst")
@@ -39,16 +39,51 @@ def parent(path: str) -> str:
     return f"regexp_extract({path}, '^(.*)/[^/]*$', 1)"
 
 
+#: Phases in texts: a percentage, ``phase N``, ``pN``; the number is group 2, 3 and 2, what follows a word group 7, 5 and 3.
+PERCENT = "(^|[^0-9])(100([.]0+)?|[0-9][0-9]?([.][0-9]+)?)[ _-]*(%|％|﹪|(pct|percent)($|[^a-z0-9_]))"
+NAMED = "(^|[^a-z0-9])(phase|ph)[ _:#-]*([0-9][0-9]?[0-9]?([.][0-9]+)?)($|[^a-z0-9])"
+SHORT = "(^|[^a-z0-9])p[ _-]*([0-9][0-9]?[0-9]?)($|[^a-z0-9])"
+#: Header tags that give a phase, in order, with their unit; fixed values.
+PHASE_TAGS = (
+    ("nominal_percentage_of_respiratory_phase", "NominalPercentageOfRespiratoryPhase", "%"),
+    ("actual_respiratory_phase", "ActualRespiratoryPhase", "%"),
+    ("respiratory_phase", "RespiratoryPhase", "%"),
+    ("temporal_position_identifier", "TemporalPositionIdentifier", ""),
+    ("trigger_time", "TriggerTime", "ms"),
+    ("nominal_respiratory_trigger_delay_time", "NominalRespiratoryTriggerDelayTime", "ms"),
+    ("respiratory_trigger_delay_threshold", "RespiratoryTriggerDelayThreshold", "ms"),
+)
+
+
 def phase_value(d: Dialect, text: str) -> str:
     """Phase number in a text: a percentage, then ``phase N``, then ``pN``; null without one."""
     lower = f"lower({text})"
-    percent = "(^|[^0-9])(100([.]0+)?|[0-9][0-9]?([.][0-9]+)?)[ _-]*(%|％|﹪|pct|percent)"
-    named = "(^|[^a-z0-9])(phase|ph)[ _:#-]*([0-9][0-9]?[0-9]?([.][0-9]+)?)($|[^a-z0-9])"
-    short = "(^|[^a-z0-9])p[ _-]*([0-9][0-9]?[0-9]?)($|[^a-z0-9])"
-    found = f"coalesce(nullif(regexp_extract({lower}, '{percent}', 2), '') || '%', nullif(regexp_extract({lower}, '{named}', 3), ''), nullif(regexp_extract({lower}, '{short}', 2), ''))"
+    found = f"coalesce(nullif(regexp_extract({lower}, '{PERCENT}', 2), '') || '%', nullif(regexp_extract({lower}, '{NAMED}', 3), ''), nullif(regexp_extract({lower}, '{SHORT}', 2), ''))"
     return f"CASE WHEN {d.matches(text, '[pP%％﹪]')} THEN {found} END"  # every pattern has one of these
 
 
+def group_text(d: Dialect, text: str) -> str:
+    """A text without its phases, for grouping: words of letters and digits. Words that share a blank need a second turn."""
+    out = d.swap_around(f"lower({text})", PERCENT, 1, 7)
+    for pattern, after in ((NAMED, 5), (NAMED, 5), (SHORT, 3), (SHORT, 3)):
+        out = d.swap_around(out, pattern, 1, after)
+    return f"trim({d.swap(out, '[^a-z0-9]+', ' ')})"
+
+
+def number_in(d: Dialect, text: str) -> str:
+    """First value of a text as a finite number, else the first number in it."""
+    first = f"trim({d.at(d.parts(text), 0)})"
+    whole = f"try_cast({first} AS double)"
+    return f"CASE WHEN {text} IS NULL THEN NULL WHEN abs({whole}) < 1e300 THEN {whole} WHEN {whole} IS NOT NULL THEN NULL ELSE try_cast(nullif(regexp_extract({first}, '[-+]?[0-9]+([.][0-9]+)?', 0), '') AS double) END"
+
+
+def label_of(d: Dialect, value: str, unit: str) -> str:
+    """Label of a phase: whole numbers plain, others with two places at most; two digits where there is no unit."""
+    whole = f"cast(cast(round({value}) AS bigint) AS {d.text})"
+    text = f"CASE WHEN abs({value} - round({value})) < 1e-6 THEN {whole} ELSE regexp_replace({d.format('%.2f', d.even(value, 2))}, '[.]?0+$', '') END"
+    return f"'Phase ' || CASE WHEN {unit} = '' AND abs({value} - round({value})) < 1e-6 AND length({whole}) = 1 THEN '0' ELSE '' END || {text} || {unit}"
+
+
 def object_type(d: Dialect) -> str:
     """Class of a header's object: presentation states first, then reports, then images; null for others."""
     reports = ", ".join(f"'{c}'" for c in SR_CLASSES)
@@ -115,10 +150,11 @@ FROM keyed_headers) q WHERE copy_no = 1 AND object_type = 'IMAGE'"""
 @operator
 def instance_numbers(d: Dialect) -> str:
     """Instance number: the text's number, else the place in path order; and the 0-based slice index in number order."""
-    return """SELECT *, cast(row_number() OVER (PARTITION BY workspace_id, series_key ORDER BY instance_number, path_place) - 1 AS bigint) AS slice_index
+    return f"""SELECT *, cast(row_number() OVER (PARTITION BY workspace_id, series_key ORDER BY instance_number, path_place) - 1 AS bigint) AS slice_index
 FROM (SELECT *, coalesce(number_, path_place) AS instance_number FROM (
   SELECT workspace_id, series_key, path, sop_uid, rows_, columns_, instance_number_text, position_z, number_of_frames, photometric, transfer_syntax_uid, modality,
-    pixel_spacing, has_position, has_rescale_slope, study_uid, series_uid, series_description, phase,
+    pixel_spacing, has_position, has_rescale_slope, study_uid, series_uid, series_description, phase, position_x, position_y, rx, ry, rz, cx, cy, cz, slice_thickness,
+    {', '.join(c for c, *_ in PHASE_TAGS)},
     CASE WHEN abs(try_cast(trim(instance_number_text) AS double)) < 1e15 THEN cast(CASE WHEN try_cast(trim(instance_number_text) AS double) < 0
       THEN ceil(try_cast(trim(instance_number_text) AS double)) ELSE floor(try_cast(trim(instance_number_text) AS double)) END AS bigint) END AS number_,
     cast(row_number() OVER (PARTITION BY workspace_id, series_key ORDER BY path) AS bigint) AS path_place FROM dedupe_instances) p) q"""
@@ -142,10 +178,18 @@ FROM (SELECT workspace_id, object_type, series_key, {first}, count(DISTINCT coal
 
 @operator
 def series_summary(d: Dialect) -> str:
-    """Count and first size of each image series, and whether it has a phase: one pass over its instances."""
-    return f"""SELECT substring({d.sha256("workspace_id || '|' || series_key")}, 1, 16) AS series_id, workspace_id, series_key, instance_count, width, height, true AS is_image_series, has_phase FROM (
-  SELECT workspace_id, series_key, count(*) AS instance_count, max(CASE WHEN slice_index = 0 THEN cast(columns_ AS bigint) END) AS width, max(CASE WHEN slice_index = 0 THEN cast(rows_ AS bigint) END) AS height, max(phase) IS NOT NULL AS has_phase
-  FROM instance_numbers GROUP BY workspace_id, series_key) q"""
+    """Count and first size of each image series, and its phases: those of the group of series that it belongs to, else those of its own instances. One pass over instances, windows over series only."""
+    first = lambda c: f"max(CASE WHEN slice_index = 0 THEN {c} END)"
+    header = f"coalesce({', '.join(number_in(d, c) for c, *_ in PHASE_TAGS)})"
+    return f"""SELECT substring({d.sha256("workspace_id || '|' || series_key")}, 1, 16) AS series_id, workspace_id, series_key, max(instance_count) AS instance_count, max(width) AS width, max(height) AS height, true AS is_image_series, bool_or(phase IS NOT NULL) AS has_phase,
+  coalesce(max(CASE WHEN chosen AND phases >= 2 THEN phases END), max(own_phases), 0) >= 2 AS is_four_d, coalesce(max(CASE WHEN chosen AND phases >= 2 THEN phases END), max(CASE WHEN own_phases >= 2 THEN own_phases END), 0) AS phase_count FROM (
+  SELECT *, count(CASE WHEN chosen THEN 1 END) OVER (PARTITION BY workspace_id, coalesce(group_key, series_key)) AS phases FROM (
+    SELECT *, group_key IS NOT NULL AND row_number() OVER (PARTITION BY workspace_id, coalesce(group_key, series_key), sort_value ORDER BY series_key) = 1 AS chosen FROM (
+      SELECT *, {d.rows(f'CASE WHEN phase IS NOT NULL THEN {group_keys(d)} ELSE {d.array(f"cast(NULL AS {d.text})")} END')} AS group_key, cast(replace(phase, '%', '') AS double) AS sort_value FROM (
+        SELECT workspace_id, series_key, count(*) AS instance_count, {first('cast(columns_ AS bigint)')} AS width, {first('cast(rows_ AS bigint)')} AS height, max(phase) AS phase, count(DISTINCT own_phase) AS own_phases,
+          {', '.join(f'{first(c)} AS {c}' for c in ('study_uid', 'modality', 'series_description', 'rows_', 'columns_', 'path'))}
+        FROM (SELECT *, {header} AS own_phase FROM instance_numbers) n GROUP BY workspace_id, series_key) a) b) c) e
+GROUP BY workspace_id, series_key"""
 
 
 @operator
@@ -256,33 +300,35 @@ def phase_from_text(d: Dialect) -> str:
 
 @operator
 def phase_from_header(d: Dialect) -> str:
-    """First numeric of several phase tags, with its unit."""
-    return """SELECT path, coalesce(a, b) AS sort_value, CASE WHEN a IS NOT NULL THEN '%' WHEN b IS NOT NULL THEN 'ms' END AS unit FROM (
-  SELECT path, CASE WHEN series_description LIKE 'Scan%' THEN try_cast(regexp_extract(series_description, '([0-9]+)%', 1) AS double) END AS a,
-  coalesce(try_cast(instance_number_text AS double), try_cast(nullif(regexp_extract(instance_number_text, '[-+]?[0-9]+([.][0-9]+)?', 0), '') AS double)) AS b FROM headers) q"""
+    """Phase of each file from the first of seven tags that holds a number, with its unit, tag and label."""
+    each = d.array(*(d.struct(v=number_in(d, c), unit=f"'{u}'", source=f"'{k}'") for c, k, u in PHASE_TAGS))
+    return f"""SELECT path, (p).v AS sort_value, (p).unit AS unit, (p).source AS source, {label_of(d, '(p).v', '(p).unit')} AS label FROM (
+  SELECT path, {d.at(d.keep(each, 'x', 'x.v IS NOT NULL'), 0)} AS p FROM headers) q WHERE p IS NOT NULL"""
 
 
 @operator
 def phase_label(d: Dialect) -> str:
-    """Label of each phase: whole numbers plain and padded to two digits unless they have a unit."""
-    return f"""SELECT DISTINCT phase, 'Phase ' || CASE WHEN right(phase, 1) = '%' THEN phase WHEN {d.matches('phase', '^[0-9]+$')} THEN CASE WHEN length(phase) = 1 THEN '0' || phase ELSE phase END ELSE phase END AS label FROM keyed_headers WHERE phase IS NOT NULL"""
+    """Label of each phase of a text."""
+    return f"""SELECT phase, {label_of(d, 'v', 'unit')} AS label FROM (SELECT phase, cast(replace(phase, '%', '') AS double) AS v, CASE WHEN right(phase, 1) = '%' THEN '%' ELSE '' END AS unit FROM (SELECT DISTINCT phase FROM keyed_headers WHERE phase IS NOT NULL) a) b"""
 
 
 @operator
 def phase_group_text(d: Dialect) -> str:
-    """Description without its phase, for grouping."""
-    inner = d.swap("lower(series_description)", "[0-9.]+[ _-]*(%|pct|percent)", " ")
-    return f"SELECT DISTINCT series_description, trim({d.swap(d.swap(inner, '[^a-z0-9]+', ' '), ' +', ' ')}) AS group_text FROM headers"
+    """Description without its phases, for grouping."""
+    return f"SELECT series_description, {group_text(d, 'series_description')} AS group_text FROM (SELECT DISTINCT series_description FROM headers) q"
+
+
+def group_keys(d: Dialect) -> str:
+    """Both group keys of a series with a phase: by study and size, and by folder; with modality and description without the phase."""
+    text = group_text(d, "series_description")
+    number = lambda c: f"coalesce(cast({c} AS {d.text}), '')"
+    return d.array(f"study_uid || '|' || modality || '|' || {number('rows_')} || '|' || {number('columns_')} || '|' || {text}", f"{parent('path')} || '|' || modality || '|' || {text}")
 
 
 @operator
 def four_d_groups(d: Dialect) -> str:
-    """Group keys of series with a phase: study or folder, modality, size and description without the phase."""
-    text = d.swap(d.swap("lower(i.series_description)", "[0-9.]+[ _-]*(%|pct|percent)", " "), "[^a-z0-9]+", " ")
-    return f"""SELECT i.workspace_id, i.series_key, i.study_uid || '|' || i.modality || '|' || coalesce(cast(i.rows_ AS {d.text}), '') || '|' || coalesce(cast(i.columns_ AS {d.text}), '') || '|' || trim({text}) AS group_key,
-  i.phase, cast(replace(i.phase, '%', '') AS double) AS sort_value FROM instance_numbers i WHERE i.slice_index = 0 AND i.phase IS NOT NULL
-UNION ALL SELECT i.workspace_id, i.series_key, {parent('i.path')} || '|' || i.modality || '|' || trim({text}) AS group_key, i.phase, cast(replace(i.phase, '%', '') AS double) AS sort_value
-FROM instance_numbers i WHERE i.slice_index = 0 AND i.phase IS NOT NULL"""
+    """Group keys of series with a phase; one pass."""
+    return f"""SELECT workspace_id, series_key, {d.rows(group_keys(d))} AS group_key, phase, cast(replace(phase, '%', '') AS double) AS sort_value FROM instance_numbers WHERE slice_index = 0 AND phase IS NOT NULL"""
 
 
 @operator
@@ -300,25 +346,40 @@ def phase_items(d: Dialect) -> str:
 
 @operator
 def single_series_phases(d: Dialect) -> str:
-    """A series whose instances have several phases of their own becomes one virtual series for each."""
-    return f"""SELECT series_key, series_key || '::phase::' || cast(dense_rank() OVER (PARTITION BY workspace_id, series_key ORDER BY sort_value) - 1 AS {d.text}) AS virtual_id, sort_value, instance_count FROM (
-  SELECT workspace_id, series_key, cast(instance_number % 3 AS double) AS sort_value, count(*) AS instance_count, count(*) OVER (PARTITION BY workspace_id, series_key) AS phases
-  FROM instance_numbers GROUP BY workspace_id, series_key, cast(instance_number % 3 AS double)) q WHERE phases >= 2"""
+    """A series whose instances have two or more phases in their headers becomes one virtual series for each, with the tag of its first instance."""
+    value = f"coalesce({', '.join(number_in(d, c) for c, *_ in PHASE_TAGS)})"
+    which = lambda part: "CASE " + " ".join(f"WHEN {number_in(d, c)} IS NOT NULL THEN '{p}'" for c, *p_ in PHASE_TAGS for p in [p_[part]]) + " END"
+    return f"""SELECT workspace_id, series_key, series_key || '::phase::' || cast(row_number() OVER (PARTITION BY workspace_id, series_key ORDER BY sort_value) - 1 AS {d.text}) AS virtual_id, sort_value, source, {label_of(d, 'sort_value', 'unit')} AS label, instance_count FROM (
+  SELECT *, count(*) OVER (PARTITION BY workspace_id, series_key) AS phases FROM (
+    SELECT workspace_id, series_key, sort_value, {d.first_by('source', 'slice_index')} AS source, {d.first_by('unit', 'slice_index')} AS unit, count(*) AS instance_count FROM (
+      SELECT workspace_id, series_key, slice_index, {value} AS sort_value, {which(0)} AS source, {which(1)} AS unit FROM instance_numbers) n WHERE sort_value IS NOT NULL GROUP BY workspace_id, series_key, sort_value) g) q WHERE phases >= 2"""
+
+
+@view
+def projected(d: Dialect) -> str:
+    """Instances with their place along the slice direction: the normal of the first orientation in the series' order; null without one or without a position."""
+    own = "PARTITION BY workspace_id, series_key"
+    first = lambda c: f"max(CASE WHEN slice_index = first_at THEN {c} END) OVER ({own}) AS {c}0"
+    return f"""SELECT *, CASE WHEN has_position AND size > 1e-6 THEN (position_x * nx + position_y * ny + position_z * nz) / size END AS place FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS size FROM (
+  SELECT *, ry0 * cz0 - rz0 * cy0 AS nx, rz0 * cx0 - rx0 * cz0 AS ny, rx0 * cy0 - ry0 * cx0 AS nz FROM (
+    SELECT *, {', '.join(map(first, ('rx', 'ry', 'rz', 'cx', 'cy', 'cz')))} FROM (
+      SELECT *, min(CASE WHEN rx IS NOT NULL AND cx IS NOT NULL THEN slice_index END) OVER ({own}) AS first_at FROM instance_numbers) a) b) c) e"""
 
 
 @operator
 def spatial_order(d: Dialect) -> str:
-    """Instances by their place along the slice direction; series with a missing position keep their order."""
-    return """SELECT series_key, path, cast(row_number() OVER (PARTITION BY workspace_id, series_key ORDER BY CASE WHEN complete THEN position_z END, slice_index) - 1 AS bigint) AS spatial_index
-FROM (SELECT *, bool_and(has_position) OVER (PARTITION BY workspace_id, series_key) AS complete FROM instance_numbers) q"""
+    """Instances by their place along the slice direction; series with a missing position or without a direction keep their order."""
+    return """SELECT workspace_id, series_key, path, cast(row_number() OVER (PARTITION BY workspace_id, series_key ORDER BY CASE WHEN complete THEN round(place, 6) END, slice_index) - 1 AS bigint) AS spatial_index
+FROM (SELECT *, bool_and(place IS NOT NULL) OVER (PARTITION BY workspace_id, series_key) AS complete FROM projected) q"""
 
 
 @operator
 def slice_spacing(d: Dialect) -> str:
-    """Median distance of neighbouring slices over 1e-6, else 1; spacing in the plane with a floor."""
-    return f"""SELECT workspace_id, series_key, round(coalesce({d.percentile('CASE WHEN gap > 1e-6 THEN gap END', 0.5)}, 1), 6) AS spacing, max(coalesce(greatest(pixel_spacing, 0.001), 1)) AS in_plane FROM (
-  SELECT workspace_id, series_key, pixel_spacing, abs(position_z - lag(position_z) OVER (PARTITION BY workspace_id, series_key ORDER BY position_z, path)) AS gap FROM instance_numbers) q
-GROUP BY workspace_id, series_key"""
+    """Median distance over 1e-6 of neighbouring slices along the slice direction, else the first instance's thickness, else 1; spacing in the plane with a floor, 1 in all directions where nothing is known."""
+    thickness = f"abs({number_in(d, 'slice_thickness')})"
+    return f"""SELECT workspace_id, series_key, round(CASE WHEN gap IS NOT NULL THEN gap WHEN places = 0 AND plane IS NULL THEN 1 WHEN thickness > 0 THEN thickness ELSE 1 END, 6) AS spacing, CASE WHEN plane IS NULL THEN 1 ELSE greatest(abs(plane), 0.001) END AS in_plane FROM (
+  SELECT workspace_id, series_key, {d.percentile('CASE WHEN gap > 1e-6 THEN gap END', 0.5)} AS gap, count(place) AS places, max(CASE WHEN slice_index = 0 THEN pixel_spacing END) AS plane, max(CASE WHEN slice_index = 0 THEN {thickness} END) AS thickness FROM (
+    SELECT *, abs(place - lag(place) OVER (PARTITION BY workspace_id, series_key ORDER BY place, path)) AS gap FROM projected) q GROUP BY workspace_id, series_key) s"""
 
 
 @operator

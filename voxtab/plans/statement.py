@@ -28,6 +28,10 @@ class Dialect:
         """Replace every match; patterns are written without backslashes."""
         return f"regexp_replace({text}, '{pattern}', '{to}')" if self.spark else f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
 
+    def swap_around(self, text: str, pattern: str, before: int, after: int) -> str:
+        """Replace every match by a blank, but for two of its groups."""
+        return f"regexp_replace({text}, '{pattern}', '${before} ${after}')" if self.spark else f"regexp_replace({text}, '{pattern}', '\\{before} \\{after}', 'g')"
+
     def matches(self, text: str, pattern: str) -> str:
         return f"({text} rlike '{pattern}')" if self.spark else f"regexp_matches({text}, '{pattern}')"
 

@@ -7,8 +7,16 @@ from voxtab.plans.statement import Dialect, operator, view
 
 @view
 def headers(d: Dialect) -> str:
-    """One row per file: identifiers, text fields, sizes and flags of a DICOM header."""
+    """One row per file: identifiers, text fields, sizes, flags, place, direction and phase tags of a DICOM header; axial, flipped, coronal and oblique series, some without a direction."""
     t = d.text
+    pick = lambda n, *v: "cast(CASE l_suppkey % 5 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(v)) + f" END AS double) AS {n}"
+    none = "CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE 1 END"
+    geometry = ", ".join(["cast(l_quantity AS double) AS position_x", "cast(l_extendedprice AS double) / 2 AS position_y", pick("rx", 1, -1, 1, none, "NULL"), pick("ry", 0, 0, 0, 0, 0), pick("rz", 0, 0, 0, 0, 0), pick("cx", 0, 0, 0, 0, "NULL"),
+                          pick("cy", 1, 1, 0, 0.8, 1), pick("cz", 0, 0, -1, 0.6, 0), f"CASE WHEN l_suppkey % 7 = 0 THEN 'thin' WHEN l_suppkey % 7 = 1 THEN NULL ELSE '2.5' END AS slice_thickness"])
+    tag = lambda n, name, value: f"CASE WHEN l_suppkey % 9 = {n} THEN {value} END AS {name}"
+    whole = lambda c: f"cast(cast({c} AS bigint) AS {t})"
+    phases = ", ".join([tag(0, "nominal_percentage_of_respiratory_phase", f"{whole('l_orderkey % 4 * 25')} || '.0'"), tag(1, "actual_respiratory_phase", f"'about ' || {whole('l_orderkey % 3 * 30')} || ' of 100'"), tag(2, "respiratory_phase", "'EXHALE'"),
+                        tag(2, "temporal_position_identifier", whole("l_linenumber")), tag(3, "trigger_time", f"{whole('l_orderkey % 5 * 100')} || '.125'"), tag(4, "nominal_respiratory_trigger_delay_time", "'7'"), tag(5, "respiratory_trigger_delay_threshold", f"{whole('l_orderkey % 2')} || '.50' || chr(92) || '3'")])
     return f"""SELECT '1.2.3.' || cast(l_orderkey AS {t}) || '.' || cast(l_linenumber AS {t}) AS sop_uid,
   '1.2.4.' || cast(l_suppkey AS {t}) AS series_uid,
   '1.2.5.' || cast(cast(floor(l_suppkey / 4) AS bigint) AS {t}) AS study_uid,
@@ -29,7 +37,7 @@ def headers(d: Dialect) -> str:
   cast(CASE WHEN l_quantity = 2 THEN 4 ELSE 1 END AS int) AS number_of_frames,
   'ws' || cast(l_suppkey % 2 AS {t}) AS workspace_id,
   cast(l_extendedprice AS double) AS position_z, CASE WHEN l_linenumber <> 7 THEN '1.2.840.10008.5.1.4.1.1.2' WHEN l_returnflag = 'A' AND l_quantity > 25 THEN '1.2.840.10008.5.1.4.1.1.11.1' WHEN l_quantity > 40 THEN '1.2.840.10008.5.1.4.1.1.88.33' END AS sop_class_uid,
-  l_orderkey AS file_no, l_linenumber AS file_part
+  l_orderkey AS file_no, l_linenumber AS file_part, {geometry}, {phases}
 FROM lineitem"""
 
 
