@@ -144,3 +144,35 @@ def test_udtfs(spark):
         ("00080060", "", 0, True), ("00081140", "Sequence with 2 item(s)", 0, False), ("00081140/0", "", 1, False), ("00081140/0/00081155", "1", 2, False), ("00081140/1", "", 1, True),
         ("00091001", "<2 bytes>", 0, False), ("00100010", "I, ", 0, False), ("7FE00010", "<Pixel Data omitted>", 0, False)]
     assert [r["record_no"] for r in rows if r["record_no"] > 1] == [2, 4]
+
+
+def test_presentation_states_from_files(spark):
+    """Bytes of a state with two annotations to measurements: points, tools, texts by place, references, left-over texts."""
+    from voxtab.operators import roi
+
+    w = Writer()
+    floats = lambda *v: struct.pack(f"<{len(v)}f", *v)
+
+    def graphic(kind, *data, units="PIXEL"):
+        return w.item(w.one("00700005", "CS", units) + w.one("00700022", "FL", floats(*data)) + w.one("00700023", "CS", kind), True)
+
+    def text(value, *anchor, units="PIXEL"):
+        return w.item(w.one("00700004", "CS", units) + w.one("00700006", "ST", value) + (w.one("00700014", "FL", floats(*anchor)) if anchor else b""))
+
+    shapes = [graphic("POLYLINE", 1, 1, 256, 512), graphic("POLYLINE", 1, 1, 2, 2, units="DISPLAY"), graphic("POLYLINE", 2, 3, 6, 3, 6, 9, 2, 9, 2, 3), graphic("ELLIPSE", 5, 0.5, 9, 4, 7, 2, 7, 6), graphic("POLYLINE", 1, 1, 5, 1, 3, 4), graphic("POINT", 4, 4), graphic("INTERPOLATED", 1, 1, 2, 2)]
+    first = w.one("00700002", "CS", "MEASURE") + w.sequence("00700008", [text("210.2 mm"), text(" "), text("box")], True) + w.sequence("00700009", shapes, True)
+    second = w.sequence("00081140", [w.item(w.one("00081155", "UI", "")), w.item(w.one("00081155", "UI", "5.5"))]) + w.one("00700002", "CS", "annot") + w.sequence("00700008", [text("here"), text("left", 3, 4), text("nowhere", 3, 4, units="DISPLAY")]) + w.sequence("00700009", [graphic("POLYLINE", 2, 2, 3, 3, 8, 9)])
+    refs = w.sequence("00081115", [w.item(b""), w.item(w.sequence("00081140", [w.item(w.one("00081155", "UI", "1.1")), w.item(w.one("00081155", "UI", "1.2"))]))])
+    state = file(dicom.PLAIN, w.one("00080018", "UI", "7.7") + refs + w.sequence("00700001", [w.item(first), w.item(second, True)], True))
+    bare = file(dicom.PLAIN, w.one("00080018", "UI", "8.8") + w.sequence("00700001", [w.item(first)]))
+    df = spark.createDataFrame([("s", bytearray(state)), ("bare", bytearray(bare)), ("bad", bytearray(b"x"))], "path string, content binary")
+    got = {r["overlay_id"]: (r["file"], r["ref_uid"], r["kind"], r["tool_type"], [tuple(p) for p in zip(r["xs"], r["ys"])], r["label"]) for r in roi.parse_gsps(state_tags=dicom.element_values(df)).collect()}
+    assert got == {
+        "gsps-measure-7.7:0:0": ("s", "1.1", "measurement", "line", [(0, 0), (255, 511)], "210.2 mm"),
+        "gsps-measure-7.7:0:1": ("s", "1.1", "measurement", "rect", [(1, 2), (5, 8)], "box"),
+        "gsps-measure-7.7:0:2": ("s", "1.1", "measurement", "ellipse", [(4, 0), (8, 5)], ""),
+        "gsps-measure-7.7:0:3": ("s", "1.1", "measurement", "freeform", [(0, 0), (4, 0), (2, 3)], ""),
+        "gsps-annotation-7.7:1:0": ("s", "5.5", "annotation", "arrow", [(1, 1), (7, 8)], "here"),
+        "gsps-text-7.7:1:1": ("s", "5.5", "annotation", "arrow", [(2, 3), (3, 4)], "left"),
+    }
+    assert {(r["file"], r["annotation"], r["ref_uid"]) for r in roi.gsps_references(state_tags=dicom.element_values(df)).collect()} == {("s", 0, "1.1"), ("s", 1, "5.5"), ("bare", 0, None)}

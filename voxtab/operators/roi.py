@@ -298,16 +298,73 @@ def gsps_graphics(d: Dialect) -> str:
     return f"SELECT measurement_id, graphic_type, n, round({CLIPPED[0]} + 1, 6) AS x, round({CLIPPED[1]} + 1, 6) AS y FROM ({outline(d)}) o"
 
 
+#: Tags of presentation states: annotations, their layer, objects and texts, and the fields of these; fixed values.
+ANNOTATIONS, LAYER, OBJECTS, TEXTS = "00700001", "00700002", "00700009", "00700008"
+FIELDS = {"units": "00700005", "graphic_type": "00700023", "data": "00700022", "text_value": "00700006", "anchor": "00700014", "anchor_units": "00700004"}
+ANNOTATION_LAYERS = ("ANNOT", "ANNOTATION", "ANNOTATIONS")
+
+
+@view
+def gsps_objects(d: Dialect) -> str:
+    """Graphic and text objects of presentation states, a row each: elements regrouped by the item that their path goes through."""
+    field = lambda n, tag: f"max(CASE WHEN leaf = '{tag}' THEN trim(value) END) AS {n}"
+    return f"""SELECT file, annotation, kind, object_no, {', '.join(field(n, t) for n, t in FIELDS.items())} FROM (
+  SELECT file, cast(split_part(tag_path, '/', 2) AS int) AS annotation, split_part(tag_path, '/', 3) AS kind, cast(split_part(tag_path, '/', 4) AS int) AS object_no, split_part(tag_path, '/', 5) AS leaf, value
+  FROM state_tags WHERE tag_path LIKE '{ANNOTATIONS}/%/{OBJECTS}/%/%' OR tag_path LIKE '{ANNOTATIONS}/%/{TEXTS}/%/%') e WHERE leaf <> '' GROUP BY file, annotation, kind, object_no"""
+
+
+@view
+def gsps_graphics_read(d: Dialect) -> str:
+    """Graphics in pixels with two numbers or more, numbered anew in their annotation, with 0-based points floored at 0."""
+    numbers = d.keep(d.each(d.parts("coalesce(data, '')"), "x", "try_cast(trim(x) AS double)"), "x", "x IS NOT NULL")
+    point = lambda n: d.each(d.span("0", f"cast(floor({d.size('numbers')} / 2) AS int) - 1"), "i", f"greatest({d.at('numbers', f'2 * i + {n}')} - 1, 0)")
+    return f"""SELECT file, annotation, cast(row_number() OVER (PARTITION BY file, annotation ORDER BY object_no) - 1 AS int) AS item, upper(graphic_type) AS graphic_type, {point(0)} AS xs, {point(1)} AS ys
+FROM (SELECT *, {numbers} AS numbers FROM gsps_objects WHERE kind = '{OBJECTS}' AND upper(coalesce(units, '')) IN ('', 'PIXEL')) n WHERE {d.size('numbers')} >= 2"""
+
+
+@view
+def gsps_texts_read(d: Dialect) -> str:
+    """Texts that are not empty, numbered anew in their annotation, with their anchor if it is in pixels."""
+    at = lambda n: f"CASE WHEN upper(coalesce(anchor_units, '')) IN ('', 'PIXEL') THEN greatest(try_cast(trim({d.at(d.parts('anchor'), n)}) AS double) - 1, 0) END"
+    return f"""SELECT file, annotation, cast(row_number() OVER (PARTITION BY file, annotation ORDER BY object_no) - 1 AS int) AS item, text_value, CASE WHEN y IS NOT NULL THEN x END AS x, CASE WHEN x IS NOT NULL THEN y END AS y
+FROM (SELECT *, {at(0)} AS x, {at(1)} AS y FROM gsps_objects WHERE kind = '{TEXTS}' AND coalesce(text_value, '') <> '') t"""
+
+
+@operator
+def gsps_references(d: Dialect) -> str:
+    """Image that each annotation of a presentation state refers to: the first of its own references, else the first of the state's."""
+    is_own = f"tag_path LIKE '{ANNOTATIONS}/%/00081140/%/00081155' AND trim(value) <> ''"
+    is_default = "tag_path LIKE '00081115/%/00081140/%/00081155' AND trim(value) <> ''"
+    place = "cast(split_part(tag_path, '/', 2) AS bigint) * 1000000 + cast(split_part(tag_path, '/', 4) AS bigint)"
+    return f"""SELECT a.file, a.annotation, coalesce(a.own, f.uid) AS ref_uid FROM (
+  SELECT file, annotation, CASE WHEN count(own_at) > 0 THEN {d.first_by('value', 'own_at')} END AS own FROM (
+    SELECT file, cast(split_part(tag_path, '/', 2) AS int) AS annotation, trim(value) AS value, CASE WHEN {is_own} THEN cast(split_part(tag_path, '/', 4) AS bigint) END AS own_at FROM state_tags WHERE tag_path LIKE '{ANNOTATIONS}/%/%') e GROUP BY file, annotation) a
+LEFT JOIN (SELECT file, {d.first_by('trim(value)', place)} AS uid FROM state_tags WHERE {is_default} GROUP BY file) f ON f.file = a.file"""
+
+
 @operator
 def parse_gsps(d: Dialect) -> str:
-    """Presentation graphics as measurements: 0-based points floored at 0, PIXEL units only, the tool that the shape says, the text of the same place; texts that are left over become annotations."""
-    return """SELECT g.graphic_id, CASE WHEN graphic_type IN ('ELLIPSE', 'CIRCLE') THEN 'ellipse' WHEN points = 2 THEN 'line' WHEN points = 5 AND closed AND xs = 2 AND ys = 2 THEN 'rect' WHEN points = 1 THEN 'point' ELSE 'freeform' END AS tool_type,
-  CASE WHEN lower(layer) LIKE '%annot%' THEN 'annotation' ELSE 'measurement' END AS kind, x_min, y_min, x_max, y_max, t.text_value AS label FROM (
-  SELECT state_id, graphic_id, graphic_no, max(layer) AS layer, max(graphic_type) AS graphic_type, count(*) AS points, count(DISTINCT x) AS xs, count(DISTINCT y) AS ys, max(CASE WHEN n = 0 THEN x END) = max(CASE WHEN n = 4 THEN x END) AND max(CASE WHEN n = 0 THEN y END) = max(CASE WHEN n = 4 THEN y END) AS closed,
-    greatest(min(x) - 1, 0) AS x_min, greatest(min(y) - 1, 0) AS y_min, greatest(max(x) - 1, 0) AS x_max, greatest(max(y) - 1, 0) AS y_max FROM gsps_items WHERE units = 'PIXEL' GROUP BY state_id, graphic_id, graphic_no) g
-LEFT JOIN gsps_texts t ON t.state_id = g.state_id AND t.text_no = g.graphic_no
-UNION ALL SELECT t.text_id AS graphic_id, 'text' AS tool_type, 'annotation' AS kind, greatest(t.x - 1, 0) AS x_min, greatest(t.y - 1, 0) AS y_min, greatest(t.x - 1, 0) AS x_max, greatest(t.y - 1, 0) AS y_max, t.text_value AS label FROM gsps_texts t
-WHERE NOT EXISTS (SELECT 1 FROM gsps_items i WHERE i.state_id = t.state_id AND i.graphic_no = t.text_no AND i.units = 'PIXEL')"""
+    """Measurements and annotations of presentation states from their elements: a graphic's shape says the tool, the text of the same place is its label, texts that are left over become annotations. States without a reference are left out."""
+    n = d.size("xs")
+    first, last = (lambda c: d.at(c, 0)), (lambda c: d.at(c, f"{n} - 1"))
+    four = lambda c: f"{d.size(distinct(d, d.each(d.span('0', '3'), 'i', f'round({d.at(c, "i")}, 3)')))}"
+    closed = f"{n} = 5 AND abs({first('xs')} - {last('xs')}) <= 1e-3 AND abs({first('ys')} - {last('ys')}) <= 1e-3 AND {four('xs')} = 2 AND {four('ys')} = 2"
+    tool = f"CASE WHEN annotates THEN 'arrow' WHEN graphic_type IN ('ELLIPSE', 'CIRCLE') THEN 'ellipse' WHEN graphic_type = 'POLYLINE' THEN CASE WHEN {n} = 2 THEN 'line' WHEN {closed} THEN 'rect' ELSE 'freeform' END END"
+    ends = lambda c: f"CASE tool_type WHEN 'arrow' THEN {d.array(first(c), last(c))} WHEN 'ellipse' THEN {d.array(d.least_of(c), d.most_of(c))} WHEN 'rect' THEN {d.array(first(c), d.at(c, 2))} ELSE {c} END"
+    overlay = f"coalesce(nullif(sop_uid, ''), 'gsps') || ':' || cast(annotation AS {d.text}) || ':' || cast(item AS {d.text})"
+    return f"""WITH layers AS (SELECT r.file, r.annotation, r.ref_uid, s.sop_uid, coalesce(l.layer, '') IN {ANNOTATION_LAYERS} AS annotates FROM gsps_references r
+  LEFT JOIN (SELECT file, cast(split_part(tag_path, '/', 2) AS int) AS annotation, upper(trim(value)) AS layer FROM state_tags WHERE tag_path LIKE '{ANNOTATIONS}/%/{LAYER}') l ON l.file = r.file AND l.annotation = r.annotation
+  LEFT JOIN (SELECT file, trim(value) AS sop_uid FROM state_tags WHERE tag_path = '00080018') s ON s.file = r.file WHERE coalesce(r.ref_uid, '') <> '')
+SELECT file, ref_uid, CASE WHEN annotates THEN 'gsps-annotation-' ELSE 'gsps-measure-' END || {overlay} AS overlay_id, CASE WHEN annotates THEN 'annotation' ELSE 'measurement' END AS kind, tool_type, {ends('xs')} AS xs, {ends('ys')} AS ys, label FROM (
+  SELECT *, {tool} AS tool_type FROM (SELECT g.*, l.ref_uid, l.sop_uid, l.annotates, coalesce(t.text_value, '') AS label FROM gsps_graphics_read g JOIN layers l ON l.file = g.file AND l.annotation = g.annotation
+    LEFT JOIN gsps_texts_read t ON t.file = g.file AND t.annotation = g.annotation AND t.item = g.item) a WHERE {n} >= 2) b WHERE tool_type IS NOT NULL
+UNION ALL SELECT t.file, l.ref_uid, 'gsps-text-' || {overlay.replace('sop_uid', 'l.sop_uid').replace('annotation AS', 't.annotation AS').replace('item AS', 't.item AS')} AS overlay_id, 'annotation' AS kind, 'arrow' AS tool_type, {d.array('t.x', 't.x + 1')} AS xs, {d.array('t.y', 't.y + 1')} AS ys, t.text_value AS label
+FROM gsps_texts_read t JOIN layers l ON l.file = t.file AND l.annotation = t.annotation LEFT JOIN (SELECT file, annotation, count(*) AS graphics FROM gsps_graphics_read GROUP BY file, annotation) c ON c.file = t.file AND c.annotation = t.annotation
+WHERE t.item >= coalesce(c.graphics, 0) AND t.x IS NOT NULL"""
+
+
+def distinct(d: Dialect, array: str) -> str:
+    return f"array_distinct({array})" if d.spark else f"list_distinct({array})"
 
 
 @operator

@@ -265,6 +265,19 @@ class FileElements:
             yield "", "", "", "", "", "", 0, len(found), problem
 
 
+@udtf(returnType="tag_path string, tag string, vr string, value string, ord int")
+class FileValues:
+    """Whole values of a file's elements that are no bytes, several parts between backslashes; what stands before a fault."""
+
+    def eval(self, content: bytes):  # noqa: ANN201
+        try:
+            for n, e in enumerate(walk(bytes(content or b""), pixels=False)):
+                if e.vr not in ("SQ", "ITEM", *BYTE_VRS):
+                    yield "/".join(e.path), e.tag, e.vr, "\\".join(map(str, values(e))), n
+        except (ValueError, struct.error, zlib.error):
+            return
+
+
 @udtf(returnType=ROW)
 class RecordElements:
     """Rows of all elements of a DICOM-JSON object; what is no element gives a row with the problem."""
@@ -316,6 +329,11 @@ def flatten_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").lateralJoin(FileElements(F.col("content").outer())).drop("content")
 
 
+def element_values(files: DataFrame) -> DataFrame:
+    """file and whole values of the elements of files (path, content): what tag operators and ``parse_gsps`` (as state_tags) read."""
+    return files.select(F.col("path").alias("file"), "content").lateralJoin(FileValues(F.col("content").outer())).drop("content")
+
+
 def flatten_tags(records: DataFrame) -> DataFrame:
     """record_no and the elements of JSON records (record_no, record)."""
     return records.select("record_no", "record").lateralJoin(RecordElements(F.col("record").outer())).drop("record")

@@ -115,23 +115,29 @@ def registrations(d: Dialect) -> str:
   'SUVbw' AS unit, cast(0 AS double) AS low, cast(0.0005 AS double) AS high, cast(0.6 AS double) AS alpha FROM pair_pet_ct"""
 
 
-@view
-def gsps_items(d: Dialect) -> str:
-    """Points of the graphic items of presentation states."""
-    return """SELECT state_id, g.measurement_id AS graphic_id, graphic_no, layer, CASE WHEN tool_type = 'ellipse' THEN 'ELLIPSE' ELSE graphic_type END AS graphic_type, units, n, x, y FROM gsps_graphics g JOIN gsps_layout l ON l.measurement_id = g.measurement_id"""
-
-
 @view
 def gsps_layout(d: Dialect) -> str:
-    """State, number, layer and units of each drawing in the state of its slice."""
-    return f"""SELECT measurement_id, tool_type, series_id || '/' || cast(slice_index AS {d.text}) AS state_id, row_number() OVER (PARTITION BY series_id, slice_index ORDER BY measurement_id) AS graphic_no,
-  CASE WHEN tool_type = 'angle' THEN 'ANNOTATIONS' ELSE 'MEASURE' END AS layer, CASE WHEN scope = 'series' AND tool_type = 'curve' THEN 'DISPLAY' ELSE 'PIXEL' END AS units FROM measurements"""
+    """State, annotation item and object of each drawing in the presentation state of its slice, with its units."""
+    return f"""SELECT measurement_id, tool_type, series_id || '/' || cast(slice_index AS {d.text}) AS file, CASE WHEN tool_type = 'angle' THEN 1 ELSE 0 END AS annotation,
+  row_number() OVER (PARTITION BY series_id, slice_index, tool_type = 'angle' ORDER BY measurement_id) - 1 AS object_no, CASE WHEN scope = 'series' AND tool_type = 'curve' THEN 'DISPLAY' ELSE 'PIXEL' END AS units FROM measurements"""
 
 
 @view
-def gsps_texts(d: Dialect) -> str:
-    """Text items of presentation states, in order, with their anchor."""
-    return """SELECT state_id, measurement_id AS text_id, graphic_no AS text_no, 'label of ' || tool_type AS text_value, cast(3 AS double) AS x, cast(0.5 AS double) AS y FROM gsps_layout WHERE graphic_no % 2 = 1"""
+def state_tags(d: Dialect) -> str:
+    """Elements of presentation states by their path: references, layers, graphics with their data as one value of several, and texts for every second drawing."""
+    t, back = d.text, chr(92) * (2 if d.spark else 1)
+    number = lambda c: f"cast({c} AS {t})"
+    field = lambda tag, vr, value: d.struct(tag=f"'{tag}'", vr=f"'{vr}'", value=value)
+    own = lambda tags: "SELECT file, '00700001/' || " + number("annotation") + " || '/' || kind || '/' || " + number("object_no") + " || '/' || (x).tag AS tag_path, (x).tag AS tag, (x).vr AS vr, (x).value AS value FROM (" + tags + ") o"
+    graphics = f"""SELECT file, annotation, object_no, '00700009' AS kind, {d.rows(d.array(field('00700005', 'CS', 'units'), field('00700023', 'CS', 'graphic_type'), field('00700022', 'FL', 'data')))} AS x FROM (
+    SELECT l.file, l.annotation, l.object_no, max(l.units) AS units, max(CASE WHEN l.tool_type = 'ellipse' THEN 'ELLIPSE' ELSE g.graphic_type END) AS graphic_type, {d.joined(f"{number('g.x')} || chr(92) || {number('g.y')}", back, 'g.n')} AS data
+    FROM gsps_layout l JOIN gsps_graphics g ON g.measurement_id = l.measurement_id GROUP BY l.file, l.annotation, l.object_no) g"""
+    texts = f"""SELECT file, annotation, object_no, '00700008' AS kind, {d.rows(d.array(field('00700006', 'ST', "CASE WHEN object_no % 3 = 2 THEN ' ' ELSE 'label of ' || tool_type END"), field('00700014', 'FL', "'3.5' || chr(92) || '0.5'"), field('00700004', 'CS', "CASE WHEN object_no % 5 = 4 THEN 'DISPLAY' ELSE 'PIXEL' END")))} AS x FROM gsps_layout"""
+    state = d.array(field("00080018", "UI", "'1.9.' || replace(file, '/', '.')"), d.struct(tag="'00081115/0/00081140/0/00081155'", vr="'UI'", value="'1.2.3.' || replace(file, '/', '.')"))
+    layer = d.array(d.struct(tag="'00700002'", vr="'CS'", value="CASE annotation WHEN 1 THEN 'ANNOTATIONS' ELSE 'MEASURE' END"), d.struct(tag="'00081140/0/00081155'", vr="'UI'", value="CASE annotation WHEN 1 THEN '1.2.4.' || replace(file, '/', '.') ELSE '' END"))
+    return f"""{own(graphics)} UNION ALL {own(texts)}
+UNION ALL SELECT file, '00700001/' || {number('annotation')} || '/' || (x).tag AS tag_path, right((x).tag, 8) AS tag, (x).vr AS vr, (x).value AS value FROM (SELECT file, annotation, {d.rows(layer)} AS x FROM (SELECT DISTINCT file, annotation FROM gsps_layout) a) b
+UNION ALL SELECT file, (x).tag AS tag_path, right((x).tag, 8) AS tag, (x).vr AS vr, (x).value AS value FROM (SELECT file, {d.rows(state)} AS x FROM (SELECT DISTINCT file FROM gsps_layout) a) b"""
 
 
 @view
