@@ -130,3 +130,17 @@ def test_spacing_without_places(spark):
     assert got == {"a": (2.5, 1.0), "b": (1.0, 0.001), "c": (1.0, 1.0), "d": (2.0, 1.0)}
     order = [r["spatial_index"] for r in catalog.spatial_order(headers=df).filter("series_key LIKE 'uid=d%'").orderBy("path").collect()]
     assert order == [2, 1, 0]  # a missing position keeps the order of numbers
+
+
+def test_answers_of_archives(spark):
+    """Any tag survives; lists of names and numbers, empty values, elements and records that are none."""
+    records = [
+        '{"0020000D": {"vr": "UI", "Value": ["1.2"]}, "00100010": {"vr": "PN", "Value": [{"Alphabetic": "", "Ideographic": "I"}]}, "00080061": {"vr": "CS", "Value": ["CT", "", null, "MR"]}, "00201208": {"vr": "IS", "Value": [12]}, "00201206": {"vr": "IS", "Value": ["x"]}, "00091001": {"vr": "LO", "Value": ["private", 1.5]}, "00080060": ["x"], "00080050": {"vr": "SH"}, "00080030": {"vr": "TM", "Value": "10"}}',
+        "[1]", "no", None, "7", "{}",
+    ]
+    df = spark.createDataFrame(list(enumerate(records)), "record_no bigint, record string")
+    got = {r["tag"]: (r["vr"], r["values_"]) for r in archives.dicom_json_tags(qido_records=df).collect()}
+    assert got == {"0020000D": ("UI", ["1.2"]), "00100010": ("PN", ["I"]), "00080061": ("CS", ["CT", "MR"]), "00201208": ("IS", ["12"]), "00201206": ("IS", ["x"]), "00091001": ("LO", ["private", "1.5"]), "00080060": (None, []), "00080050": ("SH", []), "00080030": ("TM", [])}
+    one, empty = archives.read_dicom_json(qido_records=df).orderBy("record_no").collect()
+    assert (one["study_uid"], one["patient_name"], one["modalities"], one["instance_count"], one["series_count"], one["study_time"]) == ("1.2", "I", "CT,MR", 12, None, None)
+    assert empty["record_no"] == 5 and empty["study_uid"] == "" and empty["patient_name"] is None and empty["modalities"] == ""

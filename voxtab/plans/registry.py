@@ -71,8 +71,10 @@ FROM ({REGISTRY["headers"].build(DUCKDB)}) h"""
 ORACLE["decode_slices"] = f"""SELECT '/data/' || series_id || '/' || i AS path, 8 AS rows_, 8 AS columns_, pixels[1] AS first_pixel, list_sum(pixels) AS total FROM ({REGISTRY["slices"].build(DUCKDB)}) s"""
 
 _RECORD_TAGS = (("00080020", "StudyDate", "Study Date", "DA", "$.\"00080020\".Value[0]"), ("00100010", "PatientName", "Patient Name", "PN", "$.\"00100010\".Value[0].Alphabetic"),
-                ("0020000D", "StudyInstanceUID", "Study Instance UID", "UI", "$.\"0020000D\".Value[0]"), ("00201208", "NumberOfStudyRelatedInstances", "Number Of Study Related Instances", "IS", "$.\"00201208\".Value[0]"))
+                ("0020000D", "StudyInstanceUID", "Study Instance UID", "UI", "$.\"0020000D\".Value[0]"), ("00201208", "NumberOfStudyRelatedInstances", "Number Of Study Related Instances", "IS", "$.\"00201208\".Value[0]"),
+                ("00080030", "StudyTime", "Study Time", "TM", "$.\"00080030\".Value[0]"), ("00201206", "NumberOfStudyRelatedSeries", "Number Of Study Related Series", "IS", "$.\"00201206\".Value[0]"))
 _RECORD_ROWS = [f"""SELECT record_no, '{t}' AS tag_path, '{t}' AS tag, '{k}' AS keyword, '{n}' AS name, '{v}' AS vr, json_extract_string(record, '{p}') AS value FROM r""" for t, k, n, v, p in _RECORD_TAGS]
+_RECORD_ROWS.append("SELECT record_no, '00091002' AS tag_path, '00091002' AS tag, '' AS keyword, '(0009,1002)' AS name, 'LO' AS vr, 'one, , , two' AS value FROM r")
 _RECORD_ROWS.append("""SELECT record_no, '00080061' AS tag_path, '00080061' AS tag, 'ModalitiesInStudy' AS keyword, 'Modalities In Study' AS name, 'CS' AS vr,
   json_extract_string(record, '$."00080061".Value[0]') || ', ' || json_extract_string(record, '$."00080061".Value[1]') AS value FROM r""")
 ORACLE["flatten_tags"] = f"""WITH r AS ({REGISTRY["qido_records"].build(DUCKDB)}) SELECT *, 0 AS depth, cast(row_number() OVER (PARTITION BY record_no ORDER BY tag) - 1 AS int) AS ord, cast(NULL AS varchar) AS problem

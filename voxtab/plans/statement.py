@@ -71,6 +71,8 @@ class Dialect:
         return f"array_join(transform(array_sort(collect_list(struct({order} as o, {value} as v))), x -> x.v), '{mark}')" if self.spark else f"string_agg({value}, '{mark}' ORDER BY {order})"
 
     def array(self, *items: str) -> str:
+        if not items:
+            return "array()" if self.spark else "cast([] AS varchar[])"
         return f"array({', '.join(items)})" if self.spark else f"[{', '.join(items)}]"
 
     def format(self, form: str, value: str) -> str:
@@ -88,6 +90,29 @@ class Dialect:
     def json(self, text: str, path: str) -> str:
         return f"get_json_object({text}, '{path}')" if self.spark else f"json_extract_string({text}, '{path}')"
 
+    def tree(self, text: str) -> str:
+        """A JSON text as a value that ``branch`` and ``is_object`` read; null if it is none."""
+        return f"try_parse_json({text})" if self.spark else f"CASE WHEN json_valid({text}) THEN json({text}) END"
+
+    def is_object(self, tree: str) -> str:
+        return f"(schema_of_variant({tree}) LIKE 'OBJECT%')" if self.spark else f"(json_type({tree}) = 'OBJECT')"
+
+    def branch(self, tree: str, *keys: str) -> str:
+        """Text at a path of names."""
+        if self.spark:
+            return f"try_variant_get({tree}, '$" + "".join(f'["{k}"]' for k in keys) + "', 'string')"
+        return f"json_extract_string({tree}, '$" + "".join(f'."{k}"' for k in keys) + "')"
+
+    def texts(self, tree: str, *keys: str) -> str:
+        """Array of the texts of a list at a path: names by their first form that is there, empty ones and nulls left out; empty if there is no list."""
+        name = " ".join(f"nullif({self.branch('x', k)}, '')," for k in ("Alphabetic", "Ideographic")) + f" {self.branch('x', 'Phonetic')}"
+        if self.spark:
+            items, own = f"""try_variant_get({tree}, '$""" + "".join(f'["{k}"]' for k in keys) + "', 'array<variant>')", "try_variant_get(x, '$', 'string')"
+        else:
+            items, own = f"json_extract({tree}, '$" + "".join(f'."{k}"' for k in keys) + "[*]')", "CASE WHEN json_type(x) <> 'NULL' THEN json_extract_string(x, '$') END"
+        text = f"CASE WHEN {self.is_object('x')} THEN coalesce({name}) ELSE {own} END"
+        return self.keep(f"coalesce({self.each(items, 'x', text)}, {self.array()})", "t", "t <> ''")
+
     def size(self, array: str) -> str:
         return f"size({array})" if self.spark else f"len({array})"
 

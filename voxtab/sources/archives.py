@@ -108,14 +108,28 @@ def registration_sidecar(d: Dialect) -> str:
     return f"SELECT ct_id, pet_id, chr(123) || {(' || chr(44) || ').join(parts)} || chr(125) AS document FROM (SELECT r.*, f.factor FROM registrations r LEFT JOIN pet_scale f ON f.series_id = r.pet_id AND f.unit = r.unit) q"
 
 
+@operator
+def dicom_json_tags(d: Dialect) -> str:
+    """Every element of archive answers, of any tag: VR and values as texts. Records that are no objects are left out, elements that are none have no VR and no values."""
+    if d.spark:
+        return f"""SELECT record_no, e.key AS tag, {d.branch('e.value', 'vr')} AS vr, {d.texts('e.value', 'Value')} AS values_ FROM (SELECT record_no, {d.tree('record')} AS tree FROM qido_records) r, LATERAL variant_explode(CASE WHEN {d.is_object('tree')} THEN tree END) AS e"""
+    return f"""SELECT record_no, tag, CASE WHEN {d.is_object('value')} THEN {d.branch('value', 'vr')} END AS vr, {d.texts('value', 'Value')} AS values_ FROM (
+  SELECT record_no, tag, json_extract(tree, '$."' || tag || '"') AS value FROM (SELECT record_no, tree, unnest(json_keys(tree)) AS tag FROM (SELECT record_no, {d.tree('record')} AS tree FROM qido_records) r WHERE {d.is_object('tree')}) k) v"""
+
+
+#: Fields of study answers by tag; fixed values.
+STUDY_TAGS = {"study_uid": "0020000D", "patient_name": "00100010", "patient_id": "00100020", "study_date": "00080020", "study_time": "00080030", "accession_number": "00080050", "study_description": "00081030"}
+STUDY_COUNTS = {"series_count": "00201206", "instance_count": "00201208"}
+
+
 @operator
 def read_dicom_json(d: Dialect) -> str:
-    """Fields of archive answers: values as text, names by their alphabetic part."""
-    return f"""SELECT record_no, {d.json('record', '$.0020000D.Value[0]')} AS study_uid,
-  coalesce(nullif({d.json('record', '$.00100010.Value[0].Alphabetic')}, ''), nullif({d.json('record', '$.00100010.Value[0].Ideographic')}, ''), {d.json('record', '$.00100010.Value[0].Phonetic')}) AS patient_name,
-  {d.json('record', '$.00100020.Value[0]')} AS patient_id, {d.json('record', '$.00080050.Value[0]')} AS accession_number, {d.json('record', '$.00081030.Value[0]')} AS study_description,
-  {d.json('record', '$.00080020.Value[0]')} AS study_date, {d.json('record', '$.00080061.Value[0]')} || ',' || {d.json('record', '$.00080061.Value[1]')} AS modalities,
-  cast({d.json('record', '$.00201208.Value[0]')} AS bigint) AS instance_count FROM qido_records"""
+    """Fields of study answers: first values as text, modalities joined, counts as numbers where they are whole; records that are no objects are left out."""
+    first = lambda tag: d.at(d.texts("tree", tag, "Value"), 0)
+    fields = [f"{f'coalesce({first(t)}, {quote(str())})' if c == 'study_uid' else first(t)} AS {c}" for c, t in STUDY_TAGS.items()]
+    counts = [f"CASE WHEN {d.matches(f'trim({first(t)})', '^[-+]?[0-9]+$')} THEN try_cast(trim({first(t)}) AS bigint) END AS {c}" for c, t in STUDY_COUNTS.items()]
+    joined = f"array_join({d.texts('tree', '00080061', 'Value')}, ',')" if d.spark else f"array_to_string({d.texts('tree', '00080061', 'Value')}, ',')"
+    return f"SELECT record_no, {', '.join(fields)}, {joined} AS modalities, {', '.join(counts)} FROM (SELECT record_no, {d.tree('record')} AS tree FROM qido_records) r WHERE {d.is_object('tree')}"
 
 
 @operator
@@ -148,7 +162,7 @@ def query_studies(d: Dialect, study_uid: str = "", patient_id: str = "", patient
     """Studies that match all filters (empty ones match everything); a page of 1 to 200 in order of their uid."""
     filters = [wildcard(d, c, v) for c, v in (("study_uid", study_uid), ("patient_id", patient_id), ("patient_name", patient_name), ("accession_number", accession_number), ("study_description", study_description))]
     filters += [f"',' || modalities || ',' LIKE '%,' || {quote(modality)} || ',%'" if modality else "true", between("study_date", study_date)]
-    return f"""SELECT study_uid, patient_name, patient_id, study_date, accession_number, study_description, modalities, instance_count FROM read_dicom_json
+    return f"""SELECT study_uid, patient_name, patient_id, study_date, study_time, accession_number, study_description, modalities, series_count, instance_count FROM read_dicom_json
 WHERE {' AND '.join(filters)} ORDER BY study_uid LIMIT {min(max(limit, 1), 200)} OFFSET {max(offset, 0)}"""
 
 

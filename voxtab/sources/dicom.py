@@ -58,6 +58,7 @@ TAGS = {
     "00200013": ("IS", "InstanceNumber", "instance_number_text"),
     "00200032": ("DS", "ImagePositionPatient", "position"),
     "00200037": ("DS", "ImageOrientationPatient", "orientation"),
+    "00201206": ("IS", "NumberOfStudyRelatedSeries", None),
     "00201208": ("IS", "NumberOfStudyRelatedInstances", None),
     "00280002": ("US", "SamplesPerPixel", "samples"),
     "00280004": ("CS", "PhotometricInterpretation", "photometric"),

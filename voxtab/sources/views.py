@@ -236,7 +236,8 @@ def qido_records(d: Dialect) -> str:
     t = d.text
     return f"""SELECT o_orderkey AS record_no, '{{{{"0020000D":{{{{"vr":"UI","Value":["1.2.5.' || cast(o_orderkey AS {t}) || '"]}}}},"00100010":{{{{"vr":"PN","Value":[{{{{"Alphabetic":"' || c_name
   || '"}}}}]}}}},"00080020":{{{{"vr":"DA","Value":["' || replace(substring(cast(o_orderdate AS {t}), 1, 10), '-', '') || '"]}}}},"00080061":{{{{"vr":"CS","Value":["CT","' || o_orderstatus
-  || '"]}}}},"00201208":{{{{"vr":"IS","Value":[' || cast(o_orderkey % 90 AS {t}) || ']}}}}}}}}' AS record FROM orders JOIN customer ON o_custkey = c_custkey""".replace("{{", "{{" if d.spark else "{").replace("}}", "}}" if d.spark else "}")
+  || '"]}}}},"00201208":{{{{"vr":"IS","Value":[' || cast(o_orderkey % 90 AS {t}) || ']}}}},"00201206":{{{{"vr":"IS","Value":["' || cast(o_orderkey % 7 AS {t}) || '"]}}}},"00080030":{{{{"vr":"TM","Value":["10' || cast(10 + o_orderkey % 50 AS {t})
+  || '"]}}}},"00091002":{{{{"vr":"LO","Value":["one","",null,"two"]}}}}}}}}' AS record FROM orders JOIN customer ON o_custkey = c_custkey""".replace("{{", "{{" if d.spark else "{").replace("}}", "}}" if d.spark else "}")
 
 
 @operator
