@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from voxtab.helpers import grids
-from voxtab.helpers.images import detect_phantom, largest_components, mtf_curve
+from voxtab.helpers.images import detect_phantom, find_phantom, largest_components, mtf_curve
 from voxtab.operators import catalog, pet, pixels, roi, tag_edits, volumes
 from voxtab.sources import archives
 from voxtab.sources.dicom import header
@@ -270,13 +270,24 @@ def test_water_disc(spark):
     y, x = np.indices((64, 64))
     image = np.where((y - 32) ** 2 + (x - 30) ** 2 <= 20**2, 7.0, -1000.0)
     (got,) = detect_phantom(spark.createDataFrame([("S", 0, image.ravel().tolist())], "series_id string, i int, pixels array<double>")).collect()
-    assert abs(got["cx"] - 30) < 0.1 and abs(got["cy"] - 32) < 0.1 and abs(got["radius"] - 20) < 1
+    assert abs(got["cx"] - 30) < 0.1 and abs(got["cy"] - 32) < 0.1 and abs(got["radius"] - 0.92 * 19.98) < 0.2
+    found = roi.phantom_rois(phantoms=detect_phantom(spark.createDataFrame([("S", 0, image.ravel().tolist())], "series_id string, i int, pixels array<double>")))
+    assert {r["roi_id"]: r["r"] for r in found.collect()}["center"] == 6
+    assert find_phantom(np.zeros((9, 9))) is None and find_phantom(np.full((9, 9), np.nan)) is None
+    dark = np.where((y - 32) ** 2 + (x - 30) ** 2 <= 26**2, -50.0, 900.0)  # the object under the threshold is the smaller one here
+    assert find_phantom(dark)[2] == pytest.approx(0.92 * np.sqrt((dark > 0).sum() / np.pi), abs=2) or find_phantom(dark)[2] <= 0.46 * 64
 
 
 def test_gaussian_mtf():
     y, x = np.indices((65, 65))
-    got = mtf_curve(1000 * np.exp(-((y - 32) ** 2 + (x - 32) ** 2) / (2 * 2.0**2)), 0.5)
-    assert got["mtf50"] == pytest.approx(math.sqrt(math.log(2) / 2) / math.pi, rel=0.05) and got["fwhm_w"] == pytest.approx(2.3548, rel=0.03) and got["peak_value"] == 1000
+    bump = 1000 * np.exp(-((y - 33.3) ** 2 + (x - 30.6) ** 2) / (2 * 2.0**2))
+    got = mtf_curve(bump, 0.5)
+    assert got["mtf50"] == pytest.approx(math.sqrt(math.log(2) / 2) / math.pi, rel=0.08) and got["mtf10"] == pytest.approx(math.sqrt(math.log(10) / 2) / math.pi, rel=0.08)
+    assert got["fwhm_w"] == pytest.approx(2.3548, rel=0.03) and got["fwhm_h"] == pytest.approx(2.3548, rel=0.03) and got["peak_value"] == bump.max()
+    assert got["sample_count"] == 65 * 65 and got["unit"] == "lp/mm" and len(got["frequencies"]) == 33 and got["frequencies"][0] == 0 and (np.diff(got["responses"]) <= 0).all()
+    dark = mtf_curve(50 - bump, (0.5, 1.0))
+    assert dark["peak_value"] == (50 - bump).min() and dark["fwhm_h"] == pytest.approx(2 * 2.3548, rel=0.03) and max(dark["frequencies"]) < 0.5
+    assert mtf_curve(np.zeros((9, 9)), None)["mtf50"] is None and mtf_curve(np.ones((4, 9)), None)["unit"] == "lp/pixel"
 
 
 def test_components_of_voxels(spark):
