@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing.
 
-Words (lower-cased, split at white space) are hashed, every K consecutive words give one rolling k-gram hash, and
+Words (lower-cased, split at white space) are hashed, every K consecutive words give one k-gram hash (made from the K word
+hashes: columns keep no state from which a hash could roll on to the next), and
 of every W consecutive hashes the smallest is kept, the rightmost where several are equal. Two texts that share
 K + W - 1 words in a row therefore share a fingerprint entry; entries keep the position (number of the first word).
 A text of fewer than K words has its whole word sequence as one gram, one of no words an empty fingerprint.
