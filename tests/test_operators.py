@@ -306,3 +306,24 @@ def test_header_bytes():
     assert problem is None
     assert got["modality"] == "CT" and got["rows_"] == 2 and got["transfer_syntax_uid"] == "1.2.840.10008.1.2.1"
     assert header(b"not an image")[0] == {}
+
+
+@pytest.mark.parametrize(("quaternion", "keep"), [((0.0, 0.0, 0.0, 1.0), True), ((0.5, 0.5, 0.5, 0.5), False), ((0.2, -0.4, 0.1, 1.8), True), ((0.0, 0.0, 0.0, 0.0), False)])
+def test_clipping_by_a_quaternion(spark, quaternion, keep):
+    s, g = cube(spark)
+    polygon = ((-0.5, 0.1), (0.8, 0.05), (0.62, 0.7), (0.1, 1.4))
+    got = {(r["i"], r["j"], r["k"]): r["value"] for r in volumes.clip_volume(slices=s, geometry=g, polygon=polygon, quaternion=quaternion, keep_inside=keep).collect()}
+    q = np.array(quaternion) if any(quaternion) else np.array([0, 0, 0, 1.0])
+    q = q / np.linalg.norm(q)
+    turn = lambda p: p + 2 * np.cross(q[:3], np.cross(q[:3], p) + q[3] * p)
+    corners = np.array([turn(np.array([x, y, z], float)) for x in (-1, 1) for y in (-1, 1) for z in (-1, 1)])
+    pts = np.clip(polygon, 0, 1)
+    for i, j, k in np.ndindex(3, 3, 3):
+        p = turn(np.array([k - 1, j - 1, i - 1], float))
+        x = (p[0] - corners[:, 0].min()) / np.ptp(corners[:, 0])
+        y = 1 - (p[2] - corners[:, 2].min()) / np.ptp(corners[:, 2])
+        odd = sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(pts, np.roll(pts, -1, axis=0))) % 2 == 1
+        assert got[i, j, k] == (9 * i + 3 * j + k if odd == keep else -1.3), (i, j, k, x, y)
+    assert len(set(got.values())) > 3
+    same = volumes.clip_volume(slices=s, geometry=g, polygon=((0.1, 0.1), (0.1, 0.5), (0.1, 0.9)))
+    assert rows(same, "value") == [(float(n),) for n in range(27)]

@@ -320,20 +320,39 @@ def volume_extent_on_plane(d: Dialect) -> str:
   SELECT series_id, {at} FROM (SELECT *, {d.rows(d.span('0', '7'))} AS b FROM geometry) c) q ON q.series_id = p.series_id GROUP BY p.series_id, kind"""
 
 
+def rotation_of(quaternion: tuple[float, float, float, float]) -> list[list[float]]:
+    """Rotation matrix of a quaternion (x, y, z, w) of any length; none for zero."""
+    size = sum(q * q for q in quaternion) ** 0.5
+    x, y, z, w = (q / size for q in quaternion) if size > 1e-12 else (0.0, 0.0, 0.0, 1.0)
+    v = (x, y, z)
+    turn = lambda r, c: 0.0 if r == c else (-w if (c - r) % 3 == 1 else w) * v[3 - r - c]
+    return [[2 * (v[r] * v[c] + turn(r, c)) + (1 - 2 * (1 - w * w) if r == c else 0.0) for c in range(3)] for r in range(3)]
+
+
 @operator
-def clip_volume(d: Dialect, polygon: tuple[tuple[float, float], ...] = ((0.1, 0.2), (0.9, 0.2), (0.6, 0.9)), degrees_: float = 0.0, keep_inside: bool = True) -> str:
-    """Voxels outside (or inside) a polygon become air: places in millimetres from the centre, turned by an angle in the plane of rows and columns, normalised by the bounds that the turned volume has."""
+def clip_volume(d: Dialect, polygon: tuple[tuple[float, float], ...] = ((0.1, 0.2), (0.9, 0.2), (0.6, 0.9)), quaternion: tuple[float, float, float, float] = (0.258819, 0.0, 0.0, 0.965926), keep_inside: bool = True) -> str:
+    """Voxels outside (or inside) a polygon on the screen become air: places in millimetres from the centre, turned by a quaternion, normalised by the bounds of the turned volume. A polygon without extent changes nothing."""
     from voxtab.operators.roi import inside_polygon
 
-    points = d.array(*(d.struct(x=quote(float(x)), y=quote(float(y))) for x, y in polygon))
-    xs, ys = [float(x) for x, _ in polygon], [float(y) for _, y in polygon]
-    turned = f"""SELECT *, mx * cos(radians({float(degrees_)})) - my * sin(radians({float(degrees_)})) AS tx, mx * sin(radians({float(degrees_)})) + my * cos(radians({float(degrees_)})) AS ty,
-    wide * abs(cos(radians({float(degrees_)}))) + high * abs(sin(radians({float(degrees_)}))) AS bx, wide * abs(sin(radians({float(degrees_)}))) + high * abs(cos(radians({float(degrees_)}))) AS by_ FROM (
-    SELECT v.series_id, v.i, v.j, v.k, value, air, (v.k - (nk - 1) / cast(2 AS double)) * g.sk AS mx, (v.j - (nj - 1) / cast(2 AS double)) * g.sj AS my, greatest((nk - 1) * g.sk, 1e-6) AS wide, greatest((nj - 1) * g.sj, 1e-6) AS high
-    FROM voxels v JOIN air_value a ON a.series_id = v.series_id JOIN spacings g ON g.series_id = v.series_id JOIN geometry m ON m.series_id = v.series_id) e"""
-    inside = f"x BETWEEN {min(xs)} AND {max(xs)} AND y BETWEEN {min(ys)} AND {max(ys)} AND {inside_polygon(d, 'polygon', 'x', 'y')}"
+    corners = [tuple(min(max(float(v), 0.0), 1.0) for v in p) for p in polygon]
+    spread = [max(c) - min(c) for c in zip(*corners, strict=True)] if corners else [0.0, 0.0]
+    if len(corners) < 3 or min(spread) < 1e-4:
+        return "SELECT series_id, i, j, k, value FROM voxels"
+    rows = rotation_of(quaternion)
+    points = d.array(*(d.struct(x=quote(x), y=quote(y)) for x, y in corners))
+    on = lambda row: " + ".join(f"{quote(r)} * m{a}" for r, a in zip(row, "kji", strict=True))
+    reach = lambda row: " + ".join(f"{quote(abs(r))} * h{a}" for r, a in zip(row, "kji", strict=True))
+    half = lambda a: f"(n{a} - 1) / cast(2 AS double)"
+    step = lambda a: f"greatest(g.s{a}, 1e-6)"
+    placed = ", ".join(f"(v.{a} - {half(a)}) * {step(a)} AS m{a}, {half(a)} * {step(a)} AS h{a}" for a in "ijk")
+    xs, ys = zip(*corners, strict=True)
+    inside = f"x BETWEEN {quote(min(xs))} AND {quote(max(xs))} AND y BETWEEN {quote(min(ys))} AND {quote(max(ys))} AND {inside_polygon(d, 'polygon', 'x', 'y')}"
     kept = inside if keep_inside else f"NOT ({inside})"
-    return f"""SELECT series_id, i, j, k, CASE WHEN {kept} THEN value ELSE air END AS value FROM (SELECT series_id, i, j, k, value, air, round(tx / bx + 0.5, 9) AS x, round(ty / by_ + 0.5, 9) AS y, {points} AS polygon FROM ({turned}) t) w"""
+    return f"""SELECT series_id, i, j, k, CASE WHEN {kept} THEN value ELSE air END AS value FROM (
+  SELECT series_id, i, j, k, value, air, round((sx + bx) / greatest(2 * bx, 1e-6), 9) AS x, round(1 - (up + by_) / greatest(2 * by_, 1e-6), 9) AS y, {points} AS polygon FROM (
+    SELECT *, {on(rows[0])} AS sx, {on(rows[2])} AS up, {reach(rows[0])} AS bx, {reach(rows[2])} AS by_ FROM (
+      SELECT v.series_id, v.i, v.j, v.k, v.value, a.air, {placed} FROM (SELECT v.*, m.depth AS ni, m.nj, m.nk FROM voxels v JOIN geometry m ON m.series_id = v.series_id) v
+      JOIN air_value a ON a.series_id = v.series_id JOIN spacings g ON g.series_id = v.series_id) p) t) w"""
 
 
 @operator
