@@ -114,7 +114,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, car
 
     docs: doc_id, source, text and any other columns, whatever their names. A null text has size 0; a null source is the last
     source; a null doc_id counts like any other. Rows of size 0 keep one copy unless their source is full. Repeated rows count and are taken like
-    different ones. Of rows with equal doc_id and text it is open which take the odd copies. An empty table gives no rows.
+    different ones. Of rows with equal doc_id and text it is open which take the odd copies. An empty table gives no rows. docs are to be read from
+files, whose splits stay the same from one job to the next.
     """
     rows = docs.select(
         F.struct(*[docs[c] for c in carry or docs.columns]).alias("row"),
@@ -136,14 +137,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, car
     plan = plan.select(*[F.col(c).alias("p_" + c) for c in plan.columns])
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    out = rows.join(plan, rows["source"].eqNullSafe(plan["p_source"]) & (rows["size"] == plan["p_size"]))
+    planned = lambda rows: rows.join(plan, rows["source"].eqNullSafe(plan["p_source"]) & (rows["size"] == plan["p_size"]))
+    out = planned(rows)
     salt = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.floor(F.col("p_n") / CLASS_ROWS)))
-    # Rows that are equal have one hash and one salt; many of them are dealt out by where they stand in their partition.
+    # Rows that are equal have one hash and one salt; many of them are dealt out by where they stand in the table.
     equal = out.filter(F.col("p_n") >= 2 * CLASS_ROWS).groupBy(F.col("h").alias("e_h")).agg(F.count("*").alias("e_n")).filter(F.col("e_n") > CLASS_ROWS)
     equal = written(equal, "mix-equal")
     many = equal.count()
     if many:
-        out = out.withColumn("seq", F.monotonically_increasing_id()).join(F.broadcast(equal) if many <= BROADCAST_ROWS else equal, F.col("h") == F.col("e_h"), "left")
+        # The number is given where docs are read and not behind a shuffle, so that the job that counts salts and the one that ranks see the same.
+        out = planned(rows.withColumn("seq", F.monotonically_increasing_id())).join(F.broadcast(equal) if many <= BROADCAST_ROWS else equal, F.col("h") == F.col("e_h"), "left")
         salt = F.when(F.col("e_h").isNull(), salt).otherwise(F.xxhash64("h", F.pmod(F.xxhash64("seq"), F.ceil(F.col("e_n") / CLASS_ROWS))))
     out = out.withColumn("salt", salt)
     # How many of the class's odd copies each salt gets, by prefix sums over salts: only classes and salts, no rows.
