@@ -421,3 +421,32 @@ def test_fingerprint_bits(spark):
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t).split()
         h = [xxh64_intdigest(" ".join(low[k : k + 3]).encode(), 42) for k in range(max(1, len(low) - 2))] if low else []
         assert got[i] == f"{sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)):016x}"
+
+
+def test_lookup_over_many_shards(spark, monkeypatch):
+    """Keys find their shards by their bounds; repeated ids, unknown and null keys, other columns; bounds that are joined give the same."""
+    monkeypatch.setattr(token_shards, "SHARD_IDS", 40)
+    rows = [(3 * i, f"text number {i} " * 4, "en") for i in range(60)] + [(30, "again " * 30, "en"), (None, "null", "en")]
+    folder = new_folder(spark, "many-shards")
+    manifest = token_shards.write_shards(docs(spark, rows), folder, token_shards.tokenizer_path())
+    assert manifest.count() > 10
+    keys = spark.createDataFrame([(0, "x"), (30, "x"), (31, "x"), (177, "x"), (-5, "x"), (999, "x"), (None, "x")], "doc_id bigint, name string")
+    read = lambda: sorted(((r["doc_id"], tuple(r["ids"]) if r["ids"] else None) for r in token_shards.lookup(keys, manifest, folder).collect()), key=repr)
+    got = read()
+    found = {k: v for k, v in got if v}
+    assert found[0] == (*direct(rows[0][1]), 1) and found[177] == (*direct(rows[59][1]), 1) and 30 in found and {k for k, v in got if v is None} >= {31, -5, 999, None}
+    monkeypatch.setattr(token_shards, "LISTED", 0)
+    assert read() == got
+
+
+def test_mixed_stage_of_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and clashing names; each row comes as often as the mix takes it."""
+    rows = [(i, f"word {i} " * (1 + i % 7), "en") for i in range(40)] + [(5, "same same", "en")] * 6 + [(None, "null id", "en"), (7, None, "en"), (8, "", "en")]
+    docs(spark, rows).withColumn("source", F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.concat(F.lit("s"), (F.col("doc_id") % 2).cast("string")))).withColumn("p_size", F.lit(1)).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    from voxtab.llm import mixing
+
+    copies = {(r["row"]["doc_id"], r["row"]["text"]): r["copies"] for r in mixing.mix(df).collect()}
+    taken = mixing.mixed_stage(spark, df, "")
+    assert taken.columns == df.columns and taken.count() == sum(r["copies"] for r in mixing.mix(df).collect()) and copies[7, None] == copies[8, ""] == 1
+    assert mixing.mixed_stage(spark, df.limit(0), "").count() == 0

@@ -297,13 +297,38 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
 
 
+#: Shards whose bounds (some 60 bytes each) are sent to the workers at most.
+LISTED = 200_000
+
+
 def lookup(keys: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, ids (array) for keys (doc_id, occurrence 0) that some shard holds; others have null ids. Of a doc_id whose rows fill
     several shards each shard gives one row.
 
-    Keys meet shards by range: shards are few (one row per 16 MB), keys go to the task of their shard.
+    Keys meet shards by range: shards stand in the order of their ids, so a key finds its own by two binary searches in their bounds (one
+    row per 16 MB of ids; up to LISTED of them are sent to the workers, more are joined). Keys go to the task of their shard.
     """
-    ranged = keys.select("doc_id").join(F.broadcast(manifest) if manifest.count() <= 100_000 else manifest, F.col("doc_id").between(F.col("first_id"), F.col("last_id")), "left")
+    keys, bounds = keys.select("doc_id"), manifest.select("name", "first_id", "last_id")
+    if bounds.count() <= LISTED:
+        listed = bounds.toPandas().sort_values(["first_id", "last_id", "name"])
+        first, last, names = (listed[c].to_numpy() for c in ("first_id", "last_id", "name"))
+        last = np.maximum.accumulate(last) if len(last) else last
+
+        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                ids = frame["doc_id"].to_numpy()
+                known = pd.notna(frame["doc_id"]).to_numpy()
+                whole = np.where(known, frame["doc_id"].fillna(0), 0).astype(np.int64)
+                lo = np.searchsorted(last, whole, side="left")
+                n = np.where(known, np.maximum(np.searchsorted(first, whole, side="right") - lo, 0), 0)
+                at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                none = frame.loc[n == 0, ["doc_id"]].assign(name=None)
+                yield pd.DataFrame({"doc_id": np.repeat(ids, n), "name": names[at] if len(names) else []})
+                yield none
+
+        ranged = keys.mapInPandas(place, "doc_id bigint, name string")
+    else:
+        ranged = keys.join(bounds, F.col("doc_id").between(F.col("first_id"), F.col("last_id")), "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
