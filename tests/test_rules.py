@@ -144,3 +144,27 @@ def test_answers_of_archives(spark):
     one, empty = archives.read_dicom_json(qido_records=df).orderBy("record_no").collect()
     assert (one["study_uid"], one["patient_name"], one["modalities"], one["instance_count"], one["series_count"], one["study_time"]) == ("1.2", "I", "CT,MR", 12, None, None)
     assert empty["record_no"] == 5 and empty["study_uid"] == "" and empty["patient_name"] is None and empty["modalities"] == ""
+
+
+def test_display_lines(spark):
+    """All 34 lines of a full header, of one with fall-backs, and of an empty one."""
+    full = {
+        "manufacturer": " Maker ", "manufacturer_model_name": "M1", "station_name": "ST", "institution_name": "Inn", "study_description": "Exam", "series_description": "Thin", "study_id": "7", "series_number": "3", "patient_name": "A^B", "patient_id": "id", "patient_sex": "F", "patient_age": "045Y",
+        "acquisition_date": "20240102", "acquisition_time": "101530.25", "study_date": "20240101", "study_time": "0930", "kvp": "120.0", "xray_tube_current": "80.25", "slice_thickness": "2.50", "modality": "CT", "accession_number": "9", "study_uid": "1", "series_uid": "2", "sop_uid": "3",
+        "body_part_examined": "CHEST", "protocol_name": "P", "patient_birth_date": "1970", "referring_physician_name": "Dr", "patient_position": "HFS", "pixel_spacing": "0.50\\0.6254", "rows_": "4", "columns_": "5", "image_position": "1.126\\-3\\x", "image_orientation": "1\\0\\-0.33337",
+        "rescale_slope": "1.00", "rescale_intercept": "-1024", "convolution_kernel": "B", "reconstruction_diameter": "350.04", "ctdi_vol": "12.346", "exposure": "n/a", "exposure_time": "500",
+    }
+    some = {"content_date": "soon", "study_time": "09:30:05", "study_id": "S7", "patient_age": "1Y", "xray_tube_current": " ", "rescale_intercept": "0", "rows_": "4", "manufacturer_model_name": "only"}
+    schema = "path string, " + ", ".join(f"{c} string" for c in catalog.TEXT_FIELDS)
+    df = spark.createDataFrame([(p, *(v.get(c) for c in catalog.TEXT_FIELDS)) for p, v in (("full", full), ("some", some), ("none", {}))], schema)
+    got = {}
+    for r in catalog.display_header(header_texts=df).collect():
+        got.setdefault(r["path"], {})[r["label"]] = r["line"]
+    assert got["full"] == {
+        "manufacturerModel": "Maker / M1", "stationName": "ST", "institutionName": "Inn", "examDescription": "Exam", "seriesNumber": "Se: 3", "patientName": "A^B", "patientSummary": "id F / 045Y", "technique": "120kV 80.2mA", "sliceThickness": "2.5mm", "acquisitionDateTime": "2024.01.02 10:15:30",
+        "modality": "Modality: CT", "accessionNumber": "Acc: 9", "studyDate": "Study date: 2024.01.01", "studyTime": "Study time: 0930", "studyId": "Study ID: 7", "studyInstanceUid": "Study UID: 1", "seriesInstanceUid": "Series UID: 2", "sopInstanceUid": "SOP UID: 3", "seriesDescription": "Series: Thin",
+        "bodyPartExamined": "Body: CHEST", "protocolName": "Protocol: P", "patientBirthDate": "Birth: 1970", "referringPhysicianName": "Referrer: Dr", "patientPosition": "Patient pos: HFS", "pixelSpacing": "Pixel: 0.5 x 0.625mm", "rowsColumns": "Matrix: 4 x 5", "imagePositionPatient": "IPP: 1.13, -3, x",
+        "imageOrientationPatient": "IOP: 1, 0, -0.3334", "rescaleSlopeIntercept": "Rescale: m 1  b -1024", "convolutionKernel": "Kernel: B", "reconstructionDiameter": "FOV: 350mm", "ctdiVol": "CTDIvol: 12.35mGy", "exposure": "Exposure: n/amAs", "exposureTime": "Exp time: 500ms",
+    }
+    assert len(got["full"]) == 34 and "none" not in got
+    assert got["some"] == {"manufacturerModel": "only", "examDescription": "S7", "patientSummary": "1Y", "acquisitionDateTime": "soon 09:30:05", "studyTime": "Study time: 09:30:05", "studyId": "Study ID: S7", "rescaleSlopeIntercept": "Rescale: m -  b 0"}

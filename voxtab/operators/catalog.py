@@ -96,12 +96,16 @@ def syntaxes(d: Dialect) -> str:
     return f"(SELECT * FROM (VALUES {rows}) v(uid, syntax_name, compressed))"
 
 
+def candidate(d: Dialect) -> str:
+    """Whether a file may be an image: no hidden or __MACOSX part, no denied suffix."""
+    denied = ", ".join(f"'{x}'" for x in DENIED)
+    return f"NOT {d.matches('path', '(^|/)([.]|__MACOSX(/|$))')} AND lower(regexp_extract(path, '([.][^./]*)$', 1)) NOT IN ({denied})"
+
+
 @operator
 def scan_candidates(d: Dialect) -> str:
     """Files that may be images: no hidden or __MACOSX part, no denied suffix; ``sort_key`` orders them by path components."""
-    denied = ", ".join(f"'{x}'" for x in DENIED)
-    return f"""SELECT path, replace(path, '/', chr(1)) AS sort_key FROM headers WHERE NOT {d.matches('path', '(^|/)[.]')} AND NOT {d.matches('path', '(^|/)__MACOSX(/|$)')}
-  AND lower(regexp_extract(path, '([.][^./]*)$', 1)) NOT IN ({denied})"""
+    return f"SELECT path, replace(path, '/', chr(1)) AS sort_key FROM headers WHERE {candidate(d)}"
 
 
 @operator
@@ -137,7 +141,7 @@ def keyed_headers(d: Dialect) -> str:
 FROM (SELECT *, {d.rows(d.array(f'coalesce({description}, {folder}, {file})'))} AS phase FROM (
   SELECT *, regexp_extract({parent('path')}, '^/data/?(.*)$', 1) AS folder, {stem(d, 'path')} AS stem_,
     {object_type(d)} AS object_type
-  FROM headers WHERE NOT {d.matches('path', '[.]txt$')}) p) q WHERE object_type IS NOT NULL"""
+  FROM headers WHERE {candidate(d)}) p) q WHERE object_type IS NOT NULL"""
 
 
 @operator
@@ -396,17 +400,74 @@ def unique_output_names(d: Dialect) -> str:
     SELECT path, workspace_id, {d.swap("coalesce(nullif(series_description, ''), 'series')", '[^A-Za-z0-9]+', '-')} || '-edit-i' || cast(CASE WHEN instance_number > 0 THEN instance_number ELSE slice_index + 1 END AS {d.text}) AS name FROM instance_numbers) p) q"""
 
 
+#: Text fields of a header that its display lines use, by keyword.
+TEXT_FIELDS = (
+    "manufacturer", "manufacturer_model_name", "station_name", "institution_name", "study_description", "series_description", "study_id", "series_number", "patient_name", "patient_id", "patient_sex", "patient_age",
+    "acquisition_date", "content_date", "study_date", "acquisition_time", "content_time", "study_time", "kvp", "xray_tube_current", "slice_thickness", "modality", "accession_number", "study_uid", "series_uid", "sop_uid",
+    "body_part_examined", "protocol_name", "patient_birth_date", "referring_physician_name", "patient_position", "pixel_spacing", "rows_", "columns_", "image_position", "image_orientation", "rescale_slope", "rescale_intercept",
+    "convolution_kernel", "reconstruction_diameter", "ctdi_vol", "exposure", "exposure_time",
+)
+
+
 @operator
 def display_header(d: Dialect) -> str:
-    """Labelled display lines of a header, empty ones left out; one pass."""
-    size = f"CASE WHEN rows_ > 0 AND columns_ > 0 THEN cast(columns_ AS {d.text}) || ' x ' || cast(rows_ AS {d.text}) END"
+    """The 34 display lines of a header from its text fields, empty ones left out: first text that is there, joined texts, numbers without trailing zeros, dates and times with separators."""
+    first = lambda *xs: f"coalesce({', '.join(xs)}, NULL)"
+    text = lambda c: f"nullif(trim({c}), '')"
+    beside = lambda sep, *xs: f"nullif(concat_ws('{sep}', {', '.join(xs)}), '')"
+
+    def number(c: str, precision: int = 1, suffix: str = "") -> str:
+        value = f"try_cast({text(c)} AS double)"
+        plain = f"regexp_replace({d.format(f'%.{precision}f', d.even(value, precision))}, '[.]?0+$', '')"
+        return f"(CASE WHEN {value} IS NOT NULL THEN {plain} ELSE {text(c)} END || '{suffix}')"
+
+    def numbers(c: str, precision: int, sep: str, suffix: str = "") -> str:
+        parts = d.keep(d.each(d.parts(f"coalesce({c}, '')"), "x", number("x", precision)), "t", "t IS NOT NULL")
+        return f"(nullif({f'array_join({parts}, {quote(sep)})' if d.spark else f'array_to_string({parts}, {quote(sep)})'}, '') || '{suffix}')"
+
+    digits = lambda c: d.swap(text(c), "[^0-9]", "")
+    date = lambda c: f"CASE WHEN {d.matches(text(c), '^[0-9]+$')} AND length({text(c)}) = 8 THEN substring({text(c)}, 1, 4) || '.' || substring({text(c)}, 5, 2) || '.' || substring({text(c)}, 7, 2) ELSE {text(c)} END"
+    time = lambda c: f"CASE WHEN length({digits(c)}) >= 6 THEN substring({digits(c)}, 1, 2) || ':' || substring({digits(c)}, 3, 2) || ':' || substring({digits(c)}, 5, 2) ELSE {text(c)} END"
+    named = lambda label, x: f"'{label}: ' || {x}"
+    slope, cut = number("rescale_slope", 4), number("rescale_intercept", 4)
     lines = {
-        "modality": "nullif(trim(modality), '')", "description": "nullif(trim(series_description), '')", "size": size, "number": "nullif(trim(instance_number_text), '')", "photometric": "nullif(trim(photometric), '')",
-        "frames": f"CASE WHEN number_of_frames > 1 THEN cast(number_of_frames AS {d.text}) END", "series": "nullif(trim(series_uid), '')", "study": "nullif(trim(study_uid), '')", "instance": "nullif(trim(sop_uid), '')",
-        "spacing": f"CASE WHEN pixel_spacing > 0 THEN {d.format('%.2f', d.even('pixel_spacing', 2))} || ' mm' END", "location": f"CASE WHEN has_position THEN {d.format('%.2f', d.even('position_z', 2))} || ' mm' END", "syntax": "nullif(trim(transfer_syntax_uid), '')",
-    }
+        "manufacturerModel": beside(" / ", text("manufacturer"), text("manufacturer_model_name")),
+        "stationName": text("station_name"),
+        "institutionName": text("institution_name"),
+        "examDescription": first(text("study_description"), text("study_id"), text("series_description")),
+        "seriesNumber": named("Se", text("series_number")),
+        "patientName": text("patient_name"),
+        "patientSummary": beside(" ", text("patient_id"), beside(" / ", text("patient_sex"), text("patient_age"))),
+        "technique": beside(" ", number("kvp", suffix="kV"), number("xray_tube_current", suffix="mA")),
+        "sliceThickness": number("slice_thickness", suffix="mm"),
+        "acquisitionDateTime": beside(" ", first(*map(date, ("acquisition_date", "content_date", "study_date"))), first(*map(time, ("acquisition_time", "content_time", "study_time")))),
+        "modality": named("Modality", text("modality")),
+        "accessionNumber": named("Acc", text("accession_number")),
+        "studyDate": named("Study date", date("study_date")),
+        "studyTime": named("Study time", time("study_time")),
+        "studyId": named("Study ID", text("study_id")),
+        "studyInstanceUid": named("Study UID", text("study_uid")),
+        "seriesInstanceUid": named("Series UID", text("series_uid")),
+        "sopInstanceUid": named("SOP UID", text("sop_uid")),
+        "seriesDescription": named("Series", text("series_description")),
+        "bodyPartExamined": named("Body", text("body_part_examined")),
+        "protocolName": named("Protocol", text("protocol_name")),
+        "patientBirthDate": named("Birth", date("patient_birth_date")),
+        "referringPhysicianName": named("Referrer", text("referring_physician_name")),
+        "patientPosition": named("Patient pos", text("patient_position")),
+        "pixelSpacing": named("Pixel", numbers("pixel_spacing", 3, " x ", "mm")),
+        "rowsColumns": named("Matrix", f"({text('rows_')} || ' x ' || {text('columns_')})"),
+        "imagePositionPatient": named("IPP", numbers("image_position", 2, ", ")),
+        "imageOrientationPatient": named("IOP", numbers("image_orientation", 4, ", ")),
+        "rescaleSlopeIntercept": named("Rescale", f"CASE WHEN {text('rescale_slope')} IS NOT NULL OR {text('rescale_intercept')} IS NOT NULL THEN 'm ' || coalesce({slope}, '-') || '  b ' || coalesce({cut}, '-') END"),
+        "convolutionKernel": named("Kernel", text("convolution_kernel")),
+        "reconstructionDiameter": named("FOV", number("reconstruction_diameter", 1, "mm")),
+        "ctdiVol": named("CTDIvol", number("ctdi_vol", 2, "mGy")),
+        "exposure": named("Exposure", number("exposure", 1, "mAs")),
+        "exposureTime": named("Exp time", number("exposure_time", 1, "ms")),
+    }
     each = d.array(*(d.struct(label=f"'{k}'", line=v) for k, v in lines.items()))
-    return f"SELECT path, (x).label AS label, (x).line AS line FROM (SELECT path, {d.rows(each)} AS x FROM headers) q WHERE (x).line IS NOT NULL"
+    return f"SELECT path, (x).label AS label, (x).line AS line FROM (SELECT path, {d.rows(each)} AS x FROM header_texts) q WHERE (x).line IS NOT NULL"
 
 
 @operator

@@ -182,6 +182,6 @@ def job_progress(d: Dialect) -> str:
 
 
 def write_catalog(df: DataFrame, path: str) -> DataFrame:
-    """Keep a catalogue table by workspace and modality, and read it back."""
-    df.write.mode("overwrite").partitionBy("workspace_id", "modality").parquet(path)
+    """Keep a catalogue table by workspace and modality in a new folder, and read it back; a folder that exists is an error."""
+    df.write.mode("errorifexists").partitionBy("workspace_id", "modality").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -41,6 +41,27 @@ def headers(d: Dialect) -> str:
 FROM lineitem"""
 
 
+@view
+def header_texts(d: Dialect) -> str:
+    """Text fields of each file's header as they stand in it: several values between backslashes, some blank or no numbers."""
+    t, back = d.text, "chr(92)"
+    whole = lambda c: f"cast(cast({c} AS bigint) AS {t})"
+    day = lambda c: f"replace(substring(cast({c} AS {t}), 1, 10), '-', '')"
+    rare = lambda n, x: f"CASE WHEN l_partkey % {n} <> 0 THEN {x} END"
+    fields = {
+        "manufacturer": rare(3, "'Maker'"), "manufacturer_model_name": rare(4, "'M' || " + whole("l_partkey % 5")), "station_name": "CASE WHEN l_linenumber = 1 THEN ' ' ELSE 'ST1' END", "institution_name": rare(2, "'Hospital'"),
+        "study_description": rare(5, "'Exam'"), "series_description": "h.series_description", "study_id": rare(7, whole("l_suppkey")), "series_number": whole("l_linenumber"), "patient_name": "'P^' || " + whole("l_orderkey"), "patient_id": rare(3, whole("l_orderkey")),
+        "patient_sex": rare(2, "'F'"), "patient_age": rare(3, "'045Y'"), "acquisition_date": rare(2, day("l_shipdate")), "content_date": "'soon'", "study_date": day("l_commitdate"), "acquisition_time": rare(2, "'101530.25'"), "content_time": rare(4, "'1015'"), "study_time": "'09:30:05'",
+        "kvp": "'120.0'", "xray_tube_current": rare(3, whole("l_quantity") + " || '.25'"), "slice_thickness": "h.slice_thickness", "modality": "h.modality", "accession_number": whole("l_partkey"), "study_uid": "h.study_uid", "series_uid": "h.series_uid", "sop_uid": "h.sop_uid",
+        "body_part_examined": rare(2, "'CHEST'"), "protocol_name": rare(3, "'Routine'"), "patient_birth_date": "'19700101'", "referring_physician_name": rare(6, "'Dr'"), "patient_position": "'HFS'", "pixel_spacing": f"CASE WHEN l_quantity >= 3 THEN '0.50' || {back} || '0.6250' END",
+        "rows_": f"cast(h.rows_ AS {t})", "columns_": f"cast(h.columns_ AS {t})", "image_position": f"CASE WHEN h.has_position THEN {whole('l_quantity')} || '.125' || {back} || '-3' || {back} || 'x' END", "image_orientation": f"'1' || {back} || '0.00' || {back} || '-0.33335'",
+        "rescale_slope": "CASE WHEN h.has_rescale_slope THEN '1.00' END", "rescale_intercept": rare(2, "'-1024'"), "convolution_kernel": rare(2, "'B30f'"), "reconstruction_diameter": "'350.04'", "ctdi_vol": rare(3, "'12.345'"), "exposure": rare(4, "'n/a'"), "exposure_time": rare(2, "'500'"),
+    }
+    columns = ", ".join(f"{v} AS {k}" for k, v in fields.items())
+    return f"""SELECT h.path, {columns} FROM (SELECT h.*, file_no AS l_orderkey, file_part AS l_linenumber, length(path) * 7 + file_no AS l_partkey, cast(right(series_uid, 1) AS bigint) AS l_suppkey, position_x AS l_quantity,
+  DATE '1995-01-31' AS l_shipdate, DATE '1996-02-29' AS l_commitdate FROM headers h) h"""
+
+
 @view
 def slices(d: Dialect) -> str:
     """One row per slice: 8 x 8 values after rescaling, row-major, and what the pixels were; series S3 lies on a table of two slices."""
