@@ -151,12 +151,12 @@ def test_smooth_paths(spark):
     assert len(roi.smooth_path(measurements=df, samples=4, closed=True).collect()) == 13
 
 
-HEADER = "path string, workspace_id string, sop_uid string, series_uid string, study_uid string, modality string, series_description string, instance_number_text string, rows_ int, columns_ int, transfer_syntax_uid string, photometric string, pixel_spacing double, has_position boolean, has_rescale_slope boolean, number_of_frames int, position_z double, sop_class_uid string, file_no bigint, file_part int, position_x double, position_y double, " + ", ".join(f"{a}{c} double" for a in "rc" for c in "xyz") + ", slice_thickness string, " + ", ".join(f"{c} string" for c, *_ in catalog.PHASE_TAGS)
+HEADER = "path string, workspace_id string, sop_uid string, series_uid string, study_uid string, modality string, series_description string, instance_number_text string, rows_ int, columns_ int, transfer_syntax_uid string, photometric string, pixel_spacing double, has_position boolean, has_rescale_slope boolean, number_of_frames int, position_z double, sop_class_uid string, file_no bigint, file_part int, patient_id string, position_x double, position_y double, " + ", ".join(f"{a}{c} double" for a in "rc" for c in "xyz") + ", slice_thickness string, " + ", ".join(f"{c} string" for c, *_ in catalog.PHASE_TAGS)
 
 
 def head(path, sop="1", description="", number="1", **over):
     row = {"path": path, "workspace_id": "w", "sop_uid": sop, "series_uid": "9", "study_uid": "8", "modality": "CT", "series_description": description, "instance_number_text": number, "rows_": 6, "columns_": 6,
-           "transfer_syntax_uid": "1.2.840.10008.1.2.1", "photometric": "MONOCHROME2", "pixel_spacing": 1.0, "has_position": True, "has_rescale_slope": True, "number_of_frames": 1, "position_z": 0.0, "sop_class_uid": None, "file_no": 1, "file_part": 1, "position_x": 0.0, "position_y": 0.0} | over
+           "transfer_syntax_uid": "1.2.840.10008.1.2.1", "photometric": "MONOCHROME2", "pixel_spacing": 1.0, "has_position": True, "has_rescale_slope": True, "number_of_frames": 1, "position_z": 0.0, "sop_class_uid": None, "file_no": 1, "file_part": 1, "patient_id": "p", "position_x": 0.0, "position_y": 0.0} | over
     return tuple(row.get(c.split()[0]) for c in HEADER.split(", "))
 
 

@@ -168,3 +168,24 @@ def test_display_lines(spark):
     }
     assert len(got["full"]) == 34 and "none" not in got
     assert got["some"] == {"manufacturerModel": "only", "examDescription": "S7", "patientSummary": "1Y", "acquisitionDateTime": "soon 09:30:05", "studyTime": "Study time: 09:30:05", "studyId": "Study ID: S7", "rescaleSlopeIntercept": "Rescale: m -  b 0"}
+
+
+def test_values_of_texts(spark):
+    schema = "path string, " + ", ".join(f"{c} string" for c in catalog.TEXT_FIELDS)
+    one = lambda p, **v: (p, *(v.get(c) for c in catalog.TEXT_FIELDS))
+    df = spark.createDataFrame([one("a", series_number=" 3.9 ", rows_="4", columns_="0", pixel_spacing="0.5\\1e1\\x", series_description=" t "), one("b", series_number="-2", pixel_spacing="1  2"), one("c", series_number="x", pixel_spacing="1\\y", series_description=" "), one("d", series_number=" ", pixel_spacing="7")], schema)
+    got = {r["path"]: tuple(r)[1:] for r in catalog.coerce_headers(header_texts=df).collect()}
+    assert got == {"a": ("t", 3, True, 4, None, 0.5, 10.0), "b": (None, None, True, None, None, 1.0, 2.0), "c": (None, None, True, None, None, None, None), "d": (None, None, False, None, None, None, None)}
+
+
+def test_levels_of_a_rollup(spark):
+    df = spark.createDataFrame([head("/a/1.dcm", "1"), head("/a/2.dcm", "2"), head("/b/1.dcm", "3", series_uid="7", modality="MR"), head("/c/1.dcm", "4", series_uid="6", study_uid="s", patient_id=None)], HEADER)
+    got = sorted((r["level"], r["patient_id"] or "", r["study_uid"] or "", r["modalities"], r["series_count"], r["instance_count"]) for r in catalog.study_rollup(headers=df).collect())
+    assert got == [(0, "", "", "CT, MR", 3, 4), (1, "", "", "CT", 1, 1), (1, "p", "", "CT, MR", 2, 3), (2, "", "s", "CT", 1, 1), (2, "p", "8", "CT, MR", 2, 3), (3, "", "s", "CT", 1, 1), (3, "p", "8", "CT", 1, 2), (3, "p", "8", "MR", 1, 1)]
+
+
+def test_progress_of_jobs(spark):
+    rows = [("a", 8, 1, "running"), ("b", 8, 99, "failed"), ("c", 0, 3, "pending"), ("d", 8, 2, "succeeded"), ("e", -5, -3, "running"), ("f", 200, 1, "running"), ("g", 200, 3, "running")]
+    df = spark.createDataFrame(rows, "job_id string, total bigint, processed bigint, status string")
+    got = {r["job_id"]: (r["processed"], r["total"], r["percent"]) for r in archives.job_progress(background_jobs=df).collect()}
+    assert got == {"a": (1, 8, 12), "b": (8, 8, 100), "c": (3, 0, 0), "d": (2, 8, 100), "e": (0, 0, 0), "f": (1, 200, 0), "g": (3, 200, 2)}

@@ -116,11 +116,13 @@ def classify_objects(d: Dialect) -> str:
 
 @operator
 def coerce_headers(d: Dialect) -> str:
-    """Texts stripped to null, positive whole numbers, and whether a value is there."""
-    return """SELECT path, nullif(trim(series_description), '') AS series_description,
-  CASE WHEN try_cast(instance_number_text AS double) >= 1 THEN cast(floor(try_cast(instance_number_text AS double)) AS bigint) END AS positive_number,
-  nullif(trim(instance_number_text), '') IS NOT NULL AS has_number, CASE WHEN rows_ > 0 THEN cast(rows_ AS bigint) END AS rows_valid,
-  CASE WHEN columns_ > 0 THEN cast(columns_ AS bigint) END AS columns_valid FROM headers"""
+    """Header texts as values: texts stripped to null, positive whole numbers (cut, not rounded), whether a value is there, and the first two numbers of a spacing, between backslashes or blanks, if both are numbers."""
+    whole = lambda c: f"CASE WHEN try_cast(trim({c}) AS double) >= 1 AND try_cast(trim({c}) AS double) < 1e18 THEN cast(floor(try_cast(trim({c}) AS double)) AS bigint) END"
+    parts = d.keep(d.cut("replace(coalesce(pixel_spacing, ''), chr(92), ' ')", " "), "x", "x <> ''")
+    number = lambda n: f"try_cast({d.at('parts', n)} AS double)"
+    pair = lambda n: f"CASE WHEN {number(0)} IS NOT NULL AND {number(1)} IS NOT NULL THEN {number(n)} END"
+    return f"""SELECT path, nullif(trim(series_description), '') AS series_description, {whole('series_number')} AS positive_number, coalesce(trim(series_number), '') <> '' AS has_number,
+  {whole('rows_')} AS rows_valid, {whole('columns_')} AS columns_valid, {pair(0)} AS row_spacing, {pair(1)} AS column_spacing FROM (SELECT *, {parts} AS parts FROM header_texts) t"""
 
 
 @operator
@@ -218,8 +220,9 @@ def compatibility_audit(d: Dialect) -> str:
 
 @operator
 def study_rollup(d: Dialect) -> str:
-    """Series and instances of each study, and of each modality in it, by rollup."""
-    return """SELECT study_uid, modality, count(DISTINCT series_key) AS series_count, count(*) AS instance_count FROM dedupe_instances GROUP BY ROLLUP (study_uid, modality)"""
+    """Series, instances and modalities of each series, study and patient, and of all, by rollup; what is rolled up is null, and ``level`` counts what is not."""
+    return f"""SELECT patient_id, study_uid, series_key, 3 - cast(grouping(patient_id) AS int) - cast(grouping(study_uid) AS int) - cast(grouping(series_key) AS int) AS level, {d.names('modality', 100)} AS modalities, count(DISTINCT one_series) AS series_count, count(*) AS instance_count
+FROM (SELECT patient_id, study_uid, series_key, workspace_id || '|' || series_key AS one_series, modality FROM dedupe_instances) i GROUP BY ROLLUP (patient_id, study_uid, series_key)"""
 
 
 @operator
@@ -241,10 +244,11 @@ def workspace_filter(d: Dialect, workspace: str = "ws1") -> str:
 
 @operator
 def workspace_stats(d: Dialect) -> str:
-    """Series and views of each workspace, and when it was last seen."""
-    return f"""SELECT coalesce(s.workspace_id, v.workspace_id) AS workspace_id, coalesce(total_series, 0) AS total_series, coalesce(image_series, 0) AS image_series,
-  coalesce(view_count, 0) AS views, last_seen FROM (SELECT workspace_id, count(*) AS total_series, count(CASE WHEN is_image_series THEN 1 END) AS image_series FROM group_series GROUP BY workspace_id) s
-FULL OUTER JOIN (SELECT workspace_id, count(DISTINCT view_id) AS view_count, {d.seconds('max(ts)')} AS last_seen FROM requests GROUP BY workspace_id) v ON v.workspace_id = s.workspace_id"""
+    """Series (real ones, and virtual ones of phases), views and groups of views of each workspace, and when it was last seen."""
+    return f"""SELECT coalesce(s.workspace_id, v.workspace_id) AS workspace_id, coalesce(real_series, 0) + coalesce(virtual_series, 0) AS total_series, coalesce(real_series, 0) AS real_series, coalesce(virtual_series, 0) AS virtual_series, coalesce(image_series, 0) AS image_series,
+  coalesce(view_count, 0) AS views, coalesce(group_count, 0) AS view_groups, last_seen FROM (SELECT workspace_id, count(*) AS real_series, count(CASE WHEN is_image_series THEN 1 END) AS image_series FROM group_series GROUP BY workspace_id) s
+LEFT JOIN (SELECT workspace_id AS w, count(*) AS virtual_series FROM single_series_phases GROUP BY workspace_id) p ON p.w = s.workspace_id
+FULL OUTER JOIN (SELECT workspace_id, count(DISTINCT view_id) AS view_count, count(DISTINCT view_group) AS group_count, {d.seconds('max(ts)')} AS last_seen FROM requests GROUP BY workspace_id) v ON v.workspace_id = s.workspace_id"""
 
 
 @operator

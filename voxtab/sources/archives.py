@@ -176,9 +176,9 @@ GROUP BY series_uid, study_uid, modality, series_description ORDER BY series_uid
 
 @operator
 def job_progress(d: Dialect) -> str:
-    """Processed members of each archive as a percentage, half-even."""
-    return f"""SELECT archive_id, total, processed, cast(CASE WHEN total <= 0 THEN 0 ELSE {d.even('100.0 * processed / total')} END AS bigint) AS percent FROM (
-  SELECT archive_id, count(*) AS total, count(CASE WHEN status <> 'skipped' THEN 1 END) AS processed FROM screen_archive_members GROUP BY archive_id) q"""
+    """Counts and percentage of background jobs: processed ones between 0 and the total (of any number where that is not known); a job that has succeeded has 100 percent, one without a total none; half-even."""
+    return f"""SELECT job_id, status, total, greatest(least(processed, CASE WHEN total > 0 THEN total ELSE processed END), 0) AS processed,
+  cast(CASE WHEN status = 'succeeded' THEN 100 WHEN total <= 0 THEN 0 ELSE least(greatest({d.even('100.0 * processed / total')}, 0), 100) END AS bigint) AS percent FROM (SELECT job_id, status, greatest(total, 0) AS total, processed FROM background_jobs) j"""
 
 
 def write_catalog(df: DataFrame, path: str) -> DataFrame:

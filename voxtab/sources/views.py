@@ -35,7 +35,7 @@ def headers(d: Dialect) -> str:
   CASE WHEN l_quantity < 3 THEN NULL ELSE cast(0.5 AS double) END AS pixel_spacing,
   l_quantity <= 48 AS has_position, l_quantity <= 49 AS has_rescale_slope,
   cast(CASE WHEN l_quantity = 2 THEN 4 ELSE 1 END AS int) AS number_of_frames,
-  'ws' || cast(l_suppkey % 2 AS {t}) AS workspace_id,
+  'ws' || cast(l_suppkey % 2 AS {t}) AS workspace_id, 'P' || cast(cast(floor(l_suppkey / 8) AS bigint) AS {t}) AS patient_id,
   cast(l_extendedprice AS double) AS position_z, CASE WHEN l_linenumber <> 7 THEN '1.2.840.10008.5.1.4.1.1.2' WHEN l_returnflag = 'A' AND l_quantity > 25 THEN '1.2.840.10008.5.1.4.1.1.11.1' WHEN l_quantity > 40 THEN '1.2.840.10008.5.1.4.1.1.88.33' END AS sop_class_uid,
   l_orderkey AS file_no, l_linenumber AS file_part, {geometry}, {phases}
 FROM lineitem"""
@@ -50,10 +50,10 @@ def header_texts(d: Dialect) -> str:
     rare = lambda n, x: f"CASE WHEN l_partkey % {n} <> 0 THEN {x} END"
     fields = {
         "manufacturer": rare(3, "'Maker'"), "manufacturer_model_name": rare(4, "'M' || " + whole("l_partkey % 5")), "station_name": "CASE WHEN l_linenumber = 1 THEN ' ' ELSE 'ST1' END", "institution_name": rare(2, "'Hospital'"),
-        "study_description": rare(5, "'Exam'"), "series_description": "h.series_description", "study_id": rare(7, whole("l_suppkey")), "series_number": whole("l_linenumber"), "patient_name": "'P^' || " + whole("l_orderkey"), "patient_id": rare(3, whole("l_orderkey")),
+        "study_description": rare(5, "'Exam'"), "series_description": "h.series_description", "study_id": rare(7, whole("l_suppkey")), "series_number": "CASE WHEN l_linenumber = 3 THEN ' 3.9 ' WHEN l_linenumber = 4 THEN '-2' WHEN l_linenumber = 5 THEN 'x' ELSE " + whole("l_linenumber") + " END", "patient_name": "'P^' || " + whole("l_orderkey"), "patient_id": rare(3, whole("l_orderkey")),
         "patient_sex": rare(2, "'F'"), "patient_age": rare(3, "'045Y'"), "acquisition_date": rare(2, day("l_shipdate")), "content_date": "'soon'", "study_date": day("l_commitdate"), "acquisition_time": rare(2, "'101530.25'"), "content_time": rare(4, "'1015'"), "study_time": "'09:30:05'",
         "kvp": "'120.0'", "xray_tube_current": rare(3, whole("l_quantity") + " || '.25'"), "slice_thickness": "h.slice_thickness", "modality": "h.modality", "accession_number": whole("l_partkey"), "study_uid": "h.study_uid", "series_uid": "h.series_uid", "sop_uid": "h.sop_uid",
-        "body_part_examined": rare(2, "'CHEST'"), "protocol_name": rare(3, "'Routine'"), "patient_birth_date": "'19700101'", "referring_physician_name": rare(6, "'Dr'"), "patient_position": "'HFS'", "pixel_spacing": f"CASE WHEN l_quantity >= 3 THEN '0.50' || {back} || '0.6250' END",
+        "body_part_examined": rare(2, "'CHEST'"), "protocol_name": rare(3, "'Routine'"), "patient_birth_date": "'19700101'", "referring_physician_name": rare(6, "'Dr'"), "patient_position": "'HFS'", "pixel_spacing": f"CASE WHEN l_quantity >= 30 THEN '0.50' || {back} || '0.6250' WHEN l_quantity >= 20 THEN '0.5  1' WHEN l_quantity >= 10 THEN '0.5' WHEN l_quantity >= 5 THEN '1' || {back} || 'y' END",
         "rows_": f"cast(h.rows_ AS {t})", "columns_": f"cast(h.columns_ AS {t})", "image_position": f"CASE WHEN h.has_position THEN {whole('l_quantity')} || '.125' || {back} || '-3' || {back} || 'x' END", "image_orientation": f"'1' || {back} || '0.00' || {back} || '-0.33335'",
         "rescale_slope": "CASE WHEN h.has_rescale_slope THEN '1.00' END", "rescale_intercept": rare(2, "'-1024'"), "convolution_kernel": rare(2, "'B30f'"), "reconstruction_diameter": "'350.04'", "ctdi_vol": rare(3, "'12.345'"), "exposure": rare(4, "'n/a'"), "exposure_time": rare(2, "'500'"),
     }
@@ -231,7 +231,7 @@ def requests(d: Dialect) -> str:
     t = d.text
     return f"""SELECT event_id, ts, 'v' || cast(user_id AS {t}) AS view_id, 'ws' || cast(user_id % 5 AS {t}) AS workspace_id,
   event_type = 'purchase' AS is_final, event_id - cast(floor(value) AS bigint) % 7 AS render_revision,
-  'i' || cast(cast(floor(event_id / 50) AS bigint) AS {t}) AS interaction_id, cast(floor(event_id / 50) AS bigint) AS interaction_no,
+  'i' || cast(cast(floor(event_id / 50) AS bigint) AS {t}) AS interaction_id, cast(floor(event_id / 50) AS bigint) AS interaction_no, CASE WHEN user_id % 3 > 0 THEN 'mpr-group:' || cast(user_id % 4 AS {t}) END AS view_group,
   CASE WHEN event_id % 97 <> 0 THEN {d.array(f"'c' || cast(event_id % 5 AS {t})", f"'c' || cast(user_id % 3 AS {t})")} END AS targets FROM events"""
 
 
@@ -300,3 +300,10 @@ def tags(d: Dialect) -> str:
     columns = ", ".join(f"(x).{c} AS {c}" for c in ("ord", "tag_path", "tag", "keyword", "vr", "value", "depth"))
     return f"""SELECT sop_uid, file, series_uid, study_uid, {columns} FROM (SELECT sop_uid, path AS file, series_uid, study_uid, {d.rows(d.array(*rows))} AS x
 FROM headers JOIN orders ON o_orderkey = file_no JOIN customer ON c_custkey = o_custkey) w"""
+
+
+@view
+def background_jobs(d: Dialect) -> str:
+    """A job for each archive: its members, those that are through, and its state."""
+    return f"""SELECT archive_id AS job_id, count(*) - CASE WHEN archive_id % 5 = 0 THEN count(*) + 1 ELSE 0 END AS total, count(CASE WHEN status <> 'skipped' THEN 1 END) + CASE WHEN archive_id % 7 = 0 THEN 50 ELSE 0 END AS processed,
+  CASE archive_id % 4 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' WHEN 2 THEN 'pending' ELSE 'running' END AS status FROM screen_archive_members GROUP BY archive_id"""
