@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,12 +76,12 @@ def word_hashes(text: bytes) -> list[int]:
 def fingerprints(docs: DataFrame, features: Callable[[bytes], list[int]], columns: list[str], schema: str) -> DataFrame:
     """columns and ``fp`` of docs; its ``__text`` column holds the text as bytes."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            fp = [bits_of(features(bytes(t))) for t in frame["__text"]]
-            yield frame[columns].assign(fp=np.array(fp, dtype=np.int64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # one text at a time becomes an object
+            fp = [bits_of(features(t.as_py())) for t in b.column("__text")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(fp, pa.int64())], [*columns, "fp"])
 
-    return docs.select(*columns, "__text").mapInPandas(run, f"{schema}, fp bigint")
+    return docs.select(*columns, "__text").mapInArrow(run, f"{schema}, fp bigint")
 
 
 # Planning
