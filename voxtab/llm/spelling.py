@@ -35,6 +35,8 @@ LENGTH, OCCURRENCES, RATIO, NOISE = 6, 5, 5, 199
 GROUP = 256
 #: Texts are read in pieces of at least this many characters, cut between words.
 PIECE = 1 << 20
+#: Keyed words of a task that scans; their bytes are few for the work that they make.
+SCANNED = 20_000
 #: Different words that a task holds before it passes their counts on.
 HELD = 500_000
 
@@ -208,7 +210,7 @@ def near_words(words: DataFrame, length: int = LENGTH, group: int = GROUP) -> Da
         if out:
             yield batch_of(out)
 
-    pairs = rows.select("key", "word", "n").repartition("key").sortWithinPartitions("key", "word").mapInArrow(run, "word string, near bigint, form_n bigint, form string")
+    pairs = rows.select("key", "word", "n").repartition(rows.count() // SCANNED + 1, "key").sortWithinPartitions("key", "word").mapInArrow(run, "word string, near bigint, form_n bigint, form string")
     best = F.min(F.struct((-F.col("form_n")).alias("o"), "form"))
     return pairs.groupBy("word").agg(F.sum("near").alias("n_near"), best.alias("b")).select("word", "n_near", (-F.col("b.o")).alias("form_n"), "b.form")
 
