@@ -71,6 +71,30 @@ def test_shards_of_many_equal_rows(spark, monkeypatch):
     assert all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:], strict=False)) and got[0][0] == 0
 
 
+def test_a_worker_remembers_a_bounded_number_of_words(monkeypatch):
+    """However many words pass, memory holds two lots of them; words forgotten and met again get the same ids, also in blocks of one text."""
+    monkeypatch.setattr(token_shards, "CACHE_WORDS", 50)
+    monkeypatch.setattr(token_shards, "_CACHE", {})
+    path = token_shards.tokenizer_path()
+    texts = [f"The {chr(97 + i % 26)}{chr(97 + i % 7)}{chr(97 + i % 11)}wörd, don't. o'n' {i}x!! <|endoftext|>. é... ÀB?! é," for i in range(200)]
+    for again in range(2):
+        for lo in range(0, 200, 8):
+            got = token_shards.encode(texts[lo : lo + 8], path, 2)
+            assert [np.frombuffer(g, "<u2").tolist() for g in got] == [direct(t) for t in texts[lo : lo + 8]]
+            # A block adds its own words (some 60 at most) before a lot is closed.
+            assert sum(map(len, token_shards._CACHE[f"{path}:2"])) <= 2 * (50 + 60)
+    assert token_shards.encode([], path) == [] and token_shards.encode(["", " \n "], path) == [b"", b""]
+
+
+def test_blocks_cover_all_texts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_shards, "BLOCK_BYTES", 10)
+    for texts in ([], [""], ["", ""], ["a" * 100], ["a" * 4] * 9, ["", "é" * 7, "", "b" * 35, "c"]):
+        spans = list(token_shards._blocks(pa.array(texts, pa.string())))
+        assert [i for a, b in spans for i in range(a, b)] == list(range(len(texts))) and all(sum(len(t.encode()) for t in texts[a + 1 : b]) < 10 for a, b in spans)
+
+
 # Models
 
 

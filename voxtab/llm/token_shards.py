@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,16 +32,22 @@ from voxtab.llm.common import new_folder, table, written
 END_ID = 1
 #: A task closes a shard after this many ids (8 or 16 MB) and begins another.
 SHARD_IDS = 4_000_000
-#: Words whose ids a Python worker remembers; beyond it forgets all and starts again.
-CACHE_WORDS = 1_500_000
+#: Bytes of text, besides its first one, that are encoded at a time.
+BLOCK_BYTES = 3_000_000
+#: Words whose ids a Python worker remembers from now, and as many from before; a word met again stays.
+CACHE_WORDS = 250_000
 #: A displacement that no bucket reaches: its hash is the stored fingerprint.
 FINGERPRINT = 2**31 - 2
 KEY = np.dtype([("doc_id", "<i8"), ("seen", "<i4")])
 SLOT = np.dtype([("fp", "<u8"), ("offset", "<i8"), ("length", "<i8")])
-#: A piece that is lower-case Latin-1 letters and ASCII symbols after them.
-ENDED = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
-_CACHE: dict[str, dict[str, bytes]] = {}
+#: Lower-case Latin-1 letters: one word of the tokenizer, which its normalizer leaves as it is.
+LETTERS = "a-zß-öø-ÿ"
+WORD = re.compile(f"[{LETTERS}]+")
+#: A letter and the ASCII symbols after it up to a space or the end: symbols after a letter are always tokens apart.
+ENDED = rf"([{LETTERS}])([!-/:-@\[-`{{-~]+)( |$)"
+_CACHE: dict[str, list[dict[str, bytes]]] = {}
 _TOKENIZERS: dict[str, object] = {}
+_BARE: dict[str, tuple] = {}
 
 
 # Encoding
@@ -60,10 +67,24 @@ def id_bytes(path: str, end_id: int = END_ID) -> int:
     return 2 if max(_tokenizer(path).get_vocab_size(with_added_tokens=True) - 1, end_id) < 2**16 else 4
 
 
-def _pieces(text: str) -> list[str]:
-    """Pieces that the tokenizer never joins ids across: the text between spaces and line ends.
+def _bare(path: str):  # noqa: ANN202
+    """The tokenizer without its normalizer, words ending at spaces only, and which of its ids end a word; None if its ids don't tell."""
+    if path not in _BARE:
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    The tokenizer lower-cases; doing so first leaves fewer different pieces. Only Latin-1 texts without the marks of special
+        bare = Tokenizer.from_file(path)
+        suffix = getattr(bare.model, "end_of_word_suffix", None)
+        last = np.zeros(bare.get_vocab_size(with_added_tokens=True), dtype=bool)
+        for token, k in bare.get_vocab().items():
+            last[k] = bool(suffix) and token.endswith(suffix)
+        bare.normalizer = None
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        _BARE[path] = (bare, last) if suffix else None
+    return _BARE[path]
+
+
+def _plain(text: str) -> str:
+    """The tokenizer lower-cases; doing so first leaves fewer different pieces. Only Latin-1 texts without the marks of special
     tokens, where it is exact.
     """
     if "<|" not in text:
@@ -72,33 +93,82 @@ def _pieces(text: str) -> list[str]:
             text = text.lower()
         except UnicodeEncodeError:
             pass
-    return text.replace("\n", " ").split(" ")
+    return text.replace("\n", " ")
+
+
+def _pieces(texts: list[str]) -> pa.Array:
+    """For each text its pieces, that the tokenizer never joins ids across: the text between spaces, line ends, and words and the symbols at their ends."""
+    column = pa.array([_plain(t) for t in texts], pa.large_string())
+    cut = pc.replace_substring_regex(column, ENDED, r"\1 \2\3")
+    marks = pc.match_substring(column, "<|")
+    return pc.split_pattern(pc.if_else(marks, column, cut) if pc.any(marks).as_py() else cut, " ")
+
+
+def _blocks(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """First and last + 1 of the texts that are encoded together."""
+    at = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64) // BLOCK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(column)]
+    return ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
 
 
 def encode(texts: list[str], path: str, width: int = 4) -> list[bytes]:
     """Ids of whole texts as little-endian unsigned integers of ``width`` bytes, without special tokens.
 
-    The tokenizer drops white space, so a text's ids are those of its pieces; each different piece goes through it once.
+    The tokenizer drops white space, so a text's ids are those of its pieces; each different piece of the texts is looked up
+    once, and goes through the tokenizer if it is not remembered. The ids are then gathered by where each piece's stand.
     """
-    cache = _CACHE.setdefault(f"{path}:{width}", {})
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    split = [_pieces(t) for t in texts]
-    new = {p for p in set().union(*split) if p not in cache}
+    if not texts:
+        return []
+    split = _pieces(texts)
+    coded = split.values.dictionary_encode()
+    ids = _ids_of(coded.dictionary.to_pylist(), path, width)
+    size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // width
+    raw, at = np.frombuffer(b"".join(ids), dtype=f"<u{width}"), coded.indices.to_numpy()
+    ends = np.cumsum(size[at])
+    total = int(ends[-1]) if len(ends) else 0
+    out = raw[np.arange(total) + np.repeat((np.cumsum(size) - size)[at] - (ends - size[at]), size[at])]
+    cuts = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()
+    return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _ids_of(pieces: list[str], path: str, width: int) -> list[bytes]:
+    """Ids of different pieces. Those not met while CACHE_WORDS others were are forgotten, so memory is bounded and common words stay."""
+    known, before = cache = _CACHE.setdefault(f"{path}:{width}", [{}, {}])
+    new = []
+    for p in pieces:
+        if p not in known:
+            if p in before:
+                known[p] = before[p]
+            else:
+                new.append(p)
     if new:
-        _learn(new, _tokenizer(path), cache, width)
-    return [b"".join(map(cache.__getitem__, p)) for p in split]
-
-
-def _learn(pieces: set[str], tokenizer, cache: dict[str, bytes], width: int) -> None:  # noqa: ANN001
-    """Ids of new pieces; a word and the symbols at its end are tokens apart, so the word may be known already."""
-    parts = {p: m.groups() for p in pieces if (m := ENDED.fullmatch(p))}
-    todo = {p for p in {x for w in parts.values() for x in w}.union(p for p in pieces if p not in parts) if p not in cache}
-    plain = [p for p in todo if p.isascii() or max(p) < "\u0100"]
-    for words, apart in ((plain, False), (list(todo.difference(plain)), True)):  # marks could join the space before them
+        _learn(new, path, known, width)
+    out = [known[p] for p in pieces]
+    if len(known) > CACHE_WORDS:
+        cache[:] = {}, known
+    return out
+
+
+def _learn(pieces: list[str], path: str, known: dict[str, bytes], width: int) -> None:
+    """Ids of new pieces. Words of letters end where an id ends a word; other pieces are cut by the places of their tokens."""
+    bare, rest = _bare(path), pieces
+    if bare:
+        words, rest = [], []
+        for p in pieces:
+            (words if WORD.fullmatch(p) else rest).append(p)
+        blocks = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        for block, got in zip(blocks, bare[0].encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, dtype=f"<u{width}")
+            cuts = [0, *((np.flatnonzero(bare[1][ids]) + 1) * width).tolist()]
+            raw = ids.tobytes()
+            for p, a, b in zip(block, cuts[:-1], cuts[1:], strict=True):
+                known[p] = raw[a:b]
+    plain = [p for p in rest if p.isascii() or max(p) < "\u0100"]
+    kept = set(plain)
+    for words, apart in ((plain, False), ([p for p in rest if p not in kept], True)):  # marks could join the space before them
         blocks = [words[i : i + 1000] for i in range(0, len(words), 1000)]
         batch = blocks if apart else [" ".join(b) for b in blocks]
-        for block, got in zip(blocks, tokenizer.encode_batch(batch, is_pretokenized=apart, add_special_tokens=False), strict=True):
+        for block, got in zip(blocks, _tokenizer(path).encode_batch(batch, is_pretokenized=apart, add_special_tokens=False), strict=True):
             raw = np.array(got.ids, dtype=f"<u{width}").tobytes()
             if apart:
                 starts, at = np.arange(len(block) + 1), np.array(got.word_ids, dtype=np.int64)
@@ -106,9 +176,7 @@ def _learn(pieces: set[str], tokenizer, cache: dict[str, bytes], width: int) ->
                 starts, at = np.cumsum([0] + [len(p) + 1 for p in block]), np.array([a for a, _ in got.offsets], dtype=np.int64)
             cuts = (np.searchsorted(at, starts) * width).tolist()
             for p, a, b in zip(block, cuts, cuts[1:], strict=False):
-                cache[p] = raw[a:b]
-    for p, (word, end) in parts.items():
-        cache[p] = cache[word] + cache[end]
+                known[p] = raw[a:b]
 
 
 # The index
@@ -249,8 +317,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
         end = end_id.to_bytes(width, "little")
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for lo in range(0, len(ids), 256):
-                for doc_id, raw in zip(ids[lo : lo + 256], encode(batch.column(1).slice(lo, 256).to_pylist(), path, width), strict=True):
+            for lo, hi in _blocks(batch.column(1)):
+                for doc_id, raw in zip(ids[lo:hi], encode(batch.column(1).slice(lo, hi - lo).to_pylist(), path, width), strict=True):
                     seen = seen + 1 if doc_id == last else 0
                     last = doc_id
                     keys.append((doc_id, seen))
