@@ -154,6 +154,14 @@ def test_disclosing_terms_go_wherever_they_stand(spark):
     assert "zanzibar" not in out[220] and out[220].endswith(" again") and out[221] is None and sanitise.sanitise(df).columns == [*df.columns, "sanitised"]
 
 
+def test_names_with_digits_count_by_themselves(spark):
+    """A name with digits that goes with one person goes, though other words of its length are common, and those stay."""
+    texts = [f"profile of Anna87 {i} is anna@corp.org today" for i in range(20)] + [f"today rooms k{i:03d}zz and anna88 are other words" for i in range(200)] + ["about ANNA87 again"]
+    got = {r["doc_id"]: r["sanitised"] for r in sanitise.sanitise(docs(spark, *texts)).collect()}
+    assert not any("anna87" in t.lower() for t in got.values()) and got[220] == got[220].strip() and got[220].endswith(" again")
+    assert all("Anna87" in texts[i] and "<EMAIL>" in got[i] for i in range(20)) and all(got[i] == texts[i] for i in range(20, 220))
+
+
 # URL filters
 
 
