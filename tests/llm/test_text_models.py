@@ -1,5 +1,6 @@
 """Token shards, language ID, SimHash, decontamination, quality and the pipeline."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -173,6 +174,23 @@ def test_language_stage_keeps_rows_as_they_are(spark, monkeypatch):
     assert kept.schema == df.schema and kept.count() == 62 and language_id.language_stage(spark, df.limit(0), "").count() == 0
 
 
+def test_language_stage_takes_a_text_once_and_a_few_at_a_time(spark, monkeypatch):
+    """What crosses to a worker, what it holds beside a batch, and what it gives back at once; rows and their order stay."""
+    df = docs(spark, [(i, f"the cat and this house {i} " * 12 if i % 3 else None, "en") for i in range(3000)]).coalesce(1)
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: (self, run))
+    rows, run = language_id.with_language(df, ["de", "en"], language_id.new_weights(2), least=0.0)
+    (batch,) = rows.toArrow().combine_chunks().to_batches()
+    assert batch.nbytes < 1.5 * sum(len(t) for t in batch.column("text").to_pylist() if t)
+    tracemalloc.start()
+    try:
+        parts = list(run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40e6 and max(p.nbytes for p in parts) < batch.nbytes / 2
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()] == [i for i in range(3000) if i % 3]
+
+
 def test_samples_are_bounded_whatever_repeats(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(language_id, "DOCS_PER_LABEL", 5)

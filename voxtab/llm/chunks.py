@@ -9,7 +9,7 @@ import pyarrow as pa
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a binary column without nulls, one after the other, and the n + 1 offsets of its values."""
+    """Bytes of a string or binary column without nulls, one after the other, and the n + 1 offsets of its values."""
     column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,9 @@ from voxtab.llm.common import table
 
 HIDDEN = 8
 SEGMENT = 128
-ROWS = 2048
+#: Segments that go through the network at once, and texts of an Arrow batch that are judged and passed on at once: what a worker holds beside the batch.
+ROWS = 1024
+TEXTS = 1000
 #: Bound of the training sample: the most frequent languages, documents of each, windows of each, characters of a window.
 LANGUAGES = 500
 DOCS_PER_LABEL = 400
@@ -85,7 +88,8 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray, keep: tup
     logits = states @ p["v"] + p["c"]
     logits -= logits.max(axis=2, keepdims=True)
     np.exp(logits, out=logits)
-    return logits / logits.sum(axis=2, keepdims=True), states
+    logits /= logits.sum(axis=2, keepdims=True)
+    return logits, states
 
 
 def train(texts: list[bytes], labels: list[int], n_labels: int, steps: int = STEPS) -> dict[str, np.ndarray]:
@@ -154,7 +158,7 @@ def learn(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
 
 
 def judged(weights: dict[str, np.ndarray], names: list[str], data: pa.Array, letters: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best label, whether there is one, and its probability (else 0) of each text (bytes, without nulls) of a batch."""
+    """Best label, whether there is one, and its probability (else 0) of each text (string or bytes, without nulls) of a batch."""
     prob = pooled(weights, *buffers(data)).round(9)
     known = letters.to_numpy(zero_copy_only=False) & bool(names)
     best = prob.argmax(axis=1)
@@ -198,15 +202,18 @@ def with_language(docs: DataFrame, names: list[str], weights: dict[str, np.ndarr
     """docs, all columns, without the rows that have no language (no letter) or whose pooled probability is below ``least``.
 
     Rows go through the workers as they are, so nothing is shuffled and rows need no key: repeated rows and null doc_ids are judged
-    each by its own text. Null and empty texts go; an empty table stays empty. The names ``__letter`` and ``__data`` are taken.
+    each by its own text. Null and empty texts go; an empty table stays empty. The name ``__letter`` is taken. A text crosses to
+    the worker once, as the column it is, and rows come back TEXTS at a time.
     """
-    width = len(docs.columns)
-    rows = docs.withColumn("__letter", has_letter(F.col("text"))).withColumn("__data", F.coalesce("text", F.lit("")).cast("binary"))
+    width, text = len(docs.columns), docs.columns.index("text")
+    rows = docs.withColumn("__letter", has_letter(F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, known, score = judged(weights, names, batch.column(width + 1), batch.column(width))
-            yield batch.select(list(range(width))).filter(pa.array(known & (score >= least)))
+            for part in (batch.slice(at, TEXTS) for at in range(0, len(batch), TEXTS)):
+                _, known, score = judged(weights, names, pc.fill_null(part.column(text), ""), part.column(width))
+                yield part.select(list(range(width))).filter(pa.array(known & (score >= least)))
+        pa.default_memory_pool().release_unused()  # a worker stays, beside its executor's heap, for the stages to come
 
     return rows.mapInArrow(run, docs.schema)
 

@@ -328,6 +328,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
                         yield close()
         if keys:
             yield close()
+        pa.default_memory_pool().release_unused()  # else the worker keeps a block's pieces while other stages run
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # Equal rows may stand in any order, so where they stand in the input lets ranges cut between them.
