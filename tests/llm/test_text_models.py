@@ -87,6 +87,19 @@ def test_a_worker_remembers_a_bounded_number_of_words(monkeypatch):
     assert token_shards.encode([], path) == [] and token_shards.encode(["", " \n "], path) == [b"", b""]
 
 
+def test_less_memory_gives_the_same_ids(monkeypatch):
+    """Few remembered words and small blocks, as in the pipeline: every id stays, and the words kept stay bounded."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_shards, "_CACHE", {})
+    path, rng = token_shards.tokenizer_path(), np.random.default_rng(3)
+    texts = pa.array([" ".join(f"word{k}x, Y{k}" for k in rng.integers(0, 300, 40)) for _ in range(30)])
+    want = token_shards.encode(texts.to_pylist(), path, 2)
+    token_shards._CACHE.clear()
+    got = [x for a, b in token_shards._blocks(texts, 400) for x in token_shards.encode(texts.slice(a, b - a).to_pylist(), path, 2, words=20)]
+    assert got == want and sum(map(len, token_shards._CACHE[f"{path}:2"])) < 200
+
+
 def test_blocks_cover_all_texts(monkeypatch):
     import pyarrow as pa
 

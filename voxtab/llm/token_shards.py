@@ -36,6 +36,9 @@ SHARD_IDS = 4_000_000
 BLOCK_BYTES = 3_000_000
 #: Words whose ids a Python worker remembers from now, and as many from before; a word met again stays.
 CACHE_WORDS = 250_000
+#: The same two in the corpus pipeline, whose workers stand beside a heap that its other stages have filled: less memory, more time.
+STAGE_BYTES = 1_000_000
+STAGE_WORDS = 75_000
 #: A displacement that no bucket reaches: its hash is the stored fingerprint.
 FINGERPRINT = 2**31 - 2
 KEY = np.dtype([("doc_id", "<i8"), ("seen", "<i4")])
@@ -104,24 +107,24 @@ def _pieces(texts: list[str]) -> pa.Array:
     return pc.split_pattern(pc.if_else(marks, column, cut) if pc.any(marks).as_py() else cut, " ")
 
 
-def _blocks(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """First and last + 1 of the texts that are encoded together."""
-    at = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64) // BLOCK_BYTES
+def _blocks(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """First and last + 1 of the texts that are encoded together, ``size`` (else BLOCK_BYTES) bytes besides the first one."""
+    at = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64) // (size or BLOCK_BYTES)
     cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(column)]
     return ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
 
 
-def encode(texts: list[str], path: str, width: int = 4) -> list[bytes]:
+def encode(texts: list[str], path: str, width: int = 4, words: int | None = None) -> list[bytes]:
     """Ids of whole texts as little-endian unsigned integers of ``width`` bytes, without special tokens.
 
     The tokenizer drops white space, so a text's ids are those of its pieces; each different piece of the texts is looked up
-    once, and goes through the tokenizer if it is not remembered. The ids are then gathered by where each piece's stand.
+    once, and goes through the tokenizer if it is not among the ``words`` (else CACHE_WORDS) remembered. The ids are then gathered by where each piece's stand.
     """
     if not texts:
         return []
     split = _pieces(texts)
     coded = split.values.dictionary_encode()
-    ids = _ids_of(coded.dictionary.to_pylist(), path, width)
+    ids = _ids_of(coded.dictionary.to_pylist(), path, width, words or CACHE_WORDS)
     size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // width
     raw, at = np.frombuffer(b"".join(ids), dtype=f"<u{width}"), coded.indices.to_numpy()
     ends = np.cumsum(size[at])
@@ -131,8 +134,8 @@ def encode(texts: list[str], path: str, width: int = 4) -> list[bytes]:
     return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _ids_of(pieces: list[str], path: str, width: int) -> list[bytes]:
-    """Ids of different pieces. Those not met while CACHE_WORDS others were are forgotten, so memory is bounded and common words stay."""
+def _ids_of(pieces: list[str], path: str, width: int, words: int) -> list[bytes]:
+    """Ids of different pieces. Those not met while ``words`` others were are forgotten, so memory is bounded and common words stay."""
     known, before = cache = _CACHE.setdefault(f"{path}:{width}", [{}, {}])
     new = []
     for p in pieces:
@@ -144,7 +147,7 @@ def _ids_of(pieces: list[str], path: str, width: int) -> list[bytes]:
     if new:
         _learn(new, path, known, width)
     out = [known[p] for p in pieces]
-    if len(known) > CACHE_WORDS:
+    if len(known) > words:
         cache[:] = {}, known
     return out
 
@@ -286,12 +289,12 @@ def _put(folder: str, name: str, data: bytes) -> None:
 MANIFEST = "name string, first_id bigint, last_id bigint, docs bigint, ids bigint"
 
 
-def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, block: int = BLOCK_BYTES, words: int = CACHE_WORDS) -> DataFrame:
     """Write the texts of docs (doc_id, text) as shards in ascending doc_id order; the manifest of what was written.
 
     Null and empty texts are one end id; a null doc_id is written as the smallest long; rows that repeat a doc_id
     follow each other by a hash of their text, dealt to as many tasks as they need, and are numbered within each task's part. An
-    empty table writes no shard. Other columns are ignored.
+    empty table writes no shard. Other columns are ignored. ``block`` and ``words`` trade a worker's memory for time and change no id.
     """
 
     width = id_bytes(path, end_id)
@@ -317,8 +320,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
         end = end_id.to_bytes(width, "little")
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for lo, hi in _blocks(batch.column(1)):
-                for doc_id, raw in zip(ids[lo:hi], encode(batch.column(1).slice(lo, hi - lo).to_pylist(), path, width), strict=True):
+            for lo, hi in _blocks(batch.column(1), block):
+                for doc_id, raw in zip(ids[lo:hi], encode(batch.column(1).slice(lo, hi - lo).to_pylist(), path, width, words), strict=True):
                     seen = seen + 1 if doc_id == last else 0
                     last = doc_id
                     keys.append((doc_id, seen))
@@ -431,4 +434,4 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where the ids of each row of docs stand in the written shards; see ``write_shards`` for nulls, repeats and empty tables."""
     folder = new_folder(spark, "token-shards")
-    return read_shards(write_shards(docs.select("doc_id", "text"), folder, tokenizer_path()), folder)
+    return read_shards(write_shards(docs.select("doc_id", "text"), folder, tokenizer_path(), block=STAGE_BYTES, words=STAGE_WORDS), folder)
