@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tests.test_operators import HEADER, head
-from voxtab.operators import catalog, tag_edits
+from voxtab.operators import catalog, roi, tag_edits
 from voxtab.sources import archives
 
 MEMBERS = "archive_id bigint, ord bigint, member_name string"
@@ -189,3 +189,15 @@ def test_progress_of_jobs(spark):
     df = spark.createDataFrame(rows, "job_id string, total bigint, processed bigint, status string")
     got = {r["job_id"]: (r["processed"], r["total"], r["percent"]) for r in archives.job_progress(background_jobs=df).collect()}
     assert got == {"a": (1, 8, 12), "b": (8, 8, 100), "c": (3, 0, 0), "d": (2, 8, 100), "e": (0, 0, 0), "f": (1, 200, 0), "g": (3, 200, 2)}
+
+
+STATS = "measurement_id string, unit string, area_unit string, width double, area double, mean double, standard_deviation double"
+
+
+def box_stats(spark):
+    return spark.createDataFrame([("a", "mm", "mm2", 1.5, 18.0, -0.015625, 450.0), ("b", "px", "px2", 0.25, -0.05, None, 0.0), ("c", "px", "px2", 2.0, 4.0, -0.06, 0.04)], STATS)
+
+
+def test_labels_keep_the_sign_of_small_numbers(spark):
+    got = {r["measurement_id"]: (r["area_label"], r["mean_label"], r["sd_label"], r["width_label"]) for r in roi.measurement_labels(rect_roi_stats=box_stats(spark)).collect()}
+    assert got == {"a": ("Area: 18.0 mm2", "Mean: -0.0", "SD: 450.0", "W: 1.5 mm"), "b": ("Area: -0.0 px2", "Mean: -", "SD: 0.0", "W: 0.2 px"), "c": ("Area: 4.0 px2", "Mean: -0.1", "SD: 0.0", "W: 2.0 px")}

@@ -200,8 +200,8 @@ UNION ALL SELECT series_id, i, 'air' AS roi_id, round(cx + (a).dx * (radius + 2
 
 @operator
 def measurement_labels(d: Dialect) -> str:
-    """Label texts of each rectangle: fixed one-place numbers, ``-`` for none."""
-    text = lambda c: f"coalesce({d.format('%.1f', d.even(c, 1))}, '-')"
+    """Label texts of each rectangle: fixed one-place numbers with their sign, also where they round to zero, ``-`` for none."""
+    text = lambda c: f"coalesce({d.fixed(c)}, '-')"
     return f"SELECT measurement_id, 'Area: ' || {text('area')} || ' ' || area_unit AS area_label, 'Mean: ' || {text('mean')} AS mean_label, 'SD: ' || {text('standard_deviation')} AS sd_label, 'W: ' || {text('width')} || ' ' || unit AS width_label FROM rect_roi_stats"
 
 
