@@ -201,3 +201,8 @@ def box_stats(spark):
 def test_labels_keep_the_sign_of_small_numbers(spark):
     got = {r["measurement_id"]: (r["area_label"], r["mean_label"], r["sd_label"], r["width_label"]) for r in roi.measurement_labels(rect_roi_stats=box_stats(spark)).collect()}
     assert got == {"a": ("Area: 18.0 mm2", "Mean: -0.0", "SD: 450.0", "W: 1.5 mm"), "b": ("Area: -0.0 px2", "Mean: -", "SD: 0.0", "W: 0.2 px"), "c": ("Area: 4.0 px2", "Mean: -0.1", "SD: 0.0", "W: 2.0 px")}
+
+
+def test_read_labels_keep_the_sign_of_small_numbers(spark):
+    got = [(r["label"], r["concept"], r["number"]) for r in roi.parse_measure_labels(rect_roi_stats=box_stats(spark)).collect() if r["measurement_id"] < "c"]
+    assert ("Mean: -0.0", "Mean", 0.0) in got and ("Area: -0.0 px2", "Area", 0.0) in got and len(got) == 7
