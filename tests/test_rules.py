@@ -206,3 +206,10 @@ def test_labels_keep_the_sign_of_small_numbers(spark):
 def test_read_labels_keep_the_sign_of_small_numbers(spark):
     got = [(r["label"], r["concept"], r["number"]) for r in roi.parse_measure_labels(rect_roi_stats=box_stats(spark)).collect() if r["measurement_id"] < "c"]
     assert ("Mean: -0.0", "Mean", 0.0) in got and ("Area: -0.0 px2", "Area", 0.0) in got and len(got) == 7
+
+
+def test_report_numbers_keep_the_sign_of_small_numbers(spark):
+    point = "named_struct('x', 1D, 'y', 2D)"
+    boxes = spark.sql(f"SELECT 'a' AS measurement_id, 'S1' AS series_id, 0 AS slice_index, 'rect' AS tool_type, array({point}, {point}) AS points")
+    got = {r["path"]: r["text_value"] for r in roi.sr_report_rows(measurements=boxes, rect_roi_stats=box_stats(spark)).collect()}
+    assert (got["1.4.1"], got["1.4.2"], got["1.4.3"], got["1.3.2"]) == ("18.0", "-0.0", "450.0", "1.00/2.00")

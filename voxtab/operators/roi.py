@@ -371,11 +371,10 @@ def distinct(d: Dialect, array: str) -> str:
 def sr_report_rows(d: Dialect) -> str:
     """Report tree of every measurement, one row an item: its path in the tree, concept and text. Group, then tool and place, coordinates, and the numbers of rectangles."""
     item = lambda path, concept, text: d.struct(path=path, concept=f"'{concept}'", text_value=text)
-    number = lambda c: d.format("%.1f", d.even(c, 1))
     joined = lambda a, b: f"concat({a}, {b})" if d.spark else f"list_concat({a}, {b})"
     head = d.array(item("'1'", "Imaging Measurement", "measurement_id"), item("'1.1'", "Tool", "tool_type"), item("'1.2'", "Source", f"series_id || '/' || cast(slice_index AS {d.text})"))
     p = d.at("points", "n")
     points = d.each(d.span("0", d.size("points") + " - 1"), "n", item(f"'1.3.' || cast(n + 1 AS {d.text})", "Coordinate", f"{d.format('%.2f', f'({p}).x')} || '/' || {d.format('%.2f', f'({p}).y')}"))
-    numbers = d.array(*(item(f"'1.4.{n}'", c.title(), number(c)) for n, c in enumerate(("area", "mean", "standard_deviation"), 1)))
+    numbers = d.array(*(item(f"'1.4.{n}'", c.title(), d.fixed(c)) for n, c in enumerate(("area", "mean", "standard_deviation"), 1)))
     return f"""SELECT measurement_id, (x).path AS path, (x).concept AS concept, (x).text_value AS text_value FROM (SELECT measurement_id, {d.rows(joined(joined(head, points), 'CASE WHEN mean IS NULL THEN ' + d.keep(numbers, 'n', 'false') + ' ELSE ' + numbers + ' END'))} AS x
 FROM (SELECT m.*, area, mean, standard_deviation FROM measurements m LEFT JOIN rect_roi_stats r ON r.measurement_id = m.measurement_id) q) w"""
