@@ -270,16 +270,25 @@ def smooth_path(d: Dialect, closed: bool = False, samples: int = 12) -> str:
     SELECT *, {d.rows(d.span('0', f'({segments}) * {samples}'))} AS m FROM measurements WHERE tool_type = 'curve' AND {n} >= 2) p) q"""
 
 
-def outline(d: Dialect) -> str:
-    """Points (n, x, y) of each measurement's outline: rectangles as five corners, ellipses as 33 points, freeforms closed, others as they are."""
+def shape(d: Dialect) -> tuple[str, str]:
+    """Graphic type and array of the points of a measurement's outline, from its points and the columns of ``ends``."""
     point = lambda x, y: d.struct(x=x, y=y)
     rect = d.array(point("x0", "y0"), point("x1", "y0"), point("x1", "y1"), point("x0", "y1"), point("x0", "y0"))
     turn = d.each(d.span("0", "32"), "n", point("(x0 + x1) / 2 + abs(x1 - x0) / 2 * cos(2 * pi() * (n % 32) / 32)", "(y0 + y1) / 2 + abs(y1 - y0) / 2 * sin(2 * pi() * (n % 32) / 32)"))
     first, last = d.at("points", 0), d.at("points", d.size("points") + " - 1")
     join = "concat(points, slice(points, 1, 1))" if d.spark else "list_concat(points, points[1:1])"
     closed = f"CASE WHEN {d.size('points')} > 2 AND NOT (({first}).x = ({last}).x AND ({first}).y = ({last}).y) THEN {join} ELSE points END"
+    return (
+        f"CASE WHEN {d.size('points')} = 1 THEN 'POINT' ELSE 'POLYLINE' END",
+        f"CASE WHEN {d.size('points')} = 1 THEN points WHEN tool_type = 'rect' THEN {rect} WHEN tool_type = 'ellipse' THEN {turn} WHEN tool_type = 'freeform' THEN {closed} ELSE points END",
+    )
+
+
+def outline(d: Dialect) -> str:
+    """Points (n, x, y) of each measurement's outline: rectangles as five corners, ellipses as 33 points, freeforms closed, others as they are."""
+    graphic_type, o = shape(d)
     return f"""SELECT measurement_id, graphic_type, cast(n AS int) AS n, ({d.at('o', 'n')}).x AS x, ({d.at('o', 'n')}).y AS y, image_width, image_height FROM (SELECT *, {d.rows(d.span('0', d.size('o') + ' - 1'))} AS n FROM (
-  SELECT measurement_id, image_width, image_height, CASE WHEN {d.size('points')} = 1 THEN 'POINT' ELSE 'POLYLINE' END AS graphic_type, CASE WHEN {d.size('points')} = 1 THEN points WHEN tool_type = 'rect' THEN {rect} WHEN tool_type = 'ellipse' THEN {turn} WHEN tool_type = 'freeform' THEN {closed} ELSE points END AS o
+  SELECT measurement_id, image_width, image_height, {graphic_type} AS graphic_type, {o} AS o
   FROM (SELECT *, {ends(d)} FROM measurements) m) a) b"""
 
 
@@ -336,12 +345,51 @@ def gsps_references(d: Dialect) -> str:
     is_own = f"tag_path LIKE '{ANNOTATIONS}/%/00081140/%/00081155' AND trim(value) <> ''"
     is_default = "tag_path LIKE '00081115/%/00081140/%/00081155' AND trim(value) <> ''"
     place = "cast(split_part(tag_path, '/', 2) AS bigint) * 1000000 + cast(split_part(tag_path, '/', 4) AS bigint)"
+    if d.spark:  # one pass; only references keep their value, so that a state's many objects fall together before they are moved or sorted
+        return f"""SELECT file, annotation, coalesce(uid, default_uid) AS ref_uid FROM (SELECT *, max(CASE WHEN annotation IS NULL THEN uid END) OVER (PARTITION BY file) AS default_uid FROM (
+  SELECT file, annotation, {d.first_by('uid', 'at')} AS uid FROM (SELECT DISTINCT file, CASE WHEN tag_path LIKE '{ANNOTATIONS}/%/%' THEN cast(split_part(tag_path, '/', 2) AS int) END AS annotation,
+    CASE WHEN {is_own} THEN cast(split_part(tag_path, '/', 4) AS bigint) WHEN {is_default} THEN {place} END AS at, CASE WHEN ({is_own}) OR ({is_default}) THEN trim(value) END AS uid
+    FROM state_tags WHERE tag_path LIKE '{ANNOTATIONS}/%/%' OR {is_default}) r GROUP BY file, annotation) a) f WHERE annotation IS NOT NULL"""
     return f"""SELECT a.file, a.annotation, coalesce(a.own, f.uid) AS ref_uid FROM (
   SELECT file, annotation, CASE WHEN count(own_at) > 0 THEN {d.first_by('value', 'own_at')} END AS own FROM (
     SELECT file, cast(split_part(tag_path, '/', 2) AS int) AS annotation, trim(value) AS value, CASE WHEN {is_own} THEN cast(split_part(tag_path, '/', 4) AS bigint) END AS own_at FROM state_tags WHERE tag_path LIKE '{ANNOTATIONS}/%/%') e GROUP BY file, annotation) a
 LEFT JOIN (SELECT file, {d.first_by('trim(value)', place)} AS uid FROM state_tags WHERE {is_default} GROUP BY file) f ON f.file = a.file"""
 
 
+def gsps_items(d: Dialect) -> str:
+    """Spark's one pass over the elements of presentation states: graphics and texts with their number in the annotation, the text of a graphic's place, and what the annotation and the state say of them.
+
+    Elements are moved once, by file; sorted by annotation, kind and object, a state's own row comes before its annotations and an annotation's before its objects.
+    """
+    is_object = f"(tag_path LIKE '{ANNOTATIONS}/%/{OBJECTS}/%/%' OR tag_path LIKE '{ANNOTATIONS}/%/{TEXTS}/%/%') AND split_part(tag_path, '/', 5) <> ''"
+    is_own, is_default = f"tag_path LIKE '{ANNOTATIONS}/%/00081140/%/00081155' AND trim(value) <> ''", "tag_path LIKE '00081115/%/00081140/%/00081155' AND trim(value) <> ''"
+    is_layer, is_state = f"tag_path LIKE '{ANNOTATIONS}/%/{LAYER}'", "tag_path = '00080018'"
+    place = "cast(split_part(tag_path, '/', 2) AS bigint) * 1000000 + cast(split_part(tag_path, '/', 4) AS bigint)"
+    role = f"CASE WHEN {is_own} THEN 'own' WHEN {is_layer} THEN 'layer' WHEN {is_object} THEN split_part(tag_path, '/', 5) WHEN {is_default} THEN 'default' WHEN {is_state} THEN 'state' END"
+    of = lambda n, leaf: f"max(CASE WHEN role = '{leaf}' THEN value END) AS {n}"
+    at = lambda n: f"CASE WHEN upper(coalesce(anchor_units, '')) IN ('', 'PIXEL') THEN greatest(try_cast(trim({d.at(d.parts('anchor'), n)}) AS double) - 1, 0) END"
+    numbers = d.keep(d.each(d.parts("coalesce(data, '')"), "x", "try_cast(trim(x) AS double)"), "x", "x IS NOT NULL")
+    point = lambda n: d.each(d.span("0", f"cast(floor({d.size('numbers')} / 2) AS int) - 1"), "i", f"greatest({d.at('numbers', f'2 * i + {n}')} - 1, 0)")
+    shape = f"CASE WHEN is_graphic THEN {d.struct(xs=point(0), ys=point(1))} END"  # a row of its own generator, so that filters do not make it again
+    run = "OVER (PARTITION BY file ORDER BY annotation, kind, object_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    place_of = "OVER (PARTITION BY file, annotation, item)"
+    return f"""SELECT file, annotation, cast(item AS int) AS item, is_graphic, sop_uid, ref_uid, annotates, graphic_type, text_value, label, has_graphic, shape.xs AS xs, shape.ys AS ys,
+  CASE WHEN y IS NOT NULL THEN x END AS x, CASE WHEN x IS NOT NULL THEN y END AS y FROM (SELECT *, {d.rows(d.array(shape))} AS shape FROM (
+  SELECT *, max(is_graphic) {place_of} AS has_graphic, max(CASE WHEN NOT is_graphic THEN text_value END) {place_of} AS label FROM (
+    SELECT file, annotation, item, is_graphic, sop_uid, coalesce(CASE WHEN head.annotation = annotation THEN head.own END, default_uid) AS ref_uid, coalesce(CASE WHEN head.annotation = annotation THEN head.layer END, '') IN {ANNOTATION_LAYERS} AS annotates,
+      upper(graphic_type) AS graphic_type, numbers, text_value, CASE WHEN NOT is_graphic THEN {at(0)} END AS x, CASE WHEN NOT is_graphic THEN {at(1)} END AS y FROM (
+      SELECT *, kind = '{OBJECTS}' AS is_graphic, max(state) {run} AS sop_uid, max(default_uid_) {run} AS default_uid, max(CASE WHEN kind = '' AND annotation IS NOT NULL THEN named_struct('annotation', annotation, 'own', own, 'layer', layer) END) {run} AS head FROM (
+        SELECT *, sum(CASE WHEN valid THEN 1 ELSE 0 END) OVER (PARTITION BY file, annotation, kind ORDER BY object_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS item FROM (
+          SELECT *, CASE kind WHEN '{OBJECTS}' THEN upper(coalesce(units, '')) IN ('', 'PIXEL') AND {d.size('numbers')} >= 2 WHEN '{TEXTS}' THEN coalesce(text_value, '') <> '' ELSE false END AS valid FROM (
+            SELECT *, CASE WHEN kind = '{OBJECTS}' THEN {numbers} END AS numbers FROM (
+              SELECT file, annotation, kind, object_no, {', '.join(of(*x) for x in (*FIELDS.items(), ('state', 'state')))}, upper(max(CASE WHEN role = 'layer' THEN value END)) AS layer, {d.first_by("CASE WHEN role = 'own' THEN value END", "CASE WHEN role = 'own' THEN at END")} AS own,
+                {d.first_by("CASE WHEN role = 'default' THEN value END", "CASE WHEN role = 'default' THEN at END")} AS default_uid_ FROM (
+                SELECT file, role, trim(value) AS value, CASE WHEN role NOT IN ('default', 'state') THEN cast(split_part(tag_path, '/', 2) AS int) END AS annotation, CASE WHEN role IN ('own', 'layer', 'default', 'state') THEN '' ELSE split_part(tag_path, '/', 3) END AS kind,
+                  CASE WHEN role NOT IN ('own', 'layer', 'default', 'state') THEN cast(split_part(tag_path, '/', 4) AS int) END AS object_no, CASE role WHEN 'own' THEN cast(split_part(tag_path, '/', 4) AS bigint) WHEN 'default' THEN {place} END AS at
+                FROM (SELECT file, tag_path, value, {d.rows(d.array(role))} AS role FROM state_tags) w WHERE role IS NOT NULL DISTRIBUTE BY file) e GROUP BY file, annotation, kind, object_no) g) n) v) p) h
+      WHERE valid) k WHERE coalesce(ref_uid, '') <> '') q) s"""
+
+
 @operator
 def parse_gsps(d: Dialect) -> str:
     """Measurements and annotations of presentation states from their elements: a graphic's shape says the tool, the text of the same place is its label, texts that are left over become annotations. States without a reference are left out."""
@@ -352,6 +400,13 @@ def parse_gsps(d: Dialect) -> str:
     tool = f"CASE WHEN annotates THEN 'arrow' WHEN graphic_type IN ('ELLIPSE', 'CIRCLE') THEN 'ellipse' WHEN graphic_type = 'POLYLINE' THEN CASE WHEN {n} = 2 THEN 'line' WHEN {closed} THEN 'rect' ELSE 'freeform' END END"
     ends = lambda c: f"CASE tool_type WHEN 'arrow' THEN {d.array(first(c), last(c))} WHEN 'ellipse' THEN {d.array(d.least_of(c), d.most_of(c))} WHEN 'rect' THEN {d.array(first(c), d.at(c, 2))} ELSE {c} END"
     overlay = f"coalesce(nullif(sop_uid, ''), 'gsps') || ':' || cast(annotation AS {d.text}) || ':' || cast(item AS {d.text})"
+    if d.spark:
+        text = f"'gsps-text-' || {overlay}"
+        measure = f"CASE WHEN annotates THEN 'gsps-annotation-' ELSE 'gsps-measure-' END || {overlay}"
+        by = lambda graphic, other: f"CASE WHEN is_graphic THEN {graphic} ELSE {other} END"
+        return f"""SELECT file, ref_uid, {by(measure, text)} AS overlay_id, CASE WHEN is_graphic AND NOT annotates THEN 'measurement' ELSE 'annotation' END AS kind, {by('tool_type', "'arrow'")} AS tool_type,
+  {by(ends('xs'), d.array('x', 'x + 1'))} AS xs, {by(ends('ys'), d.array('y', 'y + 1'))} AS ys, {by("coalesce(label, '')", 'text_value')} AS label
+FROM (SELECT *, CASE WHEN is_graphic THEN {tool} END AS tool_type FROM ({gsps_items(d)}) i WHERE CASE WHEN is_graphic THEN {n} >= 2 ELSE NOT has_graphic AND x IS NOT NULL END) t WHERE NOT is_graphic OR tool_type IS NOT NULL"""
     return f"""WITH layers AS (SELECT r.file, r.annotation, r.ref_uid, s.sop_uid, coalesce(l.layer, '') IN {ANNOTATION_LAYERS} AS annotates FROM gsps_references r
   LEFT JOIN (SELECT file, cast(split_part(tag_path, '/', 2) AS int) AS annotation, upper(trim(value)) AS layer FROM state_tags WHERE tag_path LIKE '{ANNOTATIONS}/%/{LAYER}') l ON l.file = r.file AND l.annotation = r.annotation
   LEFT JOIN (SELECT file, trim(value) AS sop_uid FROM state_tags WHERE tag_path = '00080018') s ON s.file = r.file WHERE coalesce(r.ref_uid, '') <> '')

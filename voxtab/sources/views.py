@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from voxtab.plans.statement import Dialect, operator, view
+from voxtab.operators.roi import CLIPPED, ends, shape
+from voxtab.plans.statement import REGISTRY, Dialect, operator, view
 
 
 @view
@@ -150,12 +151,25 @@ def state_tags(d: Dialect) -> str:
     number = lambda c: f"cast({c} AS {t})"
     field = lambda tag, vr, value: d.struct(tag=f"'{tag}'", vr=f"'{vr}'", value=value)
     own = lambda tags: "SELECT file, '00700001/' || " + number("annotation") + " || '/' || kind || '/' || " + number("object_no") + " || '/' || (x).tag AS tag_path, (x).tag AS tag, (x).vr AS vr, (x).value AS value FROM (" + tags + ") o"
+    state = d.array(field("00080018", "UI", "'1.9.' || replace(file, '/', '.')"), d.struct(tag="'00081115/0/00081140/0/00081155'", vr="'UI'", value="'1.2.3.' || replace(file, '/', '.')"))
+    layer = d.array(d.struct(tag="'00700002'", vr="'CS'", value="CASE annotation WHEN 1 THEN 'ANNOTATIONS' ELSE 'MEASURE' END"), d.struct(tag="'00081140/0/00081155'", vr="'UI'", value="CASE annotation WHEN 1 THEN '1.2.4.' || replace(file, '/', '.') ELSE '' END"))
+    if d.spark:  # drawings are moved once, with their points; their data are written after that, and only where they are read
+        clipped = [f"cast(round({c.replace('greatest(', 'greatest(p.')} + 1, 6) AS string)" for c in CLIPPED]
+        data = f"array_join(transform(o, p -> {clipped[0]} || chr(92) || {clipped[1]}), chr(92))"
+        graphic_type, o = shape(d)
+        values = {"units": ("00700009", "00700005", "CS", "units"), "type": ("00700009", "00700023", "CS", f"CASE WHEN tool_type = 'ellipse' THEN 'ELLIPSE' ELSE {graphic_type} END"), "data": ("00700009", "00700022", "FL", "data"),
+                  "text": ("00700008", "00700006", "ST", "CASE WHEN object_no % 3 = 2 THEN ' ' ELSE 'label of ' || tool_type END"), "anchor": ("00700008", "00700014", "FL", "'3.5' || chr(92) || '0.5'"), "place": ("00700008", "00700004", "CS", "CASE WHEN object_no % 5 = 4 THEN 'DISPLAY' ELSE 'PIXEL' END")}
+        value = "CASE (x).tag " + " ".join(f"WHEN '{tag}' THEN {data.replace('(o,', f'({o},') if k == 'data' else v}" for k, (_, tag, _, v) in values.items()) + " END"
+        each = d.array(*(d.struct(kind=f"'{kind}'", tag=f"'{tag}'", vr=f"'{vr}'") for kind, tag, vr, _ in values.values()))
+        file = f"series_id || '/' || {number('slice_index')} AS file, CASE WHEN tool_type = 'angle' THEN 1 ELSE 0 END AS annotation"
+        return f"""SELECT file, '00700001/' || {number('annotation')} || '/' || (x).kind || '/' || {number('object_no')} || '/' || (x).tag AS tag_path, (x).tag AS tag, (x).vr AS vr, {value} AS value FROM (SELECT *, {d.rows(each)} AS x FROM (SELECT *, {ends(d)}, CASE WHEN scope = 'series' AND tool_type = 'curve' THEN 'DISPLAY' ELSE 'PIXEL' END AS units FROM (
+  SELECT {file}, tool_type, scope, points, image_width, image_height, row_number() OVER (PARTITION BY series_id, slice_index, tool_type = 'angle' ORDER BY measurement_id) - 1 AS object_no FROM measurements) l) m) o
+UNION ALL SELECT file, '00700001/' || {number('annotation')} || '/' || (x).tag AS tag_path, right((x).tag, 8) AS tag, (x).vr AS vr, (x).value AS value FROM (SELECT file, annotation, {d.rows(layer)} AS x FROM (SELECT DISTINCT {file} FROM measurements) a) b
+UNION ALL SELECT file, (x).tag AS tag_path, right((x).tag, 8) AS tag, (x).vr AS vr, (x).value AS value FROM (SELECT file, {d.rows(state)} AS x FROM (SELECT DISTINCT {file.split(', CASE')[0]} FROM measurements) a) b"""
     graphics = f"""SELECT file, annotation, object_no, '00700009' AS kind, {d.rows(d.array(field('00700005', 'CS', 'units'), field('00700023', 'CS', 'graphic_type'), field('00700022', 'FL', 'data')))} AS x FROM (
     SELECT l.file, l.annotation, l.object_no, max(l.units) AS units, max(CASE WHEN l.tool_type = 'ellipse' THEN 'ELLIPSE' ELSE g.graphic_type END) AS graphic_type, {d.joined(f"{number('g.x')} || chr(92) || {number('g.y')}", back, 'g.n')} AS data
     FROM gsps_layout l JOIN gsps_graphics g ON g.measurement_id = l.measurement_id GROUP BY l.file, l.annotation, l.object_no) g"""
     texts = f"""SELECT file, annotation, object_no, '00700008' AS kind, {d.rows(d.array(field('00700006', 'ST', "CASE WHEN object_no % 3 = 2 THEN ' ' ELSE 'label of ' || tool_type END"), field('00700014', 'FL', "'3.5' || chr(92) || '0.5'"), field('00700004', 'CS', "CASE WHEN object_no % 5 = 4 THEN 'DISPLAY' ELSE 'PIXEL' END")))} AS x FROM gsps_layout"""
-    state = d.array(field("00080018", "UI", "'1.9.' || replace(file, '/', '.')"), d.struct(tag="'00081115/0/00081140/0/00081155'", vr="'UI'", value="'1.2.3.' || replace(file, '/', '.')"))
-    layer = d.array(d.struct(tag="'00700002'", vr="'CS'", value="CASE annotation WHEN 1 THEN 'ANNOTATIONS' ELSE 'MEASURE' END"), d.struct(tag="'00081140/0/00081155'", vr="'UI'", value="CASE annotation WHEN 1 THEN '1.2.4.' || replace(file, '/', '.') ELSE '' END"))
     return f"""{own(graphics)} UNION ALL {own(texts)}
 UNION ALL SELECT file, '00700001/' || {number('annotation')} || '/' || (x).tag AS tag_path, right((x).tag, 8) AS tag, (x).vr AS vr, (x).value AS value FROM (SELECT file, annotation, {d.rows(layer)} AS x FROM (SELECT DISTINCT file, annotation FROM gsps_layout) a) b
 UNION ALL SELECT file, (x).tag AS tag_path, right((x).tag, 8) AS tag, (x).vr AS vr, (x).value AS value FROM (SELECT file, {d.rows(state)} AS x FROM (SELECT DISTINCT file FROM gsps_layout) a) b"""
@@ -298,6 +312,10 @@ def tags(d: Dialect) -> str:
         one(10, "0020000E", "0020000E", "SeriesInstanceUID", "UI", "series_uid", 0),
     ]
     columns = ", ".join(f"(x).{c} AS {c}" for c in ("ord", "tag_path", "tag", "keyword", "vr", "value", "depth"))
+    if d.spark:  # customers meet orders first; headers that are not given are made after the join, so that keys and numbers are moved and not their texts
+        more = ("JOIN (SELECT o_orderkey, o_orderdate, c_name FROM orders JOIN customer ON c_custkey = o_custkey) o ON o_orderkey", ", o_orderdate, c_name")
+        source = f"headers {more[0]} = file_no" if "headers" in d.given else f"({REGISTRY['headers'].build(d).removesuffix('FROM lineitem')}{more[1]} FROM lineitem {more[0]} = l_orderkey) h"
+        return f"SELECT sop_uid, file, series_uid, study_uid, {columns} FROM (SELECT sop_uid, path AS file, series_uid, study_uid, {d.rows(d.array(*rows))} AS x FROM {source}) w"
     return f"""SELECT sop_uid, file, series_uid, study_uid, {columns} FROM (SELECT sop_uid, path AS file, series_uid, study_uid, {d.rows(d.array(*rows))} AS x
 FROM headers JOIN orders ON o_orderkey = file_no JOIN customer ON c_custkey = o_custkey) w"""
 
