@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from voxtab.operators import roi
 from voxtab.plans import registry
 
 DIR = "/root/testdata/sf0.001"
@@ -22,3 +23,15 @@ def scans(text, table):
 def test_parse_gsps_reads_the_elements_once(spark):
     text = plan(spark, "parse_gsps")
     assert scans(text, "lineitem") == 3 and "Join" not in text  # drawings, layers, states
+
+
+def test_gsps_references_are_found_in_one_pass_without_a_sort_of_all_elements(spark):
+    text = plan(spark, "gsps_references")
+    assert scans(text, "lineitem") == 3 and "Join" not in text and "SortAggregate(key=[file" not in text.split("Exchange")[-1]
+
+
+def test_references_of_states(spark):
+    rows = [("a", "00700001/0/00700009/0/00700023", "POLYLINE"), ("a", "00700001/1/00081140/2/00081155", "5.2"), ("a", "00700001/1/00081140/10/00081155", "5.10"), ("a", "00700001/1/00081140/1/00081155", " "),
+            ("a", "00081115/1/00081140/0/00081155", "7.1"), ("a", "00081115/0/00081140/3/00081155", " 7.0 "), ("b", "00700001/0/00700002", "L"), ("c", "00081115/0/00081140/0/00081155", "9")]
+    states = spark.createDataFrame(rows, "file string, tag_path string, value string")
+    assert {tuple(r) for r in roi.gsps_references(state_tags=states).collect()} == {("a", 0, "7.0"), ("a", 1, "5.2"), ("b", 0, None)}
