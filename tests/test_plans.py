@@ -35,3 +35,8 @@ def test_references_of_states(spark):
             ("a", "00081115/1/00081140/0/00081155", "7.1"), ("a", "00081115/0/00081140/3/00081155", " 7.0 "), ("b", "00700001/0/00700002", "L"), ("c", "00081115/0/00081140/0/00081155", "9")]
     states = spark.createDataFrame(rows, "file string, tag_path string, value string")
     assert {tuple(r) for r in roi.gsps_references(state_tags=states).collect()} == {("a", 0, "7.0"), ("a", 1, "5.2"), ("b", 0, None)}
+
+
+def test_validation_moves_no_parts(spark):
+    text = plan(spark, "validate_tag_values")
+    assert "Aggregate" not in text and "explode(split" not in text
