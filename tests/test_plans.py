@@ -40,3 +40,8 @@ def test_references_of_states(spark):
 def test_validation_moves_no_parts(spark):
     text = plan(spark, "validate_tag_values")
     assert "Aggregate" not in text and "explode(split" not in text
+
+
+def test_edits_look_at_their_series_only(spark):
+    text = plan(spark, "edit_tag")
+    assert scans(text, "lineitem") == 2 and len(re.findall(r"Filter .*1\.2\.4\..* = 1\.2\.4\.3", text)) == 2
