@@ -45,3 +45,8 @@ def test_validation_moves_no_parts(spark):
 def test_edits_look_at_their_series_only(spark):
     text = plan(spark, "edit_tag")
     assert scans(text, "lineitem") == 2 and len(re.findall(r"Filter .*1\.2\.4\..* = 1\.2\.4\.3", text)) == 2
+
+
+def test_boxes_are_not_written_out_at_the_tables(spark):
+    text = registry.QUERIES["drawing_metrics"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert max(len(line) for line in text.splitlines() if "Filter" in line) < 15000

@@ -96,6 +96,9 @@ def region_boxes(d: Dialect) -> str:
     """Rectangles, ellipses and freeforms with the inclusive box of pixels that they look at."""
     xs, ys = d.each("points", "p", "p.x"), d.each("points", "p", "p.y")
     side = lambda free, box: f"cast(CASE WHEN tool_type = 'freeform' THEN {free} ELSE {d.even(box)} END AS int)"
+    sides = {"l": side(f"ceil({d.least_of(xs)})", "least(x0, x1)"), "r": side(f"floor({d.most_of(xs)})", "greatest(x0, x1)"), "t": side(f"ceil({d.least_of(ys)})", "least(y0, y1)"), "b": side(f"floor({d.most_of(ys)})", "greatest(y0, y1)")}
+    if d.spark:  # a box is a row of its own generator, so that filters on it are not written out down to the tables
+        return f"SELECT *, box.l AS l, box.r AS r, box.t AS t, box.b AS b FROM (SELECT *, {d.rows(d.array(d.struct(**sides)))} AS box FROM (SELECT *, {ends(d)} FROM measurements WHERE tool_type IN {REGIONS} AND {complete(d)}) e) x"
     return f"""SELECT *, {side(f'ceil({d.least_of(xs)})', 'least(x0, x1)')} AS l, {side(f'floor({d.most_of(xs)})', 'greatest(x0, x1)')} AS r,
   {side(f'ceil({d.least_of(ys)})', 'least(y0, y1)')} AS t, {side(f'floor({d.most_of(ys)})', 'greatest(y0, y1)')} AS b
 FROM (SELECT *, {ends(d)} FROM measurements WHERE tool_type IN {REGIONS} AND {complete(d)}) e"""
@@ -109,6 +112,14 @@ def in_region(d: Dialect) -> str:
 
 def with_cells(d: Dialect, rows: str, where: str = "true") -> str:
     """Rows (boxes with the pixels of a slice) with ``cells``, the array of the box's pixels (j, k, value) that are in the image."""
+    if d.spark and where == in_region(d):  # a row of the image meets the polygon's sides once and not at every pixel; cells are a row of their own generator, so that filters do not make them again
+        a, b = d.at("points", "n"), d.at("points", f"CASE WHEN n = {d.size('points')} - 1 THEN 0 ELSE n + 1 END")
+        side = f"CASE WHEN (({a}).y > j) <> (({b}).y > j) THEN (({b}).x - ({a}).x) * (j - ({a}).y) / CASE WHEN ({b}).y = ({a}).y THEN 1 ELSE ({b}).y - ({a}).y END + ({a}).x END"
+        sides = f"CASE WHEN tool_type = 'freeform' THEN {d.each(d.span('0', d.size('points') + ' - 1'), 'n', side)} END"
+        inside = where.replace(inside_polygon(d, "points", "c.k", "c.j"), f"({d.size(d.keep('sides', 'x', 'c.k < x'))} % 2 = 1)")
+        line = d.each(d.span("greatest(l, 0)", "least(r, columns_ - 1)"), "k", d.struct(j="cast(j AS int)", k="cast(k AS int)", value=d.at("pixels", "j * columns_ + k")))
+        lines = d.each(d.span("greatest(t, 0)", "least(b, rows_ - 1)"), "j", f"element_at({d.each(d.array(sides), 'sides', d.keep(line, 'c', inside))}, 1)")
+        return f"SELECT *, {d.rows(d.array(f'flatten({lines})'))} AS cells FROM ({rows}) b WHERE l <= columns_ - 1 AND r >= 0 AND t <= rows_ - 1 AND b >= 0 AND l <= r AND t <= b"
     k = d.each(d.span("greatest(l, 0)", "least(r, columns_ - 1)"), "k", d.struct(j="cast(j AS int)", k="cast(k AS int)", value=d.at("pixels", "j * columns_ + k")))
     cells = f"flatten({d.each(d.span('greatest(t, 0)', 'least(b, rows_ - 1)'), 'j', k)})"
     return f"SELECT *, {d.keep(cells, 'c', where)} AS cells FROM ({rows}) b WHERE l <= columns_ - 1 AND r >= 0 AND t <= rows_ - 1 AND b >= 0 AND l <= r AND t <= b"
