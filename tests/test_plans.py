@@ -50,3 +50,7 @@ def test_edits_look_at_their_series_only(spark):
 def test_boxes_are_not_written_out_at_the_tables(spark):
     text = registry.QUERIES["drawing_metrics"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert max(len(line) for line in text.splitlines() if "Filter" in line) < 15000
+
+
+def test_series_of_the_registry_are_grouped_once(spark):
+    assert scans(plan(spark, "upsert_series_registry"), "lineitem") == 2
