@@ -6,6 +6,7 @@ import pytest
 
 from tests.test_operators import HEADER, head
 from voxtab.operators import catalog, roi, tag_edits
+from voxtab.plans.statement import REGISTRY
 from voxtab.sources import archives
 
 MEMBERS = "archive_id bigint, ord bigint, member_name string"
@@ -213,3 +214,13 @@ def test_report_numbers_keep_the_sign_of_small_numbers(spark):
     boxes = spark.sql(f"SELECT 'a' AS measurement_id, 'S1' AS series_id, 0 AS slice_index, 'rect' AS tool_type, array({point}, {point}) AS points")
     got = {r["path"]: r["text_value"] for r in roi.sr_report_rows(measurements=boxes, rect_roi_stats=box_stats(spark)).collect()}
     assert (got["1.4.1"], got["1.4.2"], got["1.4.3"], got["1.3.2"]) == ("18.0", "-0.0", "450.0", "1.00/2.00")
+
+
+@pytest.mark.parametrize("stray", [False, True])
+def test_uids_without_a_header_stay(spark, stray):
+    df = tags(spark, [("f", 1, "00080018", "UI", "1.2"), ("f", 2, "00081155", "UI", "1.3\\7.7\\1.2"), ("f", 3, "00080016", "UI", "7.7"), ("f", 4, "00080060", "CS", "1.2"), ("g", 1, "00081155", "UI", ""), ("g", 2, "0020000D", "UI", None)])
+    headers = spark.createDataFrame([head("/a", "1.2", series_uid="1.3", study_uid="1.4")], HEADER)
+    assert {r["uid"] for r in REGISTRY["stray_uids"](tags=df, headers=headers).collect()} == {"7.7", ""}
+    new = {r["uid"]: r["new_uid"] for r in tag_edits.uid_map(headers=headers).collect()}
+    got = {(r["file"], r["ord"]): r["value"] for r in tag_edits.remap_uids(tags=df, headers=headers, stray=stray).collect()}
+    assert got == {("f", 1): new["1.2"], ("f", 2): f"{new['1.3']}\\7.7\\{new['1.2']}", ("f", 3): "7.7", ("g", 1): ""}
