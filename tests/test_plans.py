@@ -56,7 +56,7 @@ def test_series_of_the_registry_are_grouped_once(spark):
     assert scans(plan(spark, "upsert_series_registry"), "lineitem") == 2
 
 
-@pytest.mark.parametrize("name", ["remap_uids"])
+@pytest.mark.parametrize("name", ["remap_uids", "deidentify_tags"])
 def test_elements_are_not_moved_by_uid(spark, name):
     text = registry.QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall("Join LeftOuter", text)) == len(re.findall(r"Join LeftOuter, .*rightHint=\(strategy=broadcast\)", text)) > 0

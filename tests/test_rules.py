@@ -224,3 +224,5 @@ def test_uids_without_a_header_stay(spark, stray):
     new = {r["uid"]: r["new_uid"] for r in tag_edits.uid_map(headers=headers).collect()}
     got = {(r["file"], r["ord"]): r["value"] for r in tag_edits.remap_uids(tags=df, headers=headers, stray=stray).collect()}
     assert got == {("f", 1): new["1.2"], ("f", 2): f"{new['1.3']}\\7.7\\{new['1.2']}", ("f", 3): "7.7", ("g", 1): ""}
+    named = {(r["file"], r["ord"]): r["value"] for r in tag_edits.deidentify_tags(tags=df, headers=headers, stray=stray).collect() if r["ord"] < 90}
+    assert named == {**got, ("f", 4): "1.2", ("g", 2): None}
